@@ -101,22 +101,22 @@ def dual_pairs(a: dict, b: dict, least_cos: float) -> np.ndarray:
 
 def forest(left: np.ndarray, right: np.ndarray, found: np.ndarray) -> list[tuple[int, int]]:
     """Edges of a spanning forest over the ids that ``found`` links: each id to its tree's smallest."""
-    parent: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    hits = np.flatnonzero(found.any(1))
-    for i in hits:
-        one = top(int(left[i]))
-        for j in np.flatnonzero(found[i]):
-            two = top(int(right[j]))
-            if one != two:
-                one, two = min(one, two), max(one, two)
-                parent[two] = one
-    return [(x, top(x)) for x in parent if top(x) != x]
+    rows, cols = np.flatnonzero(found.any(1)), np.flatnonzero(found.any(0))
+    if not len(rows):
+        return []
+    linked = found[np.ix_(rows, cols)]
+    a, b = left[rows].copy(), right[cols].copy()
+    far = np.iinfo(np.int64).max
+    shared = np.intersect1d(left[rows], right[cols], return_indices=True)[1:]  # ids that stand on both sides
+    while True:
+        low = np.minimum(a, np.where(linked, b[None, :], far).min(1))
+        low2 = np.minimum(b, np.where(linked, low[:, None], far).min(0))
+        low[shared[0]] = low2[shared[1]] = np.minimum(low[shared[0]], low2[shared[1]])
+        if (low == a).all() and (low2 == b).all():
+            break
+        a, b = low, low2
+    ids, tops = np.concatenate([left[rows], right[cols]]), np.concatenate([a, b])
+    return [(int(x), int(y)) for x, y in dict(zip(ids.tolist(), tops.tolist(), strict=True)).items() if x != y]
 
 
 def near_dup_embeddings(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from genoloom.llm import ann, bpe, embed_dedup, license_scan, packing, secret_scan, token_file, toxicity
+from genoloom.llm import ann, bpe, embed_dedup, license_scan, ngram_join, packing, secret_scan, suffix_dedup, token_file, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,6 +49,10 @@ def op7_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def op9_factor_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.learn_and_score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -56,7 +64,10 @@ def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_cover_tree_dedup, op2_small_world_search, op3_length_packing, op5_byte_bpe, op6_token_file, op7_license_rules, op9_factor_toxicity, op10_secret_forest)
+    for f in (
+        op1_cover_tree_dedup, op2_small_world_search, op3_length_packing, op4_suffix_dedup, op5_byte_bpe,
+        op6_token_file, op7_license_rules, op8_ngram_join, op9_factor_toxicity, op10_secret_forest,
+    )
 }
 
 #: The vectors' labels are equal or not linked, so the SQL compares within labels only.
