@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from genoloom.plans import annotation_queries  # noqa: F401
+from genoloom.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "p6_collinear_histogram"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
