@@ -58,7 +58,7 @@ SELECT h.* FROM {hits} h JOIN (SELECT min(hit_idx) AS m FROM {hits} WHERE annot1
   GROUP BY annot1_idx, annot2_idx) k ON h.hit_idx = k.m""",
     # hit and gene pairs that overlap, on either side
     "hit_annot": """
-SELECT hit_idx, annot_idx, side, CAST(100.0 * o / (hi - lo + 1) AS INT) AS olap FROM (
+SELECT hit_idx, annot_idx, side, CAST((100 * o) {div} (hi - lo + 1) AS INT) AS olap FROM (
   SELECT h.hit_idx, g.annot_idx, 1 AS side, h.start1 AS lo, h.end1 AS hi, least(h.end1, g.g_end) - greatest(h.start1, g.g_start) + 1 AS o
   FROM {hits} h JOIN {genes} g ON g.grp_idx = h.grp1_idx AND g.annot_idx = h.annot1_idx
   UNION ALL
