@@ -215,6 +215,8 @@ def nearest(
         made = {"graph": graph, "vectors": vectors, "ids": [np.asarray(x, np.int64) for x in pdf["ids"]]}
         return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "shard": pdf["shard"].iloc[:1], "index": [pickle.dumps(made, 5)]})
 
+    # a stated number of partitions: a shard is small in bytes but long in work, so shards are not put together
+    placed = placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "dim", "shard")
     index = written(placed.groupBy("dim", "shard").applyInPandas(build, "dim int, shard long, index binary"), "graphs")
     asked = distinct_ids(queries).withColumn("dim", F.size("vec"))
     dealt = asked.join(
