@@ -10,7 +10,9 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Chromosome widths and gene spacing of the synthetic genomes.
+from genoloom.operators.lineage import written
+
+#: The views, in order: each may use the tables and those above it.
 VIEWS: dict[str, str] = {
     # genes (annotation intervals) of 3 projects x 4 chromosomes
     "genes": """
@@ -114,7 +116,9 @@ class Views:
             else:
                 text = VIEWS[name].replace("{div}", "div").replace("{g}", "").replace("{tab}", "\\t")
                 used = {k: getattr(self, k) for k in (*TABLES, *VIEWS) if "{" + k + "}" in text}
-                self._built[name] = self.spark.sql(text, **used)
+                made = self.spark.sql(text, **used)
+                # hits are a stored table, as in any use of them: later filters must not reach into their joins
+                self._built[name] = written(made, name) if name == "hits" else made
         return self._built[name]
 
     @cached_property
