@@ -28,9 +28,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.5; the machine learns from this input's labelled documents."""
     ship_package(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.learn_and_score(docs.withColumnRenamed("score", "__score") if "score" in docs.columns else docs, labels)
-    kept = scored.filter("predicted = 0").drop("score", "predicted", "held_out")
-    return kept.withColumnRenamed("__score", "score").select(*docs.columns)
+    learned = labels.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    machine = toxicity.fit(docs, learned)
+    return toxicity.score(docs, machine, score_col="__toxicity").filter("__toxicity < 0.5").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +46,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     key = F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit("")))
     cut = suffix_dedup.remove_repeats(docs, length=PASSAGE_BYTES, coarse=128, fine=64, keep_text=True)
-    cut = cut.filter("n_removed > 0").select("key", "kept").dropDuplicates(["key"])
-    joined = docs.withColumn("key", key).join(cut, "key", "left")
-    return _columns(joined.withColumn("text", F.coalesce("kept", "text")), docs)
+    cut = cut.filter("n_removed > 0").select(F.col("key").alias("__key"), F.col("kept").alias("__kept")).dropDuplicates(["__key"])
+    joined = docs.withColumn("__key", key).join(cut, "__key", "left")
+    return _columns(joined.withColumn("text", F.coalesce("__kept", "text")), docs)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
