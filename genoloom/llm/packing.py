@@ -91,7 +91,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     tops, docs, tokens = (np.array([x[k] for x in found], np.int64) for k in range(3))
     ends = best_boundaries(tops, docs, tokens, buckets)
     upper = [int(tops[e]) for e in ends]
-    starts = [0, *[e + 1 for e in ends[:-1]]]
+    starts = [0, *[e + 1 for e in ends]][: len(ends)]
     full = [int(docs[a : e + 1].sum()) for a, e in zip(starts, ends, strict=True)]
     pieces = [max(1, n // max(batch_rows, 16 * (budget // top))) for n, top in zip(full, upper, strict=True)]
     bucket = F.aggregate(F.array(*map(F.lit, upper)).cast("array<long>"), F.lit(0), lambda k, top: k + (top < F.col("n_tokens")).cast("int"))
