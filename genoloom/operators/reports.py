@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +68,34 @@ def cluster_report(clusters: DataFrame, hits: DataFrame, genes: DataFrame, speci
     return per.select("cluster", *[F.coalesce(F.col(str(p)), F.lit("")).alias(f"p{p}") for p in species])
 
 
+def _link_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One cluster: links in order of their genes; each opens or joins the first row that has no gene of its
+    species yet and whose genes all link to it; a gene stands in one row only."""
+    linked = {(a, b) for a, b in zip(pdf["a"], pdf["b"], strict=True)}
+    linked |= {(b, a) for a, b in linked}
+    species = dict(zip(pdf["a"], pdf["pa"], strict=True)) | dict(zip(pdf["b"], pdf["pb"], strict=True))
+    rows: list[dict[int, int]] = []
+    for gene in sorted(species, key=lambda g: (species[g], g)):
+        home = next((r for r in rows if species[gene] not in r and all((gene, o) in linked for o in r.values())), None)
+        if home is None:
+            rows.append({species[gene]: gene})
+        else:
+            home[species[gene]] = gene
+    rows = [r for r in rows if len(r) > 1]
+    pairs = [sum((x, y) in linked for x, y in combinations(r.values(), 2)) for r in rows]
+    text = [",".join(f"{p}:{r[p]}" for p in sorted(r)) for r in rows]
+    return pd.DataFrame({"cluster": pdf["cluster"].iloc[0], "row": range(1, len(rows) + 1), "genes": text, "species": [len(r) for r in rows], "links": pairs})
+
+
+def cluster_link_rows(clusters: DataFrame, hits: DataFrame, genes: DataFrame) -> DataFrame:
+    """(cluster, row, genes, species, links): rows of genes that all link to each other, one per species; a row is
+    full when it has all species. Greedy within a cluster, so a cluster is one task's work."""
+    place = lambda c, p: genes.select(F.col("annot_idx").alias(c), F.col("proj_idx").alias(p))
+    rows = hits.select(F.col("annot1_idx").alias("a"), F.col("annot2_idx").alias("b")).filter("a is not null and b is not null").distinct()
+    rows = rows.join(clusters.select(F.col("annot_idx").alias("a"), "cluster"), "a").join(place("a", "pa"), "a").join(place("b", "pb"), "b")
+    return rows.groupBy("cluster").applyInPandas(_link_rows, "cluster long, row long, genes string, species long, links long")
+
+
 def report_annotation(genes: DataFrame, keys: list[str], width: int = 30, attrs: str = "attrs") -> DataFrame:
     """(annot_idx, note): values of the chosen keywords joined by '|', each cut to ``width``; '---' if none."""
     parts = F.split(F.col(attrs), ";")

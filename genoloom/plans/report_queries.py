@@ -78,6 +78,12 @@ def _(v: Views) -> DataFrame:
     return rp.cluster_report(qu.gene_clusters(h), h, v.genes, [1, 2, 3])
 
 
+@query("r6_cluster_link_rows")
+def _(v: Views) -> DataFrame:
+    h = _thin(v)
+    return rp.cluster_link_rows(qu.gene_clusters(h), h, v.genes)
+
+
 @query("r7_report_annotation", " SELECT annot_idx, substr(p_name, 1, 8) || '|' || substr(p_type, 1, 8) AS note FROM genes")
 def _(v: Views) -> DataFrame:
     return rp.report_annotation(v.genes, ["Name", "missing", "desc"], 8)
@@ -275,6 +281,11 @@ def _(v: Views) -> DataFrame:
     return su.block_pair_summary(_finished(v))
 
 
+@query("p5_block_lengths", " SELECT CASE WHEN end1 - start1 + 1 < 20000 THEN '<20000' WHEN end1 - start1 + 1 < 24000 THEN '<24000' ELSE '>=24000' END AS bucket, count(*) AS n FROM blocks GROUP BY 1")
+def _(v: Views) -> DataFrame:
+    return su.length_histogram(v.blocks.select((F.col("end1") - F.col("start1") + 1).alias("l")), "l", [20_000, 24_000])
+
+
 @query(
     "v1_dotplot_points",
     """ SELECT hit_idx, (start1 + end1) // 2 AS x, (start2 + end2) // 2 AS y, pctid, gene_overlap, block_idx IS NOT NULL AS in_block, CASE WHEN strand IN ('+/+', '-/-') THEN end1 - start1 + 1 ELSE start1 - end1 - 1 END AS size FROM hits LEFT JOIN block_hits USING (hit_idx)""",
