@@ -278,7 +278,8 @@ def repeated_spans(df: DataFrame, id_col: str, text_col: str, length: int, coars
 
     long_enough = docs.filter(F.octet_length("text") >= length).select("key", F.col("text").cast("binary").alias("text"))
     marks = written(long_enough.mapInArrow(coarse_units, "hash long, key long, lo long, hi long"), "coarse")
-    twice = marks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
+    # written, so that the join below meets two plain tables and adaptive execution may split a frequent hash
+    twice = written(marks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"), "repeated")
     ranges = marks.join(twice, "hash").groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     seen = docs.join(ranges, "key", "left").select(
         id_col, "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole_sha256"),
@@ -315,7 +316,7 @@ def repeated_spans(df: DataFrame, id_col: str, text_col: str, length: int, coars
         found.groupBy(*kind).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at", "lo", "hi")).alias("m")).select(*kind, "n", "m.*"), "contexts"
     )
     whole = found.join(classes.filter("n > 1").select(*kind), kind, "left_semi").select("key", F.col("lo").alias("from"), (F.col("hi") + length).alias("to"))
-    open_ = classes.groupBy("hash").agg(F.count(F.lit(1)).alias("g"), F.min("n").alias("least")).filter("g > 1 and least = 1").select("hash")
+    open_ = written(classes.groupBy("hash").agg(F.count(F.lit(1)).alias("g"), F.min("n").alias("least")).filter("g > 1 and least = 1").select("hash"), "open")
     asked = classes.join(open_, "hash").groupBy("key").agg(F.collect_list(F.struct("hash", "n", "at", "lo", "hi")).alias("asked"))
 
     def cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
