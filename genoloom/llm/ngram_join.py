@@ -138,10 +138,11 @@ def jaccard_join(
         "classes",
     )
     paths = classes.select("rep", F.explode(F.arrays_zip("short", "long")).alias("p")).select("rep", "p.short", "p.long")
-    first = paths.groupBy("short").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("to")).filter("n > 1")
+    # both bucket tables are written, so that their joins meet plain tables and a large bucket may be split
+    first = written(paths.groupBy("short").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("to")).filter("n > 1"), "short")
     inside = written(paths.join(first, "short").select("rep", "long", "n", "to"), "buckets")
     large = inside.filter(F.col("n") > small).select("rep", "long")
-    second = large.groupBy("long").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("to")).filter("n > 1")
+    second = written(large.groupBy("long").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("to")).filter("n > 1"), "long")
     edges = inside.filter(F.col("n") <= small).select("rep", "to").union(large.join(second, "long").select("rep", "to"))
     groups = written(connected_components(edges.filter("rep <> to").distinct(), "rep", "to"), "groups")
     sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("pieces"))
