@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from genoloom.plans.catalog import FLAGSHIP, ORACLES, QUERIES
@@ -19,7 +20,7 @@ def duck(sf_dir):
 
 
 def _norm(x):
-    if x is None or (isinstance(x, float) and math.isnan(x)):
+    if x is None or x is pd.NA or x is pd.NaT or (isinstance(x, float) and math.isnan(x)):
         return "null"
     if hasattr(x, "item"):
         x = x.item()
