@@ -90,4 +90,30 @@ FROM v LEFT JOIN (SELECT src, count(*) AS c FROM links GROUP BY src) n ON n.src
 LEFT JOIN (SELECT src, min(dst) AS m FROM reach GROUP BY src) r ON r.src = v.vec_id
 """
 
-ORACLES: dict[str, str] = {"op1_cover_tree_dedup": _OP1, "op7_license_rules": license_scan.scan_sql()}
+#: All pairs that share a shingle, counted; exact, for tables of modest size.
+_OP8 = r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents WHERE doc_id IS NOT NULL
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM t WHERE len(w) > 0) x
+), n AS (
+  SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS src, b.doc_id AS dst, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT src, dst, k = x.c AND k = y.c AS same FROM p JOIN n x ON x.doc_id = src JOIN n y ON y.doc_id = dst
+  WHERE CAST(k AS DOUBLE) / (x.c + y.c - k) >= 0.8
+), comp AS (
+  SELECT src, min(dst) AS m FROM (
+    WITH RECURSIVE reach(src, dst) AS (
+      SELECT src, dst FROM links UNION SELECT r.src, l.dst FROM reach r JOIN links l ON r.dst = l.src)
+    SELECT * FROM reach) z GROUP BY src
+)
+SELECT t.doc_id, least(t.doc_id, coalesce(l.c, t.doc_id)) AS class_id, coalesce(l.n, 0) AS n_links,
+  least(t.doc_id, coalesce(comp.m, t.doc_id)) AS component_id, t.doc_id <= coalesce(comp.m, t.doc_id) AS kept
+FROM t LEFT JOIN (SELECT src, count(*) AS n, min(dst) FILTER (same) AS c FROM links GROUP BY src) l ON l.src = t.doc_id
+LEFT JOIN comp ON comp.src = t.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op1_cover_tree_dedup": _OP1, "op7_license_rules": license_scan.scan_sql(), "op8_ngram_join": _OP8}
