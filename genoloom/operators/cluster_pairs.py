@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
@@ -9,11 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoloom.functions.scalars import same_strand
+from genoloom.operators.annotation import number_genes
 from genoloom.operators.hits import hit_gene_overlaps
 
 #: Fixed cutoffs (in %, bases or as ratios).
 EXON, GENE, LENGTHS, RATIO, COVER = (20, 25), (25, 35, 50), (300, 1000, 5000, 10000), 0.5, (60, 80, 97)
 NO_GENE_LENGTH, NO_GENE_COVER, SHARE_PAIR, SHARE_MAJOR = 1000, 40, 0.5, 0.8
+GAP_COVER = (20, 40, 60)
+#: What makes up a gene pair: its genes and its strand class.
+KEYS = ("gene1", "gene2", "same")
 
 
 def hit_exon_cover(hits: DataFrame, genes: DataFrame, exons: DataFrame, side: int) -> DataFrame:
@@ -34,29 +39,43 @@ def gene_pairs(hits: DataFrame, cover1: DataFrame, cover2: DataFrame, genes: Dat
     return rows.filter((F.col("strand1") == F.col("strand2")) == F.col("same")).select("hit_idx", "gene1", "gene2", "same", "exon1", "exon2")
 
 
-def pair_scores(pairs: DataFrame, hits: DataFrame, genes: DataFrame, exons: DataFrame) -> DataFrame:
-    """Scores of each gene pair and strand class, per side k: merged bases (m), cover of the span (cov, %), gene
-    overlap (gene, %), exon share of the hits (frac, %), exon cover (exon, %); length ratio of the genes, sub-hits,
-    longest merged length, identity weighted by length."""
-    keys = ["gene1", "gene2", "same"]
+def pair_scores(pairs: DataFrame, hits: DataFrame, genes: DataFrame, exons: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Scores of each gene pair and strand class (or of each group of ``keys``), per side k: merged bases (m), their
+    cover of the span (cov, %), of the gene (gcov, %) and of its exons (exon, %), exon bases (x), mean cover of an
+    exon (frac, %), overlap of span and gene (golap, %), ends of the span (lo, hi), chromosome (grp); length ratio of
+    the genes, sub-hits, longest merged length; identity and similarity of the side with more merged bases, weighted
+    by length. A gene without exons has exon shares of 0."""
     rows = pairs.join(hits.select("hit_idx", "start1", "end1", "start2", "end2", "pctid", "cvgpct"), "hit_idx")
+    models = exons.groupBy(F.col("gene_idx").alias("annot_idx")).agg(F.sort_array(F.collect_list(F.struct("e_start", "e_end"))).alias("exons"), F.sum(F.col("e_end") - F.col("e_start") + 1).alias("elen"))
+    model = genes.join(models, "annot_idx", "left")
+    aggs = [F.count(F.lit(1)).alias("subs"), F.min("hit_idx").alias("first")]
     for k in (1, 2):
+        rows = rows.join(model.select(F.col("annot_idx").alias(f"gene{k}"), F.col("grp_idx").alias(f"grp{k}"), F.col("g_start").alias(f"gs{k}"), F.col("g_end").alias(f"ge{k}"), F.col("exons").alias(f"exons{k}"), F.coalesce("elen", F.lit(0)).alias(f"elen{k}")), f"gene{k}")
         w = Window.partitionBy(*keys).orderBy(f"start{k}", F.desc(f"end{k}"), "hit_idx").rowsBetween(Window.unboundedPreceding, -1)
-        reach = F.max(f"end{k}").over(w)
-        # bases that earlier sub-hits have not covered: their sum is the length of the union
-        rows = rows.withColumn(f"own{k}", F.greatest(F.lit(0), F.col(f"end{k}") - F.greatest(F.col(f"start{k}") - 1, F.coalesce(reach, F.lit(0)))))
-    exon_len = exons.groupBy(F.col("gene_idx").alias("annot_idx")).agg(F.sum(F.col("e_end") - F.col("e_start") + 1).alias("elen"))
-    size = genes.join(exon_len, "annot_idx", "left").select("annot_idx", (F.col("g_end") - F.col("g_start") + 1).alias("glen"), F.coalesce("elen", F.lit(0)).alias("elen"))
-    out = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("subs"), *[F.sum(f"own{k}").alias(f"m{k}") for k in (1, 2)], *[(F.max(f"end{k}") - F.min(f"start{k}") + 1).alias(f"span{k}") for k in (1, 2)],
-        *[F.sum(f"exon{k}").alias(f"x{k}") for k in (1, 2)], F.round(F.sum(F.col("pctid") * F.col("own1")) / F.greatest(F.sum("own1"), F.lit(1))).cast("int").alias("pctid"), F.min("hit_idx").alias("first"),
-    )
+        # bases that earlier sub-hits have not covered: these stretches are disjoint and make up the union
+        rows = rows.withColumn(f"low{k}", F.greatest(F.col(f"start{k}"), F.coalesce(F.max(f"end{k}").over(w), F.lit(0)) + 1))
+        inside = lambda lo, hi, k=k: F.greatest(F.lit(0), F.least(F.col(f"end{k}"), hi) - F.greatest(F.col(f"low{k}"), lo) + 1)
+        in_exons = F.aggregate(f"exons{k}", F.lit(0), lambda t, e: t + inside(e["e_start"], e["e_end"]))
+        shares = F.aggregate(f"exons{k}", F.lit(0.0), lambda t, e: t + inside(e["e_start"], e["e_end"]) / (e["e_end"] - e["e_start"] + 1))
+        size = F.col(f"end{k}") - F.col(f"start{k}") + 1
+        aggs += [
+            F.sum(F.greatest(F.lit(0), F.col(f"end{k}") - F.col(f"low{k}") + 1)).alias(f"m{k}"), F.sum(inside(F.col(f"gs{k}"), F.col(f"ge{k}"))).alias(f"in{k}"),
+            F.sum(F.coalesce(in_exons, F.lit(0))).alias(f"x{k}"), F.sum(F.coalesce(shares / F.size(f"exons{k}"), F.lit(0.0))).alias(f"f{k}"),
+            F.min(f"start{k}").alias(f"lo{k}"), F.max(f"end{k}").alias(f"hi{k}"), *[F.max(f"{c}{k}").alias(f"{c}{k}") for c in ("grp", "gs", "ge", "elen")],
+            (F.sum(F.col("pctid") * size) / F.sum(size)).alias(f"id{k}"), (F.sum(F.col("cvgpct") * size) / F.sum(size)).alias(f"sim{k}"),
+        ]
+    out = rows.groupBy(*keys).agg(*aggs)
     for k in (1, 2):
-        s = size.select(F.col("annot_idx").alias(f"gene{k}"), F.col("glen").alias(f"glen{k}"), F.col("elen").alias(f"elen{k}"))
-        pct = lambda a, b: F.round(F.least(F.lit(100.0), 100.0 * F.col(a) / F.greatest(F.col(b), F.lit(1))), 6)
-        out = out.join(s, f"gene{k}").withColumn(f"cov{k}", pct(f"m{k}", f"span{k}")).withColumn(f"gcov{k}", pct(f"m{k}", f"glen{k}")).withColumn(f"frac{k}", pct(f"x{k}", f"m{k}")).withColumn(f"exon{k}", pct(f"x{k}", f"elen{k}"))
-    ratio = F.least("glen1", "glen2") / F.greatest("glen1", "glen2")
-    return out.withColumn("ratio", F.round(ratio, 6)).withColumn("longest", F.greatest("m1", "m2"))
+        glen = F.col(f"ge{k}") - F.col(f"gs{k}") + 1
+        pct = lambda a, b: F.round(F.least(F.lit(100.0), 100.0 * a / F.greatest(b, F.lit(1))), 6)
+        both = F.greatest(F.lit(0), F.least(f"hi{k}", f"ge{k}") - F.greatest(f"lo{k}", f"gs{k}") + 1)
+        out = out.withColumns({
+            f"glen{k}": glen, f"cov{k}": pct(F.col(f"m{k}"), F.col(f"hi{k}") - F.col(f"lo{k}") + 1), f"gcov{k}": pct(F.col(f"in{k}"), glen), f"golap{k}": pct(both, glen),
+            f"frac{k}": pct(F.col(f"f{k}"), F.lit(1)), f"exon{k}": pct(F.col(f"x{k}"), F.col(f"elen{k}")),
+        })
+    better = lambda c: F.round(F.when(F.col("m1") >= F.col("m2"), F.col(f"{c}1")).otherwise(F.col(f"{c}2"))).cast("int")
+    ratio = F.round(F.least("glen1", "glen2") / F.greatest("glen1", "glen2"), 6)
+    return out.withColumns({"ratio": ratio, "longest": F.greatest("m1", "m2"), "pctid": better("id"), "pctsim": better("sim")})
 
 
 def hit_type(gene1: Column, gene2: Column, exon1: Column, exon2: Column, least: float = 0.001) -> Column:
@@ -65,26 +84,69 @@ def hit_type(gene1: Column, gene2: Column, exon1: Column, exon2: Column, least:
     return F.concat(side(gene1, exon1), side(gene2, exon2))
 
 
-def filter_gene_pairs(scores: DataFrame, scale: float = 1.0) -> DataFrame:
-    """Pairs that pass the staged tests: weeded out under the least exon cover on both sides; then enough exon or
-    gene cover on both sides, or long merged hits that cover their span well, or genes of like length well covered."""
-    low = (F.greatest("exon1", "exon2") < EXON[0] * scale) & (F.greatest("gcov1", "gcov2") < GENE[0] * scale)
-    exon = (F.least("exon1", "exon2") >= EXON[1] * scale) | ((F.greatest("exon1", "exon2") >= COVER[0] * scale) & (F.least("exon1", "exon2") >= EXON[0] * scale))
-    gene = (F.least("gcov1", "gcov2") >= GENE[1] * scale) & (F.col("ratio") >= RATIO)
-    length = (F.col("longest") >= LENGTHS[1] * scale) & (F.least("cov1", "cov2") >= COVER[1] * scale)
-    return scores.filter(~low & (exon | gene | length))
+def _kinds(scores_type: str) -> Column:
+    """Whether the pair's type is the given two letters."""
+    has = lambda k: F.col(f"exon{k}") > 0.001
+    return {"EE": has(1) & has(2), "II": ~has(1) & ~has(2)}[scores_type]
 
 
-#: The one order of gene pairs, best first.
-def pair_order() -> list[Column]:
-    both = F.greatest("exon1", "exon2")
-    return [F.desc((F.col("x1") > 0) & (F.col("x2") > 0)), F.desc(both), F.desc(F.greatest("gcov1", "gcov2")), F.desc(F.greatest("cov1", "cov2")), F.desc(F.least("exon1", "exon2")), F.desc("ratio"), F.desc("subs"), F.asc("first"), F.asc("gene1"), F.asc("gene2")]
+def not_weeded() -> Column:
+    """Not next to nothing on both sides, and not a short pair outside exons."""
+    tiny = [F.greatest(f"exon{k}", f"frac{k}") < 0.1 for k in (1, 2)] + [F.greatest(f"gcov{k}", f"golap{k}") < 2 for k in (1, 2)]
+    return ~((tiny[0] & tiny[1] & tiny[2] & tiny[3]) | (_kinds("II") & (F.col("longest") < LENGTHS[1])))
+
+
+def near_perfect(k: int, scale: float = 1.0, gap_cover: tuple[int, ...] = GAP_COVER) -> Column:
+    """Side k is well covered in exons, gene and span."""
+    return (F.greatest(f"exon{k}", f"frac{k}") >= COVER[0] * scale) & (F.greatest(f"gcov{k}", f"golap{k}") >= COVER[0] * scale) & (F.col(f"cov{k}") >= gap_cover[1])
+
+
+def accepted(level: int, scale: float = 1.0, gap_cover: tuple[int, ...] = GAP_COVER) -> Column:
+    """Accepted before any other test: a perfect side, or long enough for how well the sides are covered."""
+    perfect = [F.least(f"exon{k}", f"golap{k}", f"cov{k}") >= COVER[level + 1] for k in (1, 2)]
+    near = [near_perfect(k, scale, gap_cover) for k in (1, 2)]
+    size = F.col("longest")
+    alike = (F.col("ratio") > RATIO) & (F.least("frac1", "frac2") > COVER[0])
+    return perfect[0] | perfect[1] | ((size > LENGTHS[1] * scale) & near[0] & near[1]) | ((size > LENGTHS[2] * scale) & (near[0] | near[1])) | ((size > LENGTHS[3] * scale) & alike)
+
+
+def loose(level: int, scale: float = 1.0, gap_cover: tuple[int, ...] = GAP_COVER) -> Column:
+    """Each side passes one of the exon, gene and span tests at least, and one side more than one."""
+    genes = GENE[level] * scale * F.when(_kinds("EE"), 1).otherwise(2)
+    n = [
+        (F.greatest(f"exon{k}", f"frac{k}") > EXON[level] * scale).cast("int") + (F.greatest(f"gcov{k}", f"golap{k}") > genes).cast("int")
+        + ((F.col("subs") > 1) & (F.col(f"cov{k}") > gap_cover[level])).cast("int") for k in (1, 2)
+    ]
+    return (F.least(*n) >= 1) & (F.greatest(*n) >= 2)
+
+
+def passes(level: int = 0, scale: float = 1.0, gap_cover: tuple[int, ...] = GAP_COVER) -> Column:
+    """The staged coverage tests of pairs whose genes have no major yet."""
+    return accepted(level, scale, gap_cover) | ((F.col("longest") >= LENGTHS[0] * scale) & loose(level, scale, gap_cover))
+
+
+def filter_gene_pairs(scores: DataFrame, pairs: DataFrame, hits: DataFrame, genes: DataFrame, exons: DataFrame, scale: float = 1.0, gap_cover: tuple[int, ...] = GAP_COVER) -> DataFrame:
+    """Scores of the pairs that are not weeded out and pass the staged tests, with ``part`` 0; of pairs of several
+    sub-hits that fail, each sub-hit is scored and tested alone (``part`` is its number)."""
+    ok = scores.filter(not_weeded())
+    test = passes(0, scale, gap_cover)
+    failed = ok.filter(~test & (F.col("subs") > 1)).select(*KEYS)
+    alone = pair_scores(pairs.join(failed, list(KEYS), "left_semi").withColumn("part", F.col("hit_idx")), hits, genes, exons, (*KEYS, "part"))
+    return ok.filter(test).withColumn("part", F.lit(0).cast("long")).unionByName(alone.filter(test))
+
+
+def pair_order(*sides: int) -> list[Column]:
+    """The order of gene pairs, best first: by one side, then the other; without ``sides`` by both together."""
+    by = ("exon", "golap", "cov")
+    shares = [F.desc(f"{c}{k}") for k in sides for c in by] or [F.desc(F.col(f"{c}1") + F.col(f"{c}2")) for c in by]
+    return [F.desc(_kinds("EE")), *shares, F.desc("ratio"), F.desc("subs"), F.asc("first"), F.asc("gene1"), F.asc("gene2")]
 
 
 def rank_pairs(scores: DataFrame) -> DataFrame:
-    """Adds rank1, rank2: place of the pair among those of its first and of its second gene."""
-    place = lambda g: F.row_number().over(Window.partitionBy(g).orderBy(*pair_order()))
-    return scores.withColumn("rank1", place("gene1")).withColumn("rank2", place("gene2"))
+    """Adds rank1, rank2: place of the pair among those of its first (second) gene with the other's chromosome and
+    the same strand class."""
+    place = lambda k, o: F.row_number().over(Window.partitionBy(f"gene{k}", f"grp{o}", "same").orderBy(*pair_order(k, o)))
+    return scores.withColumn("rank1", place(1, 2)).withColumn("rank2", place(2, 1))
 
 
 def reciprocal_best(scores: DataFrame) -> DataFrame:
@@ -92,57 +154,158 @@ def reciprocal_best(scores: DataFrame) -> DataFrame:
 
 
 def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One chromosome pair and strand: pairs in order; shared sub-hits make a pair minor, enough cover major."""
-    rows = pdf.sort_values("place")
-    majors: list[tuple[int, set[int]]] = []
-    role, owner = [], []
-    for r in rows.itertuples(index=False):
-        own = {int(x) for x in r.subs_of}
-        best = max(((len(own & s), -k, m) for k, (m, s) in enumerate(majors)), default=(0, 0, 0))
-        shared = best[0]
-        total = next((len(s) for m, s in majors if m == best[2]), 1)
-        if shared and (shared == len(own) or (shared >= SHARE_PAIR * len(own) and shared >= SHARE_MAJOR * total)):
-            role.append("minor")
-            owner.append(best[2])
-        elif r.best or r.strict:
-            role.append("major")
-            owner.append(int(r.first))
-            majors.append((int(r.first), own))
+    """Roles of the pairs of one chromosome pair and strand class; see good_enough_and_minor."""
+    rows = list(pdf.sort_values("place").itertuples(index=False))
+    own = [{int(x) for x in r.subs_of} for r in rows]
+    role, bins = ["none"] * len(rows), [0] * len(rows)
+    with_gene: dict[tuple[int, int], int] = {}
+    holders: dict[int, list[int]] = {}
+
+    def promote(i: int) -> None:
+        role[i], bins[i] = "major", int(rows[i].place)
+        for g in ((1, rows[i].gene1), (2, rows[i].gene2)):
+            with_gene[g] = with_gene.get(g, 0) + 1
+        for h in own[i]:
+            holders.setdefault(h, []).append(i)
+
+    def taken(i: int) -> list[bool]:
+        return [(1, rows[i].gene1) in with_gene, (2, rows[i].gene2) in with_gene]
+
+    def major_of(i: int, last: bool) -> int | None:
+        """The major whose minor pair i is; before the ``last`` look, only where that is beyond doubt."""
+        r = rows[i]
+        if not (r.overlaps1 or r.overlaps2):
+            return None
+        shared = Counter(m for h in own[i] for m in holders.get(h, ()))
+        if not shared:
+            return None
+        kin = [m for m in shared if rows[m].gene1 == r.gene1 or rows[m].gene2 == r.gene2]
+        best = min(kin, key=lambda m: (-shared[m], bins[m]), default=None)
+        if best is not None and shared[best] == len(own[i]):
+            return best
+        if all(taken(i)):
+            return None
+        part = lambda m: (shared[m] / len(own[i]), shared[m] / len(own[m]))
+        for m in sorted(shared, key=lambda m: (m != best, bins[m])):
+            a, b = part(m)
+            if a == 1 or (a >= SHARE_PAIR and b >= SHARE_MAJOR and (last or r.ratio < rows[m].ratio)):
+                return m
+        most = min(shared, key=lambda m: (-shared[m], m != best, bins[m]))
+        a, b = part(most)
+        near = a >= SHARE_PAIR or b >= SHARE_MAJOR or (a >= SHARE_PAIR - 0.1 and b >= SHARE_MAJOR - 0.1)
+        return most if last and near else None
+
+    def good_enough(i: int) -> bool:
+        r, has = rows[i], taken(i)
+        if r.accepted or r.short:
+            return bool(r.accepted)
+        return bool((not all(has) or (r.near and r.ee)) and (r.loose1 if any(has) else r.loose0))
+
+    rest = []
+    for i, r in enumerate(rows):
+        if r.best:
+            promote(i)
         else:
-            role.append("none")
-            owner.append(0)
-    return rows.assign(role=role, bin=owner)[["gene1", "gene2", "first", "role", "bin"]]
+            rest.append(i)
+    for i in rest:
+        if major_of(i, False) is None and good_enough(i):
+            promote(i)
+    for i in rest:
+        if role[i] == "none" and (m := major_of(i, True)) is not None:
+            role[i], bins[i] = "minor", bins[m]
+
+    def same_place(x, y) -> bool:  # noqa: ANN001
+        if (x.lo1, x.hi1, x.lo2, x.hi2) == (y.lo1, y.hi1, y.lo2, y.hi2):
+            return True
+        kin = (x.overlaps1 and y.overlaps1 and x.num1 == y.num1) or (x.overlaps2 and y.overlaps2 and x.num2 == y.num2)
+        if not kin or (x.gene1 != y.gene1 and x.gene2 != y.gene2):
+            return False
+        one, two = min(x.hi1, y.hi1) - max(x.lo1, y.lo1), min(x.hi2, y.hi2) - max(x.lo2, y.lo2)
+        inside = one in (x.hi1 - x.lo1, y.hi1 - y.lo1) or two in (x.hi2 - x.lo2, y.hi2 - y.lo2)
+        return one >= 0 and two >= 0 and inside
+
+    before = None
+    for i in sorted((i for i, x in enumerate(role) if x == "major"), key=lambda i: (rows[i].lo2, rows[i].place)):
+        if before is not None and same_place(rows[before], rows[i]):
+            keep, lose = sorted((before, i), key=lambda j: rows[j].place)
+            role[lose], bins[lose] = "minor", bins[keep]
+        before = i
+    kept = ("gene1", "gene2", "part", "first")
+    return pd.DataFrame({**{c: [getattr(r, c) for r in rows] for c in kept}, "role": role, "bin": bins})
+
+
+def good_enough_and_minor(passed: DataFrame, pairs: DataFrame, genes: DataFrame, scale: float = 1.0, gap_cover: tuple[int, ...] = GAP_COVER) -> DataFrame:
+    """(gene1, gene2, part, first, role, bin) of the pairs that :func:`filter_gene_pairs` passed. Reciprocal best
+    pairs are majors, each with a bin of its own. The others in order: minors beyond doubt wait; those that pass the
+    stricter tests, given which of their genes have a major by then, are majors. What is left is the minor of a major
+    with which it shares enough sub-hits, and gets its bin, or has no role. Of majors in the same place the lesser
+    turns minor. One task per chromosome pair and strand class, since each choice depends on those before."""
+    number = Window.partitionBy("grp_idx", "genenum")
+    numbered = number_genes(genes).withColumn("overlaps", F.count(F.lit(1)).over(number) > 1)
+    place = lambda k: numbered.select(F.col("annot_idx").alias(f"gene{k}"), F.col("genenum").alias(f"num{k}"), F.col("overlaps").alias(f"overlaps{k}"))
+    subs = pairs.groupBy(*KEYS).agg(F.collect_set("hit_idx").alias("subs_of"))
+    w = Window.partitionBy("grp1", "grp2", "same").orderBy(*pair_order(), "part")
+    rows = rank_pairs(passed).join(subs, list(KEYS)).join(place(1), "gene1").join(place(2), "gene2").withColumns({
+        "subs_of": F.when(F.col("part") > 0, F.array("part")).otherwise(F.col("subs_of")), "best": (F.col("rank1") == 1) & (F.col("rank2") == 1),
+        "accepted": accepted(1, scale, gap_cover), "short": F.col("longest") < LENGTHS[0] * scale, "near": near_perfect(1, scale, gap_cover) | near_perfect(2, scale, gap_cover),
+        "ee": _kinds("EE"), "loose0": loose(0, scale, gap_cover), "loose1": loose(1, scale, gap_cover), "place": F.row_number().over(w),
+    })
+    used = ["gene1", "gene2", "part", "first", "place", "best", "accepted", "short", "near", "ee", "loose0", "loose1", "ratio", "subs_of"]
+    used += [f"{c}{k}" for c in ("num", "overlaps", "lo", "hi") for k in (1, 2)]
+    rows = rows.select("grp1", "grp2", "same", *used)
+    return rows.groupBy("grp1", "grp2", "same").applyInPandas(_assign, "gene1 long, gene2 long, part long, first long, role string, bin long")
+
+
+def _trim(gap: int, over: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def drops(rows: pd.DataFrame, k: int, end: int) -> bool:
+        """Whether the first (end 0) or last (end -1) sub-hit along side k goes."""
+        at = rows.iloc[end]
+        low, high = rows[f"start{k}"].min(), rows[f"end{k}"].max()
+        if len(rows) > 1:
+            away = rows.iloc[1][f"start{k}"] - at[f"end{k}"] if end == 0 else at[f"start{k}"] - rows.iloc[-2][f"end{k}"]
+            if away > gap and at[f"exon{k}"] == 0:
+                return True
+        out = at[f"gs{k}"] - at[f"start{k}"] if end == 0 else at[f"end{k}"] - at[f"ge{k}"]
+        half = max(0, min(at[f"ge{k}"], high) - max(at[f"gs{k}"], low) + 1) / 2
+        return bool(out > over and (out > half or at[f"exon{k}"] == 0) and at["better"])
 
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, size = pdf, -1
+        while len(rows) > 1 and len(rows) != size:
+            size = len(rows)
+            for k in (1, 2):
+                rows = rows.sort_values([f"start{k}", f"end{k}", "hit_idx"])
+                for end in (0, -1):
+                    if len(rows) and drops(rows, k, end):
+                        rows = rows.iloc[1:] if end == 0 else rows.iloc[:-1]
+        return rows
 
-def good_enough_and_minor(scores: DataFrame, pairs: DataFrame, genes: DataFrame) -> DataFrame:
-    """(gene1, gene2, first, role, bin): pairs in order; those that share their sub-hits with a major are its
-    minors and inherit its bin; reciprocal best and strictly passing pairs are majors. One task per chromosome
-    pair and strand, since each choice depends on those before."""
-    subs = pairs.groupBy("gene1", "gene2", "same").agg(F.sort_array(F.collect_set("hit_idx")).alias("subs_of"))
-    place = lambda k: genes.select(F.col("annot_idx").alias(f"gene{k}"), F.col("grp_idx").alias(f"g{k}"))
-    ranked = rank_pairs(scores).withColumn("best", (F.col("rank1") == 1) & (F.col("rank2") == 1))
-    strict = (F.least("exon1", "exon2") >= COVER[0]) & (F.col("subs") >= 2)
-    rows = ranked.withColumn("strict", strict).join(subs, ["gene1", "gene2", "same"]).join(place(1), "gene1").join(place(2), "gene2")
-    w = Window.partitionBy("g1", "g2", "same").orderBy(F.desc("best"), *pair_order())
-    rows = rows.withColumn("place", F.row_number().over(w)).select("g1", "g2", "same", "gene1", "gene2", "first", "place", "best", "strict", "subs_of")
-    return rows.groupBy("g1", "g2", "same").applyInPandas(_assign, "gene1 long, gene2 long, first long, role string, bin long")
-
+    return work
 
-def trim_ends(subs: DataFrame, gap: int = 1000) -> DataFrame:
-    """Sub-hits of each pair (pair, start, end, exon_bases) without those at either end that lie off exons behind
-    a gap of over ``gap``; one task per pair group batch, a pair at a time."""
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["start", "end"])
-        s, e, x = rows["start"].to_numpy(), rows["end"].to_numpy(), rows["exon_bases"].to_numpy()
-        lo, hi = 0, len(rows) - 1
-        while lo < hi and x[lo] == 0 and s[lo + 1] - e[lo] > gap:
-            lo += 1
-        while lo < hi and x[hi] == 0 and s[hi] - e[hi - 1] > gap:
-            hi -= 1
-        return rows.iloc[lo : hi + 1]
-
-    return subs.groupBy("pair").applyInPandas(work, subs.schema)
+def trim_ends(pairs: DataFrame, hits: DataFrame, genes: DataFrame, gap: int = 10_000, over: int = 100) -> DataFrame:
+    """``pairs`` without sub-hits at an end, on either side, that lie off the gene's exons behind a gap of over
+    ``gap``, or that reach over ``over`` past the gene and fit another gene's exons better on both sides (a sub-hit off
+    the exons fits any other gene better). Repeated until nothing changes; pairs of one sub-hit stay. One group per
+    gene pair; pairs in which no sub-hit can go don't reach it."""
+    rows = pairs.join(hits.select("hit_idx", "start1", "end1", "start2", "end2"), "hit_idx")
+    for k in (1, 2):
+        rows = rows.join(genes.select(F.col("annot_idx").alias(f"gene{k}"), F.col("g_start").alias(f"gs{k}"), F.col("g_end").alias(f"ge{k}")), f"gene{k}")
+    of_hit = Window.partitionBy("hit_idx")
+    # the largest exon cover among the hit's other genes: of pairs, so that genes count whose strands agree
+    fits = [((F.max(f"gene{k}").over(of_hit) != F.min(f"gene{k}").over(of_hit)) & ((F.col(f"exon{k}") == 0) | (F.col(f"exon{k}") < F.max(f"exon{k}").over(of_hit)))) for k in (1, 2)]
+    rows = rows.withColumn("better", fits[0] & fits[1])
+    far = F.lit(False)
+    for k in (1, 2):
+        along = Window.partitionBy(*KEYS).orderBy(f"start{k}", f"end{k}", "hit_idx")
+        away = F.greatest(F.lead(f"start{k}").over(along) - F.col(f"end{k}"), F.col(f"start{k}") - F.lag(f"end{k}").over(along)) > gap
+        out = F.greatest(F.col(f"gs{k}") - F.col(f"start{k}"), F.col(f"end{k}") - F.col(f"ge{k}")) > over
+        far = far | ((F.col(f"exon{k}") == 0) & F.coalesce(away, F.lit(False))) | (out & F.col("better"))
+    whole = Window.partitionBy(*KEYS)
+    rows = rows.withColumn("__open", F.max(far).over(whole) & (F.count(F.lit(1)).over(whole) > 1))
+    open_rows = rows.filter("__open").drop("__open")
+    done = open_rows.groupBy(*KEYS).applyInPandas(_trim(gap, over), open_rows.schema)
+    return rows.filter("not __open").select(*pairs.columns).unionByName(done.select(*pairs.columns))
 
 
 def chain_within(hits: DataFrame, keys: list[str], gap1: int, gap2: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from genoloom.operators import cluster_bins as cb
 from genoloom.operators import cluster_pairs as cp
+from genoloom.operators.lineage import written
 from genoloom.plans.fixtures import Views
 from genoloom.plans.registry import query
 
@@ -171,15 +172,27 @@ def _pct(a: str, b: str) -> str:
     return f"round(least(100.0, 100.0 * {a} / greatest({b}, 1)), 6)"
 
 
-_SCORES = _PAIRS + f""", o AS (SELECT p.*, h.start1, h.end1, h.start2, h.end2, h.pctid,
-  greatest(0, h.end1 - greatest(h.start1 - 1, coalesce(max(h.end1) OVER (PARTITION BY gene1, gene2, same ORDER BY h.start1, h.end1 DESC, h.hit_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS own1,
-  greatest(0, h.end2 - greatest(h.start2 - 1, coalesce(max(h.end2) OVER (PARTITION BY gene1, gene2, same ORDER BY h.start2, h.end2 DESC, h.hit_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS own2 FROM pairs p JOIN hits h ON h.hit_idx = p.hit_idx),
-sm AS (SELECT gene1, gene2, same, count(*) AS subs, CAST(sum(own1) AS BIGINT) AS m1, CAST(sum(own2) AS BIGINT) AS m2, max(end1) - min(start1) + 1 AS span1, max(end2) - min(start2) + 1 AS span2, CAST(sum(exon1) AS BIGINT) AS x1, CAST(sum(exon2) AS BIGINT) AS x2, min(hit_idx) AS first,
-  CAST(round(CAST(sum(pctid * own1) AS DOUBLE) / greatest(sum(own1), 1)) AS INT) AS pctid FROM o GROUP BY 1, 2, 3),
-sz AS (SELECT annot_idx, g_end - g_start + 1 AS glen, coalesce((SELECT sum(e_end - e_start + 1) FROM exons WHERE gene_idx = annot_idx), 0) AS elen FROM genes),
-scores AS (SELECT sm.*, {_pct("m1", "span1")} AS cov1, {_pct("m1", "a.glen")} AS gcov1, {_pct("x1", "m1")} AS frac1, {_pct("x1", "a.elen")} AS exon1, {_pct("m2", "span2")} AS cov2, {_pct("m2", "b.glen")} AS gcov2, {_pct("x2", "m2")} AS frac2,
-  {_pct("x2", "b.elen")} AS exon2, round(CAST(least(a.glen, b.glen) AS DOUBLE) / greatest(a.glen, b.glen), 6) AS ratio, greatest(m1, m2) AS longest FROM sm JOIN sz a ON a.annot_idx = gene1 JOIN sz b ON b.annot_idx = gene2)"""
-_SCORE_COLS = ["gene1", "gene2", "same", "subs", "m1", "m2", "cov1", "gcov1", "frac1", "exon1", "cov2", "gcov2", "frac2", "exon2", "ratio", "longest", "pctid", "first"]
+def _scores_sql(pairs: str, name: str) -> str:
+    """Scores ``name`` of the groups (gene1, gene2, same, part) of ``pairs``."""
+    keys = "gene1, gene2, same, part"
+    low = lambda k: f"greatest(h.start{k}, coalesce(max(h.end{k}) OVER (PARTITION BY {keys} ORDER BY h.start{k}, h.end{k} DESC, h.hit_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1) AS low{k}"
+    inside = lambda k, lo, hi: f"greatest(0, least(end{k}, {hi}) - greatest(low{k}, {lo}) + 1)"
+    exon = lambda k: f"{name}_e{k} AS (SELECT {keys}, CAST(sum({inside(k, 'e_start', 'e_end')}) AS BIGINT) AS x{k}, sum(CAST({inside(k, 'e_start', 'e_end')} AS DOUBLE) / (e_end - e_start + 1)) AS f{k} FROM {name}_o JOIN exons ON gene_idx = gene{k} GROUP BY ALL)"
+    side = lambda k, g: f"""CAST(sum(greatest(0, end{k} - low{k} + 1)) AS BIGINT) AS m{k}, sum({inside(k, f'{g}.g_start', f'{g}.g_end')}) AS in{k}, min(start{k}) AS lo{k}, max(end{k}) AS hi{k},
+  CAST(sum(pctid * (end{k} - start{k} + 1)) AS DOUBLE) / sum(end{k} - start{k} + 1) AS id{k}, CAST(sum(cvgpct * (end{k} - start{k} + 1)) AS DOUBLE) / sum(end{k} - start{k} + 1) AS sim{k}"""
+    shares = lambda k, g: f"""{g}.grp_idx AS grp{k}, coalesce(x{k}, 0) AS x{k}, {_pct(f'm{k}', f'hi{k} - lo{k} + 1')} AS cov{k}, {_pct(f'in{k}', f'{g}.glen')} AS gcov{k}, {_pct(f'greatest(0, least(hi{k}, {g}.g_end) - greatest(lo{k}, {g}.g_start) + 1)', f'{g}.glen')} AS golap{k},
+  {_pct(f'coalesce(f{k}, 0) / greatest({g}.nex, 1)', '1')} AS frac{k}, {_pct(f'coalesce(x{k}, 0)', f'{g}.elen')} AS exon{k}"""
+    return f""", {name}_o AS (SELECT p.*, h.start1, h.end1, h.start2, h.end2, h.pctid, h.cvgpct, {low(1)}, {low(2)} FROM {pairs} p JOIN hits h ON h.hit_idx = p.hit_idx),
+{exon(1)}, {exon(2)},
+{name}_m AS (SELECT {keys}, count(*) AS subs, min(hit_idx) AS first, {side(1, 'a')}, {side(2, 'b')} FROM {name}_o JOIN genes a ON a.annot_idx = gene1 JOIN genes b ON b.annot_idx = gene2 GROUP BY {keys}),
+{name} AS (SELECT m.*, {shares(1, 'a')}, {shares(2, 'b')}, round(CAST(least(a.glen, b.glen) AS DOUBLE) / greatest(a.glen, b.glen), 6) AS ratio, greatest(m1, m2) AS longest,
+  CAST(round(CASE WHEN m1 >= m2 THEN id1 ELSE id2 END) AS INT) AS pctid, CAST(round(CASE WHEN m1 >= m2 THEN sim1 ELSE sim2 END) AS INT) AS pctsim
+  FROM {name}_m m JOIN sz a ON a.annot_idx = gene1 JOIN sz b ON b.annot_idx = gene2 LEFT JOIN {name}_e1 USING ({keys}) LEFT JOIN {name}_e2 USING ({keys}))"""
+
+
+_SCORES = _PAIRS + """, sz AS (SELECT annot_idx, grp_idx, g_start, g_end, g_end - g_start + 1 AS glen, coalesce(e.elen, 0) AS elen, coalesce(e.nex, 0) AS nex
+FROM genes LEFT JOIN (SELECT gene_idx, sum(e_end - e_start + 1) AS elen, count(*) AS nex FROM exons GROUP BY 1) e ON gene_idx = annot_idx)""" + _scores_sql("(SELECT *, 0 AS part FROM pairs)", "scores")
+_SCORE_COLS = ["gene1", "gene2", "same", "subs", "m1", "m2", "cov1", "gcov1", "golap1", "frac1", "exon1", "cov2", "gcov2", "golap2", "frac2", "exon2", "ratio", "longest", "pctid", "pctsim", "first"]
 
 
 def _scores(v: Views) -> DataFrame:
@@ -203,22 +216,41 @@ def _(v: Views) -> DataFrame:
 
 @query("x5_trim_ends")
 def _(v: Views) -> DataFrame:
-    one = _covers(v)[0]
-    subs = one.join(v.hits, "hit_idx").select(F.col("annot_idx").alias("pair"), F.col("start1").alias("start"), F.col("end1").alias("end"), "exon_bases")
-    return cp.trim_ends(subs, 100)
+    return cp.trim_ends(_pairs(v), v.hits, v.genes, gap=100, over=20)
+
+
+_OKAY = """NOT (greatest(exon1, frac1, exon2, frac2) < 0.1 AND greatest(gcov1, golap1, gcov2, golap2) < 2) AND NOT (exon1 <= 0.001 AND exon2 <= 0.001 AND longest < 1000)"""
+_NEAR = [f"(greatest(exon{k}, frac{k}) >= 60 AND greatest(gcov{k}, golap{k}) >= 60 AND cov{k} >= 40)" for k in (1, 2)]
+_LOOSE = [f"(CAST(greatest(exon{k}, frac{k}) > 20 AS INT) + CAST(greatest(gcov{k}, golap{k}) > CASE WHEN exon1 > 0.001 AND exon2 > 0.001 THEN 25 ELSE 50 END AS INT) + CAST(subs > 1 AND cov{k} > 20 AS INT))" for k in (1, 2)]
+_PASS = f"""(least(exon1, golap1, cov1) >= 80 OR least(exon2, golap2, cov2) >= 80 OR (longest > 1000 AND {_NEAR[0]} AND {_NEAR[1]}) OR (longest > 5000 AND ({_NEAR[0]} OR {_NEAR[1]})) OR (longest > 10000 AND ratio > 0.5 AND least(frac1, frac2) > 60)
+  OR (longest >= 300 AND least({_LOOSE[0]}, {_LOOSE[1]}) >= 1 AND greatest({_LOOSE[0]}, {_LOOSE[1]}) >= 2))"""
+
+
+def _filtered(v: Views, pairs: DataFrame) -> DataFrame:
+    """The scores are used twice, the pairs up to three times: both are tables."""
+    scores = written(cp.pair_scores(pairs, v.hits, v.genes, v.exons), "pair_scores")
+    return cp.filter_gene_pairs(scores, pairs, v.hits, v.genes, v.exons)
+
+
+def _passed(v: Views) -> DataFrame:
+    return _filtered(v, written(_pairs(v), "gene_pairs"))
 
 
 @query(
     "x6_filter_gene_pairs",
-    _SCORES + """ SELECT gene1, gene2, same FROM scores WHERE NOT (greatest(exon1, exon2) < 20 AND greatest(gcov1, gcov2) < 25) AND (least(exon1, exon2) >= 25 OR (greatest(exon1, exon2) >= 60 AND least(exon1, exon2) >= 20)
-  OR (least(gcov1, gcov2) >= 35 AND ratio >= 0.5) OR (longest >= 1000 AND least(cov1, cov2) >= 80))""",
+    _SCORES + f", bad AS (SELECT gene1, gene2, same FROM scores WHERE {_OKAY} AND NOT {_PASS} AND subs > 1)" + _scores_sql("(SELECT p.*, p.hit_idx AS part FROM pairs p SEMI JOIN bad USING (gene1, gene2, same))", "singles")
+    + f" SELECT gene1, gene2, same, CAST(part AS BIGINT) AS part FROM scores WHERE {_OKAY} AND {_PASS} UNION ALL SELECT gene1, gene2, same, part FROM singles WHERE {_PASS}",
 )
 def _(v: Views) -> DataFrame:
-    return cp.filter_gene_pairs(_scores(v)).select("gene1", "gene2", "same")
+    return _passed(v).select("gene1", "gene2", "same", "part")
+
+
+def _by(*sides: int) -> str:
+    return "(exon1 > 0.001 AND exon2 > 0.001) DESC, " + ", ".join(f"{c}{k} DESC" for k in sides for c in ("exon", "golap", "cov")) + ", ratio DESC, subs DESC, first, gene1, gene2"
 
 
-_BY = "(x1 > 0 AND x2 > 0) DESC, greatest(exon1, exon2) DESC, greatest(gcov1, gcov2) DESC, greatest(cov1, cov2) DESC, least(exon1, exon2) DESC, ratio DESC, subs DESC, first, gene1, gene2"
-_RANK2 = _SCORES + f", ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY gene1 ORDER BY {_BY}) AS INT) AS rank1, CAST(row_number() OVER (PARTITION BY gene2 ORDER BY {_BY}) AS INT) AS rank2 FROM scores)"
+_RANK2 = _SCORES + f""", ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY gene1, grp2, same ORDER BY {_by(1, 2)}) AS INT) AS rank1,
+  CAST(row_number() OVER (PARTITION BY gene2, grp1, same ORDER BY {_by(2, 1)}) AS INT) AS rank2 FROM scores)"""
 
 
 @query("x7_rank_pairs", _RANK2 + " SELECT gene1, gene2, same, rank1, rank2 FROM ranked")
@@ -233,7 +265,9 @@ def _(v: Views) -> DataFrame:
 
 @query("x9_major_minor")
 def _(v: Views) -> DataFrame:
-    return cp.good_enough_and_minor(_scores(v), _pairs(v), v.genes)
+    pairs = written(cp.trim_ends(_pairs(v), v.hits, v.genes), "gene_pairs")
+    passed = written(_filtered(v, pairs), "passed_pairs")
+    return cp.good_enough_and_minor(passed, pairs, v.genes)
 
 
 @query("x10_one_gene_clusters")

@@ -103,3 +103,35 @@ def test_few_sequences_have_no_cutoffs(spark):
 def test_repeated_attribute_keys_do_not_fail(spark):
     (row,) = spark.createDataFrame([("a=1;b;a=2=3",)], "t string").select(an.parse_attributes(F.col("t")).alias("m")).collect()
     assert row["m"] == {"a": "2=3"}
+
+
+def _gene_world(spark):
+    genes = [(1, 11, 1000, 2000), (2, 21, 1000, 2000), (3, 21, 1500, 2600), (4, 21, 9000, 10000), (5, 11, 5000, 6000), (6, 11, 20000, 40000), (7, 21, 20000, 40000)]
+    exons = [(g, s, e) for g, _, s, e in genes if g < 6] + [(6, 20000, 21000), (7, 20000, 21000)]
+    hits = [(1, 1000, 1400, 1000, 1400), (2, 1600, 2000, 1600, 2000), (3, 5000, 6000, 9000, 10000), (4, 20000, 20400, 20000, 20400), (5, 20500, 20900, 20500, 20900), (6, 35000, 35100, 35000, 35100)]
+    return (
+        spark.createDataFrame([(g, c, s, e, "+") for g, c, s, e in genes], "annot_idx long, grp_idx int, g_start int, g_end int, strand string"),
+        spark.createDataFrame(exons, "gene_idx long, e_start int, e_end int"),
+        spark.createDataFrame([(h, 11, 21, a, b, c, d, "+/+", 90, 80) for h, a, b, c, d in hits], "hit_idx long, grp1_idx int, grp2_idx int, start1 int, end1 int, start2 int, end2 int, strand string, pctid int, cvgpct int"),
+    )
+
+
+def test_gene_pairs_trimmed_scored_and_assigned(spark):
+    genes, exons, hits = _gene_world(spark)
+    pairs = cp.gene_pairs(hits, cp.hit_exon_cover(hits, genes, exons, 1), cp.hit_exon_cover(hits, genes, exons, 2), genes)
+    of = lambda df: {(r["gene1"], r["gene2"], r["hit_idx"]) for r in df.collect()}
+    assert of(pairs) == {(1, 2, 1), (1, 2, 2), (1, 3, 2), (5, 4, 3), (6, 7, 4), (6, 7, 5), (6, 7, 6)}
+    trimmed = cp.trim_ends(pairs, hits, genes)
+    # the last sub-hit of genes 6 and 7 lies off the exons behind a gap of 14,000
+    assert of(pairs) - of(trimmed) == {(6, 7, 6)}
+    scores = {(r["gene1"], r["gene2"]): r for r in cp.pair_scores(trimmed, hits, genes, exons).collect()}
+    r = scores[1, 2]
+    assert (r["subs"], r["m1"], r["x1"], r["longest"], r["pctid"], r["pctsim"], r["cov1"], r["golap1"]) == (2, 802, 802, 802, 90, 80, round(80200 / 1001, 6), 100)
+    assert (scores[1, 3]["gcov2"], scores[6, 7]["frac1"], scores[6, 7]["golap1"]) == (round(40100 / 1101, 6), round(80200 / 1001, 6), round(90100 / 20001, 6))
+    passed = cp.filter_gene_pairs(cp.pair_scores(trimmed, hits, genes, exons), trimmed, hits, genes, exons)
+    got = {(r["gene1"], r["gene2"]): (r["role"], r["bin"]) for r in cp.good_enough_and_minor(passed, trimmed, genes).collect()}
+    # gene 3's only sub-hit is among those of its overlapping neighbour's pair
+    assert {k: v[0] for k, v in got.items()} == {(1, 2): "major", (1, 3): "minor", (5, 4): "major", (6, 7): "major"}
+    assert got[1, 3][1] == got[1, 2][1] != got[5, 4][1]
+    none = cp.filter_gene_pairs(cp.pair_scores(trimmed.limit(0), hits, genes, exons), trimmed.limit(0), hits, genes, exons)
+    assert cp.good_enough_and_minor(none, trimmed.limit(0), genes).count() == 0 and cp.trim_ends(trimmed.limit(0), hits, genes).count() == 0
