@@ -34,11 +34,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by a Jaccard similarity of 0.8 or more over
-    five-word shingles; documents without an id stay."""
+    """Exactly one row, of the smallest id, of each group linked by a Jaccard similarity of 0.8 or more over
+    five-word shingles, or by equal texts without words. Repeated rows and rows of one id are judged by their own
+    texts; a null id comes after all others. Blank texts stay."""
     ship_package(spark)
-    gone = ngram_join.jaccard_join(docs).filter("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    num = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit(2**62 - 1)) + F.lit(2**62))
+    blank = ~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
+    some = docs.filter(~blank).withColumns({"__num": num, "__mark": F.xxhash64("text")})
+    linked = ngram_join.linked(some, "__num")
+    wordless = F.when(F.col("component").isNull(), F.col("mark")).alias("wordless")
+    one = linked.groupBy("component", wordless).agg(F.min(F.struct("id", "mark")).alias("m"))
+    one = one.select(F.col("m.id").alias("__num"), F.col("m.mark").alias("__mark"))
+    # rows that repeat id and text first become one in each task
+    kept = some.dropDuplicates(["__num", "__mark"]).join(one, ["__num", "__mark"], "left_semi")
+    return kept.select(*docs.columns).unionByName(docs.filter(blank))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

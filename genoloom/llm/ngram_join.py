@@ -89,36 +89,23 @@ def brute_force(left: list[np.ndarray], right: list[np.ndarray] | None, least: f
     return found
 
 
-def jaccard_join(
+def linked(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8,
     runs: int = 16, depth: tuple[int, int] = (3, 5), small: int = 64, chunk: int = 2048,
 ) -> DataFrame:
-    """Links documents whose sets of ``width``-word shingles have a Jaccard similarity of at least ``least``.
-
-    One row per id: ``id_col``, class_id (smallest id of the same set), n_links (other documents linked
-    directly, copies counted), component_id (smallest id reachable), kept (id = component_id). A text of 1 to
-    ``width`` - 1 words is one shingle; null and empty texts link with nothing. Rows with a null id are left
-    out; rows that repeat an id count as copies or neighbours of each other but share its one row. Extra
-    columns are ignored; an empty table gives an empty result.
-
-    Documents of equal sets collapse to one. In each of ``runs`` runs a document follows a path of sampled
-    elements; buckets of documents that chose the same path are split further, from ``depth[0]`` to ``depth[1]``
-    elements, while they hold more than ``small``. A pair of similarity s shares a run's bucket with a chance
-    of s ** depth: at 0.8 all runs together find it with 0.9998 or more in small buckets, 0.998 in large ones.
-    Buckets that share a document are then merged and brute-forced once, in blocks of ``chunk`` sets, so no
-    pair is counted twice, every pair found is exact, and members of one merged group meet even where no
-    run brought them together. Tasks emit counts and a spanning forest, never the pairs.
+    """One row per row of ``df`` whose id is not null: id, mark (hash of its text), class_id, n_links and component
+    (id, h1, h2), the smallest id and set reachable; see :func:`jaccard_join`. The last three are null for a text
+    without words. A class is a set, named by its smallest id and its hash, as an id may stand for several sets.
     """
     need = runs * depth[1]
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(width)
         for pdf in batches:
-            ids, h1, h2, short, long = [], [], [], [], []
-            for doc, text in zip(pdf["id"], pdf["text"], strict=True):
+            h1, h2, short, long = [], [], [], []
+            for text in pdf["text"]:
                 own = shingles(text)
                 key = xxhash.xxh3_128_intdigest(own.tobytes()) if len(own) else 0
-                ids.append(doc)
                 h1.append((key >> 64) - 2**63)
                 h2.append((key & (2**64 - 1)) - 2**63)
                 if not len(own):
@@ -128,13 +115,13 @@ def jaccard_join(
                 paths = sampled(own, need).reshape(runs, depth[1])
                 short.append([xxhash.xxh3_64_intdigest(p[: depth[0]].tobytes(), r) - 2**63 for r, p in enumerate(paths)])
                 long.append([xxhash.xxh3_64_intdigest(p.tobytes(), r) - 2**63 for r, p in enumerate(paths)])
-            yield pd.DataFrame({"id": ids, "h1": h1, "h2": h2, "short": short, "long": long})
+            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "mark": pdf["mark"].to_numpy(), "h1": h1, "h2": h2, "short": short, "long": long})
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    signed = written(rows.mapInPandas(sign, "id long, h1 long, h2 long, short array<long>, long array<long>"), "signed")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("mark")).filter("id is not null")
+    signed = written(rows.mapInPandas(sign, "id long, mark long, h1 long, h2 long, short array<long>, long array<long>"), "signed")
     classes = written(
         signed.filter("short is not null").groupBy("h1", "h2").agg(F.min(F.struct("id", "short", "long")).alias("m"), F.count(F.lit(1)).alias("copies"))
-        .select("h1", "h2", F.col("m.id").alias("rep"), "copies", "m.short", "m.long"),
+        .select(F.struct("m.id", "h1", "h2").alias("rep"), "copies", "m.short", "m.long"),
         "classes",
     )
     paths = classes.select("rep", F.explode(F.arrays_zip("short", "long")).alias("p")).select("rep", "p.short", "p.long")
@@ -146,10 +133,11 @@ def jaccard_join(
     edges = inside.filter(F.col("n") <= small).select("rep", "to").union(large.join(second, "long").select("rep", "to"))
     groups = written(connected_components(edges.filter("rep <> to").distinct(), "rep", "to"), "groups")
     sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("pieces"))
+    group = [F.col(f"component.{x}").alias(f"of_{x}") for x in ("id", "h1", "h2")]
     members = (
         groups.join(sizes, "component")
-        .join(classes.select(F.col("rep").alias("node"), "copies", "h1", "h2"), "node")
-        .select(F.col("node").alias("id"), "component", "pieces", "copies", "h1", "h2", F.expr("int(pmod(xxhash64(node), pieces))").alias("piece"))
+        .join(classes.select(F.col("rep").alias("node"), "copies"), "node")
+        .select("node.id", "node.h1", "node.h2", *group, "pieces", "copies", F.expr("int(pmod(xxhash64(node), pieces))").alias("piece"))
     )
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,17 +147,18 @@ def jaccard_join(
             keys = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
             # a repeated id may have other texts: only the class's own set goes on
             own = np.array([(k >> 64) - 2**63 == a and (k & (2**64 - 1)) - 2**63 == b for k, a, b in zip(keys, pdf["h1"], pdf["h2"], strict=True)], bool)
-            out = pdf.drop(columns=["text", "h1", "h2"]).assign(set=[s.tobytes() for s in sets])[own]
-            yield out.drop_duplicates(["id"])
+            out = pdf.drop(columns=["text"]).assign(set=[s.tobytes() for s in sets])[own]
+            yield out.drop_duplicates(["id", "h1", "h2"])
 
-    held = members.join(rows, "id").select("id", "component", "pieces", "copies", "piece", "h1", "h2", "text")
-    sets = held.mapInPandas(gather, "id long, component long, pieces long, copies long, piece int, set binary")
+    of = ["of_id", "of_h1", "of_h2"]
+    held = members.join(rows, "id").select("id", "h1", "h2", *of, "pieces", "copies", "piece", "text")
+    sets = held.mapInPandas(gather, "id long, h1 long, h2 long, of_id long, of_h1 long, of_h2 long, pieces long, copies long, piece int, set binary")
     other = F.explode(F.sequence(F.lit(0), F.col("pieces").cast("int") - 1))
     dealt = sets.withColumn("other", other).select(
-        "component", F.least("piece", "other").alias("a"), F.greatest("piece", "other").alias("b"), "piece", "id", "copies", "set"
+        *of, F.least("piece", "other").alias("a"), F.greatest("piece", "other").alias("b"), "piece", "id", "h1", "h2", "copies", "set"
     )
-    dealt = dealt.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b", "piece", "id")
-    names = ["id", "to", "n", "edge"]
+    dealt = dealt.repartition(*of, "a", "b").sortWithinPartitions(*of, "a", "b", "piece", "id", "h1", "h2")
+    names = ["id", "h1", "h2", "to_id", "to_h1", "to_h2", "n", "edge"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held_rows = None, []
@@ -177,9 +166,9 @@ def jaccard_join(
         def flush() -> Iterator[pa.RecordBatch]:
             if len(held_rows) < 2:
                 return
-            a, b = key[1], key[2]
+            a, b = key[3], key[4]
             seen, unique = set(), []
-            for r in held_rows:  # rows of a repeated id come once
+            for r in held_rows:  # a class comes once, though rows may repeat its id
                 if r[1] not in seen:
                     seen.add(r[1])
                     unique.append(r)
@@ -188,9 +177,11 @@ def jaccard_join(
             if not left or right == []:
                 return
             found = brute_force([r[3] for r in left], None if right is None else [r[3] for r in right], least)
-            ids = np.array([r[1] for r in left], np.int64)
+            nodes = sorted(seen)  # named by their place in the order of ids from here on
+            place = {x: k for k, x in enumerate(nodes)}
+            ids = np.array([place[r[1]] for r in left], np.int64)
             copies = np.array([r[2] for r in left], np.int64)
-            ids2, copies2 = (ids, copies) if right is None else (np.array([r[1] for r in right], np.int64), np.array([r[2] for r in right], np.int64))
+            ids2, copies2 = (ids, copies) if right is None else (np.array([place[r[1]] for r in right], np.int64), np.array([r[2] for r in right], np.int64))
             who, count = [ids], [found @ copies2]
             if right is not None:
                 who.append(ids2)
@@ -199,34 +190,62 @@ def jaccard_join(
             keep = count > 0
             links = forest(ids, ids2, found)
             src = np.concatenate([who[keep], np.array([x for x, _ in links], np.int64)])
-            to = np.concatenate([np.full(keep.sum(), -1), np.array([y for _, y in links], np.int64)])
+            to = np.concatenate([who[keep], np.array([y for _, y in links], np.int64)])
             n = np.concatenate([count[keep], np.zeros(len(links), np.int64)])
             edge = np.arange(len(src)) >= keep.sum()
             if len(src):
-                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(to, pa.int64()), pa.array(n, pa.int64()), pa.array(edge)], names=names)
+                at = np.array(nodes, np.int64)
+                ends = [pa.array(at[x, k], pa.int64()) for x in (src, to) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*ends, pa.array(n, pa.int64()), pa.array(edge)], names=names)
 
         for batch in batches:
-            c, a, b, piece, ids, copies, sets_ = (batch.column(k) for k in range(7))
-            for k, r in enumerate(zip(c.to_pylist(), a.to_pylist(), b.to_pylist(), strict=True)):
+            piece, copies, sets_ = (batch.column(k) for k in (5, 9, 10))
+            ids = list(zip(*(batch.column(k).to_pylist() for k in (6, 7, 8)), strict=True))
+            for k, r in enumerate(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)):
                 if r != key:
                     yield from flush()
                     key, held_rows = r, []
-                held_rows.append((piece[k].as_py(), ids[k].as_py(), copies[k].as_py(), np.frombuffer(sets_[k].as_py(), np.uint64)))
+                held_rows.append((piece[k].as_py(), ids[k], copies[k].as_py(), np.frombuffer(sets_[k].as_py(), np.uint64)))
         yield from flush()
 
-    met = written(dealt.mapInArrow(meet, "id long, to long, n long, edge boolean"), "links")
-    far = met.filter("not edge").groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("far"))
-    parts = connected_components(met.filter("edge"), "id", "to").withColumnRenamed("node", "rep")
+    met = written(dealt.mapInArrow(meet, "id long, h1 long, h2 long, to_id long, to_h1 long, to_h2 long, n long, edge boolean"), "links")
+    met = met.select(F.struct("id", "h1", "h2").alias("rep"), F.struct(F.col("to_id").alias("id"), F.col("to_h1").alias("h1"), F.col("to_h2").alias("h2")).alias("to"), "n", "edge")
+    far = met.filter("not edge").groupBy("rep").agg(F.sum("n").alias("far"))
+    parts = connected_components(met.filter("edge"), "rep", "to").withColumnRenamed("node", "rep")
     state = (
-        classes.select("h1", "h2", "rep", "copies")
+        classes.select("rep", "copies")
         .join(far, "rep", "left")
         .join(parts, "rep", "left")
-        .select("h1", "h2", F.col("rep").alias("class_id"), F.expr("copies - 1 + coalesce(far, 0)").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        .select("rep.h1", "rep.h2", F.col("rep.id").alias("class_id"), F.expr("copies - 1 + coalesce(far, 0)").alias("n_links"), F.coalesce("component", "rep").alias("component"))
     )
-    placed = signed.select("id", F.expr("if(short is null, null, h1)").alias("h1"), "h2").join(state, ["h1", "h2"], "left")
+    placed = signed.select("id", "mark", F.expr("if(short is null, null, h1)").alias("h1"), "h2").join(state, ["h1", "h2"], "left")
+    return placed.select("id", "mark", "class_id", "n_links", "component")
+
+
+def jaccard_join(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8,
+    runs: int = 16, depth: tuple[int, int] = (3, 5), small: int = 64, chunk: int = 2048,
+) -> DataFrame:
+    """Links documents whose sets of ``width``-word shingles have a Jaccard similarity of at least ``least``.
+
+    One row per id: ``id_col``, class_id (smallest id of the same set), n_links (other documents linked
+    directly, copies counted), component_id (smallest id reachable), kept (id = component_id). A text of 1 to
+    ``width`` - 1 words is one shingle; null and empty texts link with nothing. Rows with a null id are left
+    out; rows that repeat an id count as copies or neighbours of each other but share its one row. Extra
+    columns are ignored; an empty table gives an empty result.
+
+    Documents of equal sets collapse to one. In each of ``runs`` runs a document follows a path of sampled
+    elements; buckets of documents that chose the same path are split further, from ``depth[0]`` to ``depth[1]``
+    elements, while they hold more than ``small``. A pair of similarity s shares a run's bucket with a chance
+    of s ** depth: at 0.8 all runs together find it with 0.9998 or more in small buckets, 0.998 in large ones.
+    Buckets that share a document are then merged and brute-forced once, in blocks of ``chunk`` sets, so no
+    pair is counted twice, every pair found is exact, and members of one merged group meet even where no
+    run brought them together. Tasks emit counts and a spanning forest, never the pairs.
+    """
     return (
-        placed.groupBy("id")
-        .agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+        linked(df, id_col, text_col, width, least, runs, depth, small, chunk)
+        .groupBy("id")
+        .agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"), F.min("component.id").alias("component_id"))
         .select(
             F.col("id").alias(id_col),
             F.coalesce("class_id", "id").alias("class_id"),

@@ -176,6 +176,27 @@ def test_repeated_rows_and_null_ids(spark):
     assert ngram_join.jaccard_join(df).count() == 0
 
 
+def test_an_id_of_two_texts_keeps_the_links_of_both(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "pq")
+    rows = [(0, a), (0, b), (1, a + " more"), (2, b + " more"), (3, a + " less"), (4, b + " less")]
+    got = {r["doc_id"]: r for r in ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: (r["n_links"], r["component_id"]) for k, r in got.items()} == {k: (2, 0) for k in range(5)}
+
+
+def test_one_row_of_each_group_stays(spark, sf_dir):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(80)) for x in "pqrs")
+    rows = [(5, a), (5, a), (6, a + " more"), (None, b), (None, b), (None, b + " more"), (7, c), (None, c), (None, None), (None, ""), (8, "-=" * 200), (9, "-=" * 200)]
+    rows += [(1, "one " + d), (1, c + " x"), (2, d)]  # an id of two texts
+    stages, docs = dict(pipeline.STAGES), spark.createDataFrame(rows, "doc_id long, text string")
+    kept = stages["ngram_jaccard_join"](spark, docs, sf_dir)
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    (null_b,) = [t for i, t in got if i is None and t and t.startswith("q")]
+    assert got == Counter([(5, a), (None, null_b), (1, c + " x"), (None, None), (None, ""), (8, "-=" * 200), (1, "one " + d)])
+    left = [r["text"] for r in stages["suffix_array_dedup"](spark, kept, sf_dir).collect()]
+    assert all(x in left for x in (a, null_b, c + " x", "one " + d))
+
+
 # --- packing ---
 
 
