@@ -13,8 +13,8 @@ from genoloom.llm import ngram_join, packing, secret_scan, suffix_dedup, toxicit
 from genoloom.operators.deploy import ship_package
 from genoloom.operators.lineage import written
 
-#: Bytes of a passage that counts as repeated here: about 40 words, so any passage of over 50 is caught.
-PASSAGE_BYTES = 250
+#: A passage counts as repeated here from so many bytes (about 40 words) or so many words, whatever their length.
+PASSAGE_BYTES, PASSAGE_WORDS = 250, 51
 
 
 def _columns(df: DataFrame, docs: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that also stand elsewhere."""
     ship_package(spark)
     key = F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit("")))
-    cut = suffix_dedup.remove_repeats(docs, length=PASSAGE_BYTES, coarse=128, fine=64, keep_text=True)
+    cut = suffix_dedup.remove_repeats(docs, length=PASSAGE_BYTES, coarse=128, fine=64, keep_text=True, words=PASSAGE_WORDS)
     cut = cut.filter("n_removed > 0").select(F.col("key").alias("__key"), F.col("kept").alias("__kept")).dropDuplicates(["__key"])
     joined = docs.withColumn("__key", key).join(cut, "__key", "left")
     return _columns(joined.withColumn("text", F.coalesce("__kept", "text")), docs)

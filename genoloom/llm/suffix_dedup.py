@@ -20,6 +20,8 @@ PLACE_BITS, SLAB = 26, 4_000_000
 #: Symbols of one suffix array.
 BATCH_SYMBOLS = 150_000
 GRAM = 8
+#: Whether a code point (up to the last blank one) is blank, as in str.split.
+BLANK = np.array([chr(k).isspace() for k in range(0x3001)] + [False])
 
 
 def suffix_array(s: list[int]) -> list[int]:
@@ -155,6 +157,22 @@ def units(buf: bytes, bounds: list[tuple[int, int]], length: int, window: int) -
     return own[first].astype(np.int64), at[first], starts[first], starts[last]
 
 
+def word_windows(text: str, words: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte (the latter excluded) of all runs of ``words`` blank-separated words that are under
+    ``length`` bytes (UTF-8)."""
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    blank = np.concatenate([[True], BLANK[np.minimum(points, len(BLANK) - 1)], [True]])
+    wide = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+    offset = np.concatenate([[0], np.cumsum(wide)])
+    start = offset[np.flatnonzero(blank[:-1] & ~blank[1:])]
+    end = offset[np.flatnonzero(~blank[:-1] & blank[1:])]
+    if len(start) < words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    start, end = start[: len(start) - words + 1], end[words - 1 :]
+    low = end - start < length
+    return start[low], end[low]
+
+
 def slabs(texts: list[bytes], length: int) -> Iterator[tuple[bytes, list[tuple[int, int]], list[tuple[int, int]]]]:
     """Texts laid end to end in slabs: (bytes, bounds in the slab, (text number, offset of the bounds in it)).
     A text longer than a slab is cut so that every ``length``-byte string is whole in one piece."""
@@ -257,7 +275,27 @@ def repeated_starts(groups: list[int], lefts: list[bytes], rights: list[bytes],
     return out
 
 
-def repeated_spans(df: DataFrame, id_col: str, text_col: str, length: int, coarse: int, fine: int) -> tuple[DataFrame, DataFrame]:
+def repeated_words(docs: DataFrame, words: int, length: int) -> DataFrame:
+    """Spans (key, from, to) of all runs of ``words`` words under ``length`` bytes that also start elsewhere."""
+
+    def short_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["h1", "h2", "key", "from", "to"]
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                begin, end = word_windows(text, words, length)
+                if len(begin):
+                    raw = text.encode()
+                    h = [xxhash.xxh3_128_intdigest(raw[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+                    cols = ([_signed(x >> 64) for x in h], [_signed(x & (2**64 - 1)) for x in h], [key] * len(h), begin, end)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+
+    rows = docs.filter(F.octet_length("text") >= 2 * words - 1).select("key", "text")
+    found = written(rows.mapInArrow(short_windows, "h1 long, h2 long, key long, from long, to long"), "words")
+    twice = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
+    return written(found.join(twice, ["h1", "h2"], "left_semi").select("key", "from", "to"), "short")
+
+
+def repeated_spans(df: DataFrame, id_col: str, text_col: str, length: int, coarse: int, fine: int, words: int = 0) -> tuple[DataFrame, DataFrame]:
     """(documents, spans): documents with key, n_bytes and whole_sha256, and with the bytes of those that may
     hold a repeated string; spans (key, from, to) that are to be removed, overlapping."""
     docs = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64(id_col, "text"))
@@ -280,9 +318,14 @@ def repeated_spans(df: DataFrame, id_col: str, text_col: str, length: int, coars
     marks = written(long_enough.mapInArrow(coarse_units, "hash long, key long, lo long, hi long"), "coarse")
     twice = marks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
     ranges = marks.join(twice, "hash").groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    short = repeated_words(docs, words, length) if words else None
+    marked = F.col("ranges").isNotNull()
+    if short is not None:
+        ranges = ranges.join(short.select("key").distinct().withColumn("short", F.lit(True)), "key", "full")
+        marked |= F.col("short").isNotNull()
     seen = docs.join(ranges, "key", "left").select(
         id_col, "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole_sha256"),
-        F.when(F.col("ranges").isNotNull(), F.col("text").cast("binary")).alias("text"), "ranges",
+        F.when(marked, F.col("text").cast("binary")).alias("text"), "ranges",
     )
     seen = written(seen, "seen")
     some = seen.filter("ranges is not null").select("key", "text", "ranges")
@@ -358,14 +401,16 @@ def repeated_spans(df: DataFrame, id_col: str, text_col: str, length: int, coars
             yield flush()
 
     part = written(contexts.mapInArrow(sort_contexts, "key long, from long, to long"), "spans")
-    return seen, whole.union(part)
+    spans = whole.union(part)
+    return seen, spans if short is None else spans.union(short)
 
 
 def remove_repeats(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, coarse: int = 256, fine: int = 64, keep_text: bool = False
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, coarse: int = 256, fine: int = 64, keep_text: bool = False, words: int = 0
 ) -> DataFrame:
     """Removes every byte of a text (UTF-8) that a ``length``-byte string covers which also starts anywhere
     else: in another document, or elsewhere in the same one; overlaps count, and strings are judged on the input.
+    With ``words``, so does a run of that many blank-separated words, however few bytes it has.
 
     One row per row of ``df``: ``id_col``, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256
     (lower-case hex, of the remaining bytes) and, with ``keep_text``, ``key`` (hash of id and text) and ``kept``
@@ -379,7 +424,7 @@ def remove_repeats(
     """
     if coarse & (coarse - 1) or fine & (fine - 1) or max(coarse, fine) + GRAM > length:
         raise ValueError("windows are powers of two, under the length by 8 at least")
-    seen, spans = repeated_spans(df, id_col, text_col, length, coarse, fine)
+    seen, spans = repeated_spans(df, id_col, text_col, length, coarse, fine, words)
     listed = spans.groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

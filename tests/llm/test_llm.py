@@ -162,6 +162,31 @@ def test_suffix_dedup(spark, texts, length, coarse, fine):
     assert sum(g[1] for g in got.values()) > 1000
 
 
+def test_repeats_of_short_words(spark, sf_dir):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choice("abcdeé日") for _ in range(draw.randint(1, 2)))
+    run = lambda n: " ".join(word() for _ in range(n))
+    long, short, just, few = run(70), run(52), run(51), run(50)
+    texts = [f"{run(9)} {long} {run(60)}", f"{run(30)} {long}", short, f"{run(20)} {short}\n{just}", f"{just}\u3000{run(80)}", f"{run(8)} {few} {run(9)}", f"{run(60)} {few}", run(300), None, "", "a b " * 40]
+    texts += [f"{run(9)} {'word' * 80} {run(5)}", f"{run(8)} {'word' * 80}"]
+    spans = [[(m.start(), m.end()) for m in re.finditer(r"\S+", t or "")] for t in texts]
+    windows = [[(s[i][0], s[i + 50][1]) for i in range(len(s) - 50)] for s in spans]
+    seen = Counter(t[a:b] for t, w in zip(texts, windows, strict=True) for a, b in w)
+    strings = Counter(b[i : i + 250] for b in ((t or "").encode() for t in texts) for i in range(len(b) - 249))
+    want = []
+    for t, w in zip(texts, windows, strict=True):
+        raw = (t or "").encode()
+        gone = [(len(t[:a].encode()), len(t[:b].encode())) for a, b in w if seen[t[a:b]] > 1]
+        gone += [(i, i + 250) for i in range(len(raw) - 249) if strings[raw[i : i + 250]] > 1]
+        out = {k for a, b in gone for k in range(a, b)}
+        want.append(bytes(x for k, x in enumerate(raw) if k not in out).decode())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] or "" for r in dict(pipeline.STAGES)["suffix_array_dedup"](spark, docs, sf_dir).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+    assert want[2] == "" and few in want[5] and few in want[6] and sum(len(t or "") for t in texts) > sum(map(len, want)) + 400
+
+
 def test_suffix_array_equals_sorting():
     draw = random.Random(9)
     for _ in range(600):
