@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -19,6 +20,8 @@ from genoloom.operators.lineage import written
 PLACE_BITS, SLAB = 26, 4_000_000
 #: Symbols of one suffix array.
 BATCH_SYMBOLS = 150_000
+#: Contexts of one middle that a suffix array takes at most; the strings of larger groups are dealt out by hash.
+HOT_GROUP = 1000
 GRAM = 8
 #: Whether a code point (up to the last blank one) is blank, as in str.split.
 BLANK = np.array([chr(k).isspace() for k in range(0x3001)] + [False])
@@ -275,6 +278,22 @@ def repeated_starts(groups: list[int], lefts: list[bytes], rights: list[bytes],
     return out
 
 
+def dealt_contexts(contexts: DataFrame) -> DataFrame:
+    """Contexts of one hash in one task, but those of a ``hot`` hash anywhere."""
+    salt = F.when(F.col("hot"), F.xxhash64("key", "lo"))
+    return contexts.repartition("hash", salt).sortWithinPartitions("hash")
+
+
+def context_strings(mark: int, left: bytes, right: bytes, window: int) -> list[tuple[int, int, int]]:
+    """(start, h1, h2) of each string of a context, as in :func:`repeated_starts`: equal hashes for equal strings."""
+    out = []
+    for a in range(max(0, min(len(left), len(left) + 1 + len(right) - window) + 1)):
+        before = len(left) - a
+        h = xxhash.xxh3_128_intdigest(struct.pack("<qq", mark, before) + left[a:] + right[: window - 1 - before])
+        out.append((a, _signed(h >> 64), _signed(h & (2**64 - 1))))
+    return out
+
+
 def repeated_words(docs: DataFrame, words: int, length: int) -> DataFrame:
     """Spans (key, from, to) of all runs of ``words`` words under ``length`` bytes that also start elsewhere."""
 
@@ -358,29 +377,29 @@ def repeated_spans(df: DataFrame, id_col: str, text_col: str, length: int, coars
         found.groupBy(*kind).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at", "lo", "hi")).alias("m")).select(*kind, "n", "m.*"), "contexts"
     )
     whole = found.join(classes.filter("n > 1").select(*kind), kind, "left_semi").select("key", F.col("lo").alias("from"), (F.col("hi") + length).alias("to"))
-    open_ = classes.groupBy("hash").agg(F.count(F.lit(1)).alias("g"), F.min("n").alias("least")).filter("g > 1 and least = 1").select("hash")
-    asked = classes.join(open_, "hash").groupBy("key").agg(F.collect_list(F.struct("hash", "n", "at", "lo", "hi")).alias("asked"))
+    open_ = classes.groupBy("hash").agg(F.count(F.lit(1)).alias("g"), F.min("n").alias("least")).filter("g > 1 and least = 1").select("hash", (F.col("g") > HOT_GROUP).alias("hot"))
+    asked = classes.join(open_, "hash").groupBy("key").agg(F.collect_list(F.struct("hash", "n", "at", "lo", "hi", "hot")).alias("asked"))
 
     def cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["hash", "n", "key", "lo", "left", "right"]
+        names = ["hash", "n", "key", "lo", "left", "right", "hot"]
         for batch in batches:
             for key, text, want in zip(*(batch.column(k) for k in range(3)), strict=True):
                 key, text, want = key.as_py(), text.as_py(), want.as_py()
-                rows = [(w["hash"], w["n"], key, w["lo"], text[w["lo"] : w["at"]], text[w["at"] + same : w["hi"] + length]) for w in want]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                rows = [(w["hash"], w["n"], key, w["lo"], text[w["lo"] : w["at"]], text[w["at"] + same : w["hi"] + length], w["hot"]) for w in want]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    contexts = some.select("key", "text").join(asked, "key").mapInArrow(cut_contexts, "hash long, n long, key long, lo long, left binary, right binary")
-    contexts = contexts.repartition("hash").sortWithinPartitions("hash")
+    contexts = some.select("key", "text").join(asked, "key").mapInArrow(cut_contexts, "hash long, n long, key long, lo long, left binary, right binary, hot boolean")
 
     def sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
+        names = ["key", "from", "to", "n", "h1", "h2"]
 
         def flush() -> pa.RecordBatch:
             starts = repeated_starts([r[0] for r in held], [r[4] for r in held], [r[5] for r in held], fine)
             keys, begin, end = [], [], []
-            for (_, n, key, lo, _, _), hit in zip(held, starts, strict=True):
+            for (_, n, key, lo, *_), hit in zip(held, starts, strict=True):
                 if n > 1 or not hit.any():
                     continue
                 edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
@@ -388,19 +407,29 @@ def repeated_spans(df: DataFrame, id_col: str, text_col: str, length: int, coars
                     keys.append(key)
                     begin.append(lo + a)
                     end.append(lo + b - 1 + length)
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, begin, end)], names=["key", "from", "to"])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, begin, end, *[[None] * len(keys)] * 3)], names=names)
 
         for batch in batches:
-            for r in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            strings = []
+            for r in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if r[6]:
+                    strings += [(r[2], r[3] + a, r[3] + a + length, r[1], h1, h2) for a, h1, h2 in context_strings(r[0], r[4], r[5], fine)]
+                    continue
                 if size >= BATCH_SYMBOLS and r[0] != held[-1][0]:
                     yield flush()
                     held, size = [], 0
                 held.append(r)
                 size += len(r[4]) + len(r[5]) + 2
+            if strings:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*strings, strict=True)], names=names)
         if held:
             yield flush()
 
-    part = written(contexts.mapInArrow(sort_contexts, "key long, from long, to long"), "spans")
+    met = written(dealt_contexts(contexts).mapInArrow(sort_contexts, "key long, from long, to long, n long, h1 long, h2 long"), "spans")
+    strings = met.filter("h1 is not null")
+    twice = strings.groupBy("h1", "h2").agg(F.sum("n").alias("seen")).filter("seen > 1").select("h1", "h2")
+    # contexts of n > 1 repeat as a whole already
+    part = met.filter("h1 is null").union(strings.filter("n = 1").join(twice, ["h1", "h2"], "left_semi").select(*met.columns)).select("key", "from", "to")
     spans = whole.union(part)
     return seen, spans if short is None else spans.union(short)
 
@@ -420,7 +449,8 @@ def remove_repeats(
     Strings are grouped by anchors that depend on their own bytes only, coarsely over all texts and finely where
     a coarse anchor's following bytes occur twice. A fine context seen twice repeats as a whole. The others,
     about the ends of repeated passages, meet those that share their middle, and a suffix array of the contexts
-    tells which of their strings repeat. No task needs a whole document group: contexts that are equal are one.
+    tells which of their strings repeat; where over HOT_GROUP contexts share a middle, their strings are counted
+    by hash on Spark instead, so no task holds such a group. No task needs a whole document group: contexts that are equal are one.
     """
     if coarse & (coarse - 1) or fine & (fine - 1) or max(coarse, fine) + GRAM > length:
         raise ValueError("windows are powers of two, under the length by 8 at least")

@@ -162,6 +162,25 @@ def test_suffix_dedup(spark, texts, length, coarse, fine):
     assert sum(g[1] for g in got.values()) > 1000
 
 
+def test_many_contexts_of_one_middle(spark, texts, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_GROUP", 2)
+    draw = random.Random(6)
+    noise = lambda n: "".join(draw.choice("ab ") for _ in range(n))
+    passage = " ".join(f"w{k}" for k in range(60))
+    more = [*texts, *(noise(draw.randint(0, 90)) + passage[draw.randint(0, 9) :] + noise(draw.randint(0, 90)) for _ in range(60))]
+    rows = suffix_dedup.remove_repeats(docs_of(spark, more), length=120, coarse=32, fine=16).collect()
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows}
+    assert [got[k] for k in range(len(more))] == list(brute_repeats(more, 120))
+    hot = spark.range(500).selectExpr("7L as hash", "id as key", "0L as lo", "true as hot").union(spark.range(9).selectExpr("8L", "id", "0L", "false"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # or it joins small partitions
+    try:
+        spread = {r["hash"]: r["n"] for r in suffix_dedup.dealt_contexts(hot).groupBy("hash", F.spark_partition_id()).count().groupBy("hash").agg(F.count(F.lit(1)).alias("n")).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert spread[8] == 1 and spread[7] > 1
+
+
 def test_repeats_of_short_words(spark, sf_dir):
     pipeline = pytest.importorskip("corpus_pipeline")
     draw = random.Random(4)
