@@ -32,7 +32,7 @@ FROM {genes} JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL
     "groups": """
 SELECT grp_idx, proj_idx, concat('Chr', CAST(grp_idx % 10 AS STRING)) AS name, CAST(grp_idx % 10 AS INT) AS sort_order,
   CAST(max(g_end) + 1000 AS BIGINT) AS length FROM {genes} GROUP BY grp_idx, proj_idx""",
-    # one hit for each order line of small quantity, between two genes of different projects
+    # one hit for each order line, between two genes of different projects
     "hits": """
 SELECT hit_idx, CASE WHEN a.proj_idx < b.proj_idx THEN a.proj_idx ELSE b.proj_idx END AS proj1_idx,
   CASE WHEN a.proj_idx < b.proj_idx THEN b.proj_idx ELSE a.proj_idx END AS proj2_idx,
@@ -47,12 +47,12 @@ SELECT hit_idx, CASE WHEN a.proj_idx < b.proj_idx THEN a.proj_idx ELSE b.proj_id
   concat(CASE WHEN a.proj_idx < b.proj_idx THEN a.strand ELSE b.strand END, '/', CASE WHEN a.proj_idx < b.proj_idx THEN b.strand ELSE a.strand END) AS strand,
   50 + dc * 4 AS pctid, 40 + dc * 5 AS cvgpct, 1 + ln % 4 AS countpct, 100 + ln * 20 AS score,
   2 - CASE WHEN hit_idx % 7 = 0 THEN 1 ELSE 0 END - CASE WHEN hit_idx % 11 = 0 THEN 1 ELSE 0 END AS gene_overlap
-FROM (SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS hit_idx, CAST(l_linenumber AS INT) AS ln, min(l_partkey) AS pk, min(l_suppkey) AS sk,
-    CAST(min(l_quantity) AS INT) AS q, CAST(min(round(l_discount * 100)) AS INT) AS dc
-  FROM {lineitem} WHERE l_quantity <= 10 GROUP BY l_orderkey, l_linenumber) l
-CROSS JOIN (SELECT count(*) AS n FROM {part}) c
-JOIN {genes} a ON a.annot_idx = l.pk + 1
-JOIN {genes} b ON b.annot_idx = CASE WHEN sk % 5 = 0 THEN (pk * 31 + sk) % n ELSE (pk + 1) % n END + 1
+FROM (SELECT *, pk + 1 AS own, CASE WHEN sk % 5 = 0 THEN (pk * 31 + sk) % n ELSE (pk + 1) % n END + 1 AS other FROM (
+  SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS hit_idx, CAST(l_linenumber AS INT) AS ln, min(l_partkey) AS pk, min(l_suppkey) AS sk,
+    CAST(min(l_quantity) AS INT) AS q, CAST(min(round(l_discount * 100)) AS INT) AS dc, (SELECT count(*) FROM {part}) AS n
+  FROM {lineitem} GROUP BY l_orderkey, l_linenumber) lines) l
+JOIN {genes} a ON a.annot_idx = l.own
+JOIN {genes} b ON b.annot_idx = l.other
 WHERE a.proj_idx <> b.proj_idx""",
     # the lowest hit of each gene pair: closer to clustered hits
     "hits_one": """
@@ -66,11 +66,11 @@ SELECT hit_idx, annot_idx, side, CAST((100 * o) {div} (hi - lo + 1) AS INT) AS o
   UNION ALL
   SELECT h.hit_idx, g.annot_idx, 2, h.start2, h.end2, least(h.end2, g.g_end) - greatest(h.start2, g.g_start) + 1
   FROM {hits} h JOIN {genes} g ON g.grp_idx = h.grp2_idx AND g.annot_idx = h.annot2_idx) x WHERE o > 0""",
-    # stretches of 25,000 bases with 7 or more hits of one chromosome pair, every second one
+    # stretches of 25,000 bases with 7 or more hits of one chromosome pair
     "block_hits": """
 SELECT hit_idx, block_idx FROM (
   SELECT hit_idx, CAST(grp1_idx AS BIGINT) * 10000000 + grp2_idx * 100000 + start1 {div} 25000 AS block_idx,
-    count(*) OVER (PARTITION BY grp1_idx, grp2_idx, start1 {div} 25000) AS n FROM {hits} WHERE (start1 {div} 25000) % 2 = 0) x WHERE n >= 7""",
+    count(*) OVER (PARTITION BY grp1_idx, grp2_idx, start1 {div} 25000) AS n FROM {hits}) x WHERE n >= 7""",
     "blocks": """
 SELECT b.block_idx, min(proj1_idx) AS proj1_idx, min(proj2_idx) AS proj2_idx, min(grp1_idx) AS grp1_idx, min(grp2_idx) AS grp2_idx,
   min(start1) AS start1, max(end1) AS end1, min(start2) AS start2, max(end2) AS end2, count(*) AS score,
