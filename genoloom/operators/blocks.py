@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -12,15 +12,20 @@ from pyspark.sql import functions as F
 
 from genoloom.functions.intervals import bin_join, midpoint
 from genoloom.functions.scalars import pearson, reverse_complement, same_strand
-from genoloom.operators.hits import swap_sides
+from genoloom.operators.hits import number_hits, swap_sides
+from genoloom.operators.lineage import written
+from genoloom.operators.ordering import global_rank
 
-#: Smallest gap of the search, and the least hits of a chain.
-MIN_GAP, KEEP_BEST = 1000, 3
+#: Smallest gap of the search, the least hits of a chain, and the limits of the fit of small blocks.
+MIN_GAP, KEEP_BEST, FIT = 1000, 3, (300_000, 4_000_000)
+#: Least correlation of a chain (strict, else) and of all hits in its box, by case A to D.
+CHAIN_R, BOX_R = (0.9, 0.98, 0.96, 0.94), (0.7, 0.9, 0.8, 0.7)
+LOOSE_A = 0.8
 
 
 @dataclass
 class Cutoffs:
-    """Limits of the block search for one project pair."""
+    """Limits of the block search for one project pair: greatest gaps, least hits, gaps to search by."""
 
     gap1: int
     gap2: int
@@ -29,27 +34,22 @@ class Cutoffs:
     orient: bool = False
     gaps: list[tuple[int, int]] = field(default_factory=list)
 
-    @property
-    def chain_r(self) -> tuple[float, float, float, float]:
-        return (0.9 if self.strict else 0.8, 0.98, 0.96, 0.94)
-
-    @property
-    def box_r(self) -> tuple[float, float, float, float]:
-        return (0.7, 0.9, 0.8, 0.7)
-
-
-def synteny_cutoffs(length1: int, length2: int, n_hits: int, mindots: int = 7, strict: bool = True, orient: bool = False) -> Cutoffs:
-    """Greatest gap per side is genome length over the root of the hits; the search starts at half of it and
-    halves while both sides stay at 2000 or more; strict leaves the first gap out."""
-    root = math.sqrt(max(1, n_hits))
-    out = Cutoffs(int(length1 / root), int(length2 / root), mindots, strict, orient)
-    a, b = out.gap1 // 2, out.gap2 // 2
-    while a >= 2 * MIN_GAP and b >= 2 * MIN_GAP:
-        out.gaps.append((a, b))
-        a, b = a // 2, b // 2
-    if strict and len(out.gaps) > 1:
-        out.gaps = out.gaps[1:]
-    return out
+
+def synteny_cutoffs(hits: DataFrame, groups: DataFrame, strict: bool = True) -> DataFrame:
+    """Per project pair: n_hits, gap1, gap2 (genome length over the root of the hits) and ``gaps``, the pairs of gaps
+    to search by: half of the greatest, halved as long as both sides of the last are 2000 or more; strict leaves the
+    first out if there are more than two."""
+    length = lambda k: groups.groupBy(F.col("proj_idx").alias(f"proj{k}_idx")).agg(F.sum("length").cast("long").alias(f"length{k}"))
+    rows = hits.groupBy("proj1_idx", "proj2_idx").agg(F.count(F.lit(1)).alias("n_hits")).join(length(1), "proj1_idx").join(length(2), "proj2_idx")
+    for k in (1, 2):
+        rows = rows.withColumn(f"gap{k}", F.floor(F.col(f"length{k}") / F.sqrt("n_hits")).cast("long"))
+    halved = F.expr("transform(sequence(1, 40), k -> struct(shiftright(gap1, k) AS g1, shiftright(gap2, k) AS g2))")
+    rows = rows.withColumn("all_gaps", halved)
+    long_enough = F.expr(f"filter(all_gaps, x -> x.g1 >= {2 * MIN_GAP} AND x.g2 >= {2 * MIN_GAP})")
+    rows = rows.withColumn("gaps", F.slice("all_gaps", F.lit(1), F.size(long_enough) + 1))
+    if strict:
+        rows = rows.withColumn("gaps", F.when(F.size("gaps") > 2, F.slice("gaps", 2, 40)).otherwise(F.col("gaps")))
+    return rows.select("proj1_idx", "proj2_idx", "n_hits", "gap1", "gap2", "gaps")
 
 
 def correlation(x: np.ndarray, y: np.ndarray) -> float:
@@ -58,31 +58,30 @@ def correlation(x: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip(np.corrcoef(x, y)[0, 1], -1, 1))
 
 
-def best_chain(x: np.ndarray, y: np.ndarray, free: np.ndarray, gap1: int, gap2: int) -> list[int]:
-    """The chain of best score over free hits, ordered by y: score 1 + best earlier score - int(dx/gap1 + dy/gap2)
-    over hits within both gaps; ties go to the longer chain, then to the earlier end. Empty under 3 hits."""
+def best_chain(x: np.ndarray, y: np.ndarray, free: np.ndarray, far: tuple[int, int], gap: tuple[int, int]) -> list[int]:
+    """The chain of best score over free hits, ordered by y: a hit scores 1 + its predecessor's score - int(dx/gap1 +
+    dy/gap2), over hits before it within the greatest gaps ``far``; of equal predecessors the nearest, of equal ends
+    the longer chain, then the earlier end. Empty under 3 hits."""
     rows = np.flatnonzero(free)
-    if len(rows) < KEEP_BEST:
+    n = len(rows)
+    if n < KEEP_BEST:
         return []
     px, py = x[rows].astype(np.float64), y[rows].astype(np.float64)
-    n = len(rows)
+    g1, g2 = max(1, gap[0]), max(1, gap[1])
     score, count, back = np.ones(n), np.ones(n, int), np.full(n, -1)
-    first = np.searchsorted(py, py - gap2, side="left")
-    for i in range(n):
+    first = np.searchsorted(py, py - far[1], side="left")
+    for i in np.flatnonzero(first < np.arange(n)):
         lo = first[i]
-        if lo == i:
-            continue
-        dx, dy = np.abs(px[i] - px[lo:i]), py[i] - py[lo:i]
-        near = dx <= gap1
-        if not near.any():
-            continue
-        value = np.where(near, score[lo:i] - np.floor(dx / gap1 + dy / gap2), -np.inf)
-        top = value.max()
-        if top > 0:
-            ties = np.flatnonzero(value == top)
-            j = lo + ties[np.argmax(count[lo + ties])]
-            score[i], count[i], back[i] = 1 + top, count[j] + 1, j
-    end = max(range(n), key=lambda k: (score[k], count[k], -k))
+        dx = np.abs(px[i] - px[lo:i])
+        value = score[lo:i] - np.floor(dx / g1 + (py[i] - py[lo:i]) / g2)
+        value[dx > far[0]] = -np.inf
+        j = i - 1 - int(value[::-1].argmax())
+        if value[j - lo] > -1:
+            score[i], count[i], back[i] = 1 + value[j - lo], count[j] + 1, j
+    ends = np.flatnonzero(back >= 0)
+    if not len(ends):
+        return []
+    end = int(ends[np.lexsort((ends, -count[ends], -score[ends]))[0]])
     chain = []
     while end >= 0:
         chain.append(int(rows[end]))
@@ -90,62 +89,87 @@ def best_chain(x: np.ndarray, y: np.ndarray, free: np.ndarray, gap1: int, gap2:
     return chain[::-1] if len(chain) >= KEEP_BEST else []
 
 
+def accepted_case(n: int, r1: float, r2: float, space1: float, space2: float, cut: Cutoffs) -> str:
+    """Case A to D of a chain of ``n`` hits, or '': correlations ``r1`` of the chain and ``r2`` of all hits in its box
+    against limits that loosen with size; case A also limits the mean distance of its hits on each side."""
+    m, r1, r2 = cut.mindots, abs(r1), abs(r2)
+    first = CHAIN_R[0] if cut.strict else LOOSE_A
+    if n >= m and space1 <= cut.gap1 / 15 and space2 <= cut.gap2 / 15 and r1 >= first and r2 >= BOX_R[0]:
+        return "A"
+    for case, least, c1, c2 in zip("BCD", (m, 3 * m // 2, 2 * m), CHAIN_R[1:], BOX_R[1:], strict=True):
+        if n >= least and r1 >= c1 and r2 >= c2:
+            return case
+    return ""
+
+
 def acceptable(chain: list[int], x: np.ndarray, y: np.ndarray, cut: Cutoffs, same: bool | None) -> bool:
-    """Cases A to D: correlation of the chain and of all hits in its box, against limits that loosen with size."""
+    """Whether a chain passes; with orientation on, its direction must not contradict the strands."""
+    n = len(chain)
+    if n < cut.mindots:
+        return False
     cx, cy = x[chain], y[chain]
-    box = (x >= cx.min()) & (x <= cx.max()) & (y >= cy.min()) & (y <= cy.max())
-    r1, r2 = correlation(cx, cy), correlation(x[box], y[box])
-    if cut.orient and same is not None and (r1 > 0) != same:
+    r1 = correlation(cx, cy)
+    if cut.orient and same is not None and (r1 < 0 if same else r1 > 0):
         return False
-    n, m = len(chain), cut.mindots
-    space1, space2 = (cx.max() - cx.min()) / n, (cy.max() - cy.min()) / n
-    c1, c2 = cut.chain_r, cut.box_r
-    r1, r2 = abs(r1), abs(r2)
-    return bool(
-        (n >= m and r1 >= c1[0] and r2 >= c2[0] and space1 <= cut.gap1 / 15 and space2 <= cut.gap2 / 15)
-        or (n >= m and r1 >= c1[1] and r2 >= c2[1])
-        or (n >= 3 * m // 2 and r1 >= c1[2] and r2 >= c2[2])
-        or (n >= 2 * m and r1 >= c1[3] and r2 >= c2[3])
-    )
+    box = (x >= cx.min()) & (x <= cx.max()) & (y >= cy.min()) & (y <= cy.max())
+    return accepted_case(n, r1, correlation(x[box], y[box]), (cx.max() - cx.min()) // n, (cy.max() - cy.min()) // n, cut) != ""
 
 
 def search_blocks(x: np.ndarray, y: np.ndarray, cut: Cutoffs, same: bool | None) -> list[list[int]]:
-    """For each gap of the list, while a good chain exists: shrink the gap by bisection to within 1000 as long as
-    a good chain is left, then take all good chains at that gap and use their hits up."""
+    """For each gap of the list, from the greatest, while a good chain exists at it: bisection between it and the gap
+    before finds (to within 1000) the greatest that has one; all good chains at that gap are taken, one by one, and
+    their hits used up. A chain that is not good is passed over, with its hits, until the look ends."""
     free, found = np.ones(len(x), bool), []
 
-    def good(g1: int, g2: int) -> list[int]:
-        chain = best_chain(x, y, free, g1, g2)
-        return chain if len(chain) >= cut.mindots and acceptable(chain, x, y, cut, same) else []
-
-    for g1, g2 in cut.gaps:
-        while good(g1, g2):
-            low1, low2, hi1, hi2 = 0, 0, g1, g2
-            while hi1 - low1 > MIN_GAP and hi2 - low2 > MIN_GAP:
-                m1, m2 = (low1 + hi1) // 2, (low2 + hi2) // 2
-                if m1 >= MIN_GAP and m2 >= MIN_GAP and good(m1, m2):
-                    hi1, hi2 = m1, m2
+    def good_chains(gap: tuple[int, int]):  # noqa: ANN202
+        left = free.copy()
+        while chain := best_chain(x, y, left, (cut.gap1, cut.gap2), gap):
+            left[chain] = False
+            if acceptable(chain, x, y, cut, same):
+                yield chain
+
+    def has_good(gap: tuple[int, int]) -> bool:
+        return next(good_chains(gap), None) is not None
+
+    for k, gap in enumerate(cut.gaps):
+        while has_good(gap):
+            low, high = gap, cut.gaps[k - 1] if k else gap
+            while high[0] - low[0] > MIN_GAP and high[1] - low[1] > MIN_GAP:
+                mid = ((low[0] + high[0]) // 2, (low[1] + high[1]) // 2)
+                if has_good(mid):
+                    low = mid
                 else:
-                    low1, low2 = m1, m2
-            while chain := good(hi1, hi2):
+                    high = mid
+            for chain in list(good_chains(low)):
                 found.append(chain)
                 free[chain] = False
     return found
 
 
-def _boxes(rows: pd.DataFrame, blocks: list[list[int]]) -> list[tuple[int, int, int, int]]:
-    s1, e1, s2, e2 = (rows[c].to_numpy() for c in ("start1", "end1", "start2", "end2"))
-    return [(int(s1[b].min()), int(e1[b].max()), int(s2[b].min()), int(e2[b].max())) for b in blocks]
+@dataclass
+class Block:
+    """Hits of a block (row numbers), its box, and whether its hits run on the same strand (None: mixed)."""
+
+    hits: list[int]
+    box: tuple[int, int, int, int]
+    same: bool | None
+
 
+def fits(big: Block, small: Block, num: np.ndarray, y: np.ndarray, gap2: int) -> bool:
+    """Whether a small block lies near its neighbours in a big one: in side-1 order its first (last) hit and the hit of
+    ``big`` before (after) it are closer on side 2 than half the small block's hits times the gap, within FIT; one
+    end is enough, and an end without a neighbour fits."""
+    near = min(max((len(small.hits) + 1) // 2 * gap2, FIT[0]), FIT[1])
+    own, of = sorted(big.hits, key=lambda k: num[k]), sorted(small.hits, key=lambda k: num[k])
+    order = num[own]
+    after = lambda k: next((i for i in range(1, len(own)) if order[i] > num[k]), None)
+    top, bottom = after(of[0]), after(of[-1])
+    return top is None or bottom is None or abs(y[of[0]] - y[own[top - 1]]) < near or abs(y[of[-1]] - y[own[bottom]]) < near
 
-def merge_found(rows: pd.DataFrame, blocks: list[list[int]], cut: Cutoffs, mode: int) -> list[list[int]]:
-    """Blocks of one chromosome pair merged to a fixpoint: contained on both sides; mode 1 also overlapping,
-    mode 2 also within the first gap; with orientation on, only of one direction."""
-    near = cut.gaps[0] if mode == 2 and cut.gaps else (0, 0)
-    x, y = ((rows[f"start{k}"] + rows[f"end{k}"]).to_numpy() // 2 for k in (1, 2))
+
+def merge_to_fixpoint(blocks: list[Block], joins: Callable[[Block, Block], bool], orient: bool) -> list[Block]:
+    """Blocks that ``joins`` links, directly or through others, become one, again and again until none is linked."""
     while True:
-        boxes = _boxes(rows, blocks)
-        sign = [correlation(x[b], y[b]) >= 0 for b in blocks]
         parent = list(range(len(blocks)))
 
         def top(k: int, parent: list[int] = parent) -> int:
@@ -153,57 +177,187 @@ def merge_found(rows: pd.DataFrame, blocks: list[list[int]], cut: Cutoffs, mode:
                 k = parent[k]
             return k
 
-        for i in range(len(blocks)):
+        for i, a in enumerate(blocks):
             for j in range(i + 1, len(blocks)):
-                a, b = boxes[i], boxes[j]
-                if cut.orient and sign[i] != sign[j]:
-                    continue
-                inside = all(a[k] <= b[k] and b[k + 1] <= a[k + 1] for k in (0, 2)) or all(b[k] <= a[k] and a[k + 1] <= b[k + 1] for k in (0, 2))
-                close = mode > 0 and all(max(a[k], b[k]) - min(a[k + 1], b[k + 1]) <= near[k // 2] for k in (0, 2))
-                if inside or close:
-                    parent[top(j)] = top(i)
-        if all(top(k) == k for k in range(len(blocks))):
-            return blocks
-        groups: dict[int, list[int]] = {}
+                if not (orient and a.same != blocks[j].same) and joins(a, blocks[j]):
+                    x, y = sorted((top(i), top(j)))
+                    parent[y] = x
+        groups: dict[int, list[Block]] = {}
         for k, b in enumerate(blocks):
-            groups.setdefault(top(k), []).extend(b)
-        blocks = [sorted(set(b)) for b in groups.values()]
+            groups.setdefault(top(k), []).append(b)
+        if len(groups) == len(blocks):
+            return blocks
+        blocks = [
+            Block(list(dict.fromkeys(h for b in g for h in b.hits)), (min(b.box[0] for b in g), max(b.box[1] for b in g), min(b.box[2] for b in g), max(b.box[3] for b in g)), g[0].same)
+            for g in groups.values()
+        ]
+
+
+def contained(a: Block, b: Block) -> bool:
+    """On each side one box holds the other; which one may differ between the sides."""
+    return all((a.box[k] <= b.box[k] and b.box[k + 1] <= a.box[k + 1]) or (b.box[k] <= a.box[k] and a.box[k + 1] <= b.box[k + 1]) for k in (0, 2))
+
+
+def close(a: Block, b: Block, gap: tuple[int, int]) -> bool:
+    return all(max(a.box[k], b.box[k]) - min(a.box[k + 1], b.box[k + 1]) <= gap[k // 2] for k in (0, 2))
+
+
+def merge_blocks(blocks: list[Block], num: np.ndarray, y: np.ndarray, cut: Cutoffs, mode: int) -> list[Block]:
+    """Blocks of one chromosome pair: first those contained in each other are merged, where one of the two has
+    ``mindots`` hits and the other, if it has fewer, fits; then in mode 1 those of ``mindots`` hits that overlap, in
+    mode 2 those within the first gap too."""
+    m = cut.mindots
+    gap = cut.gaps[0] if cut.gaps else (0, 0)
+
+    def inside(a: Block, b: Block) -> bool:
+        small, big = (a, b) if len(a.hits) < len(b.hits) else (b, a)
+        if len(big.hits) < m or not contained(a, b):
+            return False
+        return len(small.hits) >= m or fits(big, small, num, y, gap[1])
+
+    blocks = merge_to_fixpoint(blocks, inside, cut.orient)
+    if mode:
+        reach = gap if mode == 2 else (0, 0)
+        blocks = merge_to_fixpoint(blocks, lambda a, b: min(len(a.hits), len(b.hits)) >= m and close(a, b, reach), cut.orient)
+    return blocks
 
 
-def synteny_blocks(hits: DataFrame, cut: Cutoffs, merge: int = 0, collinear: bool = False) -> DataFrame:
-    """(hit_idx, grp1_idx, grp2_idx, block): the hits of each block found on a chromosome pair.
+#: Columns of the cutoffs, as the hits carry them into the search.
+_CUT = ["gap1", "gap2", "gaps"]
 
-    Strict and oriented searches run the strands apart. ``merge``: see :func:`merge_found`. With ``collinear``,
-    hits carry ``runnum``: sets that lie partly in a block add their other hits to it, and sets without a hit in
-    any block become small blocks. A chromosome pair is one task, its hits sorted by side 2; predecessors are
-    cut by their distance and scored at once.
+
+def _cut_of(row: object, mindots: int, strict: bool, orient: bool) -> Cutoffs:
+    return Cutoffs(int(row["gap1"]), int(row["gap2"]), mindots, strict, orient, [(int(g["g1"]), int(g["g2"])) for g in row["gaps"]])
+
+
+def search_pieces(hits: DataFrame, cutoffs: DataFrame, apart: bool = True) -> DataFrame:
+    """Hits with midpoints x and y, the limits of their project pair, ``part`` (strand class, if searched ``apart``) and
+    ``piece``: along side 2 of a chromosome pair, hits further apart than the greatest gap are in different pieces.
+    No chain and no chain's box crosses pieces, so each can be searched alone."""
+    same = same_strand(F.col("strand"))
+    keys = ["grp1_idx", "grp2_idx", "part"]
+    rows = hits.join(cutoffs.select("proj1_idx", "proj2_idx", *_CUT), ["proj1_idx", "proj2_idx"]).select(
+        "hit_idx", "grp1_idx", "grp2_idx", midpoint(F.col("start1"), F.col("end1")).cast("long").alias("x"), midpoint(F.col("start2"), F.col("end2")).cast("long").alias("y"),
+        same.alias("same"), (F.when(same, 1).otherwise(2) if apart else F.lit(0)).alias("part"), *_CUT,
+    )
+    w = Window.partitionBy(*keys).orderBy("y", "x", "hit_idx")
+    new = F.when(F.col("y") - F.lag("y").over(w) <= F.col("gap2"), 0).otherwise(1)
+    return rows.withColumn("__new", new).withColumn("piece", F.sum("__new").over(w)).drop("__new")
+
+
+def _per_piece(rows: DataFrame, work: Callable, kinds: str) -> DataFrame:
+    return rows.groupBy("grp1_idx", "grp2_idx", "part", "piece").applyInPandas(work, kinds)
+
+
+def _sorted_piece(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, bool | None]:
+    rows = pdf.sort_values(["y", "x", "hit_idx"], ignore_index=True)
+    return rows, rows["x"].to_numpy(), rows["y"].to_numpy(), {0: None, 1: True, 2: False}[int(rows["part"].iloc[0])]
+
+
+def _listed(rows: pd.DataFrame, chains: list[list[int]]) -> pd.DataFrame:
+    out = [(int(rows["hit_idx"][i]), n + 1) for n, b in enumerate(chains) for i in b]
+    made = pd.DataFrame(out, columns=["hit_idx", "chain"]).astype("int64")
+    for c in ("grp1_idx", "grp2_idx", "part", "piece"):
+        made[c] = int(rows[c].iloc[0])
+    return made[["hit_idx", "grp1_idx", "grp2_idx", "part", "piece", "chain"]]
+
+
+_CHAINS = "hit_idx long, grp1_idx int, grp2_idx int, part int, piece long, chain long"
+
+
+def chain_hits(pieces: DataFrame) -> DataFrame:
+    """The best chain of each piece of :func:`search_pieces` at its first gap, whether good or not."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, x, y, _ = _sorted_piece(pdf)
+        cut = _cut_of(rows.iloc[0], 0, True, False)
+        chain = best_chain(x, y, np.ones(len(x), bool), (cut.gap1, cut.gap2), cut.gaps[0])
+        return _listed(rows, [chain] if chain else [])
+
+    return _per_piece(pieces, work, _CHAINS)
+
+
+def gap_search(pieces: DataFrame, mindots: int = 7, strict: bool = True, orient: bool = False) -> DataFrame:
+    """The hits of all good chains of each piece, numbered by ``chain`` as found; see :func:`search_blocks`. The
+    bisection for a gap sees its own piece only, so distant pieces of a chromosome pair don't share one gap."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, x, y, same = _sorted_piece(pdf)
+        return _listed(rows, search_blocks(x, y, _cut_of(rows.iloc[0], mindots, strict, orient), same))
+
+    return _per_piece(pieces, work, _CHAINS)
+
+
+def accept_blocks(hits: DataFrame, block_hits: DataFrame, cutoffs: DataFrame, mindots: int = 7, strict: bool = True, width: int = 100_000) -> DataFrame:
+    """Given blocks judged as chains: (block_idx, n, r1 of its hits, r2 of all hits of its chromosome pair in its box
+    of midpoints, mean distances space1 and space2, ``case`` A to D or '')."""
+    rows = hits.select(
+        "hit_idx", "proj1_idx", "proj2_idx", "grp1_idx", "grp2_idx", midpoint(F.col("start1"), F.col("end1")).cast("long").alias("x"), midpoint(F.col("start2"), F.col("end2")).cast("long").alias("y")
+    )
+    ends = [f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))]
+    boxes = rows.join(block_hits, "hit_idx").groupBy("block_idx", "proj1_idx", "proj2_idx", "grp1_idx", "grp2_idx").agg(F.count(F.lit(1)).alias("n"), pearson(F.col("x"), F.col("y")).alias("r1"), *ends)
+    held = bin_join(rows.select("grp1_idx", "grp2_idx", "x", F.col("x").alias("x_end"), "y"), boxes.select("block_idx", "grp1_idx", "grp2_idx", "lo_x", "hi_x", "lo_y", "hi_y"), ["grp1_idx", "grp2_idx"], "x", "x_end", "lo_x", "hi_x", width)
+    inside = held.filter(F.col("y").between(F.col("lo_y"), F.col("hi_y"))).groupBy("block_idx").agg(pearson(F.col("x"), F.col("y")).alias("r2"))
+    out = boxes.join(inside, "block_idx").join(cutoffs.select("proj1_idx", "proj2_idx", "gap1", "gap2"), ["proj1_idx", "proj2_idx"])
+    out = out.withColumns({f"space{k}": F.floor((F.col(f"hi_{c}") - F.col(f"lo_{c}")) / F.col("n")).cast("long") for k, c in ((1, "x"), (2, "y"))})
+    a, b = F.abs("r1"), F.abs("r2")
+    ok = lambda k, least, c1: (F.col("n") >= least) & (a >= c1) & (b >= BOX_R[k])
+    tight = (F.col("space1") <= F.col("gap1") / 15) & (F.col("space2") <= F.col("gap2") / 15)
+    case = F.when(tight & ok(0, mindots, CHAIN_R[0] if strict else LOOSE_A), "A")
+    for k, name, least in ((1, "B", mindots), (2, "C", 3 * mindots // 2), (3, "D", 2 * mindots)):
+        case = case.when(ok(k, least, CHAIN_R[k]), name)
+    return out.select("block_idx", "n", "r1", "r2", "space1", "space2", case.otherwise("").alias("case"))
+
+
+def synteny_blocks(hits: DataFrame, cutoffs: DataFrame, mindots: int = 7, strict: bool = True, orient: bool = False, merge: int = 0, prune: bool = True) -> DataFrame:
+    """(hit_idx, grp1_idx, grp2_idx, block): the hits of the blocks of each chromosome pair, numbered by their boxes.
+
+    Strict and oriented searches run the strands apart. If hits carry ``runnum`` (collinear set, 0 for none) and
+    the search is strict without orientation, sets that lie partly in a block add their other hits to it; sets
+    without a hit in any block become small blocks, merged among themselves where they lie within the first gap.
+    Then blocks merge by :func:`merge_blocks`, and strict drops those under ``mindots`` hits (``prune``).
+
+    The search is a task per piece (:func:`search_pieces`); the hits of blocks and of sets then meet per
+    chromosome pair. Hits are numbered by side 1 first.
     """
+    apart = strict or orient
+    sets = "runnum" in hits.columns and strict and not orient
+    found = written(gap_search(search_pieces(hits, cutoffs, apart), mindots, strict, orient), "chains")
+    keys = ["hit_idx", "grp1_idx", "grp2_idx"]
+    rows = number_hits(hits).join(found.select("hit_idx", "piece", "chain"), "hit_idx", "left").join(cutoffs.select("proj1_idx", "proj2_idx", *_CUT), ["proj1_idx", "proj2_idx"])
+    part = F.when(same_strand(F.col("strand")), 1).otherwise(2) if apart else F.lit(0)
+    run = F.col("runnum").cast("long") if sets else F.lit(0).cast("long")
+    rows = rows.filter((F.col("chain").isNotNull()) | (run > 0)).select(*keys, "hitnum", "start1", "end1", "start2", "end2", part.alias("part"), run.alias("run"), F.coalesce("piece", F.lit(0)).alias("piece"), F.coalesce("chain", F.lit(0)).alias("chain"), *_CUT)
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.assign(x=(pdf["start1"] + pdf["end1"]) // 2, y=(pdf["start2"] + pdf["end2"]) // 2).sort_values(["y", "x", "hit_idx"], ignore_index=True)
-        x, y, same = rows["x"].to_numpy(), rows["y"].to_numpy(), rows["same"].to_numpy()
-        parts = [(np.flatnonzero(same), True), (np.flatnonzero(~same), False)] if cut.strict or cut.orient else [(np.arange(len(rows)), None)]
-        blocks = [[int(p[k]) for k in b] for p, s in parts if len(p) for b in search_blocks(x[p], y[p], cut, s)]
-        if collinear and "runnum" in rows:
-            home = {k: n for n, b in enumerate(blocks) for k in b}
-            for _, own in rows[rows["runnum"] > 0].groupby("runnum"):
-                inside = sorted({home[k] for k in own.index if k in home})
-                if inside:
-                    blocks[inside[0]] = sorted({*blocks[inside[0]], *(k for k in own.index if k not in home)})
-                elif len(own) >= KEEP_BEST:
-                    blocks.append([int(k) for k in own.index])
-        blocks = merge_found(rows, blocks, cut, merge)
-        if cut.strict and not collinear:
-            blocks = [b for b in blocks if len(b) >= cut.mindots]
-        boxes = _boxes(rows, blocks)
-        order = sorted(range(len(blocks)), key=lambda k: boxes[k])
-        out = [(int(rows["hit_idx"][i]), n + 1) for n, k in enumerate(order) for i in blocks[k]]
+        rows = pdf.assign(y=(pdf["start2"] + pdf["end2"]) // 2).sort_values(["y", "hit_idx"], ignore_index=True)
+        s1, e1, s2, e2, num, y = (rows[c].to_numpy() for c in ("start1", "end1", "start2", "end2", "hitnum", "y"))
+        cut = _cut_of(rows.iloc[0], mindots, strict, orient)
+
+        def block(own: list[int]) -> Block:
+            side = {0: None, 1: True, 2: False}[int(rows["part"][own[0]])]
+            return Block(own, (int(s1[own].min()), int(e1[own].max()), int(s2[own].min()), int(e2[own].max())), side)
+
+        held = [list(g.index) for _, g in rows[rows["chain"] > 0].groupby(["part", "piece", "chain"])]
+        small = []
+        if sets:
+            home = {k: n for n, b in enumerate(held) for k in b}
+            for _, own in rows[rows["run"] > 0].groupby(["part", "run"]):
+                into = next((home[k] for k in own.index if k in home), None)
+                if into is None:
+                    small.append(block(list(own.index)))
+                else:
+                    held[into] += [k for k in own.index if k not in home]
+            gap = cut.gaps[0] if cut.gaps else (0, 0)
+            small = [b for s in (True, False) for b in merge_to_fixpoint([x for x in small if x.same == s], lambda a, b: close(a, b, gap), False)]
+        blocks = merge_blocks(sorted([*map(block, held), *small], key=lambda b: b.box), num, y, cut, merge)
+        if strict and prune:
+            blocks = [b for b in blocks if len(b.hits) >= mindots]
+        out = [(int(rows["hit_idx"][i]), n + 1) for n, b in enumerate(sorted(blocks, key=lambda b: b.box)) for i in b.hits]
         made = pd.DataFrame(out, columns=["hit_idx", "block"]).astype("int64")
-        return made.assign(grp1_idx=int(rows["grp1_idx"].iloc[0]), grp2_idx=int(rows["grp2_idx"].iloc[0]))[["hit_idx", "grp1_idx", "grp2_idx", "block"]]
+        return made.assign(grp1_idx=int(rows["grp1_idx"].iloc[0]), grp2_idx=int(rows["grp2_idx"].iloc[0]))[[*keys, "block"]]
 
-    cols = ["hit_idx", "grp1_idx", "grp2_idx", "start1", "end1", "start2", "end2"] + (["runnum"] if collinear else [])
-    narrow = hits.select(*cols, same_strand(F.col("strand")).alias("same"))
-    return narrow.groupBy("grp1_idx", "grp2_idx").applyInPandas(work, "hit_idx long, grp1_idx int, grp2_idx int, block long")
+    return rows.groupBy("grp1_idx", "grp2_idx").applyInPandas(work, "hit_idx long, grp1_idx int, grp2_idx int, block long")
 
 
 def finish_blocks(hits: DataFrame, block_hits: DataFrame) -> DataFrame:
@@ -260,8 +414,7 @@ def order_contigs(blocks: DataFrame, contigs: DataFrame) -> DataFrame:
     best = Window.partitionBy("grp1_idx").orderBy(F.desc("score"), F.desc("block_idx"))
     top = blocks.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select(F.col("grp1_idx").alias("grp_idx"), F.col("grp2_idx").alias("chr"), F.col("start2").alias("at"), "score", (F.col("corr") < 0).alias("flip"))
     rows = contigs.select("grp_idx").join(top, "grp_idx", "left").fillna({"flip": False})
-    order = Window.orderBy(F.asc_nulls_last("chr"), "at", F.desc("score"), "grp_idx")
-    return rows.withColumn("place", F.row_number().over(order))
+    return global_rank(rows, [F.asc_nulls_last("chr"), F.asc("at"), F.desc("score"), F.asc("grp_idx")], "place")
 
 
 def build_ordered_sequence(order: DataFrame, seqs: DataFrame, spacer: int = 100) -> DataFrame:

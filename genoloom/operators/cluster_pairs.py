@@ -390,13 +390,13 @@ def find_piles(clusters: DataFrame, side: int, frac: float = 0.4) -> DataFrame:
 
 
 def filter_piles(clusters: DataFrame, n: int = 2, keep: float = 0.8, kept_types: tuple[str, ...] = ("EE", "EI", "En")) -> DataFrame:
-    """Clusters (with pile, type, length) that stay: kept types always; of the rest those of ``keep`` x the pile's
-    best length or more, while at most ``n`` are longer."""
-    w = Window.partitionBy("pile")
-    rank = F.row_number().over(w.orderBy(F.desc("length"), "hit_idx"))
-    rows = clusters.withColumn("__top", F.max("length").over(w)).withColumn("__rank", rank)
-    ok = F.col("type").isin(*kept_types) | ((F.col("length") >= keep * F.col("__top")) & (F.col("__rank") <= n))
-    return rows.filter(ok).drop("__top", "__rank")
+    """Clusters (with pile, type, length) that stay: kept types always; of the others the ``n`` longest, as far as they
+    have ``keep`` x (whole bases) the length of the pile's longest, of any type."""
+    kept = F.col("type").isin(*kept_types)
+    top = F.floor(keep * F.max("length").over(Window.partitionBy("pile")))
+    rank = F.row_number().over(Window.partitionBy("pile", "__kept").orderBy(F.desc("length"), "hit_idx"))
+    rows = clusters.withColumn("__kept", kept).withColumn("__ok", kept | ((F.col("length") >= top) & (rank <= n)))
+    return rows.filter("__ok").drop("__kept", "__ok")
 
 
 def hit_annot_algo2(scores: DataFrame) -> DataFrame:

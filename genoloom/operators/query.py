@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from genoloom.functions.intervals import bin_join, merge_intervals
 from genoloom.operators.annotation import parse_attributes
 from genoloom.operators.graph import connected_components
+from genoloom.operators.ordering import global_rank
 
 
 def hit_gene_block_view(hits: DataFrame, hit_annot: DataFrame, genes: DataFrame, block_hits: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -181,7 +182,7 @@ def filter_clusters(clusters: DataFrame, genes: DataFrame, hits: DataFrame, n: i
     kept = per.filter(ok).join(owned, "cluster").select("cluster", "n_genes", "n_hits")
     if most is not None:
         kept = kept.filter(F.col("n_hits") <= most)
-    return kept.withColumn("number", F.row_number().over(Window.orderBy(F.desc("n_hits"), "cluster")))
+    return global_rank(kept, [F.desc("n_hits"), F.asc("cluster")], "number")
 
 
 def region_families(hits: DataFrame, width: int = 100_000, n: int = 1) -> DataFrame:

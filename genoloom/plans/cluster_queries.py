@@ -292,7 +292,8 @@ def _(v: Views) -> DataFrame:
 @query(
     "x13_filter_piles",
     """, p AS (SELECT hit_idx, grp1_idx * 1000 + start1 // 1000 AS pile, CASE hit_idx % 3 WHEN 0 THEN 'EE' WHEN 1 THEN 'II' ELSE 'In' END AS type, score AS length FROM hits_one)
-SELECT hit_idx FROM (SELECT *, max(length) OVER (PARTITION BY pile) AS top, row_number() OVER (PARTITION BY pile ORDER BY length DESC, hit_idx) AS r FROM p) WHERE type = 'EE' OR (length >= 0.8 * top AND r <= 2)""",
+SELECT hit_idx FROM p x WHERE type = 'EE' OR (length >= (SELECT floor(0.8 * max(length)) FROM p t WHERE t.pile = x.pile)
+  AND (SELECT count(*) FROM p t WHERE t.pile = x.pile AND t.type <> 'EE' AND (t.length > x.length OR (t.length = x.length AND t.hit_idx < x.hit_idx))) < 2)""",
 )
 def _(v: Views) -> DataFrame:
     kind = F.element_at(F.array(F.lit("EE"), F.lit("II"), F.lit("In")), (F.col("hit_idx") % 3 + 1).cast("int"))

@@ -10,6 +10,7 @@ from genoloom.operators import collinear as co
 from genoloom.operators import hits as hi
 from genoloom.operators import query as qu
 from genoloom.operators.graph import connected_components
+from genoloom.operators.ordering import global_rank
 from genoloom.plans.annotation_queries import _NUMBERED, _RANKED, _TAGS, _ranked
 from genoloom.plans.fixtures import Views
 from genoloom.plans.registry import query
@@ -244,10 +245,8 @@ def _(v: Views) -> DataFrame:
     " SELECT block_idx, CAST(row_number() OVER (ORDER BY grp1_idx, grp2_idx, blocknum, block_idx) AS INT) AS place FROM blocks",
 )
 def _(v: Views) -> DataFrame:
-    from pyspark.sql import Window
-
     label = F.concat_ws(".", F.col("grp1_idx").cast("string"), F.col("grp2_idx").cast("string"), F.col("blocknum").cast("string"))
-    return v.blocks.select("block_idx", F.row_number().over(Window.orderBy(*qu.natural_key(label), "block_idx")).alias("place"))
+    return global_rank(v.blocks, [*qu.natural_key(label), F.col("block_idx")], "place").select("block_idx", "place")
 
 
 @query(

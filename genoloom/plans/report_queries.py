@@ -11,6 +11,7 @@ from genoloom.operators import collinear as co
 from genoloom.operators import query as qu
 from genoloom.operators import reports as rp
 from genoloom.operators import summary as su
+from genoloom.operators.lineage import written
 from genoloom.plans.annotation_queries import _KEYS, _RANKED, _ranked, _subhits
 from genoloom.plans.fixtures import Views
 from genoloom.plans.question_queries import _CLUSTER, _LINKS, _sized, _SIZED, _thin
@@ -148,36 +149,69 @@ def _(v: Views) -> DataFrame:
 # --- block search ---
 
 
-def _found(v: Views, collinear: bool = False, merge: int = 0) -> DataFrame:
-    hits = v.hits_one
-    if collinear:
-        keys = ["grp1_idx", "grp2_idx", "same", "rank1", "rank2"]
-        ranked = _ranked(v)
-        numbered = co.renumber_sets(co.diagonal_sets(ranked), _KEYS).select(*keys, "runnum")
-        hits = hits.join(ranked.join(numbered, keys).select("hit_idx", "runnum"), "hit_idx", "left").fillna(0, ["runnum"])
-    length = 2_000_000
-    cut = bl.synteny_cutoffs(length, length, 5000)
-    return bl.synteny_blocks(hits, cut, merge=merge, collinear=collinear)
+def _cutoffs(v: Views) -> DataFrame:
+    """A row per project pair; read several times."""
+    return written(bl.synteny_cutoffs(v.hits_one, v.groups), "cutoffs")
 
 
-@query("b1_synteny_cutoffs", " SELECT count(*) AS n_hits, CAST(floor(2000000 / sqrt(count(*))) AS BIGINT) AS gap FROM hits_one")
+def _with_sets(v: Views) -> DataFrame:
+    keys = ["grp1_idx", "grp2_idx", "same", "rank1", "rank2"]
+    ranked = _ranked(v)
+    numbered = co.renumber_sets(co.diagonal_sets(ranked), _KEYS).select(*keys, "runnum")
+    return v.hits_one.join(ranked.join(numbered, keys).select("hit_idx", "runnum"), "hit_idx", "left").fillna(0, ["runnum"])
+
+
+_CUTS = """, gl AS (SELECT proj_idx, sum(length) AS length FROM groups GROUP BY 1), pn AS (SELECT proj1_idx, proj2_idx, count(*) AS n_hits FROM hits_one GROUP BY 1, 2),
+cuts AS (SELECT p.*, CAST(floor(a.length / sqrt(n_hits)) AS BIGINT) AS gap1, CAST(floor(b.length / sqrt(n_hits)) AS BIGINT) AS gap2 FROM pn p JOIN gl a ON a.proj_idx = proj1_idx JOIN gl b ON b.proj_idx = proj2_idx)"""
+
+
+@query(
+    "b1_synteny_cutoffs",
+    _CUTS + """, k AS (SELECT unnest(range(1, 41)) AS k), st AS (SELECT c.*, k, gap1 >> k AS g1, gap2 >> k AS g2 FROM cuts c, k),
+kept AS (SELECT *, count(*) OVER (PARTITION BY proj1_idx, proj2_idx) AS n FROM (SELECT * FROM st s WHERE k = 1 OR EXISTS (SELECT 1 FROM st t WHERE t.proj1_idx = s.proj1_idx AND t.proj2_idx = s.proj2_idx AND t.k = s.k - 1 AND t.g1 >= 2000 AND t.g2 >= 2000)))
+SELECT proj1_idx, proj2_idx, n_hits, gap1, gap2, string_agg(g1 || ':' || g2, ' ' ORDER BY k) AS gaps FROM kept WHERE k > 1 OR n <= 2 GROUP BY 1, 2, 3, 4, 5""",
+)
+def _(v: Views) -> DataFrame:
+    return bl.synteny_cutoffs(v.hits_one, v.groups).withColumn("gaps", F.array_join(F.transform("gaps", lambda g: F.concat_ws(":", g["g1"].cast("string"), g["g2"].cast("string"))), " "))
+
+
+@query("b2_chain_hits")
+def _(v: Views) -> DataFrame:
+    return bl.chain_hits(bl.search_pieces(v.hits_one, _cutoffs(v)))
+
+
+@query(
+    "b3_accept_blocks",
+    _CUTS + """, bx AS (SELECT block_idx, min(proj1_idx) AS proj1_idx, min(proj2_idx) AS proj2_idx, min(grp1_idx) AS g1, min(grp2_idx) AS g2, count(*) AS n, min((start1 + end1) // 2) AS lx, max((start1 + end1) // 2) AS hx, min((start2 + end2) // 2) AS ly, max((start2 + end2) // 2) AS hy,
+  CASE WHEN count(*) <= 2 OR lx = hx OR ly = hy THEN 0 ELSE corr((start1 + end1) // 2, (start2 + end2) // 2) END AS r1 FROM block_hits JOIN hits USING (hit_idx) GROUP BY 1),
+ib AS (SELECT block_idx, CASE WHEN count(*) <= 2 OR min((start1 + end1) // 2) = max((start1 + end1) // 2) OR min((start2 + end2) // 2) = max((start2 + end2) // 2) THEN 0 ELSE corr((start1 + end1) // 2, (start2 + end2) // 2) END AS r2
+  FROM bx JOIN hits ON grp1_idx = g1 AND grp2_idx = g2 AND (start1 + end1) // 2 BETWEEN lx AND hx AND (start2 + end2) // 2 BETWEEN ly AND hy GROUP BY 1),
+j AS (SELECT block_idx, n, r1, r2, abs(r1) AS a, abs(r2) AS b, (hx - lx) // n AS space1, (hy - ly) // n AS space2, gap1, gap2 FROM bx JOIN ib USING (block_idx) JOIN cuts USING (proj1_idx, proj2_idx))
+SELECT block_idx, n, round(r1, 6) AS r1, round(r2, 6) AS r2, space1, space2, CASE WHEN n >= 7 AND a >= 0.8 AND b >= 0.7 AND space1 <= gap1 / 15 AND space2 <= gap2 / 15 THEN 'A' WHEN n >= 7 AND a >= 0.98 AND b >= 0.9 THEN 'B' WHEN n >= 10 AND a >= 0.96 AND b >= 0.8 THEN 'C' WHEN n >= 14 AND a >= 0.94 AND b >= 0.7 THEN 'D' ELSE '' END AS "case" FROM j""",
+)
+def _(v: Views) -> DataFrame:
+    rows = bl.accept_blocks(v.hits, v.block_hits, _cutoffs(v), strict=False)
+    return rows.withColumns({c: F.round(c, 6) for c in ("r1", "r2")})
+
+
+@query("b4_gap_search")
 def _(v: Views) -> DataFrame:
-    return v.hits_one.agg(F.count(F.lit(1)).alias("n_hits")).withColumn("gap", F.floor(2_000_000 / F.sqrt("n_hits")))
+    return bl.gap_search(bl.search_pieces(v.hits_one, _cutoffs(v)))
 
 
 @query("b5_synteny_blocks")
 def _(v: Views) -> DataFrame:
-    return _found(v)
+    return bl.synteny_blocks(v.hits_one, _cutoffs(v))
 
 
 @query("b6_collinear_blocks")
 def _(v: Views) -> DataFrame:
-    return _found(v, collinear=True)
+    return bl.synteny_blocks(_with_sets(v), _cutoffs(v), prune=False)
 
 
 @query("b8_merge_blocks")
 def _(v: Views) -> DataFrame:
-    return _found(v, merge=2)
+    return bl.synteny_blocks(_with_sets(v), _cutoffs(v), merge=2)
 
 
 @query(
@@ -216,12 +250,14 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "b14_ordered_sequence",
-    _ORDER.replace(" AS at", " AS pos").replace(", at NULLS", ", pos NULLS") + """, sq AS (SELECT CAST(10 * (seq_idx % 3 + 1) + (seq_idx // 3) % 4 + 1 AS INT) AS grp_idx, seq FROM seqs WHERE seq_idx < 12)
+    _ORDER.replace(" AS at", " AS pos").replace(", at NULLS", ", pos NULLS") + """, sq AS (SELECT grp_idx, arg_max(seq, (length(seq), -seq_idx)) AS seq FROM (SELECT CAST(10 * (seq_idx % 3 + 1) + (seq_idx // 3) % 4 + 1 AS INT) AS grp_idx, seq_idx, seq FROM seqs) GROUP BY 1)
 SELECT chr, grp_idx, place, CAST(coalesce(sum(length(seq) + 100) OVER (PARTITION BY chr ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS BIGINT) AS offset_,
   CASE WHEN flip THEN reverse(translate(seq, 'acgtACGTn', 'tgcaTGCAN')) ELSE seq END AS piece FROM placed JOIN sq USING (grp_idx) WHERE chr IS NOT NULL""",
 )
 def _(v: Views) -> DataFrame:
-    seqs = v.seqs.filter("seq_idx < 12").select(F.expr("int(10 * (seq_idx % 3 + 1) + (seq_idx div 3) % 4 + 1)").alias("grp_idx"), "seq")
+    # the longest document of each contig
+    rows = v.seqs.select(F.expr("int(10 * (seq_idx % 3 + 1) + (seq_idx div 3) % 4 + 1)").alias("grp_idx"), "seq_idx", "seq")
+    seqs = rows.groupBy("grp_idx").agg(F.max_by("seq", F.struct(F.length("seq"), -F.col("seq_idx"))).alias("seq"))
     return bl.build_ordered_sequence(bl.order_contigs(_finished(v), v.groups), seqs).withColumnRenamed("offset", "offset_")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from genoloom.operators import annotation as an
 from genoloom.operators import conversion as cv
+from genoloom.operators.lineage import new_folder
 from genoloom.plans.fixtures import Views
 from genoloom.plans.registry import query
 from genoloom.sources import text as tx
@@ -60,6 +61,25 @@ def _(v: Views) -> DataFrame:
     return rows.select("line", "query", "target", "start1", "end1", "start2", "end2", "match", "pctid", "pctsim", "strand")
 
 
+@query("s5_write_read_tables", " SELECT 'genes' AS name, proj_idx, count(*) AS n, CAST(sum(g_start) AS BIGINT) AS starts FROM genes GROUP BY 2 UNION ALL SELECT 'hits', proj1_idx, count(*), CAST(sum(start1) AS BIGINT) FROM hits GROUP BY 2")
+def _(v: Views) -> DataFrame:
+    tables = {"genes": v.genes, "hits": v.hits.withColumn("proj_idx", F.col("proj1_idx"))}
+    path = new_folder(v.spark, "tables")
+    tx.write_tables(tables, path, "proj_idx")
+    back = tx.read_tables(v.spark, path, list(tables))
+    sums = [back[n].groupBy("proj_idx").agg(F.count(F.lit(1)).alias("n"), F.sum(c).alias("starts")).select(F.lit(n).alias("name"), "proj_idx", "n", "starts") for n, c in (("genes", "g_start"), ("hits", "start1"))]
+    return sums[0].union(sums[1])
+
+
+@query("s9_split_by_sequence", " SELECT CASE WHEN seq_idx % 4 = 0 THEN 'Chr' || seq_idx % 12 ELSE 'scaffolds' END AS chr_or_scaf, count(*) AS n, CAST(sum(length(seq)) AS BIGINT) AS bases FROM seqs GROUP BY 1")
+def _(v: Views) -> DataFrame:
+    # a quarter of the sequences are chromosomes, the others scaffolds
+    name = F.when(F.col("seq_idx") % 4 == 0, F.concat(F.lit("Chr"), (F.col("seq_idx") % 12).cast("string"))).otherwise(F.concat(F.lit("Scaf"), F.col("seq_idx").cast("string")))
+    path = new_folder(v.spark, "split")
+    tx.split_by_sequence(v.seqs.select(name.alias("seqid"), "seq"), path)
+    return v.spark.read.parquet(path).groupBy("chr_or_scaf").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("seq")).alias("bases"))
+
+
 @query("s6_delimited", " SELECT concat_ws(',', CAST(block_idx AS VARCHAR), CAST(grp1_idx AS VARCHAR), CASE WHEN blocknum % 2 = 0 THEN '\"a,\"\"b\"' ELSE '' END) AS value FROM blocks")
 def _(v: Views) -> DataFrame:
     return tx.delimited(v.blocks.select("block_idx", "grp1_idx", F.when(F.col("blocknum") % 2 == 0, 'a,"b').alias("note")), ",")
@@ -136,12 +156,11 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "c4_find_gaps",
-    """, ch AS (SELECT name, unnest(range(1, length(seq) + 1)) AS p, seq FROM seqs WHERE seq_idx % 5 = 0), n AS (SELECT name, p, p - row_number() OVER (PARTITION BY name ORDER BY p) AS run FROM ch WHERE substr(seq, p, 1) IN ('N', 'n'))
+    """, ch AS (SELECT name, unnest(range(1, length(seq) + 1)) AS p, seq FROM seqs), n AS (SELECT name, p, p - row_number() OVER (PARTITION BY name ORDER BY p) AS run FROM ch WHERE substr(seq, p, 1) IN ('N', 'n'))
 SELECT name, min(p) AS start, max(p) AS stop, count(*) AS length FROM n GROUP BY name, run HAVING count(*) > 12""",
 )
 def _(v: Views) -> DataFrame:
-    some = tx.chunk_sequence(v.seqs.filter("seq_idx % 5 = 0"), "name", 1000)
-    return tx.find_gaps(some, "name", 1000, 12).withColumnRenamed("end", "stop")
+    return tx.find_gaps(_chunks(v), "name", 1000, 12).withColumnRenamed("end", "stop")
 
 
 @query("c5_hard_mask", " SELECT seq_idx, CAST(length(seq) - length(regexp_replace(seq, '[acgtn]', '', 'g')) AS BIGINT) AS masked, regexp_replace(seq, '[acgtn]', 'N', 'g') AS seq FROM seqs")

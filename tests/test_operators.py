@@ -15,6 +15,7 @@ from genoloom.operators import cluster_pairs as cp
 from genoloom.operators import collinear as co
 from genoloom.operators import conversion as cv
 from genoloom.operators.graph import connected_components
+from genoloom.operators.ordering import global_rank
 from genoloom.sources import text as tx
 
 
@@ -46,6 +47,92 @@ def test_chain_needs_seven_hits():
     assert bl.search_blocks(np.array([]), np.array([]), cut, True) == []
 
 
+def _slow_chain(pts, far, gap):
+    """The chain rule point by point."""
+    best = []
+    for i, (x, y) in enumerate(pts):
+        top, prev = 0, None
+        for j in range(i - 1, -1, -1):
+            u, v = pts[j]
+            if y - v > far[1]:
+                break
+            if abs(x - u) <= far[0]:
+                value = 1 + best[j][0] - int(abs(x - u) / gap[0] + abs(y - v) / gap[1])
+                if value > top:
+                    top, prev = value, j
+        best.append((top, best[prev][1] + 1, prev) if prev is not None else (1, 1, None))
+    ends = [i for i, b in enumerate(best) if b[2] is not None]
+    if not ends:
+        return []
+    at, out = max(ends, key=lambda i: (best[i][0], best[i][1], -i)), []
+    while at is not None:
+        out.append(at)
+        at = best[at][2]
+    return out[::-1] if len(out) >= 3 else []
+
+
+def test_best_chain_against_brute_force():
+    rng = np.random.default_rng(5)
+    for k in range(60):
+        pts = sorted({(int(a), int(b)) for a, b in rng.integers(0, 60 + 10 * k, (40, 2))}, key=lambda p: (p[1], p[0]))
+        x, y = (np.array([p[i] for p in pts]) for i in (0, 1))
+        far, gap = (40 + k, 30 + k), (10 + k // 2, 8 + k)
+        assert bl.best_chain(x, y, np.ones(len(x), bool), far, gap) == _slow_chain(pts, far, gap)
+
+
+def _block(hits, *box, same=True):
+    return bl.Block(list(hits), box, same)
+
+
+def test_blocks_merge_when_each_side_holds_or_is_held():
+    cut = bl.Cutoffs(10_000, 10_000, 7, True, False, [(100, 100)])
+    num = y = np.arange(40) * 10
+    merged = lambda *b, mode=0: [len(x.hits) for x in bl.merge_blocks(list(b), num, y, cut, mode)]
+    wide, tall = _block(range(8), 0, 1000, 400, 500), _block(range(8, 16), 100, 200, 0, 1000)
+    assert merged(wide, tall) == [16]
+    # two blocks under the least size don't merge; one of them merges with a large one that it fits
+    few, fewer = _block([20, 21], 150, 180, 10, 20), _block([22], 160, 170, 12, 14)
+    assert merged(few, fewer) == [2, 1] and merged(tall, few) == [10]
+    far = np.where(np.arange(40) >= 20, 9_000_000, y)
+    assert [len(x.hits) for x in bl.merge_blocks([_block([*range(8, 16), 30], 100, 200, 0, 1000), few], num, far - (np.arange(40) == 30) * 9_000_000, cut, 0)] == [9, 2]
+    near = _block(range(30, 38), 1050, 2000, 560, 900)
+    assert merged(wide, near) == [8, 8] and merged(wide, near, mode=1) == [8, 8] and merged(wide, near, mode=2) == [16]
+
+
+def _synteny_hits(spark, rows):
+    kinds = "hit_idx long, proj1_idx int, proj2_idx int, grp1_idx int, grp2_idx int, start1 int, end1 int, start2 int, end2 int, strand string, runnum int"
+    return spark.createDataFrame([(h, 1, 2, 11, 21, a, a + 9, b, b + 9, "+/+", r) for h, a, b, r in rows], kinds)
+
+
+def test_collinear_sets_make_and_extend_blocks(spark):
+    line = [(k, 100 + k * 600, 100 + k * 600, 1 if k == 7 else 0) for k in range(8)]
+    # set 1 has one hit in the block and one outside; set 2 lies far off
+    hits = _synteny_hits(spark, [*line, (20, 90_000, 300_000, 1), (30, 900_000, 700_000, 2), (31, 901_000, 701_000, 2)])
+    cut = spark.createDataFrame([(1, 2, 10_000, 10_000, [(5000, 5000)])], "proj1_idx int, proj2_idx int, gap1 long, gap2 long, gaps array<struct<g1: long, g2: long>>")
+    blocks = lambda **k: sorted(tuple(sorted(r["h"])) for r in bl.synteny_blocks(hits, cut, **k).groupBy("block").agg(F.collect_list("hit_idx").alias("h")).collect())
+    assert blocks(prune=False) == [(*range(8), 20), (30, 31)] and blocks() == [(*range(8), 20)]
+
+
+def test_cutoffs_halve_until_both_sides_are_short(spark):
+    hits = _synteny_hits(spark, [(k, 1, 1, 0) for k in range(4)])
+    groups = spark.createDataFrame([(1, 30_000), (2, 50_000)], "proj_idx int, length long")
+    (r,) = bl.synteny_cutoffs(hits, groups, strict=False).collect()
+    assert (r["gap1"], r["gap2"], [tuple(g) for g in r["gaps"]]) == (15_000, 25_000, [(7500, 12_500), (3750, 6250), (1875, 3125)])
+    assert len(bl.synteny_cutoffs(hits, groups).first()["gaps"]) == 2
+
+
+def test_kept_types_take_no_place_in_a_pile(spark):
+    rows = [(1, 1, "EE", 100), (2, 1, "EE", 99), (3, 1, "II", 90), (4, 1, "In", 85), (5, 1, "II", 84), (6, 1, "EE", 5), (7, 1, "II", 79)]
+    df = spark.createDataFrame(rows, "hit_idx long, pile int, type string, length int")
+    assert {r["hit_idx"] for r in cp.filter_piles(df).collect()} == {1, 2, 3, 4, 6}
+
+
+def test_global_rank_over_ranges(spark):
+    df = spark.createDataFrame([((k * 37) % 101, k % 3) for k in range(101)], "a int, b int")
+    got = sorted((r["a"], r["place"]) for r in global_rank(df.repartition(5), [F.desc("a")], "place").collect())
+    assert got == [(a, 101 - a) for a in range(101)] and global_rank(df.limit(0), [F.asc("a")], "place").count() == 0
+
+
 def test_piles_are_greedy():
     rows = pd.DataFrame({"hit_idx": [1, 2, 3], "grp1_idx": 1, "grp2_idx": 2, "start": [1, 40, 90], "end": [100, 140, 200]})
     assert cp._pile(0.4)(rows)["pile"].tolist() == [1, 1, 3]
@@ -72,10 +159,10 @@ def test_fasta_files(spark, tmp_path):
 
 
 def test_hits_line_of_fifteen_and_thirteen_fields(spark, tmp_path):
-    wide = "15491 15814 20452060 20451737 324 324 61.11 78.70 1.39 73840631 37257345 2 -3 chr1 chr3"
+    wide = "1200 1499 900450 900151 300 300 61.11 78.70 2.00 5000000 7000000 1 -1 chr1 chr3"
     (tmp_path / "a.mum").write_text(wide + "\n1 100 5 104 100 100 88.5 1 1 1 1 chrT chrQ\nbad line\n")
     rows = sorted(tx.read_hits(spark, str(tmp_path / "a.mum")).collect(), key=lambda r: r["start1"])
-    assert (rows[1]["query"], rows[1]["target"], rows[1]["start1"], rows[1]["end1"], rows[1]["pctid"], rows[1]["pctsim"], rows[1]["strand"]) == ("chr3", "chr1", 20451737, 20452060, 61, 79, "-/+")
+    assert (rows[1]["query"], rows[1]["target"], rows[1]["start1"], rows[1]["end1"], rows[1]["pctid"], rows[1]["pctsim"], rows[1]["strand"]) == ("chr3", "chr1", 900151, 900450, 61, 79, "-/+")
     assert (rows[0]["query"], rows[0]["target"], rows[0]["pctsim"], rows[0]["pctid"]) == ("chrQ", "chrT", 0, 89)
 
 
