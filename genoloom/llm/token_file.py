@@ -27,6 +27,8 @@ from genoloom.operators.lineage import written
 MAGIC = 0x31534449  # "IDS1"
 #: Ids after which a segment is closed (a longer document has a segment of its own).
 SEGMENT_IDS = 2_000_000
+#: Bytes of input to a part, and parts at most (an estimate may be far too high).
+PART_BYTES, MOST_PARTS = 64_000_000, 100_000
 CACHE_WORDS, CACHE_CHARS = 700_000, 48
 
 #: For each control byte: the byte counts of its four ids and their sum.
@@ -74,12 +76,18 @@ def unpack_segment(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return by_rank[ranks], sizes
 
 
+#: The normalizer, and the step after the cut into words, by which a file's words can be encoded one by one.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
 class WordTokenizer:
     """Ids of whole texts by the ``tokenizers`` library, which sees each distinct word once.
 
     The library's own normalizer and pre-tokenizer cut a text into words that its model then encodes one by
     one; so the words are cut here by the same pattern and the library encodes those not met before.
-    ``exact`` tells whether the file has the shape that allows this; other files go through the library whole.
+    ``exact`` tells whether the file has the shape that allows this; other files, and texts that hold one of the
+    file's added tokens, go through the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -89,12 +97,15 @@ class WordTokenizer:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
-        norm = [x["type"] for x in (made.get("normalizer") or {}).get("normalizers", [])]
-        cut = (made.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
-        self.exact = norm == ["NFC", "Replace", "Lowercase"] and cut.get("type") == "Split" and bool(cut.get("invert")) and cut.get("behavior") == "Removed"
+        norm = (made.get("normalizer") or {}).get("normalizers", [])
+        cutters = (made.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        cut = cutters[0]
+        self.exact = norm == NORMALIZER and cut.get("type") == "Split" and bool(cut.get("invert")) and cut.get("behavior") == "Removed" and "Regex" in cut.get("pattern", {}) and cutters[1:] == [BYTE_LEVEL]
+        # the library takes these out of a text before it cuts words: texts that hold one go through it whole
+        self.added = [x["content"] for x in made.get("added_tokens") or []]
+        self.exact = self.exact and not any(x["normalized"] for x in made.get("added_tokens") or [])
         if self.exact:
             pattern = cut["pattern"]["Regex"]
             self.cut = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")).findall
@@ -117,7 +128,7 @@ class WordTokenizer:
             self.words[word] = raw[4 * cuts[k] : 4 * cuts[k + 1]]
 
     def encode(self, text: str) -> bytes:
-        if not self.exact:
+        if not self.exact or any(x in text for x in self.added):
             return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if text.isascii():
             text, cut = text.lower(), self.cut_ascii
@@ -159,18 +170,21 @@ def tokenizer_of(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def write_tokens(df: DataFrame, tokenizer_file: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
+def write_tokens(df: DataFrame, tokenizer_file: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """Writes every text's ids, each followed by ``end_id``, as segments in ascending ``id_col`` order and
     returns the written table: part, segment, doc_ids (array), n_ids, blob.
 
-    Null ids come first; a null or empty text has only its end id; rows of one id follow each other by text.
-    Rows are range-partitioned by id once; tasks close a segment after ``SEGMENT_IDS`` ids, so memory is
-    bounded whatever a partition holds. The files go through Spark's own committer into the shared folder, so
+    Null ids come first; a null or empty text has only its end id; rows of one id follow each other by the hash of
+    their text. Rows are range-partitioned once, by id and that hash, so that rows of one id may lie in several
+    parts; there are as many parts as the input's estimated bytes ask for (``PART_BYTES`` each), or as the session
+    has shuffle partitions if those are more. Tasks close a segment after ``segment_ids`` ids, so memory is bounded
+    whatever a partition holds. The files go through Spark's own committer into the shared folder, so
     a task that runs again replaces its file.
     """
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange(n, "id").sortWithinPartitions("id", "text")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() // PART_BYTES))
+    ordered = rows.repartitionByRange(min(n, MOST_PARTS), "id", "h").sortWithinPartitions("id", "h").drop("h")
     names = ["part", "segment", "doc_ids", "n_ids", "blob"]
     end = np.array([end_id], "<u4").tobytes()
 
@@ -189,7 +203,7 @@ def write_tokens(df: DataFrame, tokenizer_file: str, end_id: int = 1, id_col: st
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 one = tokenizer.encode(text.as_py() or "") + end
-                if packed and size + len(one) // 4 > SEGMENT_IDS:
+                if packed and size + len(one) // 4 > segment_ids:
                     yield close()
                     ids, packed, size, segment = [], [], 0, segment + 1
                 ids.append(doc)

@@ -291,13 +291,26 @@ def test_token_files_round_trip(spark, texts):
 
     path = P.path("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
-    rows = sorted(token_file.read_tokens(token_file.write_tokens(docs_of(spark, texts), path, 1)).collect(), key=lambda r: r["id"])
-    start = 0
-    for r, t in zip(rows, texts, strict=True):
-        want = [*lib.encode(t or "", add_special_tokens=False).ids, 1]
-        assert (r["start"], r["n_tokens"], r["ids"]) == (start, len(want), want)
-        start += len(want)
+    special = ["hello <|endoftext|> world", "<|startoftext|>", "x<|startoftext|><|ENDOFTEXT|> É <|endoftext|", "long " * 60_000]
+    more = [*texts, *special]
+    for most in (2_000_000, 700):  # the second: many segments in a part, and documents longer than a segment
+        files = token_file.write_tokens(docs_of(spark, more).repartition(3), path, 1, partitions=2, segment_ids=most)
+        rows = sorted(token_file.read_tokens(files).collect(), key=lambda r: r["id"])
+        start = 0
+        for r, t in zip(rows, more, strict=True):
+            want = [*lib.encode(t or "", add_special_tokens=False).ids, 1]
+            assert (r["start"], r["n_tokens"], r["ids"]) == (start, len(want), want)
+            start += len(want)
+        assert files.count() == 2 if most > 700 else files.count() > 10
+    assert 49407 in rows[len(texts)]["ids"]
+
+
+def test_token_files_of_repeated_and_null_ids(spark):
+    path = P.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(None, "no id"), (3, "b"), (3, "a"), (3, "a"), (None, None), (1, "")], "doc_id long, text string")
+    rows = sorted(token_file.read_tokens(token_file.write_tokens(docs, path, 1, partitions=3)).collect(), key=lambda r: r["start"])
+    assert [r["id"] for r in rows] == [None, None, 1, 3, 3, 3]
+    assert [r["start"] for r in rows] == list(itertools.accumulate([0, *(r["n_tokens"] for r in rows[:-1])]))
 
 
 def test_segments_of_any_width():
