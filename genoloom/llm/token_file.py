@@ -183,7 +183,7 @@ def write_tokens(df: DataFrame, tokenizer_file: str, end_id: int = 1, id_col: st
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() // PART_BYTES))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // PART_BYTES)
     ordered = rows.repartitionByRange(min(n, MOST_PARTS), "id", "h").sortWithinPartitions("id", "h").drop("h")
     names = ["part", "segment", "doc_ids", "n_ids", "blob"]
     end = np.array([end_id], "<u4").tobytes()

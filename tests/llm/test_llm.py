@@ -308,7 +308,7 @@ def test_token_files_round_trip(spark, texts):
 def test_token_files_of_repeated_and_null_ids(spark):
     path = P.path("word_bpe_49k.json")
     docs = spark.createDataFrame([(None, "no id"), (3, "b"), (3, "a"), (3, "a"), (None, None), (1, "")], "doc_id long, text string")
-    rows = sorted(token_file.read_tokens(token_file.write_tokens(docs, path, 1, partitions=3)).collect(), key=lambda r: r["start"])
+    rows = sorted(token_file.read_tokens(token_file.write_tokens(docs, path, 1)).collect(), key=lambda r: r["start"])
     assert [r["id"] for r in rows] == [None, None, 1, 3, 3, 3]
     assert [r["start"] for r in rows] == list(itertools.accumulate([0, *(r["n_tokens"] for r in rows[:-1])]))
 
@@ -324,12 +324,122 @@ def test_segments_of_any_width():
 # --- scans ---
 
 
+#: Licence texts as they are commonly laid out, and the names to be found.
+NOTICES = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY.
+""",
+    "BSD-3-Clause,all-rights-reserved": """ * Copyright (c) 2020, Jane Doe
+ * All rights reserved.
+ *
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *
+ * 1. Redistributions of source code must retain the above copyright notice, this
+ *    list of conditions and the following disclaimer.
+ *
+ * 2. Redistributions in binary form must reproduce the above copyright notice,
+ *    this list of conditions and the following disclaimer in the documentation
+ *    and/or other materials provided with the distribution.
+ *
+ * 3. Neither the name of the copyright holder nor the names of its
+ *    contributors may be used to endorse or promote products derived from
+ *    this software without specific prior written permission.
+ */""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification,
+are permitted provided that the following conditions are met:
+  * Redistributions of source code must retain the above copyright notice, this list of conditions
+    and the following disclaimer.
+  * Redistributions in binary form must reproduce the above copyright notice, this list of
+    conditions and the following disclaimer in the documentation and/or other materials provided
+    with the distribution.""",
+    "Apache-2.0": """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+""",
+    "GPL-3.0-or-later": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+""",
+    "GPL-2.0-or-later": """// This program is free software; you can redistribute it and/or
+// modify it under the terms of the GNU General Public License
+// as published by the Free Software Foundation; either version 2
+// of the License, or (at your option) any later version.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "AGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+Affero General Public License as published by the Free Software Foundation, either version 3 of the
+License, or (at your option) any later version.""",
+    "MPL-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:""",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "GPL-2.0-or-later ": "// SPDX-License-Identifier: GPL-2.0-or-later\n#include <x.h>",
+}
+
+
+def test_license_texts_in_their_usual_form(spark):
+    every = list(NOTICES.values())
+    more = [t.replace("\n", "\r\n") for t in every] + [f"Some words.\n\n{t}\n\nmore words " * 3 for t in every]
+    rows = {r["doc_id"]: r["licenses"] for r in license_scan.scan_licenses(docs_of(spark, every + more)).collect()}
+    assert [rows[k] for k in range(3 * len(every))] == [n.strip() for n in NOTICES] * 3
+    assert all(any(w in s for w in license_scan.ANCHORS) for s in license_scan.SENTENCES)
+    assert {x for _, q in license_scan.RULES for x in q} == set(license_scan.SENTENCES.values())
+
+
+def test_license_sql_gives_the_same(spark):
+    import duckdb
+
+    texts = [*NOTICES.values(), None, "", "a. b\fc", "MIT License. mit license\nMIT License", "x" * 70_000 + "\n\nMIT License\n" + "- " * 20_000 + " software\n", *NOTICES.values()]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [[k % 12 or None, t] for k, t in enumerate(texts)])
+    docs = spark.createDataFrame([(k % 12 or None, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = Counter(tuple(r) for r in license_scan.scan_licenses(docs).collect())
+    assert got == Counter(con.sql(license_scan.scan_sql()).fetchall())
+
+
 def test_licenses(spark):
     text = "Intro. Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License.\nLicensed under CC BY-NC 4.0.\nReleased under the MIT License. All rights reserved."
     full = "Licensed under the Apache License, Version 2.0 (the License);\nYou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at"
-    rows = {r["doc_id"]: r for r in license_scan.scan_licenses(docs_of(spark, [text, None, "", "no licence here", full])).collect()}
+    rows = {r["doc_id"]: r for r in license_scan.scan_licenses(docs_of(spark, [text, None, "", "no licence here", full, "a title\nMIT License\nwith more of it, wrapped\nonce. And so on."])).collect()}
     assert rows[0]["licenses"] == "Apache-2.0,MIT,CC-BY-NC-4.0,all-rights-reserved" and rows[0]["n_sentences"] == 5
-    assert [rows[k]["licenses"] for k in (1, 2, 3)] == ["", "", ""] and rows[4]["licenses"] == "Apache-2.0"
+    assert [rows[k]["licenses"] for k in (1, 2, 3)] == ["", "", ""] and rows[4]["licenses"] == "Apache-2.0" and rows[5]["licenses"] == "MIT"
 
 
 def test_secrets(spark):
