@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -81,11 +82,20 @@ NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"},
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
 
+#: The character by which the byte-level step writes each byte: itself where it can be seen, else one from 256 on.
+_SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SEEN)}
+
+CHAR_BYTES = {ord(c): b for b, c in BYTE_CHARS.items()}
+#: Other characters than Latin letters and common signs, of which two libraries' tables may differ.
+OTHER_SCRIPTS = re.compile("[^\0-\u024f\u2010-\u2027\u2030-\u205e]").search
+
+
 class WordTokenizer:
-    """Ids of whole texts by the ``tokenizers`` library, which sees each distinct word once.
+    """Ids of whole texts by the ``tokenizers`` library, whose model sees each distinct word once.
 
     The library's own normalizer and pre-tokenizer cut a text into words that its model then encodes one by
-    one; so the words are cut here by the same pattern and the library encodes those not met before.
+    one; so the words are cut here by the same pattern and the library's model encodes those not met before.
     ``exact`` tells whether the file has the shape that allows this; other files, and texts that hold one of the
     file's added tokens, go through the library whole.
     """
@@ -108,24 +118,25 @@ class WordTokenizer:
         self.exact = self.exact and not any(x["normalized"] for x in made.get("added_tokens") or [])
         if self.exact:
             pattern = cut["pattern"]["Regex"]
-            self.cut = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")).findall
+            quick = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")).findall
+            self.cut = lambda text: quick(text) if not OTHER_SCRIPTS(text) else self._cut_by_library(text)
             plain = pattern.replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]").replace(r"[^\s\p{L}\p{N}]", r"[^\t-\r a-z0-9]")
             self.cut_ascii = re.compile(plain).findall if "\\p" not in plain else self.cut
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
+    def _cut_by_library(self, text: str) -> list[str]:
+        """Words as the library's own pre-tokenizer cuts them: its tables say what a letter or number is."""
+        return [w.translate(CHAR_BYTES).encode("latin-1").decode() for w, _ in self.lib.pre_tokenizer.pre_tokenize_str(text)]
+
     def _learn(self, words: set[str]) -> None:
-        """Lets the library encode words not met before, all in one call."""
+        """Lets the library's model encode words not met before, as its byte-level step hands them over."""
         if len(self.words) + len(words) > CACHE_WORDS:
             self.words.clear()
-        new = list(words)
-        made = self.lib.encode(new, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(made.ids, "<u4")
-        owner = np.array(made.word_ids, np.int64)
-        cuts = np.searchsorted(owner, np.arange(len(new) + 1))
-        raw = ids.tobytes()
-        for k, word in enumerate(new):
-            self.words[word] = raw[4 * cuts[k] : 4 * cuts[k + 1]]
+        of, known = self.lib.model.tokenize, self.words
+        for word in words:
+            ids = [t.id for t in of(word.encode().decode("latin-1").translate(BYTE_CHARS))]
+            known[word] = struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         if not self.exact or any(x in text for x in self.added):
