@@ -593,6 +593,41 @@ def test_factor_machine_learns_an_interaction():
     assert [machine.score(t) >= 0.5 for t in ([], [0], [1], [0, 1])] == [False, False, False, True]
 
 
+def test_words_that_are_toxic_only_in_company(spark):
+    """Two words stand alone in clean documents as often as together in toxic ones."""
+    draw = random.Random(21)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(150)]
+    texts, labels = [], []
+    for k in range(1600):
+        w = [draw.choice(words) for _ in range(draw.randint(5, 30))] + [["qqone"], ["qqtwo"], [], ["qqone", "qqtwo"]][k % 4]
+        draw.shuffle(w)
+        texts.append(" ".join(w))
+        labels.append((k, int(k % 4 == 3)))
+    rows = toxicity.learn_and_score(docs_of(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int")).filter("held_out").collect()
+    right = [r["predicted"] == (r["doc_id"] % 4 == 3) for r in rows]
+    assert len(right) > 200 and sum(right) >= 0.95 * len(right)
+
+
+def test_sampling_one_class_does_not_move_the_scores(spark):
+    draw = random.Random(22)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(100)]
+    texts = [" ".join([*(draw.choice(words) for _ in range(20)), *(["vile"] if k % 8 == 0 and k % 3 else [])]) for k in range(900)]
+    docs, labels = docs_of(spark, texts), spark.createDataFrame([(k, int(k % 8 == 0)) for k in range(900)], "doc_id long, toxic int")
+    whole, part = (toxicity.fit(docs, labels, per_class=n) for n in (4000, 110))
+    mean = lambda m: toxicity.score(docs, m).agg(F.avg("score")).first()[0]
+    assert abs(mean(whole) - 1 / 8) < 0.03 and abs(mean(part) - 1 / 8) < 0.06
+
+
+def test_toxicity_of_long_texts_repeats_and_clashing_columns(spark):
+    texts = ["calm words here", "calm words here", None, "", "x " * 200_000 + "vile", "vile"]
+    labels = spark.createDataFrame([(k, int(k % 2)) for k in range(100, 200)], "doc_id long, toxic int")
+    learn = docs_of(spark, ["vile" if k % 2 else "calm" for k in range(100)], 100)
+    df = learn.union(docs_of(spark, texts)).withColumn("predicted", F.lit("old")).withColumn("held_out", F.lit(9))
+    rows = {r["doc_id"]: r for r in toxicity.learn_and_score(df, labels).filter("doc_id < 100").collect()}
+    assert [rows[k]["predicted"] for k in range(6)] == [0, 0, rows[2]["predicted"], rows[2]["predicted"], 1, 1]
+    assert rows[0]["score"] == rows[1]["score"] and rows[2]["score"] == rows[3]["score"] and rows[0]["held_out"] == (zlib.crc32(b"0") % 5 == 0)
+
+
 # --- empty tables, the pipeline ---
 
 
