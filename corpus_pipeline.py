@@ -53,7 +53,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that also stand elsewhere."""
     ship_package(spark)
-    key = F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit("")))
+    key = suffix_dedup.doc_key("doc_id", "text")
     cut = suffix_dedup.remove_repeats(docs, length=PASSAGE_BYTES, coarse=128, fine=64, keep_text=True, words=PASSAGE_WORDS)
     cut = cut.filter("n_removed > 0").select(F.col("key").alias("__key"), F.col("kept").alias("__kept")).dropDuplicates(["__key"])
     joined = docs.withColumn("__key", key).join(cut, "__key", "left")

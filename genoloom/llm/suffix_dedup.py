@@ -5,19 +5,22 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genoloom.operators.lineage import written
 
 #: Bits for a place inside one slab of text, and bytes of text that a task holds in one slab.
 PLACE_BITS, SLAB = 26, 4_000_000
+#: Bits for the number of further starts of one anchor.
+START_BITS = 12
+START_MASK = (1 << START_BITS) - 1
 #: Symbols of one suffix array.
 BATCH_SYMBOLS = 150_000
 #: Contexts of one middle that a suffix array takes at most; the strings of larger groups are dealt out by hash.
@@ -209,10 +212,27 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def doc_key(id_col: str, text_col: str) -> Column:
+    """128 bits that name a document: of its id (or its lack of one) and its text, so only equal rows share a key."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit("\0"), F.coalesce(text_col, F.lit("")))))
+
+
+def _twice(rows: DataFrame) -> DataFrame:
+    """The hashes that stand in more than one row. They are counted by hash and half, so that a join by hash deals
+    them out anew and adaptive execution may split a frequent hash there."""
+    half = F.pmod("hash", F.lit(2)).alias("half")
+    return rows.groupBy("hash", half).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
+
+
 def _signed(x: int) -> int:
     return x - (1 << 63)
 
 
+def _spans(keys: Sequence[bytes], *longs: Sequence[int | None]) -> pa.RecordBatch:
+    """Spans (from, to) with what a hot middle's strings are counted by (n, h1, h2), else null."""
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array(x, pa.int64()) for x in longs)], names=["key", "from", "to", "n", "h1", "h2"])
+
+
 def _near(groups: np.ndarray, lines: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """For each row, the longest beginning that its line shares with another line of the same group."""
     keys = np.concatenate([groups.astype(">u8").view(np.uint8).reshape(-1, 8), lines], axis=1)
@@ -299,17 +319,18 @@ def repeated_words(docs: DataFrame, words: int, length: int) -> DataFrame:
 
     def short_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h1", "h2", "key", "from", "to"]
+        longs = lambda x: pa.array(x, pa.int64())
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 begin, end = word_windows(text, words, length)
                 if len(begin):
                     raw = text.encode()
                     h = [xxhash.xxh3_128_intdigest(raw[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-                    cols = ([_signed(x >> 64) for x in h], [_signed(x & (2**64 - 1)) for x in h], [key] * len(h), begin, end)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+                    cols = (longs([_signed(x >> 64) for x in h]), longs([_signed(x & (2**64 - 1)) for x in h]), pa.array([key] * len(h), pa.binary()), longs(begin), longs(end))
+                    yield pa.RecordBatch.from_arrays(list(cols), names=names)
 
     rows = docs.filter(F.octet_length("text") >= 2 * words - 1).select("key", "text")
-    found = written(rows.mapInArrow(short_windows, "h1 long, h2 long, key long, from long, to long"), "words")
+    found = written(rows.mapInArrow(short_windows, "h1 long, h2 long, key binary, from long, to long"), "words")
     twice = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
     return written(found.join(twice, ["h1", "h2"], "left_semi").select("key", "from", "to"), "short")
 
@@ -317,26 +338,25 @@ def repeated_words(docs: DataFrame, words: int, length: int) -> DataFrame:
 def repeated_spans(df: DataFrame, id_col: str, text_col: str, length: int, coarse: int, fine: int, words: int = 0) -> tuple[DataFrame, DataFrame]:
     """(documents, spans): documents with key, n_bytes and whole_sha256, and with the bytes of those that may
     hold a repeated string; spans (key, from, to) that are to be removed, overlapping."""
-    docs = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64(id_col, "text"))
+    docs = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", doc_key(id_col, "text"))
 
     def coarse_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["hash", "key", "lo", "hi"]
+        names = ["hash", "key", "starts"]
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keys, texts = batch.column(0), batch.column(1).to_pylist()
             for buf, bounds, origin in slabs(texts, length):
                 own, at, lo, hi = units(buf, bounds, length, coarse)
                 same = length - coarse + 1
                 hashes = [_signed(xxhash.xxh3_64_intdigest(buf[p : p + same])) for p in at.tolist()]
                 base = np.array([o - b[0] for (_k, o), b in zip(origin, bounds, strict=True)], np.int64)
                 text_no = np.array([k for k, _o in origin], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes, pa.int64()), pa.array(np.array(keys, np.int64)[text_no[own]]), pa.array(lo + base[own]), pa.array(hi + base[own])], names=names
-                )
+                # first start and how many more share the anchor: fewer than the window has places
+                starts = (lo + base[own] << START_BITS) | (hi - lo)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), keys.take(pa.array(text_no[own])), pa.array(starts)], names=names)
 
     long_enough = docs.filter(F.octet_length("text") >= length).select("key", F.col("text").cast("binary").alias("text"))
-    marks = written(long_enough.mapInArrow(coarse_units, "hash long, key long, lo long, hi long"), "coarse")
-    twice = marks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
-    ranges = marks.join(twice, "hash").groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    marks = written(long_enough.mapInArrow(coarse_units, "hash long, key binary, starts long"), "coarse")
+    ranges = marks.join(_twice(marks), "hash").groupBy("key").agg(F.collect_list("starts").alias("ranges"))
     short = repeated_words(docs, words, length) if words else None
     marked = F.col("ranges").isNotNull()
     if short is not None:
@@ -353,12 +373,12 @@ def repeated_spans(df: DataFrame, id_col: str, text_col: str, length: int, coars
     def fine_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["hash", "c1", "c2", "key", "at", "lo", "hi"]
         for batch in batches:
+            keys = batch.column(0)
             texts, slices, home = batch.column(1).to_pylist(), [], []
             for k, found in enumerate(batch.column(2).to_pylist()):
-                for a, b in merged([(r["lo"], r["hi"] + 1) for r in found]):
+                for a, b in merged([(r >> START_BITS, (r >> START_BITS) + (r & START_MASK) + 1) for r in found]):
                     slices.append(texts[k][a : b - 1 + length])
                     home.append((k, a))
-            keys = np.array(batch.column(0).to_pylist(), np.int64)
             for buf, bounds, origin in slabs(slices, length):
                 own, at, lo, hi = units(buf, bounds, length, fine)
                 cols: list[list[int]] = [[], [], []]
@@ -368,16 +388,17 @@ def repeated_spans(df: DataFrame, id_col: str, text_col: str, length: int, coars
                     cols[1].append(_signed(whole >> 64))
                     cols[2].append(_signed(whole & (2**64 - 1)))
                 base = np.array([o + home[s][1] - b[0] for (s, o), b in zip(origin, bounds, strict=True)], np.int64)[own]
-                doc = keys[np.array([home[s][0] for s, _ in origin], np.int64)[own]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), *map(pa.array, (doc, at + base, lo + base, hi + base))], names=names)
+                doc = keys.take(pa.array(np.array([home[s][0] for s, _ in origin], np.int64)[own]))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), doc, *map(pa.array, (at + base, lo + base, hi + base))], names=names)
 
     kind = ["hash", "c1", "c2"]
-    found = written(some.mapInArrow(fine_units, "hash long, c1 long, c2 long, key long, at long, lo long, hi long"), "fine")
+    found = written(some.mapInArrow(fine_units, "hash long, c1 long, c2 long, key binary, at long, lo long, hi long"), "fine")
     classes = written(
         found.groupBy(*kind).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at", "lo", "hi")).alias("m")).select(*kind, "n", "m.*"), "contexts"
     )
     whole = found.join(classes.filter("n > 1").select(*kind), kind, "left_semi").select("key", F.col("lo").alias("from"), (F.col("hi") + length).alias("to"))
-    open_ = classes.groupBy("hash").agg(F.count(F.lit(1)).alias("g"), F.min("n").alias("least")).filter("g > 1 and least = 1").select("hash", (F.col("g") > HOT_GROUP).alias("hot"))
+    # by hash and half, as in _twice
+    open_ = classes.groupBy("hash", F.pmod("hash", F.lit(2)).alias("half")).agg(F.count(F.lit(1)).alias("g"), F.min("n").alias("least")).filter("g > 1 and least = 1").select("hash", (F.col("g") > HOT_GROUP).alias("hot"))
     asked = classes.join(open_, "hash").groupBy("key").agg(F.collect_list(F.struct("hash", "n", "at", "lo", "hi", "hot")).alias("asked"))
 
     def cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,15 +407,14 @@ def repeated_spans(df: DataFrame, id_col: str, text_col: str, length: int, coars
             for key, text, want in zip(*(batch.column(k) for k in range(3)), strict=True):
                 key, text, want = key.as_py(), text.as_py(), want.as_py()
                 rows = [(w["hash"], w["n"], key, w["lo"], text[w["lo"] : w["at"]], text[w["at"] + same : w["hi"] + length], w["hot"]) for w in want]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_())
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    contexts = some.select("key", "text").join(asked, "key").mapInArrow(cut_contexts, "hash long, n long, key long, lo long, left binary, right binary, hot boolean")
+    contexts = some.select("key", "text").join(asked, "key").mapInArrow(cut_contexts, "hash long, n long, key binary, lo long, left binary, right binary, hot boolean")
 
     def sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
-        names = ["key", "from", "to", "n", "h1", "h2"]
 
         def flush() -> pa.RecordBatch:
             starts = repeated_starts([r[0] for r in held], [r[4] for r in held], [r[5] for r in held], fine)
@@ -407,7 +427,7 @@ def repeated_spans(df: DataFrame, id_col: str, text_col: str, length: int, coars
                     keys.append(key)
                     begin.append(lo + a)
                     end.append(lo + b - 1 + length)
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, begin, end, *[[None] * len(keys)] * 3)], names=names)
+            return _spans(keys, begin, end, *[[None] * len(keys)] * 3)
 
         for batch in batches:
             strings = []
@@ -421,11 +441,11 @@ def repeated_spans(df: DataFrame, id_col: str, text_col: str, length: int, coars
                 held.append(r)
                 size += len(r[4]) + len(r[5]) + 2
             if strings:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*strings, strict=True)], names=names)
+                yield _spans(*zip(*strings, strict=True))
         if held:
             yield flush()
 
-    met = written(dealt_contexts(contexts).mapInArrow(sort_contexts, "key long, from long, to long, n long, h1 long, h2 long"), "spans")
+    met = written(dealt_contexts(contexts).mapInArrow(sort_contexts, "key binary, from long, to long, n long, h1 long, h2 long"), "spans")
     strings = met.filter("h1 is not null")
     twice = strings.groupBy("h1", "h2").agg(F.sum("n").alias("seen")).filter("seen > 1").select("h1", "h2")
     # contexts of n > 1 repeat as a whole already
@@ -442,7 +462,7 @@ def remove_repeats(
     With ``words``, so does a run of that many blank-separated words, however few bytes it has.
 
     One row per row of ``df``: ``id_col``, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256
-    (lower-case hex, of the remaining bytes) and, with ``keep_text``, ``key`` (hash of id and text) and ``kept``
+    (lower-case hex, of the remaining bytes) and, with ``keep_text``, ``key`` (:func:`doc_key`) and ``kept``
     (the remaining text, without characters that a cut has split; null where nothing was removed). Null texts are empty; repeated rows count as copies of each other, also with a null id; extra
     columns are ignored; an empty table gives an empty result.
 
@@ -452,8 +472,8 @@ def remove_repeats(
     tells which of their strings repeat; where over HOT_GROUP contexts share a middle, their strings are counted
     by hash on Spark instead, so no task holds such a group. No task needs a whole document group: contexts that are equal are one.
     """
-    if coarse & (coarse - 1) or fine & (fine - 1) or max(coarse, fine) + GRAM > length:
-        raise ValueError("windows are powers of two, under the length by 8 at least")
+    if coarse & (coarse - 1) or fine & (fine - 1) or max(coarse, fine) + GRAM > length or max(coarse, fine) > START_MASK:
+        raise ValueError(f"windows are powers of two, under the length by {GRAM} at least and under {START_MASK}")
     seen, spans = repeated_spans(df, id_col, text_col, length, coarse, fine, words)
     listed = spans.groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
 
@@ -470,10 +490,10 @@ def remove_repeats(
                 left = b"".join(kept)
                 rows.append((len(text) - len(left), len(gone), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if keep_text else None))
             out = pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept_sha256", "kept"])
-            out["key"] = pdf["key"].to_numpy()
+            out["key"] = pdf["key"].to_list()
             yield out[["key", "n_removed", "n_spans", "kept_sha256", "kept"] if keep_text else ["key", "n_removed", "n_spans", "kept_sha256"]]
 
-    kinds = "key long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else "")
+    kinds = "key binary, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else "")
     texts = seen.filter("text is not null").select("key", "text").dropDuplicates(["key"])
     done = texts.join(listed, "key").mapInPandas(cut, kinds).withColumnRenamed("kept_sha256", "sha")
     return seen.select(id_col, "key", "n_bytes", "whole_sha256").join(done, "key", "left").select(
