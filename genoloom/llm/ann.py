@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,6 +166,10 @@ class SmallWorld:
         return np.where(found >= 0, self.order[np.maximum(found, 0)], -1)
 
 
+#: Bytes of one shard's vectors, as its graph holds them, and of one block of queries.
+SHARD_BYTES, BLOCK_BYTES = 48_000_000, 16_000_000
+
+
 def nearest(
     queries: DataFrame,
     rows: DataFrame,
@@ -172,9 +177,8 @@ def nearest(
     vec_col: str = "embedding",
     k: int = 20,
     shards: int = 8,
-    shard_rows: int = 50_000,
-    beam: int = 160,
-    query_block: int = 1024,
+    shard_rows: int = 25_000,
+    beam: int = 240,
 ) -> DataFrame:
     """The ``k`` rows of ``rows`` of largest inner product found for each row of ``queries``, never itself:
     query_id, rank (from 1), vec_id, score (inner product of the vectors as given, in double precision), ties
@@ -185,9 +189,10 @@ def nearest(
     length. An empty table gives an empty result; extra columns are ignored.
 
     Equal vectors are one node of the graph that carries its k + 1 smallest ids (no other copy can be among a
-    query's k nearest). Distinct vectors are dealt to shards by hash, at least ``shards`` and about
-    ``shard_rows`` rows each at most; inner products become distances of vectors lengthened by one
-    component to one common norm. Blocks of queries meet each shard's graph; the shards' best are merged.
+    query's k nearest). Distinct vectors are dealt to shards by hash, at least ``shards``, of at most about
+    ``shard_rows`` rows and SHARD_BYTES each; inner products become distances of vectors lengthened by one
+    component to one common norm. All queries visit all shards, in blocks of BLOCK_BYTES: a task holds one shard's
+    graph, once for all blocks of queries that it gets, and one block at a time. The shards' best are merged.
     """
     spark = rows.sparkSession
     own = F.struct("vec")
@@ -203,9 +208,8 @@ def nearest(
     nodes = written(nodes.withColumn("dim", F.size("vec")), "nodes")
     norm2 = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
     facts = nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max(norm2).alias("top"))
-    placed = nodes.join(facts, "dim").withColumn(
-        "shard", F.expr(f"pmod(h, greatest({shards}, ceil(n / {shard_rows})))")
-    )
+    many = f"greatest({shards}, ceil(n / {shard_rows}), ceil(n * dim * 12 / {SHARD_BYTES}))"
+    placed = nodes.join(facts, "dim").withColumn("shard", F.expr(f"pmod(h, {many})"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         vectors = np.array(pdf["vec"].tolist(), np.float64)
@@ -219,39 +223,50 @@ def nearest(
     placed = placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "dim", "shard")
     index = written(placed.groupBy("dim", "shard").applyInPandas(build, "dim int, shard long, index binary"), "graphs")
     asked = distinct_ids(queries).withColumn("dim", F.size("vec"))
-    dealt = asked.join(
-        asked.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / query_block).alias("parts")), "dim"
-    ).withColumn("part", F.expr("pmod(xxhash64(id), parts)"))
+    blocks_of = asked.groupBy("dim").agg(F.count(F.lit(1)).alias("q")).select("dim", F.expr(f"ceil(q * dim * 8 / {BLOCK_BYTES})").alias("parts"))
+    dealt = asked.join(blocks_of, "dim").withColumn("part", F.expr("pmod(xxhash64(id), parts)"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(
             {"dim": pdf["dim"].iloc[:1], "part": pdf["part"].iloc[:1], "block": [pickle.dumps((pdf["id"].to_numpy(), np.array(pdf["vec"].tolist(), np.float64)), 5)]}
         )
 
-    blocks = dealt.groupBy("dim", "part").applyInPandas(pack, "dim int, part long, block binary")
-    met = index.join(blocks, "dim").repartition("dim", "shard", "part")
+    blocks = written(dealt.groupBy("dim", "part").applyInPandas(pack, "dim int, part long, block binary"), "query-blocks")
+    # a shard meets its blocks in runs of four: its graph comes first in each run, then the blocks one by one
+    runs = blocks.groupBy("dim").agg(F.max("part").alias("last")).withColumn("run", F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / 4))))
+    graphs = index.join(runs, "dim").select("dim", "shard", "run", F.lit(-1).cast("long").alias("part"), F.col("index").alias("data"))
+    visits = index.select("dim", "shard").join(blocks, "dim").select("dim", "shard", F.floor(F.col("part") / 4).alias("run"), "part", F.col("block").alias("data"))
+    met = graphs.union(visits).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "dim", "shard", "run").sortWithinPartitions("dim", "shard", "run", "part")
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                made, (ids, vectors) = pickle.loads(row.index), pickle.loads(row.block)
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict = {}
+        for batch in batches:
+            for part, data in zip(batch.column(3), batch.column(4), strict=True):
+                if part.as_py() < 0:
+                    made = pickle.loads(data.as_py())
+                    continue
+                ids, vectors = pickle.loads(data.as_py())
                 for lo in range(0, len(ids), 256):
-                    part = vectors[lo : lo + 256]
-                    found = made["graph"].search(np.concatenate([part, np.zeros((len(part), 1))], axis=1), beam)
-                    out = []
-                    for qid, q, near in zip(ids[lo : lo + 256], part, found, strict=True):
-                        near = near[near >= 0]
-                        scores = made["vectors"][near] @ q
-                        cut = np.argsort(-scores, kind="stable")[: k + 1]
-                        sizes = [len(made["ids"][i]) for i in near[cut]]
-                        c = np.concatenate([made["ids"][i] for i in near[cut]])
-                        s = np.repeat(scores[cut], sizes)
-                        s, c = s[c != qid], c[c != qid]
-                        best = np.lexsort((c, -s))[:k]
-                        out.append(pd.DataFrame({"query_id": qid, "vec_id": c[best], "score": s[best]}))
-                    if out:
-                        yield pd.concat(out)
+                    yield from answers(made, ids[lo : lo + 256], vectors[lo : lo + 256])
+
+    def answers(made: dict, ids: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = made["graph"].search(np.concatenate([vectors, np.zeros((len(vectors), 1))], axis=1), beam)
+        who, near_ids, near_scores = [], [], []
+        for qid, q, near in zip(ids, vectors, found, strict=True):
+            near = near[near >= 0]
+            scores = made["vectors"][near] @ q
+            # the k + 1 best and all that equal the last of them: its ties are settled by id
+            cut = np.flatnonzero(scores >= np.partition(scores, -min(k + 1, len(scores)))[-min(k + 1, len(scores))]) if len(scores) else []
+            c = np.concatenate([np.zeros(0, np.int64), *(made["ids"][i] for i in near[cut])])
+            s = np.repeat(scores[cut], [len(made["ids"][i]) for i in near[cut]])
+            s, c = s[c != qid], c[c != qid]
+            best = np.lexsort((c, -s))[:k]
+            who.append(np.full(len(best), qid, np.int64))
+            near_ids.append(c[best])
+            near_scores.append(s[best])
+        if who:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (who, near_ids, near_scores)], names=["query_id", "vec_id", "score"])
 
-    near = met.mapInPandas(search, "query_id long, vec_id long, score double")
+    near = met.mapInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -119,6 +119,26 @@ def test_nearest_recall(spark, vectors):
         assert [(-r["score"], r["vec_id"]) for r in part] == sorted((-r["score"], r["vec_id"]) for r in part)
 
 
+def test_ties_of_distinct_vectors_go_to_the_smaller_id(spark):
+    # 60 vectors of one score for the query, none equal to another
+    rows = [(0, [1.0, 0.0, 0.0, 0.0], 0, 1)] + [(k, [0.5, float(np.cos(k)), float(np.sin(k)), 0.0], 0, 1) for k in range(1, 61)]
+    df = spark.createDataFrame(rows, VEC)
+    got = ann.nearest(df.filter("vec_id = 0"), df, shards=1).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == list(range(1, 21)) and {r["score"] for r in got} == {0.5}
+
+
+def test_recall_of_a_shard_of_full_size():
+    draw = np.random.default_rng(0)
+    v = draw.standard_normal((400, 48))[draw.integers(0, 400, 25_000)] + 0.8 * draw.standard_normal((25_000, 48))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    graph, q = ann.SmallWorld(np.concatenate([v, np.zeros((len(v), 1))], axis=1)), v[:300]
+    found = graph.search(np.concatenate([q, np.zeros((300, 1))], axis=1), 240)
+    score = q @ v.T
+    score[np.arange(300), np.arange(300)] = -1
+    want = np.argsort(-score, axis=1)[:, :20]
+    assert np.mean([len({*f.tolist()} & {*w.tolist()}) / 20 for f, w in zip(found, want, strict=True)]) >= 0.9
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], VEC)
     assert embed_dedup.near_dup_embeddings(none).count() == 0 and ann.nearest(none, none).count() == 0
