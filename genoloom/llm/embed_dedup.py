@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoloom.operators.graph import connected_components
@@ -15,8 +16,10 @@ from genoloom.operators.lineage import written
 
 #: Added to every pruning bound, so that rounding never prunes a pair at the threshold.
 SLACK = 1e-7
-#: Bits of the locality code that decides which vectors share a tree.
-CODE_BITS = 16
+#: Bits of the locality code that decides which vectors share a tree: enough for a million million vectors a label.
+CODE_BITS = 32
+#: Bytes of the vectors of one tree; bits of the code by which trees share a tile, and by which the upper tree widens.
+TREE_BYTES, TILE_BITS, STEP_BITS = 4_000_000, 2, 4
 
 
 def clean_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -85,6 +88,11 @@ def dual_pairs(a: dict, b: dict, least_cos: float) -> np.ndarray:
         rows, cols = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
         if not len(rows):
             break
+        if 16 * np.count_nonzero(alive) < len(rows) * len(cols):  # few node pairs are left: each by itself
+            i, j = np.nonzero(alive)
+            cos = np.einsum("pd,pd->p", a["points"][la["at"][i]], b["points"][lb["at"][j]])
+            alive[i, j] = np.sqrt(np.maximum(0.0, 2 - 2 * cos)) <= la["reach"][i] + lb["reach"][j] + limit + SLACK
+            continue
         cos = a["points"][la["at"][rows]] @ b["points"][lb["at"][cols]].T
         apart = np.sqrt(np.maximum(0.0, 2 - 2 * cos))
         bound = la["reach"][rows][:, None] + lb["reach"][cols][None, :] + limit + SLACK
@@ -119,6 +127,41 @@ def forest(left: np.ndarray, right: np.ndarray, found: np.ndarray) -> list[tuple
     return [(int(x), int(y)) for x, y in dict(zip(ids.tolist(), tops.tolist(), strict=True)).items() if x != y]
 
 
+def upper_pairs(roots: DataFrame, limit: float) -> DataFrame:
+    """Pairs (tile1 <= tile2) of tiles of equal label and length that may hold vectors within ``limit`` of each other.
+
+    ``roots``: the trees' label, dim, block, cell, tile, root and reach. The upper tree's nodes are prefixes of the
+    cells, STEP_BITS longer from level to level, and tiles at its foot; a node's centre is the root of its first
+    tree, and its reach covers all trees below. From the top down, only pairs of children of a pair that was not
+    too far apart are looked at.
+    """
+    apart = lambda x, y: F.sqrt(F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda t, d: t + d))
+    own = ["label", "dim"]
+
+    def nodes(name: Column, parent: Column) -> DataFrame:
+        rows = roots.select(*own, name.alias("node"), parent.alias("up"), "block", "root", "reach")
+        centres = rows.groupBy(*own, "node").agg(F.min_by("root", "block").alias("centre"))
+        return rows.join(centres, [*own, "node"]).groupBy(*own, "node").agg(F.first("up").alias("up"), F.first("centre").alias("centre"), F.max(apart("centre", "root") + F.col("reach")).alias("wide"))
+
+    # cells differ in their number of bits from label to label: the longest decides where the top is
+    longest = roots.agg(F.max(F.length(F.conv(F.col("cell").cast("string"), 10, 2)))).first()[0] or 1
+    shifts = list(range(TILE_BITS, TILE_BITS + longest + STEP_BITS, STEP_BITS))
+    prefix = lambda shift: F.expr(f"shiftright(cell, {min(shift, 63)})")
+    levels = [nodes(prefix(x), prefix(x + STEP_BITS)) for x in reversed(shifts)] + [nodes(F.col("tile"), prefix(shifts[0]))]
+    pairs = None
+    for level in levels:
+        side = lambda k, level=level: level.select(*own, F.col("node").alias(f"n{k}"), F.col("up").alias(f"up{k}"), F.col("centre").alias(f"c{k}"), F.col("wide").alias(f"w{k}"))
+        if pairs is None:
+            met = side(1).join(side(2), own)
+        else:
+            above = pairs.select(*own, F.col("n1").alias("up1"), F.col("n2").alias("up2"))
+            met = above.join(side(1), [*own, "up1"]).join(side(2), [*own, "up2"])
+        # a pair of unlike parents has its children in either order
+        met = met.filter((F.col("up1") != F.col("up2")) | (F.col("n1") <= F.col("n2"))) if pairs is not None else met.filter("n1 <= n2")
+        pairs = written(met.filter(apart("c1", "c2") <= F.col("w1") + F.col("w2") + limit).select(*own, "n1", "n2"), "upper")
+    return pairs.select(F.least("n1", "n2").alias("tile1"), F.greatest("n1", "n2").alias("tile2"))
+
+
 def near_dup_embeddings(
     df: DataFrame,
     id_col: str = "vec_id",
@@ -136,8 +179,11 @@ def near_dup_embeddings(
     link. Extra columns are ignored; an empty table gives an empty result.
 
     Equal vectors collapse to one first. The others are dealt by a locality code into blocks of about
-    ``block_rows``; each block becomes a cover tree. Pairs of trees whose roots lie too far apart are
-    dropped before any vector moves; the rest are traversed together, each pair of blocks in its own task.
+    ``block_rows`` (fewer, if those hold over TREE_BYTES); each block becomes a cover tree. Blocks of neighbouring
+    codes form tiles of at most 16 trees, and tiles hang below an upper tree along the code's prefixes. The upper
+    tree is traversed against itself on Spark, from the top, and node pairs further apart than their covering radii
+    and the threshold allow are dropped with all that hangs below them, before any vector moves. For the pairs of
+    tiles that are left, each tile's trees go to the pair's task once, and pairs of trees are traversed together.
     Tasks emit link counts and a spanning forest, never the pairs, so a large group of near copies makes
     no more rows than it has vectors.
     """
@@ -153,22 +199,19 @@ def near_dup_embeddings(
             for dim, part in pdf.groupby(pdf["__vec"].map(len), sort=False):
                 units = unit_rows(np.array(part["__vec"].tolist(), dtype=np.float64))
                 planes = np.random.default_rng(dim).standard_normal((dim, CODE_BITS))
-                code = ((units @ planes) > 0) @ (1 << np.arange(CODE_BITS)[::-1])
-                out.append(part[["label", "h1", "rep", "copies"]].assign(dim=dim, code=code, unit=[u.tobytes() for u in units]))
+                code = ((units @ planes) > 0) @ (np.int64(1) << np.arange(CODE_BITS)[::-1])
+                out.append(part[["label", "h1", "rep", "copies"]].assign(dim=dim, code=code.astype(np.int64), unit=[u.tobytes() for u in units]))
             if out:
                 yield pd.concat(out)[["label", "h1", "rep", "copies", "dim", "code", "unit"]]
 
     label_type = good.schema["label"].dataType.simpleString()
     coded = written(
-        classes.mapInPandas(encode, f"label {label_type}, h1 long, rep long, copies long, dim int, code int, unit binary"), "units"
-    )
-    bits = coded.groupBy("label", "dim").count().select(
-        "label", "dim", F.expr(f"int(greatest(0, least({CODE_BITS}, ceil(log2(count / {block_rows})))))").alias("bits")
+        classes.mapInPandas(encode, f"label {label_type}, h1 long, rep long, copies long, dim int, code long, unit binary"), "units"
     )
+    size = f"least({block_rows}, greatest(64, {TREE_BYTES} div (8 * dim)))"
+    bits = coded.groupBy("label", "dim").count().select("label", "dim", F.expr(f"int(greatest(0, least({CODE_BITS}, ceil(log2(count / {size})))))").alias("bits"))
     placed = coded.join(bits, ["label", "dim"]).withColumn("cell", F.expr(f"shiftright(code, {CODE_BITS} - bits)"))
-    pieces = placed.groupBy("label", "dim", "cell").count().select(
-        "label", "dim", "cell", F.ceil(F.col("count") / block_rows).alias("pieces")
-    )
+    pieces = placed.groupBy("label", "dim", "cell").count().select("label", "dim", "cell", F.expr(f"ceil(count / {size})").alias("pieces"))
     placed = placed.join(pieces, ["label", "dim", "cell"]).withColumn("piece", F.expr("pmod(xxhash64(rep), pieces)"))
 
     stop = float(np.sqrt(max(0.0, 2 - 2 * least_cos))) / 4
@@ -180,58 +223,66 @@ def near_dup_embeddings(
         tree = {"points": points, "levels": levels, "ids": pdf["rep"].to_numpy(), "copies": pdf["copies"].to_numpy()}
         return pd.DataFrame(
             {"label": pdf["label"].iloc[:1], "dim": pdf["dim"].iloc[:1], "block": [int(pdf["rep"].min())],
-             "root": [points[root["at"][0]].tolist()], "reach": [float(root["reach"][0])], "tree": [pickle.dumps(tree, 5)]}
+             "cell": pdf["cell"].iloc[:1], "piece": pdf["piece"].iloc[:1], "root": [points[root["at"][0]].tolist()], "reach": [float(root["reach"][0])], "tree": [pickle.dumps(tree, 5)]}
         )
 
     trees = written(
         placed.groupBy("label", "dim", "cell", "piece").applyInPandas(
-            plant, f"label {label_type}, dim int, block long, root array<double>, reach double, tree binary"
+            plant, f"label {label_type}, dim int, block long, cell long, piece long, root array<double>, reach double, tree binary"
         ),
         "trees",
     )
-    roots = trees.select("label", "dim", "block", "root", "reach")
-    apart = F.sqrt(
-        F.aggregate(F.zip_with("root", "root2", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    )
-    other = roots.select("label", "dim", F.col("block").alias("block2"), F.col("root").alias("root2"), F.col("reach").alias("reach2"))
-    pairs = (
-        roots.join(other, ["label", "dim"])
-        .filter("block <= block2")
-        .filter(apart <= F.col("reach") + F.col("reach2") + float(np.sqrt(2 - 2 * least_cos)) + SLACK)
-        .select("block", "block2")
-    )
-    loaded = (
-        pairs.repartition(F.col("block"), F.col("block2"))
-        .join(trees.select("block", "tree"), "block")
-        .join(trees.select(F.col("block").alias("block2"), F.col("tree").alias("tree2")), "block2")
-        .select("block", "block2", "tree", F.expr("if(block = block2, null, tree2)").alias("tree2"))
-    )
+    limit = float(np.sqrt(2 - 2 * least_cos)) + SLACK
+    tile = Window.partitionBy("label", "dim", F.shiftright("cell", TILE_BITS), F.shiftright("piece", TILE_BITS))
+    roots = trees.select("label", "dim", "block", "cell", "piece", "root", "reach").withColumn("tile", F.min("block").over(tile))
+    roots = written(roots, "roots")
+    pairs = upper_pairs(roots, limit)
+    of_tile = trees.select("block", "tree").join(roots.select("block", "tile"), "block")
+    # a pair's tiles come one after the other, tree by tree; a tile that meets itself comes once
+    first = pairs.join(of_tile, F.col("tile1") == F.col("tile")).select("tile1", "tile2", F.lit(1).alias("side"), "block", "tree")
+    second = pairs.filter("tile1 <> tile2").join(of_tile, F.col("tile2") == F.col("tile")).select("tile1", "tile2", F.lit(2).alias("side"), "block", "tree")
+    loaded = first.union(second).repartition("tile1", "tile2").sortWithinPartitions("tile1", "tile2", "side", "block")
 
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                a = pickle.loads(row.tree)
-                same = row.block == row.block2
-                b = a if same else pickle.loads(row.tree2)
-                found = dual_pairs(a, b, least_cos)
-                if same:
-                    np.fill_diagonal(found, False)
-                count_a = found @ b["copies"]
-                ids, counts = [a["ids"]], [count_a]
-                if not same:
-                    ids.append(b["ids"])
-                    counts.append(found.T @ a["copies"])
-                ids, counts = np.concatenate(ids), np.concatenate(counts)
-                keep = counts > 0
-                links = forest(a["ids"], b["ids"], found)
-                yield pd.DataFrame(
-                    {"id": np.concatenate([ids[keep], np.array([x for x, _ in links], np.int64)]),
-                     "to": np.concatenate([np.full(keep.sum(), -1), np.array([y for _, y in links], np.int64)]),
-                     "n": np.concatenate([counts[keep], np.zeros(len(links), np.int64)]),
-                     "edge": np.concatenate([np.zeros(keep.sum(), bool), np.ones(len(links), bool)])}
-                )
-
-    met = written(loaded.mapInPandas(meet, "id long, to long, n long, edge boolean"), "links")
+    def links_of(a: dict, b: dict, same: bool) -> Iterator[pa.RecordBatch]:
+        root_a, root_b = (t["points"][t["levels"][0]["at"][0]] for t in (a, b))
+        if not same and np.linalg.norm(root_a - root_b) > a["levels"][0]["reach"][0] + b["levels"][0]["reach"][0] + limit:
+            return
+        found = dual_pairs(a, b, least_cos)
+        if same:
+            np.fill_diagonal(found, False)
+        ids, counts = [a["ids"]], [found @ b["copies"]]
+        if not same:
+            ids.append(b["ids"])
+            counts.append(found.T @ a["copies"])
+        ids, counts = np.concatenate(ids), np.concatenate(counts)
+        keep = counts > 0
+        if not keep.any():
+            return
+        links = forest(a["ids"], b["ids"], found)
+        cols = (
+            np.concatenate([ids[keep], np.array([x for x, _ in links], np.int64)]), np.concatenate([np.full(keep.sum(), -1), np.array([y for _, y in links], np.int64)]),
+            np.concatenate([counts[keep], np.zeros(len(links), np.int64)]), np.concatenate([np.zeros(keep.sum(), bool), np.ones(len(links), bool)]),
+        )
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["id", "to", "n", "edge"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, left = None, []
+        for batch in batches:
+            for k, at in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                if at[:2] != key:
+                    key, left = at[:2], []
+                tree = pickle.loads(batch.column(4)[k].as_py())
+                if at[2] == 1:
+                    left.append(tree)
+                    if key[0] == key[1]:
+                        yield from links_of(tree, tree, True)
+                        for other in left[:-1]:
+                            yield from links_of(other, tree, False)
+                else:
+                    for other in left:
+                        yield from links_of(other, tree, False)
+
+    met = written(loaded.mapInArrow(meet, "id long, to long, n long, edge boolean"), "links")
     links = met.filter("not edge").groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("far"))
     parts = connected_components(met.filter("edge"), "id", "to")
     state = (
