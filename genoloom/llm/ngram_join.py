@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,8 @@ WORD = re.compile(r"\w+")
 CACHE = 1_000_000
 #: Columns of one slab of the brute-force product.
 SLAB = 4096
+#: Bytes of sets in one piece of a merged group, and of the text of a set by which recall is measured.
+PIECE_BYTES, PROBE_BYTES = 16_000_000, 20_000
 
 
 class Shingler:
@@ -51,10 +54,10 @@ class Shingler:
         return np.unique(out)
 
 
-def sampled(shingles: np.ndarray, count: int) -> np.ndarray:
-    """``count`` sampled elements of a set: the one of least hash under each of as many hash functions, so two
-    sets share a sample with a chance of their Jaccard similarity."""
-    draw = np.random.default_rng(3).integers(1, 2**63, (2, count, 1), dtype=np.uint64)
+def sampled(shingles: np.ndarray, first: int, count: int) -> np.ndarray:
+    """Sampled elements ``first`` to ``first + count`` of a set: the one of least hash under each of as many hash
+    functions, so two sets share a sample with a chance of their Jaccard similarity."""
+    draw = np.random.default_rng([3, first]).integers(1, 2**63, (2, count, 1), dtype=np.uint64)
     best = np.full(count, 2**64 - 1, np.uint64)
     for lo in range(0, len(shingles), 8192):
         x = (shingles[None, lo : lo + 8192] ^ draw[0]) * (draw[1] | np.uint64(1))
@@ -62,6 +65,17 @@ def sampled(shingles: np.ndarray, count: int) -> np.ndarray:
     return best
 
 
+def set_key(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set, as two signed numbers; (0, 0) for none."""
+    key = xxhash.xxh3_128_intdigest(shingles.tobytes()) if len(shingles) else 2**127 + 2**63
+    return (key >> 64) - 2**63, (key & (2**64 - 1)) - 2**63
+
+
+def runs_for(target: float, least: float, depth: int) -> int:
+    """Runs after which a pair of similarity ``least`` has shared a path of ``depth`` elements with this chance."""
+    return math.ceil(math.log(1 - target) / math.log(1 - least**depth))
+
+
 def brute_force(left: list[np.ndarray], right: list[np.ndarray] | None, least: float) -> np.ndarray:
     """Matrix of pairs of sets whose Jaccard similarity is at least ``least``; of ``left`` with itself (without
     the diagonal) if ``right`` is None. Intersections are counted by products over the shared elements only."""
@@ -91,70 +105,115 @@ def brute_force(left: list[np.ndarray], right: list[np.ndarray] | None, least: f
 
 def linked(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8,
-    runs: int = 16, depth: tuple[int, int] = (3, 5), small: int = 64, chunk: int = 2048,
+    target: float = 0.998, depth: tuple[int, int] = (3, 6), small: int = 64, chunk: int = 2048, probes: int = 200, most_rounds: int = 4,
 ) -> DataFrame:
     """One row per row of ``df`` whose id is not null: id, mark (hash of its text), class_id, n_links and component
     (id, h1, h2), the smallest id and set reachable; see :func:`jaccard_join`. The last three are null for a text
     without words. A class is a set, named by its smallest id and its hash, as an id may stand for several sets.
     """
-    need = runs * depth[1]
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("mark")).filter("id is not null")
+    runs = runs_for(target, least, depth[1])
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = Shingler(width)
-        for pdf in batches:
-            h1, h2, short, long = [], [], [], []
-            for text in pdf["text"]:
-                own = shingles(text)
-                key = xxhash.xxh3_128_intdigest(own.tobytes()) if len(own) else 0
-                h1.append((key >> 64) - 2**63)
-                h2.append((key & (2**64 - 1)) - 2**63)
-                if not len(own):
-                    short.append(None)
-                    long.append(None)
-                    continue
-                paths = sampled(own, need).reshape(runs, depth[1])
-                short.append([xxhash.xxh3_64_intdigest(p[: depth[0]].tobytes(), r) - 2**63 for r, p in enumerate(paths)])
-                long.append([xxhash.xxh3_64_intdigest(p.tobytes(), r) - 2**63 for r, p in enumerate(paths)])
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "mark": pdf["mark"].to_numpy(), "h1": h1, "h2": h2, "short": short, "long": long})
+    # a fixed number of sets, whose neighbours are found by comparing them with every document, tell the recall
+    own_shingles = Shingler(width)
+    asked = rows.filter(F.octet_length("text") < PROBE_BYTES).orderBy(F.xxhash64("id", "text"), "id").limit(probes).select("text").collect()
+    probed = [x for x in {set_key(y): y for y in (own_shingles(r["text"]) for r in asked)}.items() if len(x[1])]
+    probe_sizes = np.array([len(x) for _, x in probed], np.int64)
+    flat = np.concatenate([np.zeros(0, np.uint64), *(x for _, x in probed)])
+    order = np.argsort(flat, kind="stable")
+    probe_hash, probe_of = flat[order], np.repeat(np.arange(len(probed)), probe_sizes)[order]
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("mark")).filter("id is not null")
-    signed = written(rows.mapInPandas(sign, "id long, mark long, h1 long, h2 long, short array<long>, long array<long>"), "signed")
+    def neighbours(own: np.ndarray) -> list[int]:
+        """The probes of similarity ``least`` or more to a set."""
+        lo, hi = np.searchsorted(probe_hash, own, "left"), np.searchsorted(probe_hash, own, "right")
+        hit = np.flatnonzero(hi > lo)
+        if not len(hit):
+            return []
+        shared = np.bincount(np.concatenate([probe_of[a:b] for a, b in zip(lo[hit], hi[hit], strict=True)]), minlength=len(probe_sizes))
+        return np.flatnonzero(shared >= least * (len(own) + probe_sizes - shared)).tolist()
+
+    def signs(first: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        """Sets and their paths of the round of runs that begins at run ``first``; of each run, one hash per depth."""
+
+        def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            shingles = Shingler(width)
+            for pdf in batches:
+                keys, sizes, near, paths = [], [], [], []
+                for text in pdf["text"]:
+                    own = shingles(text)
+                    keys.append(set_key(own))
+                    sizes.append(len(own))
+                    near.append(neighbours(own) if len(own) and not first else [])
+                    chosen = sampled(own, first * depth[1], runs * depth[1]).reshape(runs, depth[1]) if len(own) else []
+                    paths.append([xxhash.xxh3_64_intdigest(p[:d].tobytes(), first + r) - 2**63 for r, p in enumerate(chosen) for d in range(depth[0], depth[1] + 1)])
+                yield pd.DataFrame({"id": pdf["id"].to_numpy(), "mark": pdf["mark"].to_numpy(), "h1": [k[0] for k in keys], "h2": [k[1] for k in keys], "size": sizes, "near": near, "paths": paths})
+
+        return sign
+
+    def edges_of(classes: DataFrame) -> DataFrame:
+        """(rep, to) of the buckets of one round. A path's bucket is split by the path's next element while it holds
+        more than ``small`` sets and elements are left."""
+        steps = depth[1] - depth[0] + 1
+        open_ = classes.select("rep", F.explode(F.expr(f"transform(sequence(0, size(paths) div {steps} - 1), r -> slice(paths, int(r) * {steps} + 1, {steps}))")).alias("path"))
+        found = None
+        for d in range(steps):
+            step = open_.select("rep", "path", F.element_at("path", d + 1).alias("bucket"))
+            # both tables of buckets are written, so that their join meets plain tables and a large bucket may be split
+            size = written(step.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("to")).filter("n > 1"), "bucket-sizes")
+            inside = step.join(size, "bucket")
+            if d + 1 < steps:
+                inside = written(inside.select("rep", "to", "n", F.when(F.col("n") > small, F.col("path")).alias("path")), "buckets")
+                open_ = inside.filter(F.col("n") > small).select("rep", "path")
+                inside = inside.filter(F.col("n") <= small)
+            edges = inside.filter("rep <> to").select("rep", "to")
+            found = edges if found is None else found.union(edges)
+        return written(found.distinct(), "edges")
+
+    kinds = "id long, mark long, h1 long, h2 long, size long, near array<int>, paths array<long>"
+    signed = written(rows.mapInPandas(signs(0), kinds), "signed")
+    sets_of = lambda table: table.filter("size > 0").groupBy("h1", "h2")
     classes = written(
-        signed.filter("short is not null").groupBy("h1", "h2").agg(F.min(F.struct("id", "short", "long")).alias("m"), F.count(F.lit(1)).alias("copies"))
-        .select(F.struct("m.id", "h1", "h2").alias("rep"), "copies", "m.short", "m.long"),
+        sets_of(signed).agg(F.min(F.struct("id", "size", "paths")).alias("m"), F.count(F.lit(1)).alias("copies"))
+        .select(F.struct("m.id", "h1", "h2").alias("rep"), "copies", "m.size", "m.paths"),
         "classes",
     )
-    paths = classes.select("rep", F.explode(F.arrays_zip("short", "long")).alias("p")).select("rep", "p.short", "p.long")
-    # both bucket tables are written, so that their joins meet plain tables and a large bucket may be split
-    first = written(paths.groupBy("short").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("to")).filter("n > 1"), "short")
-    inside = written(paths.join(first, "short").select("rep", "long", "n", "to"), "buckets")
-    large = inside.filter(F.col("n") > small).select("rep", "long")
-    second = written(large.groupBy("long").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("to")).filter("n > 1"), "long")
-    edges = inside.filter(F.col("n") <= small).select("rep", "to").union(large.join(second, "long").select("rep", "to"))
-    groups = written(connected_components(edges.filter("rep <> to").distinct(), "rep", "to"), "groups")
-    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("pieces"))
+    probe_rows = df.sparkSession.createDataFrame([(k, h1, h2) for k, ((h1, h2), _) in enumerate(probed)], "probe int, p1 long, p2 long")
+    true_pairs = signed.select(F.explode("near").alias("probe"), "h1", "h2").distinct().join(F.broadcast(probe_rows), "probe").filter("h1 <> p1 or h2 <> p2").select("h1", "h2", "p1", "p2")
+    edges = edges_of(classes)
+    for number in range(1, most_rounds + 1):
+        groups = written(connected_components(edges, "rep", "to"), "groups")
+        place = groups.select(F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"), "component")
+        met = true_pairs.join(place, ["h1", "h2"], "left").join(place.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("component").alias("other")), ["p1", "p2"], "left")
+        pairs, caught = met.agg(F.count(F.lit(1)), F.count(F.when(F.col("component") == F.col("other"), 1))).first()
+        if caught >= target * pairs or number == most_rounds:
+            break
+        again = rows.mapInPandas(signs(number * runs), kinds)
+        more = sets_of(again).agg(F.min(F.struct("id", "paths")).alias("m")).select(F.struct("m.id", "h1", "h2").alias("rep"), "m.paths")
+        edges = written(edges.union(edges_of(written(more, "classes"))).distinct(), "edges")
+
+    # sets of similarity ``least`` differ in size by one class at most, so only neighbouring classes of a group meet
+    ratio = math.log(1 / (least - 1e-6))
+    placed = groups.join(classes.select(F.col("rep").alias("node"), "copies", "size"), "node").withColumn("class", F.floor(F.log("size") / ratio).cast("int"))
+    sizes = placed.groupBy("component", "class").agg(F.greatest(F.ceil(F.count(F.lit(1)) / chunk), F.ceil(F.sum("size") * 8 / PIECE_BYTES)).cast("int").alias("pieces"))
+    maps = sizes.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("class", "pieces"))).alias("pieces"))
     group = [F.col(f"component.{x}").alias(f"of_{x}") for x in ("id", "h1", "h2")]
-    members = (
-        groups.join(sizes, "component")
-        .join(classes.select(F.col("rep").alias("node"), "copies"), "node")
-        .select("node.id", "node.h1", "node.h2", *group, "pieces", "copies", F.expr("int(pmod(xxhash64(node), pieces))").alias("piece"))
-    )
+    code = F.col("class").cast("long") * 2**32 + F.pmod(F.xxhash64("node"), F.element_at("pieces", F.col("class")))
+    members = placed.join(maps, "component").select("node.id", "node.h1", "node.h2", *group, "pieces", "copies", "class", code.alias("piece"))
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(width)
         for pdf in batches:
             sets = [shingles(t) for t in pdf["text"]]
-            keys = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
             # a repeated id may have other texts: only the class's own set goes on
-            own = np.array([(k >> 64) - 2**63 == a and (k & (2**64 - 1)) - 2**63 == b for k, a, b in zip(keys, pdf["h1"], pdf["h2"], strict=True)], bool)
+            own = np.array([set_key(s) == (a, b) for s, a, b in zip(sets, pdf["h1"], pdf["h2"], strict=True)], bool)
             out = pdf.drop(columns=["text"]).assign(set=[s.tobytes() for s in sets])[own]
             yield out.drop_duplicates(["id", "h1", "h2"])
 
     of = ["of_id", "of_h1", "of_h2"]
-    held = members.join(rows, "id").select("id", "h1", "h2", *of, "pieces", "copies", "piece", "text")
-    sets = held.mapInPandas(gather, "id long, h1 long, h2 long, of_id long, of_h1 long, of_h2 long, pieces long, copies long, piece int, set binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("pieces").cast("int") - 1))
-    dealt = sets.withColumn("other", other).select(
+    held = members.join(rows, "id").select("id", "h1", "h2", *of, "pieces", "copies", "class", "piece", "text")
+    sets = held.mapInPandas(gather, "id long, h1 long, h2 long, of_id long, of_h1 long, of_h2 long, pieces map<int,int>, copies long, class int, piece long, set binary")
+    others = F.expr("flatten(transform(sequence(class - 1, class + 1), c -> if(map_contains_key(pieces, c), transform(sequence(0, pieces[c] - 1), p -> bigint(c) * 4294967296 + p), array())))")
+    dealt = sets.withColumn("other", F.explode(others)).select(
         *of, F.least("piece", "other").alias("a"), F.greatest("piece", "other").alias("b"), "piece", "id", "h1", "h2", "copies", "set"
     )
     dealt = dealt.repartition(*of, "a", "b").sortWithinPartitions(*of, "a", "b", "piece", "id", "h1", "h2")
@@ -218,13 +277,13 @@ def linked(
         .join(parts, "rep", "left")
         .select("rep.h1", "rep.h2", F.col("rep.id").alias("class_id"), F.expr("copies - 1 + coalesce(far, 0)").alias("n_links"), F.coalesce("component", "rep").alias("component"))
     )
-    placed = signed.select("id", "mark", F.expr("if(short is null, null, h1)").alias("h1"), "h2").join(state, ["h1", "h2"], "left")
-    return placed.select("id", "mark", "class_id", "n_links", "component")
+    named = signed.select("id", "mark", F.expr("if(size = 0, null, h1)").alias("h1"), "h2").join(state, ["h1", "h2"], "left")
+    return named.select("id", "mark", "class_id", "n_links", "component")
 
 
 def jaccard_join(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8,
-    runs: int = 16, depth: tuple[int, int] = (3, 5), small: int = 64, chunk: int = 2048,
+    target: float = 0.998, depth: tuple[int, int] = (3, 6), small: int = 64, chunk: int = 2048,
 ) -> DataFrame:
     """Links documents whose sets of ``width``-word shingles have a Jaccard similarity of at least ``least``.
 
@@ -234,16 +293,19 @@ def jaccard_join(
     out; rows that repeat an id count as copies or neighbours of each other but share its one row. Extra
     columns are ignored; an empty table gives an empty result.
 
-    Documents of equal sets collapse to one. In each of ``runs`` runs a document follows a path of sampled
-    elements; buckets of documents that chose the same path are split further, from ``depth[0]`` to ``depth[1]``
-    elements, while they hold more than ``small``. A pair of similarity s shares a run's bucket with a chance
-    of s ** depth: at 0.8 all runs together find it with 0.9998 or more in small buckets, 0.998 in large ones.
-    Buckets that share a document are then merged and brute-forced once, in blocks of ``chunk`` sets, so no
-    pair is counted twice, every pair found is exact, and members of one merged group meet even where no
-    run brought them together. Tasks emit counts and a spanning forest, never the pairs.
+    Documents of equal sets collapse to one. In each run a document follows a path of sampled elements, from
+    ``depth[0]`` on; the bucket of documents that chose the same path is split by their next elements, again and again
+    while it holds more than ``small``, to ``depth[1]`` elements at most. A pair of similarity s shares a path of d
+    elements with a chance of s ** d, so a round has as many runs as the longest paths need for the recall
+    ``target`` at ``least``. The recall is then measured: 200 sets (a fixed number, those of the least hashes, under
+    PROBE_BYTES of text) have been compared with every document, and rounds of new runs follow, four in all at
+    most, while fewer than ``target`` of their true pairs have met. Buckets that share a document are merged and
+    brute-forced once, so no pair is counted twice and every pair found is exact; within a merged group only
+    sets of like size meet, in pieces of ``chunk`` sets and PIECE_BYTES at most. Tasks emit counts and a
+    spanning forest, never the pairs.
     """
     return (
-        linked(df, id_col, text_col, width, least, runs, depth, small, chunk)
+        linked(df, id_col, text_col, width, least, target, depth, small, chunk)
         .groupBy("id")
         .agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"), F.min("component.id").alias("component_id"))
         .select(
