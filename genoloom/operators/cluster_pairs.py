@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from genoloom.functions.scalars import same_strand
 from genoloom.operators.annotation import number_genes
 from genoloom.operators.hits import hit_gene_overlaps
+from genoloom.operators.lineage import written
 
 #: Fixed cutoffs (in %, bases or as ratios).
 EXON, GENE, LENGTHS, RATIO, COVER = (20, 25), (25, 35, 50), (300, 1000, 5000, 10000), 0.5, (60, 80, 97)
@@ -42,7 +43,7 @@ def gene_pairs(hits: DataFrame, cover1: DataFrame, cover2: DataFrame, genes: Dat
 def pair_scores(pairs: DataFrame, hits: DataFrame, genes: DataFrame, exons: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Scores of each gene pair and strand class (or of each group of ``keys``), per side k: merged bases (m), their
     cover of the span (cov, %), of the gene (gcov, %) and of its exons (exon, %), exon bases (x), mean cover of an
-    exon (frac, %), overlap of span and gene (golap, %), ends of the span (lo, hi), chromosome (grp); length ratio of
+    exon (frac, %), overlap of span and gene (golap, %; a side may have no gene, and then no such shares), ends of the span (lo, hi), chromosome (grp); length ratio of
     the genes, sub-hits, longest merged length; identity and similarity of the side with more merged bases, weighted
     by length. A gene without exons has exon shares of 0."""
     rows = pairs.join(hits.select("hit_idx", "start1", "end1", "start2", "end2", "pctid", "cvgpct"), "hit_idx")
@@ -50,7 +51,7 @@ def pair_scores(pairs: DataFrame, hits: DataFrame, genes: DataFrame, exons: Data
     model = genes.join(models, "annot_idx", "left")
     aggs = [F.count(F.lit(1)).alias("subs"), F.min("hit_idx").alias("first")]
     for k in (1, 2):
-        rows = rows.join(model.select(F.col("annot_idx").alias(f"gene{k}"), F.col("grp_idx").alias(f"grp{k}"), F.col("g_start").alias(f"gs{k}"), F.col("g_end").alias(f"ge{k}"), F.col("exons").alias(f"exons{k}"), F.coalesce("elen", F.lit(0)).alias(f"elen{k}")), f"gene{k}")
+        rows = rows.join(model.select(F.col("annot_idx").alias(f"gene{k}"), F.col("grp_idx").alias(f"grp{k}"), F.col("g_start").alias(f"gs{k}"), F.col("g_end").alias(f"ge{k}"), F.col("exons").alias(f"exons{k}"), F.coalesce("elen", F.lit(0)).alias(f"elen{k}")), f"gene{k}", "left")
         w = Window.partitionBy(*keys).orderBy(f"start{k}", F.desc(f"end{k}"), "hit_idx").rowsBetween(Window.unboundedPreceding, -1)
         # bases that earlier sub-hits have not covered: these stretches are disjoint and make up the union
         rows = rows.withColumn(f"low{k}", F.greatest(F.col(f"start{k}"), F.coalesce(F.max(f"end{k}").over(w), F.lit(0)) + 1))
@@ -308,59 +309,211 @@ def trim_ends(pairs: DataFrame, hits: DataFrame, genes: DataFrame, gap: int = 10
     return rows.filter("not __open").select(*pairs.columns).unionByName(done.select(*pairs.columns))
 
 
-def chain_within(hits: DataFrame, keys: list[str], gap1: int, gap2: int) -> DataFrame:
-    """``hits`` with ``chain`` (its first hit): along side 1, a hit goes to the latest chain whose last hit lies
-    within both gaps. ``keys`` group the hits that may chain (a gene, or a chromosome pair and strand)."""
+def pair_cutoffs(stats: DataFrame) -> DataFrame:
+    """Per project pair, from :func:`gene_model_stats`: intron2 (the sum of both mean introns, 1000 to 9000), intron4
+    (twice that sum, 1500 to 15000), rm (half of intron2, 1000 to 2500) and cover2 (twice the mean exon cover, which
+    counts as 20 at most)."""
+    side = lambda k: stats.select(F.col("proj_idx").alias(f"proj{k}_idx"), F.coalesce("avg_intron", F.lit(0.0)).alias(f"i{k}"), F.col("exon_cover").alias(f"c{k}"))
+    within = lambda x, lo, hi: F.greatest(F.lit(lo), F.least(F.lit(hi), F.floor(x))).cast("int")
+    pairs = side(1).join(side(2), F.col("proj1_idx") <= F.col("proj2_idx"))  # a row for each two genomes
+    pairs = pairs.withColumn("intron2", within(F.col("i1") + F.col("i2"), 1000, 9000)).withColumn("intron4", within(2 * (F.col("i1") + F.col("i2")), 1500, 15000))
+    return pairs.select("proj1_idx", "proj2_idx", "intron2", "intron4", within(F.col("intron2") / 2, 1000, 2500).alias("rm"), (2 * F.least(F.lit(20), F.round((F.col("c1") + F.col("c2")) / 2))).cast("int").alias("cover2"))
+
+
+def _pieces(rows: DataFrame, keys: list[str], start: str, end: str, gap: str) -> DataFrame:
+    """``rows`` with ``piece``: along ``keys``, hits further apart than ``gap`` from all before are in a new piece, so
+    that no chain crosses pieces and each can be a task of its own."""
+    w = Window.partitionBy(*keys).orderBy(start, F.desc(end), "hit_idx")
+    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(F.col(start) - reach <= F.col(gap), 0).otherwise(1)
+    return rows.withColumn("__new", new).withColumn("piece", F.sum("__new").over(w)).drop("__new")
+
+
+def greedy_chains(n: int, near: Callable[[int, int], bool | None]) -> list[list[int]]:
+    """Hits 0 to n - 1, in order: each hit takes up those after it that are near and free (``near`` is None where no
+    later hit can be), into its own chain or that of the hit that took it. Chains of two or more."""
+    chain_of: dict[int, int] = {}
+    chains: list[list[int]] = []
+    for i in range(n - 1):
+        for j in range(i + 1, n):
+            if j in chain_of:
+                continue
+            ok = near(i, j)
+            if ok is None:
+                break
+            if ok:
+                if i not in chain_of:
+                    chain_of[i] = len(chains)
+                    chains.append([i])
+                chain_of[j] = chain_of[i]
+                chains[chain_of[i]].append(j)
+    return chains
+
+
+def _spread(rows: list, k: int) -> int:
+    return max(getattr(r, f"end{k}") for r in rows) - min(getattr(r, f"start{k}") for r in rows) + 1
+
+
+def _ratio(rows: list) -> float:
+    one, two = _spread(rows, 1), _spread(rows, 2)
+    return min(one, two) / max(one, two)
+
+
+def _cut_end(rows: list, k: int, end: int, drops: Callable[[int, object], bool]) -> list:
+    """``rows`` without their first (0) or last (-1) hit along side k, if it ``drops`` for the gap to its neighbour."""
+    if len(rows) < 2:
+        return rows
+    order = sorted(rows, key=lambda r: (getattr(r, f"start{k}"), getattr(r, f"end{k}"), r.hit_idx))
+    at, by = (order[0], order[1]) if end == 0 else (order[-1], order[-2])
+    gap = max(getattr(at, f"start{k}"), getattr(by, f"start{k}")) - min(getattr(at, f"end{k}"), getattr(by, f"end{k}")) - 1
+    return [r for r in rows if r is not at] if drops(gap, at) else rows
+
+
+def _one_gene_chains(side: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    other = 3 - side
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["start1", "end1", "hit_idx"])
-        ends: list[tuple[int, int, int, int]] = []  # first hit, end1, start2, end2 of the chains still in reach
-        out = []
-        for r in rows.itertuples(index=False):
-            ends = [c for c in ends if r.start1 - c[1] <= gap1]
-            near = [k for k, c in enumerate(ends) if max(r.start2 - c[3], c[2] - r.end2) <= gap2]
-            if near:
-                k = near[-1]
-                first = ends[k][0]
-                ends[k] = (first, max(ends[k][1], int(r.end1)), int(r.start2), int(r.end2))
-            else:
-                first = int(r.hit_idx)
-                ends.append((first, int(r.end1), int(r.start2), int(r.end2)))
-            out.append(first)
-        return rows.assign(chain=out)
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in hits.schema) + ", chain long"
-    return hits.groupBy(*keys).applyInPandas(work, kinds)
-
-
-def chain_scores(chained: DataFrame, keys: list[str]) -> DataFrame:
-    """Chains with sub-hits, spans and summed bases per side, and the ratio of the spans."""
-    out = chained.groupBy(*keys, "chain").agg(
-        F.count(F.lit(1)).alias("subs"), *[(F.max(f"end{k}") - F.min(f"start{k}") + 1).alias(f"span{k}") for k in (1, 2)], *[F.sum(F.col(f"end{k}") - F.col(f"start{k}") + 1).alias(f"m{k}") for k in (1, 2)]
-    )
-    return out.withColumn("ratio", F.least("span1", "span2") / F.greatest("span1", "span2"))
-
-
-def one_gene_clusters(hits: DataFrame, side: int, intron2: int = 2000, scale: float = 1.0) -> DataFrame:
-    """Hits with a gene on ``side`` only, chained per gene and strand within twice the intron length; chains with
-    enough bases or sub-hits stay."""
+        pdf = pdf.sort_values([f"start{other}", f"end{other}", "hit_idx"], ascending=[True, False, True])
+        rows = list(pdf.itertuples(index=False))
+        chain = dict.fromkeys((r.hit_idx for r in rows), 0)
+
+        def near(i: int, j: int) -> bool | None:
+            away = getattr(rows[j], f"start{other}") - getattr(rows[i], f"end{other}")
+            return None if away > rows[i].intron2 else abs(away) <= rows[i].intron2
+
+        for found in greedy_chains(len(rows), near):
+            own, size = [rows[k] for k in found], 0
+            in_gene = lambda gap, r: gap > r.intron2 or (gap > r.rm and r.exon == 0)
+            while len(own) != size:
+                size = len(own)
+                own = _cut_end(_cut_end(own, side, 0, in_gene), side, -1, in_gene)
+            size = 0
+            while len(own) != size and _ratio(own) < RATIO + 0.2:
+                size = len(own)
+                for end in (0, -1):
+                    own = _cut_end(own, other, end, lambda gap, r: gap > r.rm)
+            if len(own) > 1:
+                chain |= dict.fromkeys((r.hit_idx for r in own), min(r.hit_idx for r in own))
+        return pdf.assign(chain=[chain[r.hit_idx] for r in rows])
+
+    return work
+
+
+def _no_gene_chains(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values(["start1", "end1", "hit_idx"], ascending=[True, False, True])
+    rows = list(pdf.itertuples(index=False))
+    chain = dict.fromkeys((r.hit_idx for r in rows), 0)
+
+    def near(i: int, j: int) -> bool | None:
+        a, b = rows[i], rows[j]
+        if b.start1 - a.end1 > a.gap:
+            return None
+        return abs(b.start2 - a.end2 if a.same else a.start2 - b.end2) <= a.gap
+
+    for found in greedy_chains(len(rows), near):
+        own, done = [rows[k] for k in found], 0
+        chain |= dict.fromkeys((r.hit_idx for r in own), -1)  # used, whether the chain stays or not
+        if _ratio(own) < 0.1:
+            continue
+        while done < 5 and len(own) > 1:
+            left = _cut_end(own, 2, 0, lambda gap, r: gap > r.rm)
+            left = _cut_end(left, 1, -1, lambda gap, r: gap > r.rm)
+            chain |= dict.fromkeys({r.hit_idx for r in own} - {r.hit_idx for r in left}, 0)
+            if len(left) == len(own):
+                break
+            own, done = left, done + 1
+        if len(own) > 1:
+            chain |= dict.fromkeys((r.hit_idx for r in own), min(r.hit_idx for r in own))
+    return pdf.assign(chain=[chain[r.hit_idx] for r in rows])
+
+
+def _chained(rows: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", chain long"
+    return rows.groupBy(*keys, "piece").applyInPandas(work, kinds)
+
+
+def _tested(chained: DataFrame, keys: list[str], score: Callable[[DataFrame], DataFrame], test: Column) -> DataFrame:
+    """Scores of the chains that pass; hits of those that don't, and hits without a chain, are scored and tested singly."""
+    chained = written(chained, "chained")
+    multi = score(chained.filter("chain > 0"))
+    passed = written(multi.filter(test), "passed-chains")
+    left = chained.filter("chain >= 0").join(passed.select(*keys, "chain"), [*keys, "chain"], "left_anti")
+    return passed.unionByName(score(left.withColumn("chain", F.col("hit_idx"))).filter(test))
+
+
+def one_gene_passes(side: int, scale: float = 1.0) -> Column:
+    """Whether a cluster with a gene on ``side`` only is good enough, from its scores and the pair's ``cover2``."""
+    x, y = side, 3 - side
+    c = lambda name, k=x: F.col(f"{name}{k}")
+    low_exon, low_gene, lengths = [e * scale for e in EXON], [g * scale for g in GENE], [n * scale for n in LENGTHS]
+    under = lambda a, b, limit: (c(a) < limit) & (c(b) < limit)
+    size, two = F.col("longest"), F.col("subs")
+    uneven = (3 * c("cov", y) < c("cov")) | (F.col("span_ratio") < RATIO / 2) | ((c("frac") < low_exon[1]) & under("gcov", "golap", 1.0))
+    perfect = F.least(c("exon"), c("golap"), c("cov")) >= COVER[2]
+    good = (size > lengths[2]) & ~under("exon", "frac", COVER[0] * scale) & ~under("gcov", "golap", COVER[0] * scale) & (c("cov") >= F.col("cover2"))
+    intron = (size >= 3 * lengths[1]) & ~under("gcov", "golap", low_gene[2]) & ((c("cov") >= COVER[0]) | (c("cov", y) >= COVER[0])) & (F.col("span_ratio") >= RATIO)
+    # the shorter, the more of exons and gene must be covered
+    short = size < lengths[0]
+    for k, (exon, gene) in enumerate(((40, 55), (15, 45), (10, 35), (5, 25)), 1):
+        short = short | ((size < k * lengths[1]) & under("frac", "exon", low_exon[0] + exon) & under("golap", "gcov", low_gene[1] + gene))
+    thin = (size < lengths[2]) & (c("exon") < low_exon[1] + 5) & under("gcov", "golap", low_gene[0])
+    apart = (two == 2) & (c("gcov") < low_gene[0]) & (c("cov") < 40) & (c("cov", y) < 40)
+    dense = F.when(c("exon") > low_exon[1], COVER[0]).otherwise(COVER[1])
+    several = two > 1
+    points = [~((c("exon") <= low_exon[1]) & (c("frac") <= low_exon[1])), ~((c("gcov") <= low_gene[1]) & (c("golap") <= low_gene[1])), several & (c("cov") > dense) & (c("cov", y) > dense), several & (size > lengths[3]) & (F.col("span_ratio") > RATIO)]
+    enough = sum((p.cast("int") for p in points[1:]), points[0].cast("int")) >= 2
+    in_exon = c("exon") > 0.001
+    return F.when(uneven, False).when(perfect | good, True).when(~in_exon, intron).otherwise(~(short | thin | apart) & enough)
+
+
+def one_gene_clusters(hits: DataFrame, genes: DataFrame, exons: DataFrame, cover: DataFrame, cutoffs: DataFrame, side: int, scale: float = 1.0) -> DataFrame:
+    """Clusters of hits with a gene on ``side`` only, with their scores: gene, same (strand class), ogrp (the other
+    side's chromosome), chain (first hit) and subs.
+
+    Per gene, strand class and chromosome, hits chain along the other side while they are within intron2 of
+    each other. A chain's end hits go while the gap to the next is too wide: on the gene's side over intron2, or over
+    rm for a hit off the exons; then, while the spans' ratio is under 0.7, on the other side over rm. Chains that pass
+    :func:`one_gene_passes` stay; all other hits are tried singly. ``cover`` has the exon bases of each hit and gene
+    (:func:`hit_exon_cover`), ``cutoffs`` the limits per project pair (:func:`pair_cutoffs`)."""
     other = 3 - side
-    rows = hits.filter(F.col(f"annot{side}_idx").isNotNull() & F.col(f"annot{other}_idx").isNull())
-    rows = rows.select("hit_idx", F.col(f"annot{side}_idx").alias("gene"), same_strand(F.col("strand")).alias("same"), F.col(f"grp{other}_idx").alias("ogrp"), "start1", "end1", "start2", "end2")
+    rows = hits.filter(F.col(f"annot{side}_idx").isNotNull() & F.col(f"annot{other}_idx").isNull()).join(cutoffs, ["proj1_idx", "proj2_idx"])
+    rows = rows.withColumn("gene", F.col(f"annot{side}_idx")).join(cover.select("hit_idx", F.col("annot_idx").alias("gene"), F.col("exon_bases").alias("exon")), ["hit_idx", "gene"], "left")
+    rows = rows.select("hit_idx", "gene", same_strand(F.col("strand")).alias("same"), F.col(f"grp{other}_idx").alias("ogrp"), F.coalesce("exon", F.lit(0)).cast("long").alias("exon"), "start1", "end1", "start2", "end2", "intron2", "rm", "cover2")
     keys = ["gene", "same", "ogrp"]
-    scored = chain_scores(chain_within(rows, keys, intron2, intron2), keys)
-    return scored.filter((F.greatest("m1", "m2") >= LENGTHS[0] * scale) | (F.col("subs") >= 2))
+    chained = _chained(_pieces(rows, keys, f"start{other}", f"end{other}", "intron2"), keys, _one_gene_chains(side))
+
+    def score(part: DataFrame) -> DataFrame:
+        none = F.lit(None).cast("long")
+        pairs = part.select("hit_idx", *keys, "chain", F.col("gene").alias(f"gene{side}"), none.alias(f"gene{other}"))
+        limits = part.groupBy(*keys, "chain").agg(F.max("cover2").alias("cover2"))
+        scores = pair_scores(pairs, hits, genes, exons, (*keys, "chain"))
+        span = lambda k: F.col(f"hi{k}") - F.col(f"lo{k}") + 1
+        return scores.join(limits, [*keys, "chain"]).withColumn("span_ratio", F.round(F.least(span(1), span(2)) / F.greatest(span(1), span(2)), 6))
+
+    return _tested(chained, keys, score, one_gene_passes(side, scale))
+
+
+def no_gene_clusters(hits: DataFrame, cutoffs: DataFrame, least_bases: int = NO_GENE_LENGTH) -> DataFrame:
+    """Clusters of hits without genes, per chromosome pair and strand class: hits chain along side 1 while both sides
+    are within the smaller of intron4 and 8000; chains whose spans differ tenfold go; first and last hits behind a gap
+    of over rm are cut, five times at most. Chains of like spans (ratio 0.5) with ``least_bases`` merged bases and 40 %
+    cover on both sides stay; cut hits and those of other chains are tried singly."""
+    rows = hits.filter("annot1_idx is null and annot2_idx is null").join(cutoffs, ["proj1_idx", "proj2_idx"])
+    rows = rows.select("hit_idx", "grp1_idx", "grp2_idx", same_strand(F.col("strand")).alias("same"), "start1", "end1", "start2", "end2", F.least("intron4", F.lit(8000)).alias("gap"), "rm")
+    keys = ["grp1_idx", "grp2_idx", "same"]
+    chained = _chained(_pieces(rows, keys, "start1", "end1", "gap"), keys, _no_gene_chains)
 
+    def score(part: DataFrame) -> DataFrame:
+        rows, aggs = part, [F.count(F.lit(1)).alias("subs")]
+        for k in (1, 2):
+            w = Window.partitionBy(*keys, "chain").orderBy(f"start{k}", F.desc(f"end{k}"), "hit_idx").rowsBetween(Window.unboundedPreceding, -1)
+            rows = rows.withColumn(f"low{k}", F.greatest(F.col(f"start{k}"), F.coalesce(F.max(f"end{k}").over(w), F.lit(0)) + 1))
+            aggs += [F.sum(F.greatest(F.lit(0), F.col(f"end{k}") - F.col(f"low{k}") + 1)).alias(f"m{k}"), (F.max(f"end{k}") - F.min(f"start{k}") + 1).alias(f"span{k}")]
+        return rows.groupBy(*keys, "chain").agg(*aggs)
 
-def no_gene_clusters(hits: DataFrame, intron4: int = 4000, least_bases: int = NO_GENE_LENGTH) -> DataFrame:
-    """Hits without genes, chained per chromosome pair and strand within the smaller of four introns and 8000 on
-    both sides; chains of like spans (ratio 0.5), ``least_bases`` bases and 40 % cover on both sides stay."""
-    gap = min(intron4, 8000)
-    rows = hits.filter("annot1_idx is null and annot2_idx is null").select("hit_idx", "grp1_idx", "grp2_idx", same_strand(F.col("strand")).alias("same"), "start1", "end1", "start2", "end2")
-    keys = ["grp1_idx", "grp2_idx", "same"]
-    scored = chain_scores(chain_within(rows, keys, gap, gap), keys)
     cover = lambda k: 100.0 * F.col(f"m{k}") / F.col(f"span{k}") >= NO_GENE_COVER
-    return scored.filter((F.col("ratio") >= RATIO) & (F.least("m1", "m2") >= least_bases) & cover(1) & cover(2))
+    ratio = F.least("span1", "span2") / F.greatest("span1", "span2")
+    return _tested(chained, keys, score, (ratio >= RATIO) & (F.least("m1", "m2") >= least_bases) & cover(1) & cover(2))
 
 
 def _pile(frac: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -389,7 +542,7 @@ def find_piles(clusters: DataFrame, side: int, frac: float = 0.4) -> DataFrame:
     return rows.groupBy("grp1_idx", "grp2_idx").applyInPandas(_pile(frac), kinds).select("hit_idx", "pile")
 
 
-def filter_piles(clusters: DataFrame, n: int = 2, keep: float = 0.8, kept_types: tuple[str, ...] = ("EE", "EI", "En")) -> DataFrame:
+def filter_piles(clusters: DataFrame, n: int = 2, keep: float = 0.8, kept_types: tuple[str, ...] = ("EE", "EI")) -> DataFrame:
     """Clusters (with pile, type, length) that stay: kept types always; of the others the ``n`` longest, as far as they
     have ``keep`` x (whole bases) the length of the pile's longest, of any type."""
     kept = F.col("type").isin(*kept_types)

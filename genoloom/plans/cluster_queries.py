@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from genoloom.operators import annotation as an
 from genoloom.operators import cluster_bins as cb
 from genoloom.operators import cluster_pairs as cp
 from genoloom.operators.lineage import written
@@ -270,14 +271,32 @@ def _(v: Views) -> DataFrame:
     return cp.good_enough_and_minor(passed, pairs, v.genes)
 
 
+_CUTOFFS = """, it AS (SELECT proj_idx, e_end - e_start + 1 AS len, e_start - lag(e_end) OVER (PARTITION BY gene_idx ORDER BY e_start) - 1 AS intron FROM exons),
+st AS (SELECT proj_idx, coalesce(avg(CASE WHEN intron > 0 THEN intron END), 0) AS i, 100.0 * sum(len) / (SELECT sum(g_end - g_start + 1) FROM genes g WHERE g.proj_idx = it.proj_idx) AS c FROM it GROUP BY 1)"""
+
+
+@query(
+    "x10_pair_cutoffs",
+    _CUTOFFS + """ SELECT a.proj_idx AS proj1_idx, b.proj_idx AS proj2_idx, CAST(greatest(1000, least(9000, floor(a.i + b.i))) AS INT) AS intron2, CAST(greatest(1500, least(15000, floor(2 * (a.i + b.i)))) AS INT) AS intron4,
+  CAST(greatest(1000, least(2500, floor(greatest(1000, least(9000, floor(a.i + b.i))) / 2))) AS INT) AS rm, CAST(2 * least(20, round((a.c + b.c) / 2)) AS INT) AS cover2 FROM st a JOIN st b ON a.proj_idx <= b.proj_idx""",
+)
+def _(v: Views) -> DataFrame:
+    return cp.pair_cutoffs(an.gene_model_stats(v.genes, v.exons))
+
+
+def _cutoffs(v: Views) -> DataFrame:
+    return written(cp.pair_cutoffs(an.gene_model_stats(v.genes, v.exons)), "pair_cutoffs")
+
+
 @query("x10_one_gene_clusters")
 def _(v: Views) -> DataFrame:
-    return cp.one_gene_clusters(v.hits, 1).select("gene", "ogrp", "same", "chain", "subs", "m1", "m2")
+    rows = [cp.one_gene_clusters(v.hits, v.genes, v.exons, _covers(v)[k - 1], _cutoffs(v), k).select(F.lit(k).alias("side"), "gene", "ogrp", "same", "chain", "subs", "m1", "m2") for k in (1, 2)]
+    return rows[0].union(rows[1])
 
 
 @query("x11_no_gene_clusters")
 def _(v: Views) -> DataFrame:
-    return cp.no_gene_clusters(v.hits, least_bases=200).select("grp1_idx", "grp2_idx", "same", "chain", "subs", "m1", "m2")
+    return cp.no_gene_clusters(v.hits, _cutoffs(v), least_bases=200).select("grp1_idx", "grp2_idx", "same", "chain", "subs", "m1", "m2")
 
 
 def _piles(v: Views) -> DataFrame:

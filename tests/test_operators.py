@@ -222,3 +222,165 @@ def test_gene_pairs_trimmed_scored_and_assigned(spark):
     assert got[1, 3][1] == got[1, 2][1] != got[5, 4][1]
     none = cp.filter_gene_pairs(cp.pair_scores(trimmed.limit(0), hits, genes, exons), trimmed.limit(0), hits, genes, exons)
     assert cp.good_enough_and_minor(none, trimmed.limit(0), genes).count() == 0 and cp.trim_ends(trimmed.limit(0), hits, genes).count() == 0
+
+
+# --- clusters with a gene on one side or none, against the rules applied base by base ---
+
+
+def _bases(pairs):
+    return {b for s, e in pairs for b in range(s, e + 1)}
+
+
+def _share(a, b):
+    return min(100.0, 100.0 * a / max(b, 1))
+
+
+def _slow_chains(hits, links):
+    """First come, first taken: each hit in order takes all free later ones that link to it."""
+    home = {}
+    for i, a in enumerate(hits):
+        for b in hits[i + 1 :]:
+            if b[0] not in home and links(a, b):
+                home.setdefault(a[0], a[0])
+                home[b[0]] = home[a[0]]
+    groups = {}
+    for h in hits:
+        if h[0] in home:
+            groups.setdefault(home[h[0]], []).append(h)
+    return list(groups.values())
+
+
+def _lose(own, k, last, wide):
+    """``own`` (id, s1, e1, s2, e2, ...) without the first or last hit along side k, if its gap is too wide."""
+    s, e = (1, 2) if k == 1 else (3, 4)
+    order = sorted(own, key=lambda h: (h[s], h[e], h[0]))
+    if len(order) < 2:
+        return own
+    at, by = (order[-1], order[-2]) if last else order[:2]
+    return [h for h in own if h != at] if wide(max(at[s], by[s]) - min(at[e], by[e]) - 1, at) else own
+
+
+def _spans(own):
+    one, two = (max(h[e] for h in own) - min(h[s] for h in own) + 1 for s, e in ((1, 2), (3, 4)))
+    return min(one, two) / max(one, two)
+
+
+def _slow_one_gene(hits, gene, exons, intron2, rm, cover2):
+    inside = lambda h: len(_bases([h[1:3]]) & _bases(exons))
+    order = sorted(hits, key=lambda h: (h[3], -h[4], h[0]))
+    kept, loose = [], {h[0]: h for h in hits}
+
+    def good(own):
+        one, two = _bases([h[1:3] for h in own]), _bases([h[3:5] for h in own])
+        lo, hi = min(h[1] for h in own), max(h[2] for h in own)
+        g = _bases([gene])
+        cov1, cov2 = _share(len(one), hi - lo + 1), _share(len(two), max(h[4] for h in own) - min(h[3] for h in own) + 1)
+        gcov, golap, exon = _share(len(one & g), len(g)), _share(len(_bases([(lo, hi)]) & g), len(g)), _share(len(one & _bases(exons)), len(_bases(exons)))
+        frac = sum(100.0 * len(one & _bases([x])) / len(_bases([x])) for x in exons) / len(exons)
+        size, n, ratio = max(len(one), len(two)), len(own), _spans(own)
+        if cov2 * 3 < cov1 or ratio < 0.25 or (frac < 25 and gcov < 1 and golap < 1):
+            return False
+        if min(exon, golap, cov1) >= 97 or (size > 5000 and max(exon, frac) >= 60 and max(gcov, golap) >= 60 and cov1 >= cover2):
+            return True
+        if exon <= 0.001:
+            return size >= 3000 and max(gcov, golap) >= 50 and max(cov1, cov2) >= 60 and ratio >= 0.5
+        if size < 300:
+            return False
+        for k, (e, o) in enumerate([(60, 90), (35, 80), (30, 70), (25, 60)]):
+            if size < 1000 * (k + 1) and max(frac, exon) < e and max(golap, gcov) < o:
+                return False
+        if size < 5000 and exon < 30 and max(gcov, golap) < 25 or n == 2 and gcov < 25 and max(cov1, cov2) < 40:
+            return False
+        points = (max(exon, frac) > 25) + (max(gcov, golap) > 35)
+        if n > 1:
+            points += (min(cov1, cov2) > (60 if exon > 25 else 80)) + (size > 10000 and ratio > 0.5)
+        return points >= 2
+
+    for own in _slow_chains(order, lambda a, b: abs(b[3] - a[4]) <= intron2):
+        while True:
+            left = own
+            for last in (False, True):
+                left = _lose(left, 1, last, lambda gap, h: gap > intron2 or (gap > rm and not inside(h)))
+            if left == own:
+                break
+            own = left
+        while len(own) > 1 and _spans(own) < 0.7:
+            left = own
+            for last in (False, True):
+                left = _lose(left, 2, last, lambda gap, h: gap > rm)
+            if left == own:
+                break
+            own = left
+        if len(own) > 1 and good(own):
+            kept.append(sorted(h[0] for h in own))
+            for h in own:
+                del loose[h[0]]
+    return sorted(kept + [[i] for i, h in loose.items() if good([h])])
+
+
+def test_one_gene_clusters_against_the_rules(spark):
+    rng = np.random.default_rng(8)
+    genes = {1: (2000, 9000), 2: (15_000, 15_900), 3: (20_000, 32_000)}
+    exons = {1: [(2000, 2600), (4000, 4500), (8000, 9000)], 2: [(15_000, 15_900)], 3: [(20_000, 22_000), (25_000, 25_400), (30_000, 32_000)]}
+    hits = []
+    for g, (s, e) in genes.items():
+        for place in (5000, 60_000, 200_000):
+            at, far = int(rng.integers(s, e)), place
+            for _ in range(int(rng.integers(4, 9))):
+                n, m = int(rng.integers(80, 2600)), int(rng.integers(80, 2600))
+                at = int(np.clip(at + rng.integers(-1500, 2500), s - 200, e))
+                hits.append((len(hits) + 1, at, at + n, far, far + (n if rng.random() < 0.7 else m), g))
+                far += n + int(rng.choice([20, 300, 900, 1300, 4000]))
+        hits += [(len(hits) + 1, *exons[g][0], 400_000, 400_000 + exons[g][0][1] - exons[g][0][0], g)]
+    want = sorted(x for g in genes for x in _slow_one_gene([h[:5] for h in hits if h[5] == g], genes[g], exons[g], 1500, 700, 40))
+    kinds = "hit_idx long, proj1_idx int, proj2_idx int, grp1_idx int, grp2_idx int, start1 int, end1 int, start2 int, end2 int, annot1_idx long, annot2_idx long, strand string, pctid int, cvgpct int"
+    for side in (1, 2):  # the same world with its sides exchanged
+        pos = (lambda h: h[1:5]) if side == 1 else (lambda h: (*h[3:5], *h[1:3]))
+        df = spark.createDataFrame([(h[0], 1, 2, 11, 21, *pos(h), h[5] if side == 1 else None, h[5] if side == 2 else None, "+/+", 90, 80) for h in hits], kinds)
+        g = spark.createDataFrame([(k, 11 if side == 1 else 21, *v, "+") for k, v in genes.items()], "annot_idx long, grp_idx int, g_start int, g_end int, strand string")
+        x = spark.createDataFrame([(k, *y) for k, v in exons.items() for y in v], "gene_idx long, e_start int, e_end int")
+        cuts = spark.createDataFrame([(1, 2, 1500, 3000, 700, 40)], "proj1_idx int, proj2_idx int, intron2 int, intron4 int, rm int, cover2 int")
+        got = cp.one_gene_clusters(df, g, x, cp.hit_exon_cover(df, g, x, side), cuts, side).collect()
+        assert sorted((r["chain"], r["subs"]) for r in got) == sorted((min(w), len(w)) for w in want)
+    assert any(len(w) > 1 for w in want) and any(len(w) == 1 for w in want) and len(want) < len(hits)
+
+
+def test_no_gene_clusters_against_the_rules(spark):
+    rng = np.random.default_rng(9)
+    hits, at, far = [], 1000, 50_000
+    for k in range(90):
+        n, m = int(rng.integers(100, 1500)), int(rng.integers(100, 1500))
+        hits.append((k + 1, at, at + n, far, far + (n if rng.random() < 0.8 else m)))
+        at += n + int(rng.choice([-50, 30, 400, 800, 2500]))
+        far += int(rng.choice([1, 1, 1, -1])) * (n + int(rng.choice([30, 400, 800, 2500])))
+    order, kept, used = sorted(hits, key=lambda h: (h[1], -h[2], h[0])), [], set()
+
+    def good(own):
+        for s, e in ((1, 2), (3, 4)):
+            bases = _bases([(h[s], h[e]) for h in own])
+            if len(bases) < 1000 or 100 * len(bases) < 40 * (max(h[e] for h in own) - min(h[s] for h in own) + 1):
+                return False
+        return _spans(own) >= 0.5
+
+    for own in _slow_chains(order, lambda a, b: b[1] - a[2] <= 1200 and abs(b[3] - a[4]) <= 1200):
+        used |= {h[0] for h in own}
+        if _spans(own) < 0.1:
+            continue
+        for _ in range(5):
+            left = _lose(_lose(own, 2, False, lambda gap, h: gap > 500), 1, True, lambda gap, h: gap > 500)
+            used -= {h[0] for h in own} - {h[0] for h in left}
+            if left == own:
+                break
+            own = left
+        if len(own) > 1:
+            if good(own):
+                kept.append((min(h[0] for h in own), len(own)))
+            else:
+                used -= {h[0] for h in own}
+    kept += [(h[0], 1) for h in hits if h[0] not in used and good([h])]
+    kinds = "hit_idx long, proj1_idx int, proj2_idx int, grp1_idx int, grp2_idx int, start1 int, end1 int, start2 int, end2 int, annot1_idx long, annot2_idx long, strand string"
+    df = spark.createDataFrame([(h[0], 1, 2, 11, 21, *h[1:], None, None, "+/+") for h in hits], kinds)
+    cuts = spark.createDataFrame([(1, 2, 600, 1200, 500, 40)], "proj1_idx int, proj2_idx int, intron2 int, intron4 int, rm int, cover2 int")
+    got = cp.no_gene_clusters(df, cuts).collect()
+    assert sorted((r["chain"], r["subs"]) for r in got) == sorted(kept) and len(kept) > 5 and max(n for _, n in kept) > 1
+    assert cp.no_gene_clusters(df.limit(0), cuts).count() == 0
