@@ -10,7 +10,7 @@ from genoloom.operators.lineage import written
 
 #: Lengths up to here are kept apart in the histogram; beyond, by their leading ``STEP_BITS`` bits, so the
 #: histogram that the driver receives has under FINE + 64 * 2**STEP_BITS rows whatever the corpus holds.
-FINE, STEP_BITS = 32_768, 8
+FINE, STEP_BITS = 131_072, 10
 
 
 def length_bin(length: Column) -> Column:
@@ -73,17 +73,18 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     ``length`` is a column of token counts; by default the number of non-space words of ``text_col``. Columns:
     id, n_tokens, bucket (from 0, by length), padded (length that the bucket pads to), batch (text, unique),
     slot (place in the batch, from 0). Documents of no tokens, and null texts, are in bucket -1 with padding 0
-    and no batch (null). Rows of a repeated id keep a row each, in the same batch only by chance; null ids are
-    kept. An empty table gives an empty result.
+    and no batch (null). Rows of a repeated id and rows with a null id keep a row each, and are dealt to pieces by their
+    texts too. Ties of length go by id. Columns of other names are ignored. An empty table gives an empty result.
 
     Boundaries come from a dynamic program over the histogram of all lengths, which is exact up to FINE tokens
-    and has a bounded number of bins beyond; no bucket pads to more than its longest document. Ranks are
+    and has a bounded number of bins beyond, each 1 / 2**STEP_BITS of its lengths wide; no bucket pads to more than its longest document. Ranks are
     taken inside pieces of a bucket of about ``batch_rows`` documents, so no task holds a whole bucket; a
     document longer than the budget is a batch of its own.
     """
     size = length if length is not None else F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"\S+"))
-    # texts are read once; all that follows works on two numbers per document
-    rows = written(df.select(F.col(id_col), size.cast("long").alias("n_tokens")), "lengths")
+    # texts are read once; all that follows works on three numbers per document
+    spread = F.xxhash64(id_col, text_col) if text_col in df.columns else F.xxhash64(id_col)
+    rows = written(df.select(F.col(id_col), size.cast("long").alias("n_tokens"), spread.alias("__spread")), "lengths")
     bins = rows.filter("n_tokens > 0").groupBy(length_bin(F.col("n_tokens")).alias("bin")).agg(
         F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("top")
     )
@@ -100,11 +101,11 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
         rows.filter("n_tokens > 0")
         .withColumn("bucket", bucket)
         .withColumn("padded", F.element_at(F.array(*map(F.lit, upper)).cast("array<long>"), at))
-        .withColumn("piece", F.pmod(F.xxhash64(F.col(id_col), F.lit("piece")), F.element_at(F.array(*map(F.lit, pieces)).cast("array<long>"), at)))
+        .withColumn("piece", F.pmod(F.xxhash64("__spread"), F.element_at(F.array(*map(F.lit, pieces)).cast("array<long>"), at)))
     )
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("padded"), F.lit(1)))).cast("long")
     packed = placed.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("bucket", "piece").orderBy(id_col, "n_tokens")) - 1
+        "rank", F.row_number().over(Window.partitionBy("bucket", "piece").orderBy(id_col, "n_tokens", "__spread")) - 1
     )
     packed = packed.select(
         id_col, "n_tokens", "bucket", "padded",

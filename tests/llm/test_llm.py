@@ -291,6 +291,25 @@ def test_pack(spark, texts):
     assert all(sorted(r["slot"] for r in b) == list(range(len(b))) for b in batches.values())
 
 
+def test_pack_long_lengths_null_ids_repeats_and_ties(spark):
+    draw = random.Random(2)
+    top = packing.FINE
+    lengths = [draw.randint(1, 50) for _ in range(300)] + [top - 1, top, top + 1, 5 * top + 7, 5 * top + 8, 40 * top] + [7] * 100
+    rows = [(None if k % 3 == 0 else k // 2, "x", n, k) for k, n in enumerate(lengths)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens long, bucket int")
+    got = packing.pack(df, length=F.col("n_tokens"), buckets=5, budget=1000, batch_rows=40).collect()
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == Counter((i, n) for i, _, n, _ in rows)
+    batches = {}
+    for r in got:
+        assert r["n_tokens"] <= r["padded"]
+        batches.setdefault(r["batch"], []).append(r)
+    assert all(len(b) == 1 or len(b) * b[0]["padded"] <= 1000 for b in batches.values())
+    assert all(sorted(r["slot"] for r in b) == list(range(len(b))) for b in batches.values())
+    # padding of the exact lengths is the least possible for their boundaries: none pads past its longest document
+    for b in {r["bucket"] for r in got}:
+        assert max(r["n_tokens"] for r in got if r["bucket"] == b) == next(r["padded"] for r in got if r["bucket"] == b)
+
+
 # --- tokens ---
 
 
@@ -333,6 +352,19 @@ def test_token_files_of_repeated_and_null_ids(spark):
     assert [r["start"] for r in rows] == list(itertools.accumulate([0, *(r["n_tokens"] for r in rows[:-1])]))
 
 
+def test_bpe_of_long_words_repeats_and_null_ids(spark):
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    draw = random.Random(1)
+    texts = ["".join(draw.choice("abetz") for _ in range(20_000)), "日本語" * 4000, "word " * 30_000, "", None, "same", "same"]
+    df = spark.createDataFrame([(None if k % 2 else 7, t, [1], 2) for k, t in enumerate(texts)], "doc_id long, text string, ids array<int>, n_tokens int")
+    got = Counter((r["doc_id"], r["n_tokens"], bytes(r["ids"])) for r in bpe.encode_decode(df, path, P.PATTERN).collect())
+    want = [lib.encode_ordinary(t or "") for t in texts]
+    assert got == Counter((None if k % 2 else 7, len(w), np.array(w, "<u4").tobytes()) for k, w in enumerate(want))
+
+
 def test_segments_of_any_width():
     draw = np.random.default_rng(4)
     for n in (0, 1, 3, 4, 5, 70_001):
