@@ -106,11 +106,31 @@ def filter_hit_map(hits: DataFrame, block: bool = False, sets: bool = False, bot
     return hits.filter((F.col("pctid") >= pctid) & shown)
 
 
-def conserved_three_way(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Reference genes (annot_idx) with hits to both neighbours (2) or to one alone (1)."""
-    a, b = left.select("annot_idx").distinct(), right.select("annot_idx").distinct()
-    both = a.join(b, "annot_idx", "left_semi").withColumn("sides", F.lit(2))
-    return both.union(a.join(b, "annot_idx", "left_anti").withColumn("sides", F.lit(1))).union(b.join(a, "annot_idx", "left_anti").withColumn("sides", F.lit(1)))
+def conserved_three_way(left: DataFrame, right: DataFrame, both: bool = True) -> DataFrame:
+    """Hits that conserve a reference gene to its two neighbours: (side, hit_idx, annot_idx, mark).
+
+    ``left`` and ``right``: hit_idx, annot_idx (the reference gene), genes (2: a gene on both sides, 1: on the
+    reference's alone) and visible. A two-gene hit that is not visible completes a gene that has visible ones to the
+    other neighbour only; of several, the first. Marks: ``shared`` for visible two-gene hits of genes with such hits to
+    both neighbours (``both``) or to exactly one; ``completes`` for the completing hit; ``may_complete`` for visible
+    one-gene hits of genes with two-gene hits to the other neighbour and none marked on this side."""
+    sides = {"L": left, "R": right}
+    two = {k: v.filter("genes = 2") for k, v in sides.items()}
+    seen = {k: v.filter("visible").select("annot_idx").distinct().withColumn(f"seen{k}", F.lit(True)) for k, v in two.items()}
+    fill = {k: v.filter("not visible").groupBy("annot_idx").agg(F.min("hit_idx").alias(f"fill{k}")) for k, v in two.items()}
+    state = seen["L"].join(seen["R"], "annot_idx", "full").join(fill["L"], "annot_idx", "left").join(fill["R"], "annot_idx", "left").fillna(False, ["seenL", "seenR"])
+    for k, o in (("L", "R"), ("R", "L")):
+        state = state.withColumn(f"fill{k}", F.when(~F.col(f"seen{k}") & F.col(f"seen{o}"), F.col(f"fill{k}"))).withColumn(f"has{k}", F.col(f"seen{k}") | F.col(f"fill{k}").isNotNull())
+    green = F.col("hasL") & F.col("hasR") if both else F.col("hasL") != F.col("hasR")
+    out = None
+    for k, o in (("L", "R"), ("R", "L")):
+        rows = sides[k].join(state.withColumn("green", green), "annot_idx")
+        done = (F.col("green") & F.col(f"has{k}")) | F.col(f"fill{k}").isNotNull()
+        mark = F.when((F.col("genes") == 2) & F.col("visible") & F.col("green"), "shared").when(F.col("hit_idx") == F.col(f"fill{k}"), "completes")
+        mark = mark.when((F.col("genes") == 1) & F.col("visible") & F.col(f"has{o}") & ~done, "may_complete")
+        part = rows.select(F.lit(k).alias("side"), "hit_idx", "annot_idx", mark.alias("mark")).filter("mark is not null")
+        out = part if out is None else out.union(part)
+    return out
 
 
 def circle_blocks(blocks: DataFrame) -> DataFrame:

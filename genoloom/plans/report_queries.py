@@ -60,7 +60,15 @@ def _set_genes(v: Views) -> DataFrame:
     return side(1, 2).union(side(2, 1)).join(rank, ["grp_idx", "rank"]).select("set_id", "annot_idx", "proj_idx", "oproj")
 
 
-@query("r4_collinear_report")
+@query(
+    "r4_collinear_report",
+    _RANKED + """, sid AS (SELECT *, dense_rank() OVER (ORDER BY grp1_idx, grp2_idx, same, diag, run) AS set_id FROM sets),
+own AS (SELECT DISTINCT set_id, annot_idx, CAST(floor(sid.grp2_idx / 10) AS INT) AS oproj FROM sid JOIN ranks r ON r.grp_idx = sid.grp1_idx AND r.rank = sid.rank1 WHERE sid.grp1_idx < 20
+  UNION SELECT DISTINCT set_id, annot_idx, CAST(floor(sid.grp1_idx / 10) AS INT) FROM sid JOIN ranks r ON r.grp_idx = sid.grp2_idx AND r.rank = sid.rank2 WHERE sid.grp2_idx < 20),
+e AS (SELECT DISTINCT x.annot_idx AS a, y.annot_idx AS b FROM own x JOIN own y ON x.set_id = y.set_id),
+u AS (SELECT * FROM (WITH RECURSIVE w(node, top) AS (SELECT a, a FROM e UNION SELECT e.b, w.top FROM w JOIN e ON e.a = w.node) SELECT node, min(top) AS top FROM w GROUP BY node))
+SELECT top AS union_gene, count(DISTINCT annot_idx) AS genes, count(DISTINCT set_id) AS sets, count(DISTINCT oproj) AS species FROM own JOIN u ON node = annot_idx GROUP BY top HAVING count(DISTINCT oproj) = 2""",
+)
 def _(v: Views) -> DataFrame:
     return rp.collinear_report(_set_genes(v), 1, [2, 3])
 
@@ -352,14 +360,28 @@ def _(v: Views) -> DataFrame:
     return part[0].union(part[1]).union(part[2])
 
 
+def _three_way_sql(both: bool) -> str:
+    ok = "fl AND fr" if both else "fl <> fr"
+    done = lambda k: f"(({ok}) AND f{k} OR ({'NOT sl AND sr AND il' if k == 'l' else 'NOT sr AND sl AND ir'} IS NOT NULL))"
+    part = lambda k, o: f"""SELECT '{'both' if both else 'one'}' AS mode, '{k.upper()}' AS side, hit_idx, annot_idx, CASE WHEN genes = 2 AND visible AND ({ok}) THEN 'shared' WHEN genes = 2 AND NOT visible AND NOT s{k} AND s{o} AND hit_idx = i{k} THEN 'completes'
+  WHEN genes = 1 AND visible AND f{o} AND NOT {done(k)} THEN 'may_complete' END AS mark FROM tw JOIN ws USING (annot_idx) WHERE side = '{k.upper()}' AND (sl OR sr)"""
+    return f"SELECT * FROM ({part('l', 'r')} UNION ALL {part('r', 'l')}) WHERE mark IS NOT NULL"
+
+
 @query(
     "v5_conserved_three_way",
-    _LINKS + """, l AS (SELECT DISTINCT annot_idx FROM links WHERE proj_idx = 2 AND oproj = 1), r AS (SELECT DISTINCT annot_idx FROM links WHERE proj_idx = 2 AND oproj = 3)
-SELECT coalesce(l.annot_idx, r.annot_idx) AS annot_idx, CAST(CASE WHEN l.annot_idx IS NULL OR r.annot_idx IS NULL THEN 1 ELSE 2 END AS INT) AS sides FROM l FULL JOIN r ON l.annot_idx = r.annot_idx""",
+    """, tw AS (SELECT 'L' AS side, hit_idx, annot2_idx AS annot_idx, CASE WHEN annot1_idx IS NULL THEN 1 ELSE 2 END AS genes, pctid >= 75 AS visible FROM hits WHERE proj1_idx = 1 AND proj2_idx = 2 AND annot2_idx IS NOT NULL
+UNION ALL SELECT 'R', hit_idx, annot1_idx, CASE WHEN annot2_idx IS NULL THEN 1 ELSE 2 END, pctid >= 75 FROM hits WHERE proj1_idx = 2 AND proj2_idx = 3 AND annot1_idx IS NOT NULL),
+wa AS (SELECT annot_idx, coalesce(bool_or(side = 'L' AND visible) FILTER (genes = 2), false) AS sl, coalesce(bool_or(side = 'R' AND visible) FILTER (genes = 2), false) AS sr,
+  min(hit_idx) FILTER (side = 'L' AND genes = 2 AND NOT visible) AS il, min(hit_idx) FILTER (side = 'R' AND genes = 2 AND NOT visible) AS ir FROM tw GROUP BY 1),
+ws AS (SELECT *, sl OR (sr AND il IS NOT NULL) AS fl, sr OR (sl AND ir IS NOT NULL) AS fr FROM wa) """ + _three_way_sql(True) + " UNION ALL " + _three_way_sql(False),
 )
 def _(v: Views) -> DataFrame:
-    links = qu.gene_links(v.hits).filter("proj_idx = 2")
-    return su.conserved_three_way(links.filter("oproj = 1"), links.filter("oproj = 3"))
+    seen = F.col("pctid") >= 75
+    side = lambda p, q, ref, other: v.hits.filter((F.col("proj1_idx") == p) & (F.col("proj2_idx") == q) & F.col(ref).isNotNull()).select("hit_idx", F.col(ref).alias("annot_idx"), F.when(F.col(other).isNull(), 1).otherwise(2).alias("genes"), seen.alias("visible"))
+    left, right = side(1, 2, "annot2_idx", "annot1_idx"), side(2, 3, "annot1_idx", "annot2_idx")
+    rows = [su.conserved_three_way(left, right, both).select(F.lit("both" if both else "one").alias("mode"), "side", "hit_idx", "annot_idx", "mark") for both in (True, False)]
+    return rows[0].union(rows[1])
 
 
 @query("v6_circle_blocks", " SELECT block_idx, grp1_idx, grp2_idx, start1, end2 FROM blocks UNION ALL SELECT block_idx, grp2_idx, grp1_idx, start2, end1 FROM blocks")

@@ -14,6 +14,8 @@ from genoloom.operators import blocks as bl
 from genoloom.operators import cluster_pairs as cp
 from genoloom.operators import collinear as co
 from genoloom.operators import conversion as cv
+from genoloom.operators import query as qu
+from genoloom.operators import reports as rp
 from genoloom.operators.graph import connected_components
 from genoloom.operators.ordering import global_rank
 from genoloom.sources import text as tx
@@ -384,3 +386,32 @@ def test_no_gene_clusters_against_the_rules(spark):
     got = cp.no_gene_clusters(df, cuts).collect()
     assert sorted((r["chain"], r["subs"]) for r in got) == sorted(kept) and len(kept) > 5 and max(n for _, n in kept) > 1
     assert cp.no_gene_clusters(df.limit(0), cuts).count() == 0
+
+
+def _greedy_link_rows(edges, species):
+    """Genes by species, then number; each goes to the first row it fits, tried against every gene of the row."""
+    rows = []
+    for g in sorted(species, key=lambda g: (species[g], g)):
+        for row in rows:
+            if all(species[g] != species[o] and ((g, o) in edges or (o, g) in edges) for o in row):
+                row.append(g)
+                break
+        else:
+            rows.append([g])
+    return [sorted(r, key=lambda g: species[g]) for r in rows if len(r) > 1]
+
+
+def test_cluster_link_rows_against_a_slow_walk(spark):
+    rng = np.random.default_rng(4)
+    species = {g: g % 3 + 1 for g in range(1, 31)}
+    edges = {(int(a), int(b)) for a, b in rng.integers(1, 31, (110, 2)) if species[int(a)] < species[int(b)]}
+    hits = spark.createDataFrame([*edges, *list(edges)[:5]], "annot1_idx long, annot2_idx long")
+    genes = spark.createDataFrame(list(species.items()), "annot_idx long, proj_idx int")
+    clusters = qu.gene_clusters(hits)
+    of = {r["annot_idx"]: r["cluster"] for r in clusters.collect()}
+    want = []
+    for c in set(of.values()):
+        own = {g: species[g] for g in of if of[g] == c}
+        want += [(c, ",".join(f"{species[g]}:{g}" for g in r), len(r), len(r) * (len(r) - 1) // 2) for r in _greedy_link_rows({e for e in edges if e[0] in own}, own)]
+    got = [(r["cluster"], r["genes"], r["species"], r["links"]) for r in rp.cluster_link_rows(clusters, hits, genes).collect()]
+    assert sorted(got) == sorted(want) and any(w[2] == 3 for w in want)
