@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from genoloom.functions.intervals import islands
 from genoloom.functions.scalars import same_strand
 from genoloom.operators.annotation import number_genes
 from genoloom.operators.hits import hit_gene_overlaps
@@ -536,10 +537,11 @@ def _pile(frac: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 def find_piles(clusters: DataFrame, side: int, frac: float = 0.4) -> DataFrame:
     """(hit_idx, pile): along a side of a chromosome pair, a cluster joins the first earlier seed that it overlaps
-    by over ``frac`` of either length, else it is a seed; greedy, so one task per chromosome pair."""
+    by over ``frac`` of either length, else it is a seed; greedy, in a task per stretch of overlapping clusters."""
     rows = clusters.select("hit_idx", "grp1_idx", "grp2_idx", F.col(f"start{side}").alias("start"), F.col(f"end{side}").alias("end"))
+    rows = islands(rows, ["grp1_idx", "grp2_idx"], "start", "end")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", pile long"
-    return rows.groupBy("grp1_idx", "grp2_idx").applyInPandas(_pile(frac), kinds).select("hit_idx", "pile")
+    return rows.groupBy("grp1_idx", "grp2_idx", "island").applyInPandas(_pile(frac), kinds).select("hit_idx", "pile")
 
 
 def filter_piles(clusters: DataFrame, n: int = 2, keep: float = 0.8, kept_types: tuple[str, ...] = ("EE", "EI")) -> DataFrame:

@@ -65,9 +65,18 @@ def scan_runs(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def scanned_sets(ranked: DataFrame) -> DataFrame:
     """Runs as the sequential rule finds them in hit order: each hit is in one run at most, hits between are
-    skipped, and a run's scan ends at the first hit that steps too far. One task per chromosome pair and strand."""
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema) + ", run long, size long"
-    return ranked.groupBy("grp1_idx", "grp2_idx", "same").applyInPandas(scan_runs, kinds)
+    skipped, and a run's scan ends at the first hit that steps too far.
+
+    Where all hits from one on have side-1 ranks two or more above all before it, no run goes on, so a chromosome
+    pair and strand is cut there and each piece is scanned alone; runs are numbered through afterwards."""
+    keys = ["grp1_idx", "grp2_idx", "same"]
+    w = Window.partitionBy(*keys).orderBy("hitnum", "hit_idx")
+    before = F.max("rank1").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min("rank1").over(Window.partitionBy(*keys).orderBy(F.desc("hitnum"), F.desc("hit_idx")))
+    cut = ranked.withColumn("__after", after).withColumn("__before", before).withColumn("piece", F.sum(F.when(F.col("__after") - F.col("__before") <= 1, 0).otherwise(1)).over(w)).drop("__after", "__before")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", run long, size long"
+    found = cut.groupBy(*keys, "piece").applyInPandas(scan_runs, kinds)
+    return found.withColumn("run", F.dense_rank().over(Window.partitionBy(*keys).orderBy("piece", "run")).cast("long")).drop("piece")
 
 
 def renumber_sets(sets: DataFrame, keys: list[str]) -> DataFrame:

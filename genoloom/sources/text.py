@@ -127,7 +127,7 @@ def read_tables(spark: SparkSession, path: str, names: list[str]) -> dict[str, D
 def delimited(df: DataFrame, sep: str, row_number: list[Column] | None = None) -> DataFrame:
     """Rows as text of one column ``value``, nulls empty; with ``row_number``, numbered in that order first."""
     cols = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
-    quoted = [F.when(c.contains(sep) | c.contains('"'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c) for c in cols]
+    quoted = [F.when(c.contains(sep) | c.rlike("[\"\r\n]"), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c) for c in cols]
     if row_number:
         quoted = [F.row_number().over(Window.orderBy(*row_number)).cast("string"), *quoted]
     return df.select(F.concat_ws(sep, *quoted).alias("value"))

@@ -415,3 +415,27 @@ def test_cluster_link_rows_against_a_slow_walk(spark):
         want += [(c, ",".join(f"{species[g]}:{g}" for g in r), len(r), len(r) * (len(r) - 1) // 2) for r in _greedy_link_rows({e for e in edges if e[0] in own}, own)]
     got = [(r["cluster"], r["genes"], r["species"], r["links"]) for r in rp.cluster_link_rows(clusters, hits, genes).collect()]
     assert sorted(got) == sorted(want) and any(w[2] == 3 for w in want)
+
+
+def test_scan_in_pieces_equals_one_scan(spark):
+    rng = np.random.default_rng(6)
+    rank1 = np.sort(np.concatenate([rng.integers(1, 40, 50), rng.integers(60, 90, 40), rng.integers(91, 100, 10)])) + rng.integers(-1, 2, 100)
+    rows = pd.DataFrame({"hit_idx": range(100), "hitnum": range(1, 101), "grp1_idx": 1, "grp2_idx": 2, "same": True, "rank1": rank1, "rank2": rank1 + rng.integers(0, 2, 100)})
+    whole = co.scan_runs(rows)
+    got = co.scanned_sets(spark.createDataFrame(rows, "hit_idx long, hitnum int, grp1_idx int, grp2_idx int, same boolean, rank1 int, rank2 int")).collect()
+    assert sorted((r["hit_idx"], r["run"], r["size"]) for r in got) == sorted(zip(whole["hit_idx"], whole["run"], whole["size"], strict=True)) and whole["run"].nunique() > 8
+
+
+def test_piles_by_stretch_equal_one_walk(spark):
+    rng = np.random.default_rng(7)
+    start = rng.integers(1, 3000, 120)
+    rows = pd.DataFrame({"hit_idx": range(120), "grp1_idx": 1, "grp2_idx": 2, "start": start, "end": start + rng.integers(5, 90, 120)})
+    whole = cp._pile(0.4)(rows)
+    df = spark.createDataFrame(rows.rename(columns={"start": "start1", "end": "end1"}), "hit_idx long, grp1_idx int, grp2_idx int, start1 int, end1 int")
+    got = {r["hit_idx"]: r["pile"] for r in cp.find_piles(df, 1).collect()}
+    assert got == dict(zip(whole["hit_idx"], whole["pile"], strict=True)) and len(set(got.values())) > 20
+
+
+def test_delimited_quotes_line_breaks(spark):
+    df = spark.createDataFrame([("a\nb", 'c"d', "e,f", None)], "a string, b string, c string, d string")
+    assert tx.delimited(df, ",").first()["value"] == '"a\nb","c""d","e,f",'
