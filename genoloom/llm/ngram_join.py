@@ -22,6 +22,8 @@ WORD = re.compile(r"\w+")
 CACHE = 1_000_000
 #: Columns of one slab of the brute-force product.
 SLAB = 4096
+#: Elements from which on a set draws without putting back.
+FEW = 64
 #: Bytes of sets in one piece of a merged group, and of the text of a set by which recall is measured.
 PIECE_BYTES, PROBE_BYTES = 16_000_000, 20_000
 
@@ -54,15 +56,47 @@ class Shingler:
         return np.unique(out)
 
 
-def sampled(shingles: np.ndarray, first: int, count: int) -> np.ndarray:
-    """Sampled elements ``first`` to ``first + count`` of a set: the one of least hash under each of as many hash
-    functions, so two sets share a sample with a chance of their Jaccard similarity."""
-    draw = np.random.default_rng([3, first]).integers(1, 2**63, (2, count, 1), dtype=np.uint64)
-    best = np.full(count, 2**64 - 1, np.uint64)
-    for lo in range(0, len(shingles), 8192):
-        x = (shingles[None, lo : lo + 8192] ^ draw[0]) * (draw[1] | np.uint64(1))
-        best = np.minimum(best, (x ^ (x >> np.uint64(32))).min(1))
-    return best
+def sampled(shingles: np.ndarray, first: int, runs: int, depth: int, least: float) -> list[np.ndarray]:
+    """Sampled elements of a set for runs ``first`` to ``first + runs``, ``depth`` each, as one or two tables of runs.
+
+    A set of under ``FEW`` / ``least`` elements draws each from a hash function of its own (the element of least hash), so two
+    sets share a drawn element with a chance of their similarity. One of ``FEW`` or more draws the elements of its
+    ``depth`` least hashes under one function a run, which for so many elements comes to nearly the same chance. Sets
+    of sizes between draw both ways, so two sets of similarity ``least`` or more always have one way in common.
+    """
+    out = []
+    for kind, count in ((0, runs * depth), (1, runs)):
+        if (len(shingles) > FEW / least) if kind == 0 else (len(shingles) < FEW):
+            continue
+        draw = np.random.default_rng([3 + kind, first]).integers(1, 2**63, (2, count, 1), dtype=np.uint64)
+        best = np.full((count, depth if kind else 1), 2**64 - 1, np.uint64)
+        for lo in range(0, len(shingles), 8192):
+            x = (shingles[None, lo : lo + 8192] ^ draw[0]) * (draw[1] | np.uint64(1))
+            x ^= x >> np.uint64(32)
+            if kind:
+                x = np.concatenate([best, x], axis=1)
+                best = np.sort(np.partition(x, depth - 1, axis=1)[:, :depth], axis=1)
+            else:
+                best = np.minimum(best, x.min(1, keepdims=True))
+        out.append(best.reshape(runs, depth))
+    return out
+
+
+def path_hashes(tables: list[np.ndarray], first: int, least: int) -> list[int]:
+    """Of each run of :func:`sampled`, a hash for each of its paths of ``least`` elements to all, as signed numbers."""
+    out = []
+    for chosen in tables:
+        runs, depth = chosen.shape
+        # every run of either way has hash functions of its own, so that paths only meet their like
+        acc = np.arange(first, first + runs, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        steps = np.empty((runs, depth - least + 1), np.uint64)
+        for d in range(depth):
+            acc = (acc ^ chosen[:, d]) * np.uint64(0x9E3779B97F4A7C15)
+            acc ^= acc >> np.uint64(29)
+            if d + 1 >= least:
+                steps[:, d + 1 - least] = acc
+        out += steps.view(np.int64).ravel().tolist()
+    return out
 
 
 def set_key(shingles: np.ndarray) -> tuple[int, int]:
@@ -116,7 +150,10 @@ def linked(
 
     # a fixed number of sets, whose neighbours are found by comparing them with every document, tell the recall
     own_shingles = Shingler(width)
-    asked = rows.filter(F.octet_length("text") < PROBE_BYTES).orderBy(F.xxhash64("id", "text"), "id").limit(probes).select("text").collect()
+    # (the least hash of each of as many parts of all rows, so tasks send no more than that many numbers on)
+    numbered = rows.filter(F.octet_length("text") < PROBE_BYTES).withColumn("h", F.xxhash64("id", "text"))
+    picked = numbered.groupBy(F.pmod("h", F.lit(probes)).alias("part")).agg(F.min("h").alias("h")).select("h")
+    asked = numbered.join(F.broadcast(picked), "h").dropDuplicates(["h"]).select("text").collect()
     probed = [x for x in {set_key(y): y for y in (own_shingles(r["text"]) for r in asked)}.items() if len(x[1])]
     probe_sizes = np.array([len(x) for _, x in probed], np.int64)
     flat = np.concatenate([np.zeros(0, np.uint64), *(x for _, x in probed)])
@@ -144,8 +181,7 @@ def linked(
                     keys.append(set_key(own))
                     sizes.append(len(own))
                     near.append(neighbours(own) if len(own) and not first else [])
-                    chosen = sampled(own, first * depth[1], runs * depth[1]).reshape(runs, depth[1]) if len(own) else []
-                    paths.append([xxhash.xxh3_64_intdigest(p[:d].tobytes(), first + r) - 2**63 for r, p in enumerate(chosen) for d in range(depth[0], depth[1] + 1)])
+                    paths.append(path_hashes(sampled(own, first, runs, depth[1], least), first, depth[0]) if len(own) else [])
                 yield pd.DataFrame({"id": pdf["id"].to_numpy(), "mark": pdf["mark"].to_numpy(), "h1": [k[0] for k in keys], "h2": [k[1] for k in keys], "size": sizes, "near": near, "paths": paths})
 
         return sign
