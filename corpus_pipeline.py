@@ -1,7 +1,10 @@
 """Cleaning and packing of ``documents``: each stage applies one operator to all that the stage before kept.
 
 Stages take (spark, docs, sf_dir) and return a DataFrame that is written as Parquet and read again as the next
-stage's documents; all but the last return the columns of documents.
+stage's documents; all but the last return the columns of documents. In every stage rows are judged by their own texts:
+null and empty texts, null ids and ids of several rows are kept as they are unless the stage says otherwise, texts of any
+length are read whole, further columns pass through (but for names that begin with two underscores), and an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,7 +28,9 @@ def _columns(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under 0.5; the machine learns from this input's labelled documents."""
+    """Documents whose toxicity score is under 0.5; the machine learns from this input's labelled documents. Rows of
+    one id and equal texts have equal scores, so they stay or go together; null and empty texts are scored as texts
+    without words."""
     ship_package(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     learned = labels.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
@@ -51,7 +56,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that also stand elsewhere."""
+    """All documents, without the passages that also stand elsewhere. A row that repeats another's text loses all of
+    it that is long enough, with both rows, so near copies are dropped before; null texts stay null."""
     ship_package(spark)
     key = suffix_dedup.doc_key("doc_id", "text")
     cut = suffix_dedup.remove_repeats(docs, length=PASSAGE_BYTES, coarse=128, fine=64, keep_text=True, words=PASSAGE_WORDS)
@@ -61,14 +67,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark."""
+    """All documents, with secrets replaced by a mark wherever they stand in their text; null texts stay null."""
     ship_package(spark)
     path = "source" if "source" in docs.columns else None
     return _columns(secret_scan.mask_secrets(docs, path_col=path), docs)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Length buckets and batches of the documents that are left."""
+    """Length buckets and batches of the documents that are left, a row each; texts without words have no batch."""
     ship_package(spark)
     return packing.pack(docs)
 
