@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from genoloom.llm import ann, bpe, embed_dedup, license_scan, ngram_join, packing, secret_scan, suffix_dedup, token_file, toxicity
+from genoloom.llm import ann, bpe, embed_dedup, license_scan, ngram_join, packing, ranked_search, secret_scan, sharding, spelling, suffix_dedup, token_file, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,11 +62,24 @@ def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op11_bag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(sharding.shuffle(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_cover_tree_dedup, op2_small_world_search, op3_length_packing, op4_suffix_dedup, op5_byte_bpe,
         op6_token_file, op7_license_rules, op8_ngram_join, op9_factor_toxicity, op10_secret_forest,
+        op11_bag_search, op12_spelling_variants, op13_hypergeometric_shards,
     )
 }
 
@@ -116,4 +129,7 @@ FROM t LEFT JOIN (SELECT src, count(*) AS n, min(dst) FILTER (same) AS c FROM li
 LEFT JOIN comp ON comp.src = t.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_cover_tree_dedup": _OP1, "op7_license_rules": license_scan.scan_sql(), "op8_ngram_join": _OP8}
+ORACLES: dict[str, str] = {
+    "op1_cover_tree_dedup": _OP1, "op7_license_rules": license_scan.scan_sql(), "op8_ngram_join": _OP8,
+    "op11_bag_search": ranked_search.SEARCH_SQL, "op12_spelling_variants": spelling.VARIANTS_SQL,
+}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -13,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from genoloom.llm import ann, bpe, embed_dedup, license_scan, ngram_join, packing, secret_scan, suffix_dedup, token_file, toxicity
+from genoloom.llm import ann, bpe, embed_dedup, license_scan, ngram_join, packing, ranked_search, secret_scan, sharding, spelling, suffix_dedup, token_file, toxicity
 
 P = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, source string, score double, key string, id long"
@@ -707,3 +708,236 @@ def test_pipeline_stages(spark, sf_dir):
         assert n <= before if name in ("toxicity", "ngram_jaccard_join") else n == before
         docs, before = out, n
     assert before > 0
+
+
+# --- ranked search ---
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+FOLD = str.maketrans(ranked_search.UPPER, ranked_search.LOWER)
+
+
+def slow_search(docs, items, most=50):
+    """docs and items: (id, text)."""
+    bag = [Counter(TERM.findall((t or "").translate(FOLD))) for _, t in docs]
+    sizes = [sum(b.values()) for b in bag]
+    n, total = sum(x > 0 for x in sizes), max(1, sum(sizes))
+    df = Counter(w for b in bag for w in b)
+    wanted = {}
+    for i, t in items:
+        wanted.setdefault(i, set()).update(TERM.findall((t or "").translate(FOLD)))
+    out = []
+    for i, terms in wanted.items():
+        scored = []
+        for (d, _), b, size in zip(docs, bag, sizes, strict=True):
+            m = 50 + 50 * size * n // total
+            s = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[w] + 1))) * (10**9 * b[w] // (1000 * b[w] + 20 * m)) for w in terms if w in b)
+            if s > 0:
+                scored.append((-s, d is None, d or 0))
+        out += [(i, r, None if none else d, -s) for r, (s, none, d) in enumerate(sorted(scored)[:most], 1)]
+    return sorted(out, key=str)
+
+
+def found_by_search(spark, docs, items, **more):
+    rows = ranked_search.search(spark.createDataFrame(docs, "doc_id long, text string, item_id long, score string"), spark.createDataFrame(items, "item_id long, text string, doc_id long"), **more)
+    assert rows.columns == ["item_id", "rank", "doc_id", "score"]
+    return sorted(map(tuple, rows.collect()), key=str)
+
+
+@pytest.mark.parametrize("most", [3, 50])
+def test_search_equals_brute_force(spark, texts, monkeypatch, most):
+    monkeypatch.setattr(ranked_search, "PIECE", 100)
+    items = [(k, " ".join(t.split()[:30]), 1) for k, t in enumerate(t for t in texts if t and len(t.split()) > 20)] + [(90, None, 1), (91, "?!", 1), (92, "ΑΣ naïve É", 1), (None, "one", 1), (0, "one two", 1)]
+    docs = [(k, t) for k, t in enumerate(texts)] + [(None, texts[0]), (None, texts[0]), (3000, texts[0]), (3, texts[0]), (3, "One, ONE\x00two"), (4000, "ΑΣ É é")]
+    rows = [(*d, 7, "x") for d in docs]
+    assert found_by_search(spark, rows, items, most=most) == slow_search(docs, [(i, t) for i, t, _ in items], most)
+    # in many blocks of few items and tables of few cells
+    monkeypatch.setattr(ranked_search, "BLOCK_ITEMS", 9)
+    monkeypatch.setattr(ranked_search, "CELLS", 1)
+    assert found_by_search(spark, rows, items, most=most) == slow_search(docs, [(i, t) for i, t, _ in items], most)
+
+
+def test_search_of_a_class_of_many_copies(spark):
+    docs = [(5000 - k, "alpha beta beta", 1, "") for k in range(3000)] + [(k, "alpha", 1, "") for k in range(20)] + [(9000, "gamma", 1, "")]
+    items = [(1, "beta", 0), (2, "alpha gamma", 0)]
+    assert found_by_search(spark, docs, items) == slow_search([d[:2] for d in docs], [i[:2] for i in items])
+
+
+def test_search_without_rows(spark):
+    assert found_by_search(spark, [], [(1, "one", 0)]) == []
+    assert found_by_search(spark, [(1, "one", 0, "")], []) == []
+    assert found_by_search(spark, [(1, None, 0, ""), (2, " ", 0, "")], [(1, "one", 0), (2, None, 0)]) == []
+
+
+# --- spelling variants ---
+
+
+def slow_words(docs):
+    """docs: (id, text); the words and their occurrences."""
+    n = Counter()
+    for d, t in docs:
+        for r in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            r = r.translate(FOLD)
+            h = zlib.crc32(f"{'' if d is None else d}:{r}".encode())
+            if h % 31 == 0:
+                r = r[: h % len(r)] + r[h % len(r) + 1 :]
+            n[r] += len(r) >= 7
+    return {w: k for w, k in n.items() if k >= 2}
+
+
+def slow_variants(docs):
+    n = slow_words(docs)
+    letters = set("".join(n))
+    near, form = {}, {}
+    for w in n:
+        cut = {w[:i] + w[i + 1 :] for i in range(len(w))}
+        put = {w[:i] + c + w[i:] for i in range(len(w) + 1) for c in letters}
+        new = {w[:i] + c + w[i + 1 :] for i in range(len(w)) for c in letters}
+        near[w] = ((cut | put | new) - {w}) & n.keys()
+        best = min(near[w], key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best and n[best] >= 10 * n[w] else None
+
+    def root(w):
+        return root(form[w]) if form[w] else w
+
+    return sorted((w, form[w], root(w), n[w], len(near[w]), n[form[w]] if form[w] else None) for w in n)
+
+
+def found_variants(spark, docs):
+    rows = spelling.variants(spark.createDataFrame([(d, t, 1, "") for d, t in docs], "doc_id long, text string, n long, word string"))
+    assert rows.columns == ["word", "form", "root", "n", "n_near", "form_n"]
+    return sorted(map(tuple, rows.collect()))
+
+
+def misspelled(draw, alphabet, count):
+    words = ["".join(draw.choice(alphabet) for _ in range(draw.randint(7, 9))) for _ in range(count)]
+    for _ in range(count * 4):
+        w = draw.choice(words)
+        i = draw.randrange(len(w))
+        words.append(draw.choice([w[:i] + w[i + 1 :], w[:i] + draw.choice(alphabet) + w[i + 1 :], w[:i] + draw.choice(alphabet) + w[i:]]))
+    return words
+
+
+@pytest.mark.parametrize("alphabet, parts", [("ab", 4), ("abc", 9), ("abé÷ÿÀ", 4)])
+def test_variants_equal_brute_force(spark, monkeypatch, alphabet, parts):
+    draw = random.Random(len(alphabet))
+    words = misspelled(draw, alphabet, 120)
+    docs = [(k, draw.choice([" ", "-", "\n", "Ā", "日"]).join(draw.choice(words[: 5 if k % 3 else 600]).title() for _ in range(150))) for k in range(60)]
+    docs += [(None, docs[0][1]), (1, docs[1][1]), (1, docs[2][1]), (70, None), (71, ""), (72, " ".join(words[:1] * 300 + words[1:2] * 30)), (73, "b" * 300), (74, "b" * 300), (75, "b" * 301), (76, "b" * 301)]
+    monkeypatch.setattr(spelling, "PIECE", 50)
+    monkeypatch.setattr(spelling, "HELD", 20)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = found_variants(spark, docs)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found == slow_variants(docs) and any(r[1] for r in found)
+
+
+def test_chains_of_forms_are_followed(spark):
+    docs = [(k, " ".join(["abcdefgh"] * 2 + ["abcdefg"] * 20 + ["abcdeffg"] * 200 + ["abbdeffg"] * 2000)) for k in range(1)]
+    found = found_variants(spark, docs)
+    assert found == slow_variants(docs) and {r[2] for r in found} == {"abbdeffg"}
+
+
+def test_very_long_words(spark):
+    docs = [(k, "x" * 30_000 + "y" * (20_000 + k // 2)) for k in range(4)]
+    found = found_variants(spark, docs)
+    assert [(r[0], r[3]) for r in found] == sorted(slow_words(docs).items()) and [len(r[0]) for r in found] == [50_000, 50_001]
+    assert [(r[1], r[4]) for r in found] == [(None, 1), (None, 1)]
+
+
+def test_no_variants(spark):
+    assert found_variants(spark, []) == []
+    assert found_variants(spark, [(1, None), (2, "short wrd wrd"), (3, "uniqueword")]) == []
+
+
+def test_shared_nodes_name_the_trie(spark):
+    """However the words are dealt, two words share a node's number exactly where they share its prefix."""
+    draw = random.Random(4)
+    words = sorted({"".join(draw.choice("ab") for _ in range(draw.randint(1, 7))) for _ in range(200)} | {"", "a" * 40})
+    frame = spark.createDataFrame(list(enumerate(words)), "id long, text string")
+    for parts in (1, 5, 60):
+        dealt = frame.repartitionByRange(parts, "text").withColumn("part", F.spark_partition_id())
+        nodes = dict(map(tuple, spelling.shared_nodes(dealt.select("id", "text", "part")).collect()))
+        by_number, prefixes = {}, Counter(w[:d] for w in words for d in range(len(w) + 1))
+        assert nodes.keys() == set(range(len(words)))
+        for k, path in nodes.items():
+            assert len(path) == sum(prefixes[words[k][:d]] > 1 for d in range(len(words[k]) + 1))
+            for d, x in enumerate(path):
+                assert by_number.setdefault(x, words[k][:d]) == words[k][:d]
+        assert len(by_number) == sum(n > 1 for n in prefixes.values())
+
+
+# --- shards ---
+
+
+def test_hypergeometric_counts():
+    draw = np.random.default_rng(1)
+    for good, bad, n in ((3, 4, 5), (0, 5, 2), (5, 0, 3), (40, 60, 30), (1, 10**12, 10**11)):
+        got = np.array([sharding.hypergeometric(draw, good, bad, n) for _ in range(4000)])
+        assert got.min() >= max(0, n - bad) and got.max() <= min(n, good)
+        mean = n * good / (good + bad)
+        var = mean * (bad / (good + bad)) * (good + bad - n) / max(1, good + bad - 1)
+        assert abs(got.mean() - mean) <= 5 * math.sqrt(var / 4000) + 1e-12 and abs(got.var() - var) <= 0.15 * var + 1e-12
+    exact = [math.comb(6, k) * math.comb(7, 5 - k) / math.comb(13, 5) for k in range(6)]
+    got = Counter(sharding.hypergeometric(draw, 6, 7, 5) for _ in range(20_000))
+    assert all(abs(got[k] / 20_000 - p) < 0.015 for k, p in enumerate(exact))
+
+
+def test_matrix_has_the_sums_and_its_law():
+    draw = np.random.default_rng(2)
+    sizes, room = [7, 0, 100, 3], sharding.shard_sizes(110, 8)
+    m = sharding.draw_matrix(sizes, room, draw)
+    assert m.sum(1).tolist() == sizes and m.sum(0).tolist() == room.tolist() == [14] * 6 + [13] * 2
+    # two rows of two balls into two shards of two: 1, 4 and 1 of 6 permutations
+    seen = Counter(int(sharding.draw_matrix([2, 2], np.array([2, 2]), draw)[0, 0]) for _ in range(6000))
+    assert all(abs(seen[k] / 6000 - p) < 0.03 for k, p in enumerate((1 / 6, 4 / 6, 1 / 6)))
+
+
+def test_shuffle_is_whole_gapless_and_even(spark, texts):
+    docs = docs_of(spark, [*texts, *texts[:9]]).union(docs_of(spark, [None, "x"])).withColumn("Shard", F.lit("a")).withColumn("slot", F.lit(1)).repartition(7)
+    rows = sharding.shuffle(docs, 6, 3)
+    assert rows.columns == [*DOCS.replace(" long", "").replace(" string", "").replace(" double", "").split(", "), "shard", "slot"]
+    got = rows.collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((r["doc_id"], r["text"]) for r in docs.collect())
+    by = {}
+    for r in got:
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert [len(by[s]) for s in range(6)] == sharding.shard_sizes(len(got), 6).tolist()
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    for r in sharding.digest(rows).collect():
+        assert r["law"] == "rows" and r["grown_shard"] is None and r["size"] >= 16
+    a, b = docs.limit(0), sharding.shuffle(docs.limit(0))
+    assert b.count() == 0 and sharding.digest(b).columns[0] == "doc_id" and a.count() == 0
+
+
+def test_digest_of_shards(spark):
+    rows = spark.createDataFrame([(1, "é", 0, 0), (2, None, 0, 1), (3, "", 1, 0)], "doc_id long, text string, shard int, slot long")
+    assert [tuple(r)[:3] for r in sharding.digest(rows).collect()] == [(1, 18, zlib.crc32("é".encode())), (2, 16, 0), (3, 16, 0)]
+
+
+def test_shuffle_in_cells_and_blocks(spark, monkeypatch):
+    """Every shard in many cells, partitions in several blocks; each row is as likely in each place."""
+    monkeypatch.setattr(sharding, "CELL_ROWS", 4)
+    monkeypatch.setattr(sharding, "BLOCK", 2)
+    seen = np.zeros((30, 30))
+    rows = spark.range(30).repartition(5).cache()
+    for seed in range(15):
+        got = sharding.shuffle(rows, 3, seed).collect()
+        assert sorted((r["shard"], r["slot"]) for r in got) == [(s, k) for s in range(3) for k in range(10)]
+        for r in got:
+            seen[r["id"], 10 * r["shard"] + r["slot"]] += 1
+    chi = ((seen - 15 / 30) ** 2 / (15 / 30)).sum()
+    assert abs(chi - 29 * 29) < 5 * math.sqrt(2 * 29 * 29)
+
+
+def test_written_shards_read_back(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"text {k % 9}") for k in range(100)], "doc_id long, text string")
+    got = sharding.write_shards(docs, str(tmp_path / "out"), 8).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(100))
+    for folder in sorted((tmp_path / "out").glob("shard=*")):
+        part = [r["slot"] for f in sorted(folder.glob("*.parquet")) for r in spark.read.parquet(str(f)).collect()]
+        assert len(part) in (12, 13) and sorted(part) == list(range(len(part)))
