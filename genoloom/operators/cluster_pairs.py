@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from genoloom.functions.scalars import same_strand
 from genoloom.operators.annotation import number_genes
 from genoloom.operators.hits import hit_gene_overlaps
 from genoloom.operators.lineage import written
+from genoloom.operators.ordering import carried, deal
+from genoloom.operators.pieces import walk_pieces
 
 #: Fixed cutoffs (in %, bases or as ratios).
 EXON, GENE, LENGTHS, RATIO, COVER = (20, 25), (25, 35, 50), (300, 1000, 5000, 10000), 0.5, (60, 80, 97)
@@ -517,31 +520,63 @@ def no_gene_clusters(hits: DataFrame, cutoffs: DataFrame, least_bases: int = NO_
     return _tested(chained, keys, score, (ratio >= RATIO) & (F.least("m1", "m2") >= least_bases) & cover(1) & cover(2))
 
 
-def _pile(frac: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["start", "end", "hit_idx"])
-        seeds: list[tuple[int, int, int]] = []
-        out = []
-        for r in rows.itertuples(index=False):
-            seeds = [x for x in seeds if x[2] >= r.start]
-            size = r.end - r.start + 1
-            hit = next((s for s, a, b in seeds if (o := min(b, r.end) - max(a, r.start) + 1) > frac * size or o > frac * (b - a + 1)), None)
-            if hit is None:
-                hit = int(r.hit_idx)
-                seeds.append((hit, int(r.start), int(r.end)))
-            out.append(hit)
-        return rows.assign(pile=out)
+#: Open intervals that are compared at once.
+COMPARED = 4096
+
+
+def first_overlaps(start: np.ndarray, end: np.ndarray, frac: float) -> np.ndarray:
+    """For intervals in order of their starts, the first earlier one that shares over ``frac`` of either length with
+    it, else -1. Those whose end is passed leave the list of open ones."""
+    size = end - start + 1
+    out = np.full(len(start), -1, np.int64)
+    open_ = np.zeros(0, np.int64)
+    added: list[int] = []
+    for i in range(len(start)):
+        if len(added) > 64 + len(open_) // 8:
+            open_ = np.concatenate([open_, np.array(added, np.int64)])
+            open_ = open_[end[open_] >= start[i]]
+            added = []
+        for at in range(0, len(open_), COMPARED):
+            some = open_[at : at + COMPARED]
+            shared = np.minimum(end[some], end[i]) - start[i] + 1
+            big = (shared > frac * size[i]) | (shared > frac * size[some])
+            if big.any():
+                out[i] = some[big.argmax()]
+                break
+        else:
+            for j in added:
+                shared = min(end[j], end[i]) - start[i] + 1
+                if shared > frac * size[i] or shared > frac * size[j]:
+                    out[i] = j
+                    break
+        added.append(i)
+    return out
+
+
+def _pile(frac: float) -> Callable[[dict[str, np.ndarray]], tuple]:
+    def work(rows: dict[str, np.ndarray]) -> tuple:
+        if len(rows["start"]) == 1:
+            return rows["hit_idx"], rows["hit_idx"]
+        pile = rows["hit_idx"].copy()
+        for i, j in enumerate(first_overlaps(rows["start"].astype(np.int64), rows["end"].astype(np.int64), frac).tolist()):
+            if j >= 0:
+                pile[i] = pile[j]
+        return rows["hit_idx"], pile
 
     return work
 
 
 def find_piles(clusters: DataFrame, side: int, frac: float = 0.4) -> DataFrame:
-    """(hit_idx, pile): along a side of a chromosome pair, a cluster joins the first earlier seed that it overlaps
-    by over ``frac`` of either length, else it is a seed; greedy, in a task per stretch of overlapping clusters."""
-    rows = clusters.select("hit_idx", "grp1_idx", "grp2_idx", F.col(f"start{side}").alias("start"), F.col(f"end{side}").alias("end"))
-    rows = islands(rows, ["grp1_idx", "grp2_idx"], "start", "end")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", pile long"
-    return rows.groupBy("grp1_idx", "grp2_idx", "island").applyInPandas(_pile(frac), kinds).select("hit_idx", "pile")
+    """(hit_idx, pile): along a side of a chromosome pair, by start, longer first, a cluster is in the pile of the first
+    cluster before it that shares over ``frac`` of either length with it, be that one the first of its pile or a member;
+    else it begins a pile, which bears its number. Stretches of clusters that touch are walked alone; where they
+    begin is a running value that is carried from range to range."""
+    pair, order = ["grp1_idx", "grp2_idx"], ["start", "-end", "hit_idx"]
+    rows = clusters.select("hit_idx", *pair, F.col(f"start{side}").alias("start"), F.col(f"end{side}").alias("end"))
+    rows = carried(deal(rows, pair, order), pair, order, reach=("max", "end", "before"))
+    new = F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)
+    rows = carried(rows, pair, order, stretch=("sum", new, "upto")).drop("reach", "__range")
+    return walk_pieces(rows, [*pair, "stretch"], order, _pile(frac), {"hit_idx": "long", "pile": "long"})
 
 
 def filter_piles(clusters: DataFrame, n: int = 2, keep: float = 0.8, kept_types: tuple[str, ...] = ("EE", "EI")) -> DataFrame:

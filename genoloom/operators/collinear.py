@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_left
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoloom.functions.scalars import same_strand
+from genoloom.operators.ordering import carried, deal
+from genoloom.operators.pieces import walk_pieces
 
 
 def gene_rank(genes: DataFrame) -> DataFrame:
@@ -35,47 +39,136 @@ def diagonal_sets(ranked: DataFrame, least: int = 2) -> DataFrame:
     return sized.filter(F.col("size") >= least)
 
 
-def scan_runs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One chromosome pair and strand class in hit order: runs as the step rule finds them, each hit in one."""
-    rows = pdf.sort_values(["hitnum", "hit_idx"])
-    r1, r2 = rows["rank1"].to_numpy(), rows["rank2"].to_numpy()
-    same = bool(rows["same"].iloc[0])
-    step = 1 if same else -1
-    n, run_of, sizes = len(rows), [0] * len(rows), {}
+class NextBreaker:
+    """The first place from one on whose rank1 reaches a bound and whose rank2 is not a given one, in logarithmic time: a
+    tree over the places, whose nodes hold the greatest rank1, its rank2, and the greatest rank1 of any other rank2."""
+
+    NONE = (-1, -1, -1)
+
+    def __init__(self, rank1: list[int], rank2: list[int], gone: list[int]) -> None:
+        self.size = 1 << max(0, len(rank1) - 1).bit_length()
+        leaves = [self.NONE if gone[k] else (rank1[k], rank2[k], -1) for k in range(len(rank1))]
+        self.node = [self.NONE] * self.size + leaves + [self.NONE] * (self.size - len(leaves))
+        for k in range(self.size - 1, 0, -1):
+            self._join(k)
+
+    def _join(self, k: int) -> None:
+        a, b = self.node[2 * k], self.node[2 * k + 1]
+        if a[0] < b[0]:
+            a, b = b, a
+        self.node[k] = (a[0], a[1], max(a[2], b[0] if b[1] != a[1] else b[2]))
+
+    def drop(self, at: int) -> None:
+        k = at + self.size
+        self.node[k] = self.NONE
+        while k > 1:
+            k //= 2
+            self._join(k)
+
+    def first(self, start: int, least: int, but: int) -> int | None:
+        able = lambda x: (x[0] if x[1] != but else x[2]) >= least
+        k = start + self.size
+        if start >= self.size:
+            return None
+        while not able(self.node[k]):
+            while k & 1:  # a right child: go up
+                k //= 2
+            if not k:
+                return None
+            k += 1
+        while k < self.size:
+            k = 2 * k if able(self.node[2 * k]) else 2 * k + 1
+        return k - self.size
+
+
+#: Hits that a scan looks through before it asks its indexes.
+PROBED = 24
+
+
+def scan_runs(rank1: list[int], rank2: list[int], step: int, later: int) -> tuple[list[int], list[int]]:
+    """(run, size) of each hit of a piece in hit order, 0 for hits of no set.
+
+    From each hit that is in no set yet, in order, a run goes on to the next such hit one step further on both sides
+    (``step`` is the sign of side 2) and ends at one that is over one step further on side 1 and not one on side 2; hits of
+    sets are passed over. A scan that neither goes on nor ends has come to the last hit, and ends the whole walk. ``later``
+    says what follows the piece, whose ranks on side 1 are all out of reach: nothing (-1), hits that end any scan (-2), or
+    only hits of this one rank on side 2."""
+    n = len(rank1)
+    run, size = [0] * n, [0] * n
+    places: dict[tuple[int, int], list[int]] = {}
+    tree: NextBreaker | None = None
+
+    def event(at: int) -> tuple[int | None, bool]:
+        """The next hit that ends the scan or takes it on, and whether it takes it on."""
+        nonlocal tree
+        x, y = rank1[at] + 1, rank2[at] + step
+        stop = min(n, at + 1 + PROBED)
+        for j in range(at + 1, stop):
+            if not run[j]:
+                if rank1[j] == x and rank2[j] == y:
+                    return j, True
+                if rank1[j] > x and rank2[j] != y:
+                    return j, False
+        if stop == n:
+            return None, False
+        if tree is None:
+            tree = NextBreaker(rank1, rank2, run)
+            for j in range(n):
+                places.setdefault((rank1[j], rank2[j]), []).append(j)
+        same = places.get((x, y), [])
+        k = bisect_left(same, stop)
+        while k < len(same) and run[same[k]]:
+            k += 1
+        on, end = same[k] if k < len(same) else None, tree.first(stop, x + 1, y)
+        if end is None or (on is not None and on < end):
+            return on, on is not None
+        return end, False
+
     number = 0
-    for i in range(n):
-        if run_of[i]:
+    for start in range(n):
+        if run[start]:
             continue
-        chain, at = [i], i
-        for j in range(i + 1, n):
-            d1, d2 = r1[j] - r1[at], r2[j] - r2[at]
-            if d1 > 1 and d2 != 1:
-                break
-            if d1 == 1 and d2 == step and not run_of[j]:
-                chain.append(j)
-                at = j
-        if len(chain) >= 2:
+        chain, (at, more) = [start], event(start)
+        while more:
+            chain.append(at)
+            at, more = event(at)
+        if len(chain) > 1:
             number += 1
             for j in chain:
-                run_of[j] = number
-            sizes[number] = len(chain)
-    out = rows.assign(run=run_of, size=[sizes.get(k, 0) for k in run_of])
-    return out[out["run"] > 0]
+                run[j], size[j] = number, len(chain)
+                if tree is not None:
+                    tree.drop(j)
+        if at is None and later in (-1, rank2[chain[-1]] + step):
+            break
+    return run, size
+
+
+def _scan_piece(rows: dict[str, np.ndarray]) -> tuple:
+    low, high = rows["low2"][-1], rows["high2"][-1]
+    later = int(low) if low == high else -2
+    run, size = scan_runs(rows["rank1"].tolist(), rows["rank2"].tolist(), 1 if rows["same"][0] else -1, later)
+    some = np.flatnonzero(run)
+    return *(rows[c][some] for c in _SCANNED), np.array(run)[some], np.array(size)[some]
+
+
+_SCANNED = {"hit_idx": "long", "hitnum": "int", "grp1_idx": "int", "grp2_idx": "int", "same": "boolean", "rank1": "int", "rank2": "int", "piece": "long"}
 
 
 def scanned_sets(ranked: DataFrame) -> DataFrame:
-    """Runs as the sequential rule finds them in hit order: each hit is in one run at most, hits between are
-    skipped, and a run's scan ends at the first hit that steps too far.
-
-    Where all hits from one on have side-1 ranks two or more above all before it, no run goes on, so a chromosome
-    pair and strand is cut there and each piece is scanned alone; runs are numbered through afterwards."""
-    keys = ["grp1_idx", "grp2_idx", "same"]
-    w = Window.partitionBy(*keys).orderBy("hitnum", "hit_idx")
-    before = F.max("rank1").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min("rank1").over(Window.partitionBy(*keys).orderBy(F.desc("hitnum"), F.desc("hit_idx")))
-    cut = ranked.withColumn("__after", after).withColumn("__before", before).withColumn("piece", F.sum(F.when(F.col("__after") - F.col("__before") <= 1, 0).otherwise(1)).over(w)).drop("__after", "__before")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", run long, size long"
-    found = cut.groupBy(*keys, "piece").applyInPandas(scan_runs, kinds)
+    """Runs as the sequential rule finds them in hit order (:func:`scan_runs`), of two hits and more: each hit is in one run
+    at most, hits between are skipped, and the walk along a chromosome pair and strand class ends with the first scan that
+    comes to its last hit.
+
+    Where all hits from one on have side-1 ranks two or more above all before it, no run goes on, so the class is cut there
+    and each piece is walked alone, with the span of side-2 ranks of all that follows: that decides whether a scan still
+    open at the piece's end is ended by what follows or comes to the last hit. Cuts and spans are running values that are
+    carried from range to range. Runs are numbered through afterwards."""
+    keys, order = ["grp1_idx", "grp2_idx", "same"], ["hitnum", "hit_idx"]
+    dealt = deal(ranked.select(*[c for c in _SCANNED if c != "piece"]), keys, order)
+    rows = carried(dealt, keys, order, before=("max", "rank1", "before"), rest=("min", "rank1", "from"), low2=("min", "rank2", "after"), high2=("max", "rank2", "after"))
+    cut = F.when(F.col("rest") - F.col("before") <= 1, 0).otherwise(1)
+    rows = carried(rows, keys, order, piece=("sum", cut, "upto")).withColumns({k: F.coalesce(k, F.lit(-1)) for k in ("low2", "high2")}).drop("before", "rest", "__range")
+    found = walk_pieces(rows, [*keys, "piece"], order, _scan_piece, {**_SCANNED, "run": "long", "size": "long"})
     return found.withColumn("run", F.dense_rank().over(Window.partitionBy(*keys).orderBy("piece", "run")).cast("long")).drop("piece")
 
 

@@ -303,7 +303,16 @@ def _piles(v: Views) -> DataFrame:
     return cp.find_piles(v.hits_one, 1)
 
 
-@query("x12_find_piles")
+@query(
+    "x12_find_piles",
+    """ SELECT hit_idx, pile FROM (WITH RECURSIVE c AS MATERIALIZED (
+    SELECT hit_idx, grp1_idx, grp2_idx, start1 AS s, end1 AS e, row_number() OVER (PARTITION BY grp1_idx, grp2_idx ORDER BY start1, end1 DESC, hit_idx) AS k FROM hits_one),
+  head AS MATERIALIZED (SELECT y.hit_idx, arg_min(x.hit_idx, x.k) AS up FROM c x JOIN c y ON x.grp1_idx = y.grp1_idx AND x.grp2_idx = y.grp2_idx AND x.k < y.k AND x.e >= y.s
+    WHERE least(x.e, y.e) - y.s + 1 > 0.4 * (y.e - y.s + 1) OR least(x.e, y.e) - y.s + 1 > 0.4 * (x.e - x.s + 1) GROUP BY y.hit_idx),
+  down AS (SELECT hit_idx, hit_idx AS pile FROM c WHERE hit_idx NOT IN (SELECT hit_idx FROM head)
+    UNION ALL SELECT head.hit_idx, down.pile FROM down JOIN head ON head.up = down.hit_idx)
+  SELECT hit_idx, pile FROM down) z""",
+)
 def _(v: Views) -> DataFrame:
     return _piles(v)
 

@@ -6,6 +6,7 @@ import gzip
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from genoloom.functions import intervals as iv
@@ -14,6 +15,7 @@ from genoloom.operators import blocks as bl
 from genoloom.operators import cluster_pairs as cp
 from genoloom.operators import collinear as co
 from genoloom.operators import conversion as cv
+from genoloom.operators import ordering as od
 from genoloom.operators import query as qu
 from genoloom.operators import reports as rp
 from genoloom.operators.graph import connected_components
@@ -35,10 +37,51 @@ def test_suffix_runs_past_z(spark):
     assert got[1] == "a" and got[26] == "z" and got[27] == "a2" and got[29] == "c2"
 
 
+def _slow_runs(rank1, rank2, step):
+    """The rule of collinear runs over a whole chromosome pair and strand class, hit by hit."""
+    n, run, number = len(rank1), [0] * len(rank1), 0
+    ended = False
+    for first in range(n):
+        if run[first] or ended:
+            continue
+        members, ended = [first], True
+        for j in range(first + 1, n):
+            d1, d2 = rank1[j] - rank1[members[-1]], step * (rank2[j] - rank2[members[-1]])
+            if run[j]:
+                continue
+            if (d1, d2) == (1, 1):
+                members.append(j)
+            elif d1 > 1 and d2 != 1:
+                ended = False
+                break
+        if len(members) > 1:
+            number += 1
+            for j in members:
+                run[j] = number
+    return run
+
+
 def test_collinear_scan_skips_and_stops():
-    rows = pd.DataFrame({"hit_idx": range(6), "hitnum": range(1, 7), "same": True, "rank1": [1, 2, 2, 3, 9, 10], "rank2": [1, 5, 2, 3, 8, 9]})
-    got = co.scan_runs(rows.assign(grp1_idx=1, grp2_idx=2))
-    assert got["run"].tolist() == [1, 1, 1, 2, 2] and got["size"].tolist() == [3, 3, 3, 2, 2]
+    run, size = co.scan_runs([1, 2, 2, 3, 9, 10, 30], [1, 5, 2, 3, 8, 9, 1], 1, -1)
+    assert run == [1, 0, 1, 1, 2, 2, 0] and size == [3, 0, 3, 3, 2, 2, 0]
+    # opposite strands: a step of -1 on side 2 goes on; where side 1 goes too far it doesn't end a scan, any other does
+    assert co.scan_runs([5, 7, 6], [9, 8, 8], -1, -1)[0] == [1, 0, 1]
+    assert co.scan_runs([5, 7, 6, 90], [9, 10, 8, 1], -1, -1)[0] == [0, 0, 0, 0]
+    # a hit of a set ends no scan
+    assert co.scan_runs([1, 1, 2, 4, 3, 2, 9], [1, 7, 2, 4, 3, 8, 1], 1, -1)[0] == _slow_runs([1, 1, 2, 4, 3, 2, 9], [1, 7, 2, 4, 3, 8, 1], 1)
+    # the walk ends with the first scan that comes to the last hit
+    assert co.scan_runs([1, 2, 2, 3], [1, 2, 8, 9], 1, -1)[0] == [1, 1, 0, 0] == _slow_runs([1, 2, 2, 3], [1, 2, 8, 9], 1)
+
+
+@pytest.mark.parametrize("step, probed", [(1, 24), (-1, 24), (1, 0), (-1, 1)])
+def test_scan_equals_a_slow_walk(monkeypatch, step, probed):
+    monkeypatch.setattr(co, "PROBED", probed)
+    rng = np.random.default_rng(10 * step + probed + 50)
+    for _ in range(150):
+        n = int(rng.integers(1, 90))
+        rank1 = np.sort(rng.integers(1, n // 2 + 3, n)) + rng.integers(0, 3, n)
+        rank2 = (step * rank1 + 50 + rng.integers(-1, 2, n)).tolist()
+        assert co.scan_runs(rank1.tolist(), rank2, step, -1)[0] == _slow_runs(rank1.tolist(), rank2, step)
 
 
 def test_chain_needs_seven_hits():
@@ -135,9 +178,39 @@ def test_global_rank_over_ranges(spark):
     assert got == [(a, 101 - a) for a in range(101)] and global_rank(df.limit(0), [F.asc("a")], "place").count() == 0
 
 
-def test_piles_are_greedy():
-    rows = pd.DataFrame({"hit_idx": [1, 2, 3], "grp1_idx": 1, "grp2_idx": 2, "start": [1, 40, 90], "end": [100, 140, 200]})
-    assert cp._pile(0.4)(rows)["pile"].tolist() == [1, 1, 3]
+def _slow_piles(rows, frac=0.4):
+    """rows: (id, start, end); every cluster, in a pile or not, takes those after it that are in none."""
+    rows = sorted(rows, key=lambda r: (r[1], -r[2], r[0]))
+    pile = {}
+    for k, (i, a, b) in enumerate(rows):
+        for j, c, d in rows[k + 1 :]:
+            shared = min(b, d) - max(a, c) + 1
+            if j not in pile and shared > 0 and (shared > frac * (b - a + 1) or shared > frac * (d - c + 1)):
+                pile[j] = pile.setdefault(i, i)
+    return {i: pile.get(i, i) for i, _, _ in rows}
+
+
+def _piles(spark, rows):
+    df = spark.createDataFrame([(i, a, b, 1 + i % 2 if len(rows) > 50 else 1) for i, a, b in rows], "hit_idx long, start1 int, end1 int, grp1_idx int").withColumn("grp2_idx", F.lit(2))
+    return {r["hit_idx"]: r["pile"] for r in cp.find_piles(df, 1).collect()}
+
+
+def test_members_of_a_pile_take_others_in(spark):
+    chain = [(1, 1, 100), (2, 50, 149), (3, 100, 199), (4, 400, 500), (5, 199, 300)]
+    assert _piles(spark, chain) == _slow_piles(chain) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    # the first before it decides, even if it begins no pile of others
+    mixed = [(1, 1, 10), (2, 8, 60), (3, 9, 12), (4, 20, 25), (5, 24, 70)]
+    assert _piles(spark, mixed) == _slow_piles(mixed)
+
+
+@pytest.mark.parametrize("compared, width", [(4096, 90), (3, 90), (4096, 1500)])
+def test_piles_equal_a_slow_walk(spark, monkeypatch, compared, width):
+    monkeypatch.setattr(cp, "COMPARED", compared)
+    rng = np.random.default_rng(width + compared)
+    rows = [(i, int(a), int(a + n)) for i, (a, n) in enumerate(zip(rng.integers(1, 6000, 400), rng.integers(5, width, 400), strict=True))]
+    want = {i: p for g in (0, 1) for i, p in _slow_piles([r for r in rows if r[0] % 2 == g]).items()}
+    found = _piles(spark, rows)
+    assert found == want and 1 < len(set(found.values())) < 300
 
 
 def test_components_chain_star_and_empty(spark):
@@ -417,23 +490,46 @@ def test_cluster_link_rows_against_a_slow_walk(spark):
     assert sorted(got) == sorted(want) and any(w[2] == 3 for w in want)
 
 
-def test_scan_in_pieces_equals_one_scan(spark):
+RANKED = "hit_idx long, hitnum int, grp1_idx int, grp2_idx int, same boolean, rank1 int, rank2 int"
+
+
+@pytest.mark.parametrize("partitions", [1, 4])
+def test_sets_in_pieces_equal_a_slow_walk(spark, partitions):
+    """Several chromosome pairs and both strands, in hit order with gaps, dealt out by range."""
     rng = np.random.default_rng(6)
-    rank1 = np.sort(np.concatenate([rng.integers(1, 40, 50), rng.integers(60, 90, 40), rng.integers(91, 100, 10)])) + rng.integers(-1, 2, 100)
-    rows = pd.DataFrame({"hit_idx": range(100), "hitnum": range(1, 101), "grp1_idx": 1, "grp2_idx": 2, "same": True, "rank1": rank1, "rank2": rank1 + rng.integers(0, 2, 100)})
-    whole = co.scan_runs(rows)
-    got = co.scanned_sets(spark.createDataFrame(rows, "hit_idx long, hitnum int, grp1_idx int, grp2_idx int, same boolean, rank1 int, rank2 int")).collect()
-    assert sorted((r["hit_idx"], r["run"], r["size"]) for r in got) == sorted(zip(whole["hit_idx"], whole["run"], whole["size"], strict=True)) and whole["run"].nunique() > 8
-
-
-def test_piles_by_stretch_equal_one_walk(spark):
-    rng = np.random.default_rng(7)
-    start = rng.integers(1, 3000, 120)
-    rows = pd.DataFrame({"hit_idx": range(120), "grp1_idx": 1, "grp2_idx": 2, "start": start, "end": start + rng.integers(5, 90, 120)})
-    whole = cp._pile(0.4)(rows)
-    df = spark.createDataFrame(rows.rename(columns={"start": "start1", "end": "end1"}), "hit_idx long, grp1_idx int, grp2_idx int, start1 int, end1 int")
-    got = {r["hit_idx"]: r["pile"] for r in cp.find_piles(df, 1).collect()}
-    assert got == dict(zip(whole["hit_idx"], whole["pile"], strict=True)) and len(set(got.values())) > 20
+    rows, want = [], {}
+    for grp1, same in [(g, s) for g in range(6) for s in (True, False)]:
+        n = int(rng.integers(3, 160))
+        rank1 = np.sort(np.concatenate([rng.integers(a, a + 12, n // 3 + 1) for a in (1, 15, 40)]))
+        rank1 = np.maximum(1, rank1 + rng.integers(-1, 2, len(rank1)))
+        step = 1 if same else -1
+        rank2 = step * rank1 + 100 + rng.integers(0, 2, len(rank1))
+        if grp1 == 5:  # what follows the first piece is of one rank on side 2
+            rank1, rank2 = np.array([1, 1, 2, 2, 9, 9]), np.array([60, 70, 60 + step, 70 + step, 60 + 2 * step, 60 + 2 * step])
+        ids = rng.permutation(len(rank1)) + 1000 * len(want)
+        run = _slow_runs(rank1.tolist(), rank2.tolist(), step)
+        for k, r in enumerate(run):
+            rows.append((int(ids[k]), k + 1, grp1, 2, same, int(rank1[k]), int(rank2[k])))
+            if r:
+                want[int(ids[k])] = (r, run.count(r))
+    df = spark.createDataFrame(rows, RANKED).repartition(partitions)
+    found = co.scanned_sets(df).collect()
+    assert {r["hit_idx"]: (r["run"], r["size"]) for r in found} == want and len(found) == len(want)
+    assert co.scanned_sets(df.limit(0)).count() == 0
+
+
+def test_carried_values_over_ranges(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(k % 3 == 0), int(x), i) for i, (k, x) in enumerate(zip(rng.integers(0, 6, 300), rng.integers(0, 50, 300), strict=True))]
+    dealt = od.deal(spark.createDataFrame(rows, "k int, x int, id int").repartition(3), ["k"], ["-x", "id"])
+    assert dealt.select("__range").distinct().count() > 1
+    got = {r["id"]: r for r in od.carried(dealt, ["k"], ["-x", "id"], top=("max", "id", "before"), low=("min", "id", "from"), total=("sum", "x", "upto"), rest=("max", "x", "after")).collect()}
+    assert len(got) == 300
+    for k in (0, 1):
+        own = sorted((r for r in rows if r[0] == k), key=lambda r: (-r[1], r[2]))
+        for p, (_, _, i) in enumerate(own):
+            want = (max((r[2] for r in own[:p]), default=None), min(r[2] for r in own[p:]), sum(r[1] for r in own[: p + 1]), max((r[1] for r in own[p + 1 :]), default=None))
+            assert (got[i]["top"], got[i]["low"], got[i]["total"], got[i]["rest"]) == want
 
 
 def test_delimited_quotes_line_breaks(spark):
