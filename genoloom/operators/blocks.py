@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from genoloom.functions.intervals import bin_join, midpoint
 from genoloom.functions.scalars import pearson, reverse_complement, same_strand
+from genoloom.operators.chaining import ChainSearch, best_chain
 from genoloom.operators.hits import number_hits, swap_sides
 from genoloom.operators.lineage import written
 from genoloom.operators.ordering import global_rank
 
-#: Smallest gap of the search, the least hits of a chain, and the limits of the fit of small blocks.
-MIN_GAP, KEEP_BEST, FIT = 1000, 3, (300_000, 4_000_000)
+#: Smallest gap of the search, and the limits of the fit of small blocks.
+MIN_GAP, FIT = 1000, (300_000, 4_000_000)
 #: Least correlation of a chain (strict, else) and of all hits in its box, by case A to D.
 CHAIN_R, BOX_R = (0.9, 0.98, 0.96, 0.94), (0.7, 0.9, 0.8, 0.7)
 LOOSE_A = 0.8
@@ -58,37 +59,6 @@ def correlation(x: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip(np.corrcoef(x, y)[0, 1], -1, 1))
 
 
-def best_chain(x: np.ndarray, y: np.ndarray, free: np.ndarray, far: tuple[int, int], gap: tuple[int, int]) -> list[int]:
-    """The chain of best score over free hits, ordered by y: a hit scores 1 + its predecessor's score - int(dx/gap1 +
-    dy/gap2), over hits before it within the greatest gaps ``far``; of equal predecessors the nearest, of equal ends
-    the longer chain, then the earlier end. Empty under 3 hits."""
-    rows = np.flatnonzero(free)
-    n = len(rows)
-    if n < KEEP_BEST:
-        return []
-    px, py = x[rows].astype(np.float64), y[rows].astype(np.float64)
-    g1, g2 = max(1, gap[0]), max(1, gap[1])
-    score, count, back = np.ones(n), np.ones(n, int), np.full(n, -1)
-    first = np.searchsorted(py, py - far[1], side="left")
-    for i in np.flatnonzero(first < np.arange(n)):
-        lo = first[i]
-        dx = np.abs(px[i] - px[lo:i])
-        value = score[lo:i] - np.floor(dx / g1 + (py[i] - py[lo:i]) / g2)
-        value[dx > far[0]] = -np.inf
-        j = i - 1 - int(value[::-1].argmax())
-        if value[j - lo] > -1:
-            score[i], count[i], back[i] = 1 + value[j - lo], count[j] + 1, j
-    ends = np.flatnonzero(back >= 0)
-    if not len(ends):
-        return []
-    end = int(ends[np.lexsort((ends, -count[ends], -score[ends]))[0]])
-    chain = []
-    while end >= 0:
-        chain.append(int(rows[end]))
-        end = int(back[end])
-    return chain[::-1] if len(chain) >= KEEP_BEST else []
-
-
 def accepted_case(n: int, r1: float, r2: float, space1: float, space2: float, cut: Cutoffs) -> str:
     """Case A to D of a chain of ``n`` hits, or '': correlations ``r1`` of the chain and ``r2`` of all hits in its box
     against limits that loosen with size; case A also limits the mean distance of its hits on each side."""
@@ -120,12 +90,15 @@ def search_blocks(x: np.ndarray, y: np.ndarray, cut: Cutoffs, same: bool | None)
     before finds (to within 1000) the greatest that has one; all good chains at that gap are taken, one by one, and
     their hits used up. A chain that is not good is passed over, with its hits, until the look ends."""
     free, found = np.ones(len(x), bool), []
-
-    def good_chains(gap: tuple[int, int]):  # noqa: ANN202
-        left = free.copy()
-        while chain := best_chain(x, y, left, (cut.gap1, cut.gap2), gap):
-            left[chain] = False
-            if acceptable(chain, x, y, cut, same):
+    search = ChainSearch(x, y, (cut.gap1, cut.gap2))
+    good: dict[tuple[int, ...], bool] = {}
+
+    def good_chains(gap: tuple[int, int]) -> Iterator[list[int]]:
+        for chain in search.chains(free, gap):
+            key = tuple(chain)
+            if key not in good:  # a chain is good or not whatever is free
+                good[key] = acceptable(chain, x, y, cut, same)
+            if good[key]:
                 yield chain
 
     def has_good(gap: tuple[int, int]) -> bool:
@@ -227,7 +200,14 @@ _CUT = ["gap1", "gap2", "gaps"]
 
 
 def _cut_of(row: object, mindots: int, strict: bool, orient: bool) -> Cutoffs:
-    return Cutoffs(int(row["gap1"]), int(row["gap2"]), mindots, strict, orient, [(int(g["g1"]), int(g["g2"])) for g in row["gaps"]])
+    gaps = [tuple(map(int, g.split(":"))) for g in row["gaps"].split()]
+    return Cutoffs(int(row["gap1"]), int(row["gap2"]), mindots, strict, orient, gaps)
+
+
+def _limits(cutoffs: DataFrame) -> DataFrame:
+    """The limits of each project pair, its list of gaps as one text: cheaper to carry with each hit than a list."""
+    gaps = F.array_join(F.transform("gaps", lambda g: F.concat_ws(":", g["g1"].cast("string"), g["g2"].cast("string"))), " ")
+    return cutoffs.select("proj1_idx", "proj2_idx", "gap1", "gap2", gaps.alias("gaps"))
 
 
 def search_pieces(hits: DataFrame, cutoffs: DataFrame, apart: bool = True) -> DataFrame:
@@ -236,7 +216,7 @@ def search_pieces(hits: DataFrame, cutoffs: DataFrame, apart: bool = True) -> Da
     No chain and no chain's box crosses pieces, so each can be searched alone."""
     same = same_strand(F.col("strand"))
     keys = ["grp1_idx", "grp2_idx", "part"]
-    rows = hits.join(cutoffs.select("proj1_idx", "proj2_idx", *_CUT), ["proj1_idx", "proj2_idx"]).select(
+    rows = hits.join(_limits(cutoffs), ["proj1_idx", "proj2_idx"]).select(
         "hit_idx", "grp1_idx", "grp2_idx", midpoint(F.col("start1"), F.col("end1")).cast("long").alias("x"), midpoint(F.col("start2"), F.col("end2")).cast("long").alias("y"),
         same.alias("same"), (F.when(same, 1).otherwise(2) if apart else F.lit(0)).alias("part"), *_CUT,
     )
@@ -324,7 +304,7 @@ def synteny_blocks(hits: DataFrame, cutoffs: DataFrame, mindots: int = 7, strict
     sets = "runnum" in hits.columns and strict and not orient
     found = written(gap_search(search_pieces(hits, cutoffs, apart), mindots, strict, orient), "chains")
     keys = ["hit_idx", "grp1_idx", "grp2_idx"]
-    rows = number_hits(hits).join(found.select("hit_idx", "piece", "chain"), "hit_idx", "left").join(cutoffs.select("proj1_idx", "proj2_idx", *_CUT), ["proj1_idx", "proj2_idx"])
+    rows = number_hits(hits).join(found.select("hit_idx", "piece", "chain"), "hit_idx", "left").join(_limits(cutoffs), ["proj1_idx", "proj2_idx"])
     part = F.when(same_strand(F.col("strand")), 1).otherwise(2) if apart else F.lit(0)
     run = F.col("runnum").cast("long") if sets else F.lit(0).cast("long")
     rows = rows.filter((F.col("chain").isNotNull()) | (run > 0)).select(*keys, "hitnum", "start1", "end1", "start2", "end2", part.alias("part"), run.alias("run"), F.coalesce("piece", F.lit(0)).alias("piece"), F.coalesce("chain", F.lit(0)).alias("chain"), *_CUT)

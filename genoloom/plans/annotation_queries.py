@@ -257,27 +257,24 @@ def _(v: Views) -> DataFrame:
     return co.diagonal_sets(_ranked(v)).select("grp1_idx", "grp2_idx", "same", "rank1", "rank2", "size")
 
 
-#: The walk over all hits of a chromosome pair and strand class, a step for each hit that ends a scan or takes it on.
-_SCAN = """ SELECT o.hit_idx, o.hitnum, o.grp1_idx, o.grp2_idx, o.same, o.rank1, o.rank2, f.run, f.size FROM (
-  WITH RECURSIVE o AS MATERIALIZED (
-    SELECT *, CASE WHEN same THEN 1 ELSE -1 END AS d, row_number() OVER (PARTITION BY grp1_idx, grp2_idx, same ORDER BY hitnum, hit_idx) AS p FROM rh),
-  st(grp1_idx, grp2_idx, same, s, a1, a2, chain, used, fin) AS (
-    SELECT grp1_idx, grp2_idx, same, p, rank1, rank2, [p], CAST([] AS BIGINT[]), CAST(NULL AS BIGINT[]) FROM o WHERE p = 1
+#: The walk over all hits of a chromosome pair and strand class, a step for each hit that ends a scan or takes it on. Of
+#: the hits that may do so, the first 64 among the next 400 are listed; a walk that needs more stops with an error.
+_SCAN = """, o AS MATERIALIZED (SELECT *, CASE WHEN same THEN 1 ELSE -1 END AS d, dense_rank() OVER (ORDER BY grp1_idx, grp2_idx, same) AS c,
+  row_number() OVER (PARTITION BY grp1_idx, grp2_idx, same ORDER BY hitnum, hit_idx) AS p, count(*) OVER (PARTITION BY grp1_idx, grp2_idx, same) AS n FROM rh),
+ev AS MATERIALIZED (SELECT i.c, i.p, any_value(i.n) AS n, list({'j': j.p, 'met': j.rank1 = i.rank1 + 1} ORDER BY j.p) FILTER (j.p IS NOT NULL)[:64] AS near FROM o i LEFT JOIN o j ON j.c = i.c AND j.p > i.p AND j.p <= i.p + 400
+  AND j.rank1 > i.rank1 AND CASE WHEN j.rank1 = i.rank1 + 1 THEN j.rank2 = i.rank2 + i.d ELSE j.rank2 <> i.rank2 + i.d END GROUP BY i.c, i.p)
+SELECT o.hit_idx, o.hitnum, o.grp1_idx, o.grp2_idx, o.same, o.rank1, o.rank2, f.run, f.size FROM (
+  WITH RECURSIVE st(c, s, e, chain, used, fin) AS (
+    SELECT c, p, p, [p], CAST([] AS BIGINT[]), CAST(NULL AS BIGINT[]) FROM o WHERE p = 1
     UNION ALL
-    SELECT n.grp1_idx, n.grp2_idx, n.same, n.s, h.rank1, h.rank2, n.chain, n.used, n.fin FROM (
-      SELECT grp1_idx, grp2_idx, same, CASE WHEN met THEN s WHEN ev IS NULL THEN NULL ELSE s2 END AS s,
-        CASE WHEN met THEN ev WHEN ev IS NULL THEN NULL ELSE s2 END AS at, CASE WHEN met THEN list_append(chain, ev) WHEN ev IS NULL THEN NULL ELSE [s2] END AS chain,
-        CASE WHEN met THEN used ELSE list_filter(taken, lambda x: x > s2) END AS used, CASE WHEN NOT coalesce(met, false) AND len(chain) > 1 THEN chain END AS fin
-      FROM (SELECT *, list_filter(range(s + 1, s + len(taken) + 2), lambda x: NOT list_contains(taken, x))[1] AS s2 FROM (
-        SELECT st.grp1_idx, st.grp2_idx, st.same, s, chain, used, CASE WHEN len(chain) > 1 THEN list_concat(used, chain) ELSE used END AS taken,
-          min(j.p) AS ev, arg_min(j.rank1 = a1 + 1 AND j.rank2 = a2 + j.d, j.p) AS met
-        FROM st LEFT JOIN o j ON j.grp1_idx = st.grp1_idx AND j.grp2_idx = st.grp2_idx AND j.same = st.same AND j.p > st.chain[-1] AND j.rank1 > st.a1
-          AND NOT list_contains(st.used, j.p) AND CASE WHEN j.rank1 = a1 + 1 THEN j.rank2 = a2 + j.d ELSE j.rank2 <> a2 + j.d END
-        WHERE st.s IS NOT NULL GROUP BY ALL) e) t) n
-    LEFT JOIN o h ON h.grp1_idx = n.grp1_idx AND h.grp2_idx = n.grp2_idx AND h.same = n.same AND h.p = n.at
-    WHERE h.p IS NOT NULL OR n.fin IS NOT NULL)
-  SELECT grp1_idx, grp2_idx, same, unnest(fin) AS p, row_number() OVER (PARTITION BY grp1_idx, grp2_idx, same ORDER BY fin[1]) AS run, CAST(len(fin) AS BIGINT) AS size FROM st WHERE fin IS NOT NULL) f
-JOIN (SELECT *, row_number() OVER (PARTITION BY grp1_idx, grp2_idx, same ORDER BY hitnum, hit_idx) AS p FROM rh) o USING (grp1_idx, grp2_idx, same, p)"""
+    SELECT c, CASE WHEN met THEN s ELSE s2 END, CASE WHEN met THEN j WHEN j IS NULL OR s2 > n THEN NULL ELSE s2 END, CASE WHEN met THEN list_append(chain, j) ELSE [s2] END,
+      CASE WHEN met THEN used ELSE list_filter(taken, lambda x: x > s2) END, CASE WHEN NOT met AND len(chain) > 1 THEN chain END
+    FROM (SELECT *, coalesce(first.met, false) AS met, first.j AS j, list_filter(range(s + 1, s + len(taken) + 2), lambda x: NOT list_contains(taken, x))[1] AS s2 FROM (
+      SELECT st.*, ev.n, CASE WHEN len(chain) > 1 THEN list_concat(used, chain) ELSE used END AS taken, list_filter(near, lambda k: NOT list_contains(used, k.j))[1] AS first
+      FROM st JOIN ev ON ev.c = st.c AND ev.p = st.e) x
+      WHERE CASE WHEN first IS NULL AND e + 400 < n THEN error('no hit in reach') ELSE true END) t)
+  SELECT c, unnest(fin) AS p, row_number() OVER (PARTITION BY c ORDER BY fin[1]) AS run, CAST(len(fin) AS BIGINT) AS size FROM st WHERE fin IS NOT NULL) f
+JOIN o USING (c, p)"""
 
 
 @query("l2_collinear_scan", _RANKED + _SCAN)

@@ -183,7 +183,26 @@ def _(v: Views) -> DataFrame:
     return bl.synteny_cutoffs(v.hits_one, v.groups).withColumn("gaps", F.array_join(F.transform("gaps", lambda g: F.concat_ws(":", g["g1"].cast("string"), g["g2"].cast("string"))), " "))
 
 
-@query("b2_chain_hits")
+#: Hits in order along side 2, with their pieces and the hits before them within reach; then scores, a hit at a time.
+_CHAIN = _CUTS + """, b AS MATERIALIZED (SELECT hit_idx, grp1_idx, grp2_idx, CASE WHEN strand IN ('+/+', '-/-') THEN 1 ELSE 2 END AS part, (start1 + end1) // 2 AS x, (start2 + end2) // 2 AS y, gap1, gap2,
+    CASE WHEN (gap1 >> 1) >= 2000 AND (gap2 >> 1) >= 2000 AND (gap1 >> 2) >= 2000 AND (gap2 >> 2) >= 2000 THEN 2 ELSE 1 END AS k FROM hits_one JOIN cuts USING (proj1_idx, proj2_idx)),
+pt AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY grp1_idx, grp2_idx, part, piece) AS c, row_number() OVER (PARTITION BY grp1_idx, grp2_idx, part, piece ORDER BY y, x, hit_idx) AS i FROM (
+  SELECT *, sum(new) OVER (PARTITION BY grp1_idx, grp2_idx, part ORDER BY y, x, hit_idx) AS piece FROM (
+    SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY grp1_idx, grp2_idx, part ORDER BY y, x, hit_idx) <= gap2 THEN 0 ELSE 1 END AS new FROM b))),
+pr AS MATERIALIZED (SELECT p.c, p.i, list({'j': q.i, 'lost': CAST(floor(abs(p.x - q.x) / CAST(p.gap1 >> p.k AS DOUBLE) + (p.y - q.y) / CAST(p.gap2 >> p.k AS DOUBLE)) AS BIGINT)}) AS near
+  FROM pt p JOIN pt q ON q.c = p.c AND q.i < p.i AND p.y - q.y <= p.gap2 AND abs(p.x - q.x) <= p.gap1 GROUP BY p.c, p.i)
+SELECT hit_idx, grp1_idx, grp2_idx, part, CAST(piece AS BIGINT) AS piece, CAST(1 AS BIGINT) AS chain FROM pt JOIN (
+  WITH RECURSIVE st(c, i, score, size, back) AS (
+    SELECT c, i, [CAST(1 AS BIGINT)], [CAST(1 AS BIGINT)], [CAST(0 AS BIGINT)] FROM pt WHERE i = 1
+    UNION ALL SELECT c, i, list_append(score, CASE WHEN best.v > 0 THEN best.v ELSE 1 END), list_append(size, CASE WHEN best.v > 0 THEN size[best.j] + 1 ELSE 1 END), list_append(back, CASE WHEN best.v > 0 THEN best.j ELSE 0 END)
+      FROM (SELECT st.c, pt.i, score, size, back, list_max(list_transform(near, lambda p: {'v': 1 + score[p.j] - p.lost, 'j': p.j})) AS best FROM st JOIN pt ON pt.c = st.c AND pt.i = st.i + 1 LEFT JOIN pr ON pr.c = pt.c AND pr.i = pt.i) z),
+  whole AS MATERIALIZED (SELECT st.* FROM st JOIN (SELECT c, count(*) AS i FROM pt GROUP BY c) n USING (c, i)),
+  top AS (SELECT c, arg_max(e, {'s': score[e], 'n': size[e], 'e': -e}) AS e FROM (SELECT *, unnest(range(1, i + 1)) AS e FROM whole) u WHERE back[e] > 0 GROUP BY c),
+  way(c, e) AS (SELECT top.c, top.e FROM top JOIN whole USING (c) WHERE size[top.e] >= 3 UNION ALL SELECT way.c, back[way.e] FROM way JOIN whole ON whole.c = way.c WHERE back[way.e] > 0)
+  SELECT c, e AS i FROM way) w USING (c, i)"""
+
+
+@query("b2_chain_hits", _CHAIN)
 def _(v: Views) -> DataFrame:
     return bl.chain_hits(bl.search_pieces(v.hits_one, _cutoffs(v)))
 

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from genoloom.functions import intervals as iv
 from genoloom.operators import annotation as an
 from genoloom.operators import blocks as bl
+from genoloom.operators import chaining as ch
 from genoloom.operators import cluster_pairs as cp
 from genoloom.operators import collinear as co
 from genoloom.operators import conversion as cv
+from genoloom.operators import hits as hi
 from genoloom.operators import ordering as od
 from genoloom.operators import query as qu
 from genoloom.operators import reports as rp
@@ -125,6 +127,140 @@ def test_best_chain_against_brute_force():
         assert bl.best_chain(x, y, np.ones(len(x), bool), far, gap) == _slow_chain(pts, far, gap)
 
 
+@pytest.mark.parametrize("listed", [20_000_000, 0])
+def test_chains_one_after_the_other(monkeypatch, listed):
+    """Each chain in turn is the best of what those before it have left."""
+    monkeypatch.setattr(ch, "LISTED", listed)
+    rng = np.random.default_rng(8 + listed)
+    several = 0
+    for k in range(40):
+        pts = sorted(((int(a), int(b)) for a, b in rng.integers(0, 80 + 12 * k, (70, 2))), key=lambda p: (p[1], p[0]))
+        x, y = (np.array([p[i] for p in pts]) for i in (0, 1))
+        far, gap = (40 + k, 30 + k), (6 + k // 2, 5 + k)
+        free = rng.random(len(pts)) < 0.9
+        left, want = [i for i in range(len(pts)) if free[i]], []
+        while chain := _slow_chain([pts[i] for i in left], far, gap):
+            want.append([left[i] for i in chain])
+            left = [i for i in left if i not in want[-1]]
+        assert list(ch.ChainSearch(x, y, far).chains(free, gap)) == want
+        several += len(want) > 3
+    assert several > 20
+
+
+def _slow_search(pts, cut, same):
+    """The search for blocks by the rule: halving gaps, bisection, all good chains at the gap found."""
+    x, y = (np.array([p[i] for p in pts], np.int64) for i in (0, 1))
+    left, found = list(range(len(pts))), []
+
+    def chains(gap):
+        free, out = list(left), []
+        while chain := _slow_chain([pts[i] for i in free], (cut.gap1, cut.gap2), gap):
+            chain = [free[i] for i in chain]
+            free = [i for i in free if i not in chain]
+            if bl.acceptable(chain, x, y, cut, same):
+                out.append(chain)
+        return out
+
+    for k, low in enumerate(cut.gaps):
+        while chains(low):
+            a, b = low, cut.gaps[max(0, k - 1)]
+            while b[0] - a[0] > 1000 and b[1] - a[1] > 1000:
+                mid = ((a[0] + b[0]) // 2, (a[1] + b[1]) // 2)
+                a, b = (mid, b) if chains(mid) else (a, mid)
+            for chain in chains(a):
+                found.append(chain)
+                left = [i for i in left if i not in chain]
+    return found
+
+
+def _slow_merge(blocks, link):
+    """blocks: sets of hits; those linked, also through others, become one, until no two are linked."""
+    while True:
+        groups = []
+        for b in blocks:
+            near = [g for g in groups if any(link(a, b) for a in g)]
+            groups = [g for g in groups if g not in near] + [[b, *(a for g in near for a in g)]]
+        if len(groups) == len(blocks):
+            return blocks
+        blocks = [frozenset().union(*g) for g in groups]
+
+
+def _slow_blocks(hits, cut, merge, prune):
+    """hits: of one chromosome pair, dicts with id, same, s1, e1, s2, e2, num, run. The rule of the whole block query."""
+    mid = lambda h, k: (h[f"s{k}"] + h[f"e{k}"]) // 2
+    by_id = {h["id"]: h for h in hits}
+    blocks = []
+    for same in (True, False):
+        own = sorted((h for h in hits if h["same"] == same), key=lambda h: (mid(h, 2), mid(h, 1), h["id"]))
+        blocks += [frozenset(own[i]["id"] for i in c) for c in _slow_search([(mid(h, 1), mid(h, 2)) for h in own], cut, same)]
+    box = lambda b: [f(by_id[i][f"{n}{k}"] for i in b) for k in (1, 2) for f, n in ((min, "s"), (max, "e"))]
+    near = lambda a, b, gap: all(max(box(a)[k], box(b)[k]) - min(box(a)[k + 1], box(b)[k + 1]) <= gap[k // 2] for k in (0, 2))
+    gap, m = cut.gaps[0], cut.mindots
+    small = []
+    runs = {}
+    for h in sorted(hits, key=lambda h: (mid(h, 2), h["id"])):
+        if h["run"]:
+            runs.setdefault((h["same"], h["run"]), []).append(h["id"])
+    taken = {i: n for n, b in enumerate(blocks) for i in b}
+    for own in runs.values():
+        into = next((taken[i] for i in own if i in taken), None)
+        if into is None:
+            small.append(frozenset(own))
+        else:
+            blocks[into] |= {i for i in own if i not in taken}
+    strand = lambda b: by_id[next(iter(b))]["same"]
+    blocks += _slow_merge(small, lambda a, b: strand(a) == strand(b) and near(a, b, gap))
+
+    def inside(a, b):
+        few, many = sorted((a, b), key=len)
+        p, q = box(a), box(b)
+        if len(many) < m or not all((p[k] <= q[k] and q[k + 1] <= p[k + 1]) or (q[k] <= p[k] and p[k + 1] <= q[k + 1]) for k in (0, 2)):
+            return False
+        if len(few) >= m:
+            return True
+        reach = min(max((len(few) + 1) // 2 * gap[1], 300_000), 4_000_000)
+        first, last = (by_id[f(few, key=lambda i: by_id[i]["num"])] for f in (min, max))
+        order = sorted((by_id[i] for i in many), key=lambda h: h["num"])
+        for end, side in ((first, 0), (last, 1)):
+            k = next((k for k in range(1, len(order)) if order[k]["num"] > end["num"]), None)
+            if k is None or abs(mid(end, 2) - mid(order[k - 1 + side], 2)) < reach:
+                return True
+        return False
+
+    blocks = _slow_merge(blocks, inside)
+    if merge:
+        blocks = _slow_merge(blocks, lambda a, b: min(len(a), len(b)) >= m and near(a, b, gap if merge == 2 else (0, 0)))
+    return {b for b in blocks if not prune or len(b) >= m}
+
+
+@pytest.mark.parametrize("merge, prune", [(0, True), (0, False), (1, False), (2, True)])
+def test_blocks_equal_the_slow_rule(spark, merge, prune):
+    rng = np.random.default_rng(31)
+    rows, pairs = [], {}
+    for pair in range(3):
+        own = []
+        for line in range(6):
+            a, b, same = int(rng.integers(0, 400_000)), int(rng.integers(0, 400_000)), bool(line % 2)
+            for k in range(int(rng.integers(4, 14))):
+                s1, s2 = a + 2500 * k + int(rng.integers(0, 900)), max(1, b + (2500 if same else -2500) * k + int(rng.integers(0, 900)))
+                own.append((s1, s1 + 300, s2, s2 + 300, same))
+        own += [(int(p), int(p) + 200, int(q), int(q) + 200, bool(s)) for p, q, s in zip(rng.integers(1, 450_000, 50), rng.integers(1, 450_000, 50), rng.integers(0, 2, 50), strict=True)]
+        for s1, e1, s2, e2, same in own:
+            rows.append((len(rows), 1, 2, pair + 1, 9, s1, e1, s2, e2, "+/+" if same else "+/-", int(rng.integers(1, 25)) if rng.random() < 0.4 else 0))
+    hits = spark.createDataFrame(rows, "hit_idx long, proj1_idx int, proj2_idx int, grp1_idx int, grp2_idx int, start1 int, end1 int, start2 int, end2 int, strand string, runnum int")
+    gaps = [(16_000, 18_000), (8000, 9000), (4000, 4500)]
+    cutoffs = spark.createDataFrame([(1, 2, 40_000, 42_000, gaps)], "proj1_idx int, proj2_idx int, gap1 long, gap2 long, gaps array<struct<g1:long,g2:long>>")
+    cut = bl.Cutoffs(40_000, 42_000, 7, True, False, gaps)
+    for r in hi.number_hits(hits).collect():
+        pairs.setdefault(r["grp1_idx"], []).append({"id": r["hit_idx"], "same": r["strand"] == "+/+", "s1": r["start1"], "e1": r["end1"], "s2": r["start2"], "e2": r["end2"], "num": r["hitnum"], "run": r["runnum"]})
+    # pieces along side 2 are searched alone, so the slow rule gets them apart too: here each pair is one piece
+    found = {}
+    for r in bl.synteny_blocks(hits, cutoffs, merge=merge, prune=prune).collect():
+        found.setdefault((r["grp1_idx"], r["block"]), set()).add(r["hit_idx"])
+    want = {(pair, b) for pair, own in pairs.items() for b in _slow_blocks(own, cut, merge, prune)}
+    assert {(pair, frozenset(b)) for (pair, _), b in found.items()} == want and len(want) > 2
+
+
 def _block(hits, *box, same=True):
     return bl.Block(list(hits), box, same)
 
