@@ -212,9 +212,26 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def doc_key(id_col: str, text_col: str) -> Column:
-    """128 bits that name a document: of its id (or its lack of one) and its text, so only equal rows share a key."""
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit("\0"), F.coalesce(text_col, F.lit("")))))
+def text_key(text_col: str) -> Column:
+    """128 bits that name a text, null as the empty one."""
+    return F.unhex(F.md5(F.coalesce(text_col, F.lit(""))))
+
+
+def _once(docs: DataFrame) -> DataFrame:
+    """``docs`` without rows of a key that their task has had before: however often a text stands in the table, no more
+    rows of it than tasks are left, and no text is moved for that."""
+
+    @F.pandas_udf("boolean")
+    def new(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        had: set[bytes] = set()
+        for batch in keys:
+            first = []
+            for k in batch:
+                first.append(k not in had)
+                had.add(k)
+            yield pd.Series(first, dtype=bool)
+
+    return docs.withColumn("__new", new.asNondeterministic()("key")).filter("__new").drop("__new")
 
 
 def _twice(rows: DataFrame) -> DataFrame:
@@ -314,7 +331,7 @@ def context_strings(mark: int, left: bytes, right: bytes, window: int) -> list[t
     return out
 
 
-def repeated_words(docs: DataFrame, words: int, length: int) -> DataFrame:
+def repeated_words(docs: DataFrame, copied: DataFrame, words: int, length: int) -> DataFrame:
     """Spans (key, from, to) of all runs of ``words`` words under ``length`` bytes that also start elsewhere."""
 
     def short_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,16 +346,20 @@ def repeated_words(docs: DataFrame, words: int, length: int) -> DataFrame:
                     cols = (longs([_signed(x >> 64) for x in h]), longs([_signed(x & (2**64 - 1)) for x in h]), pa.array([key] * len(h), pa.binary()), longs(begin), longs(end))
                     yield pa.RecordBatch.from_arrays(list(cols), names=names)
 
-    rows = docs.filter(F.octet_length("text") >= 2 * words - 1).select("key", "text")
+    rows = _once(docs.filter(F.octet_length("text") >= 2 * words - 1).select("key", "text"))
     found = written(rows.mapInArrow(short_windows, "h1 long, h2 long, key binary, from long, to long"), "words")
     twice = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
-    return written(found.join(twice, ["h1", "h2"], "left_semi").select("key", "from", "to"), "short")
+    twice = found.join(twice, ["h1", "h2"], "left_semi").select("key", "from", "to")
+    return written(twice.union(found.join(copied, "key", "left_semi").select("key", "from", "to")), "short")
 
 
-def repeated_spans(df: DataFrame, id_col: str, text_col: str, length: int, coarse: int, fine: int, words: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(documents, spans): documents with key, n_bytes and whole_sha256, and with the bytes of those that may
-    hold a repeated string; spans (key, from, to) that are to be removed, overlapping."""
-    docs = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", doc_key(id_col, "text"))
+def repeated_spans(df: DataFrame, id_col: str, text_col: str, length: int, coarse: int, fine: int, words: int = 0) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows, copied, texts, spans): a row per document with key, n_bytes and whole_sha256; the keys of several rows, whose
+    texts are repeated as a whole; a row (key, text in bytes) per text that may hold another repeated string; spans
+    (key, from, to) of such texts that are to be removed, overlapping."""
+    docs = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", text_key("text"))
+    rows = written(docs.select(id_col, "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole_sha256")), "rows")
+    copied = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
 
     def coarse_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["hash", "key", "starts"]
@@ -354,20 +375,17 @@ def repeated_spans(df: DataFrame, id_col: str, text_col: str, length: int, coars
                 starts = (lo + base[own] << START_BITS) | (hi - lo)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), keys.take(pa.array(text_no[own])), pa.array(starts)], names=names)
 
-    long_enough = docs.filter(F.octet_length("text") >= length).select("key", F.col("text").cast("binary").alias("text"))
+    long_enough = _once(docs.filter(F.octet_length("text") >= length).select("key", F.col("text").cast("binary").alias("text")))
     marks = written(long_enough.mapInArrow(coarse_units, "hash long, key binary, starts long"), "coarse")
-    ranges = marks.join(_twice(marks), "hash").groupBy("key").agg(F.collect_list("starts").alias("ranges"))
-    short = repeated_words(docs, words, length) if words else None
-    marked = F.col("ranges").isNotNull()
+    # a text that several tasks had gives the same marks again
+    ranges = marks.join(_twice(marks), "hash").groupBy("key").agg(F.collect_set("starts").alias("ranges"))
+    short = repeated_words(docs, copied, words, length) if words else None
     if short is not None:
-        ranges = ranges.join(short.select("key").distinct().withColumn("short", F.lit(True)), "key", "full")
-        marked |= F.col("short").isNotNull()
-    seen = docs.join(ranges, "key", "left").select(
-        id_col, "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole_sha256"),
-        F.when(marked, F.col("text").cast("binary")).alias("text"), "ranges",
-    )
-    seen = written(seen, "seen")
-    some = seen.filter("ranges is not null").select("key", "text", "ranges")
+        ranges = ranges.join(short.select("key").distinct(), "key", "full")
+    least = min(length, 2 * words - 1) if words else length
+    texts = _once(docs.filter(F.octet_length("text") >= least).select("key", F.col("text").cast("binary").alias("text")))
+    texts = written(texts.join(ranges, "key").dropDuplicates(["key"]), "texts")
+    some = texts.filter("ranges is not null")
     same = length - fine + 1
 
     def fine_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,7 +469,7 @@ def repeated_spans(df: DataFrame, id_col: str, text_col: str, length: int, coars
     # contexts of n > 1 repeat as a whole already
     part = met.filter("h1 is null").union(strings.filter("n = 1").join(twice, ["h1", "h2"], "left_semi").select(*met.columns)).select("key", "from", "to")
     spans = whole.union(part)
-    return seen, spans if short is None else spans.union(short)
+    return rows, copied, texts, spans if short is None else spans.union(short)
 
 
 def remove_repeats(
@@ -462,9 +480,13 @@ def remove_repeats(
     With ``words``, so does a run of that many blank-separated words, however few bytes it has.
 
     One row per row of ``df``: ``id_col``, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256
-    (lower-case hex, of the remaining bytes) and, with ``keep_text``, ``key`` (:func:`doc_key`) and ``kept``
-    (the remaining text, without characters that a cut has split; null where nothing was removed). Null texts are empty; repeated rows count as copies of each other, also with a null id; extra
-    columns are ignored; an empty table gives an empty result.
+    (lower-case hex, of the remaining bytes) and, with ``keep_text``, ``key`` (:func:`text_key`) and ``kept``
+    (the remaining text, without characters that a cut has split; null where nothing was removed). Null texts are empty;
+    rows of equal texts are copies of each other, whatever their ids (null too); extra columns are ignored; an empty
+    table gives an empty result.
+
+    Rows of a text are counted first. A text of several rows and ``length`` bytes goes as a whole, and takes part in
+    the search as one text, so no list and no join grows with the number of copies.
 
     Strings are grouped by anchors that depend on their own bytes only, coarsely over all texts and finely where
     a coarse anchor's following bytes occur twice. A fine context seen twice repeats as a whole. The others,
@@ -474,8 +496,8 @@ def remove_repeats(
     """
     if coarse & (coarse - 1) or fine & (fine - 1) or max(coarse, fine) + GRAM > length or max(coarse, fine) > START_MASK:
         raise ValueError(f"windows are powers of two, under the length by {GRAM} at least and under {START_MASK}")
-    seen, spans = repeated_spans(df, id_col, text_col, length, coarse, fine, words)
-    listed = spans.groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    rows, copied, texts, spans = repeated_spans(df, id_col, text_col, length, coarse, fine, words)
+    listed = spans.groupBy("key").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -494,12 +516,13 @@ def remove_repeats(
             yield out[["key", "n_removed", "n_spans", "kept_sha256", "kept"] if keep_text else ["key", "n_removed", "n_spans", "kept_sha256"]]
 
     kinds = "key binary, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else "")
-    texts = seen.filter("text is not null").select("key", "text").dropDuplicates(["key"])
-    done = texts.join(listed, "key").mapInPandas(cut, kinds).withColumnRenamed("kept_sha256", "sha")
-    return seen.select(id_col, "key", "n_bytes", "whole_sha256").join(done, "key", "left").select(
+    done = texts.select("key", "text").join(listed, "key").mapInPandas(cut, kinds).withColumnRenamed("kept_sha256", "sha")
+    found = rows.join(done, "key", "left").join(copied.withColumn("copied", F.lit(True)), "key", "left")
+    gone = F.col("copied").isNotNull() & (F.col("n_bytes") >= length)
+    return found.select(
         id_col, "n_bytes",
-        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce("sha", "whole_sha256").alias("kept_sha256"),
-        *(["key", "kept"] if keep_text else []),
+        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("sha", "whole_sha256")).alias("kept_sha256"),
+        *(["key", F.when(gone, "").otherwise(F.col("kept")).alias("kept")] if keep_text else []),
     )

@@ -241,6 +241,27 @@ def test_repeated_rows_and_null_ids(spark):
     assert ngram_join.jaccard_join(df).count() == 0
 
 
+def test_many_repeated_rows_of_long_texts(spark):
+    """2,000 rows of a text of 12 KB without an id, and of another with ids, beside texts that hold a part of them: no
+    list grows with the copies."""
+    draw = random.Random(12)
+    some = lambda n: "".join(draw.choice("abcdefghij ") for _ in range(n))
+    long, other = some(12_000), some(900)
+    own = [long[3000:5000] + some(500), some(700) + other[100:620], some(3000), other[:399], other[:399], "é" * 150 + long[:450]]
+    rows = spark.range(4000).select(F.when(F.col("id") % 2 == 1, F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 1, other).otherwise(long).alias("text"))
+    docs = rows.union(spark.createDataFrame([(9000 + k, t) for k, t in enumerate(own)], "doc_id long, text string")).repartition(6)
+    got = Counter((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(docs).collect())
+    want = list(brute_repeats([long, long, other, other, *own], 400))
+    assert got == Counter({want[0]: 2000, want[2]: 2000}) + Counter(want[4:])
+
+
+def test_copies_of_short_words_lose_their_runs(spark):
+    text = " ".join("abcdefghij"[k % 10] for k in range(60))
+    docs = docs_of(spark, [text, text, "x " + text[:30], "a b c"])
+    got = {r["doc_id"]: r["kept"] for r in suffix_dedup.remove_repeats(docs, length=250, coarse=128, fine=64, keep_text=True, words=51).collect()}
+    assert got == {0: "", 1: "", 2: None, 3: None}
+
+
 def test_an_id_of_two_texts_keeps_the_links_of_both(spark):
     a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "pq")
     rows = [(0, a), (0, b), (1, a + " more"), (2, b + " more"), (3, a + " less"), (4, b + " less")]
