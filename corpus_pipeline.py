@@ -59,7 +59,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that also stand elsewhere. A row that repeats another's text loses all of
     it that is long enough, with both rows, so near copies are dropped before; null texts stay null."""
     ship_package(spark)
-    key = suffix_dedup.doc_key("doc_id", "text")
+    key = suffix_dedup.text_key("text")
     cut = suffix_dedup.remove_repeats(docs, length=PASSAGE_BYTES, coarse=128, fine=64, keep_text=True, words=PASSAGE_WORDS)
     cut = cut.filter("n_removed > 0").select(F.col("key").alias("__key"), F.col("kept").alias("__kept")).dropDuplicates(["__key"])
     joined = docs.withColumn("__key", key).join(cut, "__key", "left")
