@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from genoloom.operators.ordering import carried, deal
+
 
 def overlap_gap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     """max start - min end: under 0 is an overlap, one less than the number of shared bases."""
@@ -63,11 +65,11 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, gap: i
 
 
 def coverage(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Per ``keys``: bases covered at least once (cover1) and at least twice (cover2), by a sweep over ends."""
+    """Per ``keys``: bases covered at least once (cover1) and at least twice (cover2), by a sweep over ends;
+    depth and next end are carried from range to range."""
     opens = df.select(*keys, F.col(start).cast("long").alias("at"), F.lit(1).alias("step"))
     shuts = df.select(*keys, (F.col(end) + 1).cast("long").alias("at"), F.lit(-1).alias("step"))
-    edges = opens.union(shuts).groupBy(*keys, "at").agg(F.sum("step").alias("step"))
-    w = Window.partitionBy(*keys).orderBy("at")
-    runs = edges.withColumn("depth", F.sum("step").over(w)).withColumn("size", F.lead("at").over(w) - F.col("at"))
+    edges = deal(opens.union(shuts).groupBy(*keys, "at").agg(F.sum("step").alias("step")), keys, ["at"])
+    runs = carried(edges, keys, ["at"], depth=("sum", "step", "upto"), next=("min", "at", "after")).withColumn("size", F.col("next") - F.col("at"))
     total = lambda least: F.coalesce(F.sum(F.when(F.col("depth") >= least, F.col("size"))), F.lit(0)).cast("long")
     return runs.groupBy(*keys).agg(total(1).alias("cover1"), total(2).alias("cover2"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from genoloom.operators.ordering import carried, deal
+
 
 def link_exons(gff: DataFrame) -> DataFrame:
     """Exons of each gene's first transcript, in file order (column ``line``).
@@ -53,12 +55,13 @@ def describe(genes: DataFrame, attrs: str = "attrs", keywords: list[str] | None
 
 def number_genes(genes: DataFrame) -> DataFrame:
     """``genes`` with ``genenum``: along each chromosome, genes that overlap by more than an end base, or lie
-    inside one another, share a number; numbers run from 1 by start."""
-    order = [F.asc("g_start"), F.desc("g_end"), F.asc("annot_idx")]
-    w = Window.partitionBy("grp_idx").orderBy(*order)
-    reach = F.max("g_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | ((F.col("g_start") >= reach) & (F.col("g_end") > reach)), 1).otherwise(0)
-    return genes.withColumn("__new", new).withColumn("genenum", F.sum("__new").over(w).cast("int")).drop("__new")
+    inside one another, share a number; numbers run from 1 by start. The furthest end so far and the number are carried from range to range of
+    a chromosome, so tasks follow the genes."""
+    key, order = ["grp_idx"], ["g_start", "-g_end", "annot_idx"]
+    rows = carried(deal(genes, key, order), key, order, __reach=("max", "g_end", "before"))
+    new = F.when(F.col("__reach").isNull() | ((F.col("g_start") >= F.col("__reach")) & (F.col("g_end") > F.col("__reach"))), 1).otherwise(0)
+    rows = carried(rows, key, order, genenum=("sum", new, "upto"))
+    return rows.select(*genes.columns, F.col("genenum").cast("int").alias("genenum"))
 
 
 def gene_suffix(rank: Column, size: Column) -> Column:

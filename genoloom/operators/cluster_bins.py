@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from genoloom.functions.intervals import bin_join
 from genoloom.functions.scalars import same_strand
 from genoloom.operators.hits import hit_gene_overlaps
+from genoloom.operators.ordering import carried, deal
 
 #: Greatest length of a region without genes.
 MAX_REGION = 100_000
@@ -19,8 +20,9 @@ def candidate_regions(raw: DataFrame, genes: DataFrame, side: int, tolerance: in
     touching = hit_gene_overlaps(raw, genes, side).select("hit_idx").distinct()
     free = raw.join(touching, "hit_idx", "left_anti").select(F.col(f"grp{side}_idx").alias("grp_idx"), F.col(f"start{side}").alias("s"), F.col(f"end{side}").alias("e"), F.lit(0).alias("gene"))
     walls = genes.select("grp_idx", F.col("g_start").alias("s"), F.col("g_end").alias("e"), F.lit(1).alias("gene"))
-    w = Window.partitionBy("grp_idx").orderBy("s", F.desc("gene"), F.desc("e"))
-    rows = free.union(walls).withColumn("wall", F.sum("gene").over(w)).filter("gene = 0")
+    key, order = ["grp_idx"], ["s", "-gene", "-e"]
+    # genes so far, carried from range to range of a chromosome; of rows alike in all, only genes count
+    rows = carried(deal(free.union(walls), key, order), key, order, wall=("sum", "gene", "upto")).filter("gene = 0").drop("__range")
     v = Window.partitionBy("grp_idx", "wall").orderBy("s", F.desc("e"))
     reach = F.max("e").over(v.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("new", F.when(reach.isNull() | (F.col("s") - reach >= tolerance), 1).otherwise(0)).withColumn("part", F.sum("new").over(v))

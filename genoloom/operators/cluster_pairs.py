@@ -261,38 +261,47 @@ def good_enough_and_minor(passed: DataFrame, pairs: DataFrame, genes: DataFrame,
     return rows.groupBy("grp1", "grp2", "same").applyInPandas(_assign, "gene1 long, gene2 long, part long, first long, role string, bin long")
 
 
-def _trim(gap: int, over: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def drops(rows: pd.DataFrame, k: int, end: int) -> bool:
+def _trim(gap: int, over: int) -> Callable[[dict[str, np.ndarray]], tuple]:
+    """Over the sub-hits of one gene pair, along side 2 first; a side's checks share the half overlap of gene and span
+    that it has before them."""
+
+    def drops(c: dict[str, list], own: list[int], k: int, end: int, half: int) -> bool:
         """Whether the first (end 0) or last (end -1) sub-hit along side k goes."""
-        at = rows.iloc[end]
-        low, high = rows[f"start{k}"].min(), rows[f"end{k}"].max()
-        if len(rows) > 1:
-            away = rows.iloc[1][f"start{k}"] - at[f"end{k}"] if end == 0 else at[f"start{k}"] - rows.iloc[-2][f"end{k}"]
-            if away > gap and at[f"exon{k}"] == 0:
+        at, start, stop, gs, ge = own[end], c[f"start{k}"], c[f"end{k}"], c[f"gs{k}"][0], c[f"ge{k}"][0]
+        if len(own) > 1:
+            away = abs(start[own[1]] - stop[at]) + 1 if end == 0 else abs(start[at] - stop[own[-2]])
+            if away > gap and c[f"exon{k}"][at] == 0:
                 return True
-        out = at[f"gs{k}"] - at[f"start{k}"] if end == 0 else at[f"end{k}"] - at[f"ge{k}"]
-        half = max(0, min(at[f"ge{k}"], high) - max(at[f"gs{k}"], low) + 1) / 2
-        return bool(out > over and (out > half or at[f"exon{k}"] == 0) and at["better"])
+        out = gs - start[at] if end == 0 else stop[at] - ge
+        return out > over and (out > half or c[f"exon{k}"][at] == 0) and c["better"][at]
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, size = pdf, -1
-        while len(rows) > 1 and len(rows) != size:
-            size = len(rows)
-            for k in (1, 2):
-                rows = rows.sort_values([f"start{k}", f"end{k}", "hit_idx"])
-                for end in (0, -1):
-                    if len(rows) and drops(rows, k, end):
-                        rows = rows.iloc[1:] if end == 0 else rows.iloc[:-1]
-        return rows
+    def work(rows: dict[str, np.ndarray]) -> tuple:
+        c = {n: v.tolist() for n, v in rows.items()}
+        own, size = list(range(len(c["hit_idx"]))), -1
+        while len(own) > 1 and len(own) != size:
+            size = len(own)
+            for k in (2, 1):
+                own.sort(key=lambda i: (c[f"start{k}"][i], c[f"end{k}"][i], c["hit_idx"][i]))  # noqa: B023
+                if own:
+                    low, high = min(c[f"start{k}"][i] for i in own), max(c[f"end{k}"][i] for i in own)
+                    half = (max(0, min(c[f"ge{k}"][0], high) - max(c[f"gs{k}"][0], low) + 1) + 1) // 2
+                    for end in (0, -1):
+                        if own and drops(c, own, k, end, half):
+                            own.pop(end)
+        return tuple(rows[n][own] for n in _PAIR)
 
     return work
 
 
+#: Columns of gene pairs.
+_PAIR = {"hit_idx": "long", "gene1": "long", "gene2": "long", "same": "boolean", "exon1": "long", "exon2": "long"}
+
+
 def trim_ends(pairs: DataFrame, hits: DataFrame, genes: DataFrame, gap: int = 10_000, over: int = 100) -> DataFrame:
     """``pairs`` without sub-hits at an end, on either side, that lie off the gene's exons behind a gap of over
     ``gap``, or that reach over ``over`` past the gene and fit another gene's exons better on both sides (a sub-hit off
-    the exons fits any other gene better). Repeated until nothing changes; pairs of one sub-hit stay. One group per
-    gene pair; pairs in which no sub-hit can go don't reach it."""
+    the exons fits any other gene better). Repeated until nothing changes; pairs of one sub-hit stay. Gene pairs are
+    streamed, each held alone; those in which no sub-hit can go are not sent there."""
     rows = pairs.join(hits.select("hit_idx", "start1", "end1", "start2", "end2"), "hit_idx")
     for k in (1, 2):
         rows = rows.join(genes.select(F.col("annot_idx").alias(f"gene{k}"), F.col("g_start").alias(f"gs{k}"), F.col("g_end").alias(f"ge{k}")), f"gene{k}")
@@ -303,14 +312,15 @@ def trim_ends(pairs: DataFrame, hits: DataFrame, genes: DataFrame, gap: int = 10
     far = F.lit(False)
     for k in (1, 2):
         along = Window.partitionBy(*KEYS).orderBy(f"start{k}", f"end{k}", "hit_idx")
-        away = F.greatest(F.lead(f"start{k}").over(along) - F.col(f"end{k}"), F.col(f"start{k}") - F.lag(f"end{k}").over(along)) > gap
+        away = F.greatest(F.abs(F.lead(f"start{k}").over(along) - F.col(f"end{k}")) + 1, F.abs(F.col(f"start{k}") - F.lag(f"end{k}").over(along))) > gap
         out = F.greatest(F.col(f"gs{k}") - F.col(f"start{k}"), F.col(f"end{k}") - F.col(f"ge{k}")) > over
         far = far | ((F.col(f"exon{k}") == 0) & F.coalesce(away, F.lit(False))) | (out & F.col("better"))
     whole = Window.partitionBy(*KEYS)
     rows = rows.withColumn("__open", F.max(far).over(whole) & (F.count(F.lit(1)).over(whole) > 1))
-    open_rows = rows.filter("__open").drop("__open")
-    done = open_rows.groupBy(*KEYS).applyInPandas(_trim(gap, over), open_rows.schema)
-    return rows.filter("not __open").select(*pairs.columns).unionByName(done.select(*pairs.columns))
+    ends = [f"{c}{k}" for c in ("start", "end", "gs", "ge") for k in (1, 2)]
+    open_rows = rows.filter("__open").select(*[F.col(c).cast(t).alias(c) for c, t in _PAIR.items()], *ends, F.coalesce("better", F.lit(False)).alias("better"))
+    done = walk_pieces(open_rows, list(KEYS), ["hit_idx"], _trim(gap, over), _PAIR)
+    return rows.filter("not __open").select(*_PAIR).unionByName(done)
 
 
 def pair_cutoffs(stats: DataFrame) -> DataFrame:

@@ -14,9 +14,11 @@ from genoloom.operators.pieces import walk_pieces
 
 
 def gene_rank(genes: DataFrame) -> DataFrame:
-    """(annot_idx, grp_idx, rank): place of each gene along its chromosome, by start, longer first."""
-    w = Window.partitionBy("grp_idx").orderBy(F.asc("g_start"), F.desc(F.col("g_end") - F.col("g_start")), F.asc("annot_idx"))
-    return genes.select("annot_idx", "grp_idx", F.row_number().over(w).alias("rank"))
+    """(annot_idx, grp_idx, rank): place of each gene along its chromosome, by start, longer first; counted by range."""
+    key, order = ["grp_idx"], ["g_start", "-length", "annot_idx"]
+    rows = genes.select("annot_idx", "grp_idx", "g_start", (F.col("g_end") - F.col("g_start")).alias("length"))
+    ranked = carried(deal(rows, key, order), key, order, rank=("sum", F.lit(1), "upto"))
+    return ranked.select("annot_idx", "grp_idx", F.col("rank").cast("int").alias("rank"))
 
 
 def ranked_hits(hits: DataFrame, ranks: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoloom.functions.intervals import bin_join
+from genoloom.operators.ordering import carried, deal
 
 #: Columns that change places when a hit is seen from its other side.
 SIDES = [("proj1_idx", "proj2_idx"), ("grp1_idx", "grp2_idx"), ("start1", "start2"), ("end1", "end2"), ("annot1_idx", "annot2_idx")]
@@ -111,6 +112,7 @@ def number_pseudo_genes(hits: DataFrame, numbered: DataFrame) -> DataFrame:
     ]
     top = numbered.groupBy("grp_idx").agg(F.max("genenum").alias("top"))
     base = F.when(F.col("top").isNull(), 0).otherwise((F.floor(F.col("top") / 100) + 1) * 100)
-    rank = F.row_number().over(Window.partitionBy("grp_idx").orderBy("side", "start", "end", "hit_idx"))
-    rows = sides[0].union(sides[1]).join(top, "grp_idx", "left").withColumn("genenum", (base + rank).cast("int"))
+    key, order = ["grp_idx"], ["side", "start", "end", "hit_idx"]
+    ranked = carried(deal(sides[0].union(sides[1]), key, order), key, order, rank=("sum", F.lit(1), "upto"))
+    rows = ranked.join(top, "grp_idx", "left").withColumn("genenum", (base + F.col("rank")).cast("int"))
     return rows.select("grp_idx", "genenum", "hit_idx", "side", "start", "end", F.concat(F.col("genenum").cast("string"), F.lit(".~")).alias("tag"))

@@ -28,6 +28,15 @@ def _(v: Views) -> DataFrame:
     return tx.parse_fasta(_fasta_lines(v), "", 1000).select("name", "length", "seq")
 
 
+@query(
+    "s1_fasta_chunks",
+    """ SELECT name, CAST(length(seq) AS BIGINT) AS length, CAST(k AS INT) AS chunk, substr(seq, k * 700 + 1, 700) AS seq FROM (
+  SELECT name, seq, unnest(range(0, (length(seq) + 699) // 700)) AS k FROM seqs WHERE length(seq) >= 300) x""",
+)
+def _(v: Views) -> DataFrame:
+    return tx.fasta_chunks(_fasta_lines(v), "", 300, 700).select("name", "length", "chunk", "seq")
+
+
 def _chunks(v: Views, size: int = 1000) -> DataFrame:
     return tx.chunk_sequence(v.seqs, "name", size)
 

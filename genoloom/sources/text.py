@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from genoloom.operators.annotation import parse_attributes
+from genoloom.operators.ordering import carried, deal, global_rank
 
 FASTA_SUFFIXES = ("fa", "fna", "fas", "fasta", "seq")
 #: Types of annotation rows that are loaded.
@@ -20,32 +21,50 @@ CHUNK = 1_000_000
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Lines of text files (gz too) with their file and place: (file, line, value).
+    """Lines of text files (gz too) with their file and number from 1: (file, line, value).
 
-    A line's place is that of its block in the file, then its place in the block's read order; a gz file is one
-    block. Files are not split, so a file's lines are read in order by one task.
+    Large files are read in blocks by several tasks; a line is numbered by its block's place in the file and its place in
+    the block, and counts are carried from range to range of a file. A gz file is one block.
     """
-    rows = spark.read.option("wholetext", False).text(paths).select(F.input_file_name().alias("file"), "value", F.monotonically_increasing_id().alias("line"))
-    return rows.select("file", "line", "value")
+    rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+    key, order = ["file"], ["block", "place"]
+    return carried(deal(rows, key, order), key, order, line=("sum", F.lit(1), "upto")).select("file", "line", "value")
 
 
-def parse_fasta(lines: DataFrame, prefix: str = "", min_len: int = 0) -> DataFrame:
-    """(file, name, fullname, seq, length): one row per sequence.
+def fasta_chunks(lines: DataFrame, prefix: str = "", min_len: int = 0, size: int = CHUNK) -> DataFrame:
+    """(file, at, name, fullname, length, chunk (from 0), seq): sequences in pieces of ``size`` bases, straight from lines.
 
     '#' and blank lines are skipped; the name is the first word without ``prefix`` (any case), headers without it
     are dropped, as are sequences under ``min_len`` and repeats of a name (the first stays). White space goes, and
     every letter but ACGTN (any case) becomes N.
-    """
-    rows = lines.filter((F.trim("value") != "") & ~F.startswith(F.trim("value"), F.lit("#")))
+
+    A line's header and its first base's place are running values that are carried from range to range of a file, so
+    neither a file nor a sequence is in one task or cell; a row holds no more than ``size`` bases."""
     head = F.startswith(F.col("value"), F.lit(">"))
-    w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("at", F.max(F.when(head, F.col("line"))).over(w))
-    heads = rows.filter(head).select("file", "at", F.regexp_extract("value", r"^>\s*([\w.:-]+)", 1).alias("word"), F.expr("substring(value, 2)").alias("fullname"))
-    body = rows.filter(~head & F.col("at").isNotNull()).groupBy("file", "at").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "value"))), lambda x: x["value"]), "").alias("seq"))
-    named = heads.filter(F.startswith(F.lower("word"), F.lit(prefix.lower()))).withColumn("name", F.expr(f"substring(word, {len(prefix) + 1})"))
-    out = named.join(body, ["file", "at"]).withColumn("seq", F.regexp_replace(F.regexp_replace("seq", r"\s", ""), "[^acgtnACGTN]", "N")).withColumn("length", F.length("seq").cast("long"))
-    first = F.row_number().over(Window.partitionBy("name").orderBy("file", "at"))
-    return out.filter(F.col("length") >= min_len).withColumn("k", first).filter("k = 1").select("file", "name", "fullname", "seq", "length")
+    key, order, own = ["file"], ["line"], ["file", "at"]
+    rows = deal(lines.filter((F.trim("value") != "") & ~F.startswith(F.trim("value"), F.lit("#"))).select("file", "line", "value"), key, order)
+    rows = carried(rows, key, order, at=("max", F.when(head, F.col("line")), "upto"))
+    heads = rows.filter(head).select(*own, F.regexp_extract("value", r"^>\s*([\w.:-]+)", 1).alias("word"), F.expr("substring(value, 2)").alias("fullname"))
+    heads = heads.filter(F.startswith(F.lower("word"), F.lit(prefix.lower()))).withColumn("name", F.expr(f"substring(word, {len(prefix) + 1})"))
+    body = rows.filter(~head & F.col("at").isNotNull()).withColumn("bases", F.regexp_replace(F.regexp_replace("value", r"\s", ""), "[^acgtnACGTN]", "N"))
+    body = body.withColumn("n", F.length("bases").cast("long")).drop("value")
+    heads = heads.join(body.groupBy(*own).agg(F.sum("n").alias("length")), own).filter(F.col("length") >= min_len)
+    first = heads.groupBy("name").agg(F.min(F.struct(*own)).alias("f")).select("f.*")
+    body = carried(body, own, order, start=("sum", "n", "before")).filter("n > 0")
+    chunk = F.explode(F.expr(f"sequence(start div {size}, (start + n - 1) div {size})"))
+    pieces = body.withColumn("chunk", chunk).withColumn("from", F.greatest(F.lit(0), F.col("chunk") * size - F.col("start")))
+    pieces = pieces.withColumn("piece", F.substring(F.col("bases"), (F.col("from") + 1).cast("int"), F.least(F.lit(size), (F.col("chunk") + 1) * size - F.col("start") - F.col("from")).cast("int")))
+    listed = F.sort_array(F.collect_list(F.struct("line", "piece")))
+    chunks = pieces.groupBy(*own, "chunk").agg(F.array_join(F.transform(listed, lambda x: x["piece"]), "").alias("seq"))
+    return chunks.join(heads.join(first, own, "left_semi"), own).select(*own, "name", "fullname", "length", F.col("chunk").cast("int").alias("chunk"), "seq")
+
+
+def parse_fasta(lines: DataFrame, prefix: str = "", min_len: int = 0) -> DataFrame:
+    """(file, name, fullname, seq, length): one row per sequence, by the rules of :func:`fasta_chunks`; for sequences that
+    fit into a cell."""
+    listed = F.sort_array(F.collect_list(F.struct("chunk", "seq")))
+    whole = fasta_chunks(lines, prefix, min_len).groupBy("file", "at", "name", "fullname", "length").agg(F.array_join(F.transform(listed, lambda x: x["seq"]), "").alias("seq"))
+    return whole.select("file", "name", "fullname", "seq", "length")
 
 
 def read_fasta(spark: SparkSession, paths: str | list[str], prefix: str = "", min_len: int = 0) -> DataFrame:
@@ -129,7 +148,7 @@ def delimited(df: DataFrame, sep: str, row_number: list[Column] | None = None) -
     cols = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
     quoted = [F.when(c.contains(sep) | c.rlike("[\"\r\n]"), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c) for c in cols]
     if row_number:
-        quoted = [F.row_number().over(Window.orderBy(*row_number)).cast("string"), *quoted]
+        df, quoted = global_rank(df, row_number, "__place"), [F.col("__place").cast("string"), *quoted]
     return df.select(F.concat_ws(sep, *quoted).alias("value"))
 
 

@@ -369,6 +369,83 @@ def test_fasta_files(spark, tmp_path):
     assert got == {"1": "ACGTNNNNacgtNNNAC"}
 
 
+def test_fasta_in_blocks_and_chunks(spark, tmp_path):
+    """A file read in blocks of 64 bytes gives the same lines in order, and sequences in chunks that its lines run across."""
+    rng = np.random.default_rng(2)
+    want, text = {}, []
+    for k in range(9):
+        bases = "".join(rng.choice(list("ACGTNacgtR"), int(rng.integers(0, 260))))
+        want[f"q{k}"] = "".join(b if b != "R" else "N" for b in bases)
+        text += [f">q{k} of nine", *(bases[i : i + 17] for i in range(0, len(bases), 17))]
+    (tmp_path / "b.fa").write_text("\n".join(text) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        lines = tx.read_lines(spark, str(tmp_path / "b.fa"))
+        assert lines.rdd.getNumPartitions() >= 1 and [r["value"] for r in lines.orderBy("line").collect()] == text
+        assert [r["line"] for r in lines.orderBy("line").collect()] == list(range(1, len(text) + 1))
+        got = tx.fasta_chunks(lines, "", 1, 50).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {(r["name"], r["chunk"], r["seq"]) for r in got} == {(n, i // 50, s[i : i + 50]) for n, s in want.items() for i in range(0, len(s), 50)}
+    assert all(r["length"] == len(want[r["name"]]) and r["fullname"] == f"{r['name']} of nine" for r in got)
+    assert tx.fasta_chunks(lines.limit(0)).count() == 0
+
+
+def _slow_trim(hits, gene, exon, better, gap, over):
+    """hits: id to ((s1, e1), (s2, e2)); one gene pair, end by end, side 2 first."""
+    left, before = dict(hits), None
+    while len(left) > 1 and before != len(left):
+        before = len(left)
+        for k in (1, 0):
+            span = (min(h[k][0] for h in left.values()), max(h[k][1] for h in left.values())) if left else None
+            half = int(max(0, min(span[1], gene[k][1]) - max(span[0], gene[k][0]) + 1) / 2 + 0.5) if left else 0
+            for last in (False, True):
+                order = sorted(left, key=lambda i: (*left[i][k], i))
+                if not order:
+                    continue
+                i = order[-1] if last else order[0]
+                s, e = left[i][k]
+                go = False
+                if len(order) > 1:
+                    wide = abs(s - left[order[-2]][k][1]) if last else abs(left[order[1]][k][0] - e) + 1
+                    go = wide > gap and not exon[i][k]
+                out = e - gene[k][1] if last else gene[k][0] - s
+                if go or (out > over and (out > half or not exon[i][k]) and better[i]):
+                    del left[i]
+    return set(left)
+
+
+def test_ends_are_trimmed_by_the_rule(spark):
+    rng = np.random.default_rng(14)
+    genes, hits, pairs, want, other = [], [], [], set(), 5000
+    for pair in range(40):
+        g1, g2 = 2 * pair + 1, 2 * pair + 2
+        model = [(int(a), int(a + n)) for a, n in zip(rng.integers(1000, 1400, 2), rng.integers(200, 900, 2), strict=True)]
+        genes += [(g1, 1, *model[0]), (g2, 2, *model[1])]
+        own, exon, better = {}, {}, {}
+        for n in range(int(rng.integers(1, 7))):
+            i = pair * 100 + n
+            s1, s2 = (int(x) for x in rng.integers(300, 3000, 2))
+            own[i] = ((s1, s1 + int(rng.integers(20, 900))), (s2, s2 + int(rng.integers(20, 900))))
+            exon[i] = tuple(int(x) * 40 for x in rng.integers(0, 3, 2))
+            hits.append((i, own[i][0][0], own[i][0][1], own[i][1][0], own[i][1][1]))
+            pairs.append((i, g1, g2, True, *exon[i]))
+            better[i] = bool(rng.random() < 0.5)
+            if better[i]:  # another pair of genes that the hit fits better
+                other += 2
+                genes += [(other, 1, 1, 2), (other + 1, 2, 1, 2)]
+                pairs.append((i, other, other + 1, True, 500, 500))
+                want.add((i, other))
+        want |= {(i, g1) for i in _slow_trim(own, model, exon, better, 300, 60)}
+    found = cp.trim_ends(
+        spark.createDataFrame(pairs, "hit_idx long, gene1 long, gene2 long, same boolean, exon1 long, exon2 long"), spark.createDataFrame(hits, "hit_idx long, start1 int, end1 int, start2 int, end2 int"),
+        spark.createDataFrame(genes, "annot_idx long, grp_idx int, g_start int, g_end int"), 300, 60,
+    )
+    got = [(r["hit_idx"], r["gene1"]) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want) and len(want) < len(pairs)
+
+
 def test_hits_line_of_fifteen_and_thirteen_fields(spark, tmp_path):
     wide = "1200 1499 900450 900151 300 300 61.11 78.70 2.00 5000000 7000000 1 -1 chr1 chr3"
     (tmp_path / "a.mum").write_text(wide + "\n1 100 5 104 100 100 88.5 1 1 1 1 chrT chrQ\nbad line\n")
