@@ -99,13 +99,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     harmless alone and not so in company. What a term means, alone and with others, the machine then learns.
 
     Only ``docs``' text is an input. Labels other than 0 and 1 and ids without a document are ignored; without
-    examples of both classes every score is 0. What reaches the driver is bounded by the parameters.
+    examples of both classes every score is 0. An id of several rows stands for one of its texts, a label that is
+    repeated counts once, so what reaches the driver is bounded by the parameters.
     """
     order = [F.xxhash64("id"), F.col("id")]
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)").distinct()
     picked = known.filter("y = 0").orderBy(*order).limit(per_class).union(known.filter("y = 1").orderBy(*order).limit(per_class))
     # at most 2 * per_class rows of two numbers: a proven bound for the broadcast
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
+    sample = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(picked), "id")
+    # of several rows of one id, one text: the choice depends on the texts alone, and is made in each task first
+    sample = sample.groupBy("id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.octet_length("text"))).alias("text"))
 
     def terms_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -129,18 +132,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         found = best.union(used).collect()
         alone, paired = ([r["term"] for r in found if r["alone"] == k] for k in (True, False))
         terms = sorted({*alone, *paired})
-        chosen = F.array(*map(F.lit, terms))
-        # rows of one label and the same terms count alike, so their order does not matter
-        kept = sorted((r["y"], r["terms"]) for r in examples.select("y", F.array_intersect("terms", chosen).alias("terms")).collect())
+        at = {t: k for k, t in enumerate(terms)}
+
+        def marks_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                x = np.zeros((len(pdf), len(terms)), bool)
+                for k, own in enumerate(pdf["terms"]):
+                    x[k, [at[t] for t in own.tolist() if t in at]] = True
+                yield pd.DataFrame({"y": pdf["y"], "marks": [r.tobytes() for r in np.packbits(x, axis=1)]})
+
+        # a bit for each term: 2 * per_class rows of 256 bytes at most. Rows of one label and the same terms count
+        # alike, so their order does not matter
+        kept = sorted(map(tuple, examples.mapInPandas(marks_of, "y int, marks binary").collect()))
     finally:
         examples.unpersist()
-    at = {t: k for k, t in enumerate(terms)}
-    x = np.zeros((len(kept), len(terms)), np.float32)
-    for k, (_, own) in enumerate(kept):
-        x[k, [at[t] for t in own]] = 1
     y = np.array([r[0] for r in kept])
+    packed = np.frombuffer(b"".join(bytes(r[1]) for r in kept), np.uint8).reshape(len(kept), -1)
+    x = np.unpackbits(packed, axis=1, count=len(terms))
     columns = np.array([at[t] for t in paired], np.int64)
-    inputs = sorted({*(at[t] for t in alone), *columns[telling_pairs(x[:, columns], y, pairs)].tolist()})
+    inputs = sorted({*(at[t] for t in alone), *columns[telling_pairs(x[:, columns].astype(np.float32), y, pairs)].tolist()})
     if not inputs:
         return FactorMachine(bias=float(np.log(every[1] / every[0])))
     return train(x[:, inputs], y, {terms[k]: i for i, k in enumerate(inputs)}, np.where(y == 1, every[1] / n1, every[0] / n0))

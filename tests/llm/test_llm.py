@@ -692,6 +692,16 @@ def test_sampling_one_class_does_not_move_the_scores(spark):
     assert abs(mean(whole) - 1 / 8) < 0.03 and abs(mean(part) - 1 / 8) < 0.06
 
 
+def test_repeated_ids_and_labels_count_once(spark):
+    draw = random.Random(2)
+    words = [f"w{k}" for k in range(80)]
+    rows = [(k, " ".join(draw.choices(words, k=30)) + (" vile filth" if k % 3 == 0 else "")) for k in range(240)]
+    plain, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(240)], "doc_id long, toxic int")
+    once = toxicity.fit(plain, labels)
+    many = toxicity.fit(plain.union(plain.filter("doc_id < 3").crossJoin(spark.range(500)).select("doc_id", "text")), labels.union(labels.filter("doc_id < 9")))
+    assert once.place == many.place and once.bias == many.bias and np.array_equal(once.weight, many.weight)
+
+
 def test_toxicity_of_long_texts_repeats_and_clashing_columns(spark):
     texts = ["calm words here", "calm words here", None, "", "x " * 200_000 + "vile", "vile"]
     labels = spark.createDataFrame([(k, int(k % 2)) for k in range(100, 200)], "doc_id long, toxic int")
