@@ -16,6 +16,11 @@ SENTENCES = {
     "you may not use this file except in compliance with the license": "apache-2-comply",
     "you may obtain a copy of the license at": "apache-2-copy",
     "spdx license identifier apache 2 0": "apache-2-tag",
+    "apache license version 2 0 january 2004": "apache-2-title",
+    "apache license version 2 0 january 2004 http www apache org licenses": "apache-2-title",
+    "apache license version 2 0 january 2004 https www apache org licenses": "apache-2-title",
+    "spdx license identifier mit or apache 2 0": "mit-or-apache-2-tag",
+    "spdx license identifier apache 2 0 or mit": "mit-or-apache-2-tag",
     # MIT
     "released under the mit license": "mit-notice",
     "licensed under the mit license": "mit-notice",
@@ -48,6 +53,9 @@ SENTENCES = {
     "either version 2 of the license or at your option any later version": "later-2",
     "either version 2 1 of the license or at your option any later version": "later-2-1",
     "either version 3 of the license or at your option any later version": "later-3",
+    "gnu general public license version 3 29 june 2007": "gpl-3-title",
+    "gnu general public license version 2 june 1991": "gpl-2-title",
+    "you can redistribute it and or modify it under the same terms as perl itself": "perl-terms",
     "spdx license identifier gpl 2 0 only": "gpl-2-only-tag",
     "spdx license identifier gpl 2 0": "gpl-2-only-tag",
     "spdx license identifier gpl 2 0 or later": "gpl-2-later-tag",
@@ -64,6 +72,9 @@ SENTENCES = {
     "this work is licensed under a creative commons attribution 4 0 international license": "cc-by-4-notice",
     "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa-4-notice",
     "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc-4-notice",
+    "this work is licensed under a creative commons attribution 3 0 unported license": "cc-by-3-notice",
+    "this work is licensed under the creative commons attribution 3 0 unported license": "cc-by-3-notice",
+    "licensed under cc by 3 0": "cc-by-3-notice",
     "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "cc0-waiver",
     "spdx license identifier cc0 1 0": "cc0-tag",
     # others
@@ -71,6 +82,7 @@ SENTENCES = {
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-2-notice",
     "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl-2-copy",
     "spdx license identifier mpl 2 0": "mpl-2-tag",
+    "the contents of this file are subject to the terms of the common development and distribution license the license": "cddl-notice",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "bsd-0-grant",
     "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc-warranty",
@@ -105,6 +117,12 @@ RULES = [
     ("0BSD", ["bsd-0-grant", "isc-warranty"]),
     ("Zlib", ["zlib-warranty", "zlib-grant"]),
     ("BSL-1.0", ["bsl-1-grant"]),
+    ("Artistic-1.0-Perl OR GPL-1.0-or-later", ["lgpl-free", "perl-terms"]),
+    ("Artistic-1.0-Perl OR GPL-1.0-or-later", ["gpl-free", "perl-terms"]),
+    ("CDDL-1.0", ["cddl-notice"]),
+    ("Apache-2.0", ["apache-2-title"]),
+    ("GPL-3.0-only", ["gpl-3-title"]),
+    ("GPL-2.0-only", ["gpl-2-title"]),
     ("Apache-2.0", ["apache-2-notice"]),
     ("MIT", ["mit-notice"]),
     ("GPL-3.0-only", ["gpl-3-notice"]),
@@ -112,11 +130,13 @@ RULES = [
     ("CC-BY-SA-4.0", ["cc-by-sa-4-notice"]),
     ("CC-BY-ND-4.0", ["cc-by-nd-4-notice"]),
     ("CC-BY-4.0", ["cc-by-4-notice"]),
+    ("CC-BY-3.0", ["cc-by-3-notice"]),
     ("CC0-1.0", ["cc0-waiver"]),
     ("Unlicense", ["unlicense-notice"]),
     ("MPL-2.0", ["mpl-2-notice"]),
     ("BSL-1.0", ["bsl-1-notice"]),
     ("EPL-2.0", ["epl-2-notice"]),
+    ("MIT OR Apache-2.0", ["mit-or-apache-2-tag"]),
     ("Apache-2.0", ["apache-2-tag"]),
     ("MIT", ["mit-tag"]),
     ("BSD-2-Clause", ["bsd-2-tag"]),
@@ -133,7 +153,8 @@ RULES = [
 ]
 
 #: What is done to a lower-case text, in turn, before it is cut: marks of comments and lists at a line's ends go, a
-#: version's "v. 2" and a tag's colon keep their sentence whole, paragraphs end at blank lines. (Pattern, by what.)
+#: version's "v. 2" and a tag's colon keep their sentence whole, paragraphs end at blank lines, and whoever a clause
+#: against endorsement names is its holder. (Pattern, by what.)
 PREPARED = [
     (r"\r\n?", "\n"),
     (r"(^|\n)[ \t]*(?:(?://+|/\*+|\*+/?|#+|;+|%+|--+|<!--+|[•·-]|\(?[0-9a-z][.)])[ \t]*){1,3}", "$1"),
@@ -141,6 +162,7 @@ PREPARED = [
     (r"(spdx-license-identifier):[ \t]*", "$1 "),
     (r"([.:])[ \t]+([0-9])", "$1$2"),
     (r"\n[ \t]*\n[ \t\n]*", "\f"),
+    (r"neither[ \t\n]+the[ \t\n]+names?[ \t\n]+of[ \t\n]+[^\f]+?[ \t\n]+nor[ \t\n]+the[ \t\n]+names?[ \t\n]+of[ \t\n]+(?:its|any|the|their)[ \t\n]+contributors", "neither the name of the copyright holder nor the names of its contributors"),
 ]
 #: A sentence ends at . ! ? ; : followed by white space (or a quote's or bracket's end and white space).
 SENTENCE_END = r"""([.!?;:]["')]?)[ \t\n]+"""

@@ -221,8 +221,10 @@ def linked(
         place = groups.select(F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"), "component")
         met = true_pairs.join(place, ["h1", "h2"], "left").join(place.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("component").alias("other")), ["p1", "p2"], "left")
         pairs, caught = met.agg(F.count(F.lit(1)), F.count(F.when(F.col("component") == F.col("other"), 1))).first()
-        if caught >= target * pairs or number == most_rounds:
+        if caught >= target * pairs:
             break
+        if number == most_rounds:
+            raise RuntimeError(f"after {number} rounds {caught} of {pairs} true pairs are joined, under the target of {target}")
         again = rows.mapInPandas(signs(number * runs), kinds)
         more = sets_of(again).agg(F.min(F.struct("id", "paths")).alias("m")).select(F.struct("m.id", "h1", "h2").alias("rep"), "m.paths")
         edges = written(edges.union(edges_of(written(more, "classes"))).distinct(), "edges")

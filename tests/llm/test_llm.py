@@ -496,6 +496,33 @@ def test_license_texts_in_their_usual_form(spark):
     assert {x for _, q in license_scan.RULES for x in q} == set(license_scan.SENTENCES.values())
 
 
+BSD_CLAUSES = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+the following conditions are met:
+
+ * Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+   disclaimer.
+ * Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+   disclaimer in the documentation and/or other materials provided with the distribution.
+ * Neither the name of {} nor the names of
+   its contributors may be used to endorse or promote products derived from this software without specific prior
+   written permission.
+"""
+
+
+@pytest.mark.parametrize("text, name", [
+    (BSD_CLAUSES.format("Acme Inc."), "BSD-3-Clause"), (BSD_CLAUSES.format("Zebra"), "BSD-3-Clause"), (BSD_CLAUSES.format("the University of\n   Nowhere, Dept. 5,"), "BSD-3-Clause"),
+    (BSD_CLAUSES[: BSD_CLAUSES.index(" * Neither")], "BSD-2-Clause"), ("// SPDX-License-Identifier: MIT OR Apache-2.0", "MIT OR Apache-2.0"),
+    ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND", "Apache-2.0"),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007", "GPL-3.0-only"),
+    ("This work is licensed under the Creative Commons Attribution 3.0 Unported License.", "CC-BY-3.0"),
+    ("The contents of this file are subject to the terms of the Common Development and\nDistribution License (the License).", "CDDL-1.0"),
+    ("This library is free software; you can redistribute it and/or modify\nit under the same terms as Perl itself.", "Artistic-1.0-Perl OR GPL-1.0-or-later"),
+    ("Neither the name of the game nor the names of its players matter. Software.", ""),
+])
+def test_licenses_of_any_holder_titles_and_tags(spark, text, name):
+    assert license_scan.scan_licenses(docs_of(spark, [text])).first()["licenses"] == name
+
+
 def test_license_sql_gives_the_same(spark):
     import duckdb
 
