@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genoloom.operators.graph import connected_components
+from genoloom.operators.pieces import walk_pieces
 
 
 def gene_report(links: DataFrame, ref: int, species: list[int], all_species: bool = False) -> DataFrame:
@@ -68,32 +67,57 @@ def cluster_report(clusters: DataFrame, hits: DataFrame, genes: DataFrame, speci
     return per.select("cluster", *[F.coalesce(F.col(str(p)), F.lit("")).alias(f"p{p}") for p in species])
 
 
-def _link_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One cluster: links in order of their genes; each opens or joins the first row that has no gene of its
-    species yet and whose genes all link to it; a gene stands in one row only."""
-    linked = {(a, b) for a, b in zip(pdf["a"], pdf["b"], strict=True)}
-    linked |= {(b, a) for a, b in linked}
-    species = dict(zip(pdf["a"], pdf["pa"], strict=True)) | dict(zip(pdf["b"], pdf["pb"], strict=True))
-    rows: list[dict[int, int]] = []
+def link_rows(links: list[tuple[int, int]], species: dict[int, int]) -> list[dict[int, int]]:
+    """Rows (species to gene) of one cluster whose genes all link to each other, until every link stands in a row.
+
+    Each gene in turn, by species and number, begins rows as long as it has a link that is in none: in each other species
+    the first gene goes in whose link to it is still in none and which links to all others of the row; then, in species
+    that are left, the first that links to all. A gene, and a link in second place, may stand in several rows."""
+    near: dict[int, dict[int, list[int]]] = {g: {} for g in species}
+    for a, b in sorted({(x, y) for p in links for x, y in (p, p[::-1])}):
+        near[a].setdefault(species[b], []).append(b)
+    linked = {g: {o for own in near[g].values() for o in own} for g in species}
+    pair = lambda a, b: (a, b) if a < b else (b, a)
+    open_ = {pair(*p) for p in links}
+    kinds = sorted(set(species.values()))
+    rows = []
     for gene in sorted(species, key=lambda g: (species[g], g)):
-        home = next((r for r in rows if species[gene] not in r and all((gene, o) in linked for o in r.values())), None)
-        if home is None:
-            rows.append({species[gene]: gene})
-        else:
-            home[species[gene]] = gene
-    rows = [r for r in rows if len(r) > 1]
-    pairs = [sum((x, y) in linked for x, y in combinations(r.values(), 2)) for r in rows]
-    text = [",".join(f"{p}:{r[p]}" for p in sorted(r)) for r in rows]
-    return pd.DataFrame({"cluster": pdf["cluster"].iloc[0], "row": range(1, len(rows) + 1), "genes": text, "species": [len(r) for r in rows], "links": pairs})
+        while True:
+            row = {species[gene]: gene}
+            for strict in (True, False):
+                if not strict and len(row) == 1:
+                    break
+                for kind in kinds:
+                    if kind in row:
+                        continue
+                    for o in near[gene].get(kind, ()):
+                        if (not strict or pair(gene, o) in open_) and all(o in linked[x] for x in row.values()):
+                            open_.difference_update(pair(x, o) for x in row.values())
+                            row[kind] = o
+                            break
+            if len(row) == 1:
+                break
+            rows.append(row)
+    return rows
+
+
+def _link_rows(cols: dict[str, np.ndarray]) -> tuple:
+    a, b = cols["a"].tolist(), cols["b"].tolist()
+    rows = link_rows(list(zip(a, b, strict=True)), dict(zip(a, cols["pa"].tolist(), strict=True)) | dict(zip(b, cols["pb"].tolist(), strict=True)))
+    n = np.array([len(r) for r in rows], np.int64)
+    text = np.array([",".join(f"{p}:{r[p]}" for p in sorted(r)) for r in rows], object)
+    return np.full(len(rows), cols["cluster"][0]), np.arange(1, len(rows) + 1), text, n, n * (n - 1) // 2
 
 
 def cluster_link_rows(clusters: DataFrame, hits: DataFrame, genes: DataFrame) -> DataFrame:
-    """(cluster, row, genes, species, links): rows of genes that all link to each other, one per species; a row is
-    full when it has all species. Greedy within a cluster, so a cluster is one task's work."""
+    """(cluster, row, genes, species, links): rows of genes that all link to each other, one per species, by
+    :func:`link_rows`; a row is full when it has all species. Links are hits between two species. Clusters are streamed,
+    each held alone, since a row's choices depend on the links that those before it have used."""
     place = lambda c, p: genes.select(F.col("annot_idx").alias(c), F.col("proj_idx").alias(p))
     rows = hits.select(F.col("annot1_idx").alias("a"), F.col("annot2_idx").alias("b")).filter("a is not null and b is not null").distinct()
-    rows = rows.join(clusters.select(F.col("annot_idx").alias("a"), "cluster"), "a").join(place("a", "pa"), "a").join(place("b", "pb"), "b")
-    return rows.groupBy("cluster").applyInPandas(_link_rows, "cluster long, row long, genes string, species long, links long")
+    rows = rows.join(clusters.select(F.col("annot_idx").alias("a"), "cluster"), "a").join(place("a", "pa"), "a").join(place("b", "pb"), "b").filter("pa <> pb")
+    kinds = {"cluster": "long", "row": "long", "genes": "string", "species": "long", "links": "long"}
+    return walk_pieces(rows.select("cluster", "a", "b", "pa", "pb"), ["cluster"], ["a", "b"], _link_rows, kinds)
 
 
 def report_annotation(genes: DataFrame, keys: list[str], width: int = 30, attrs: str = "attrs") -> DataFrame:

@@ -674,23 +674,38 @@ def test_no_gene_clusters_against_the_rules(spark):
     assert cp.no_gene_clusters(df.limit(0), cuts).count() == 0
 
 
-def _greedy_link_rows(edges, species):
-    """Genes by species, then number; each goes to the first row it fits, tried against every gene of the row."""
-    rows = []
-    for g in sorted(species, key=lambda g: (species[g], g)):
-        for row in rows:
-            if all(species[g] != species[o] and ((g, o) in edges or (o, g) in edges) for o in row):
-                row.append(g)
-                break
-        else:
-            rows.append([g])
-    return [sorted(r, key=lambda g: species[g]) for r in rows if len(r) > 1]
+def _slow_link_rows(edges, species):
+    """Every gene of every other species is tried for every place of a row, in order of numbers."""
+    linked = lambda a, b: (a, b) in edges or (b, a) in edges
+    key = lambda a, b: (min(a, b), max(a, b))
+    used, rows, kinds = set(), [], sorted(set(species.values()))
+    for ref in sorted(species, key=lambda g: (species[g], g)):
+        more = True
+        while more:
+            row = [ref]
+            for kind in kinds:
+                fit = [g for g in sorted(species) if species[g] == kind != species[ref] and linked(ref, g) and key(ref, g) not in used and all(linked(o, g) for o in row)]
+                if fit:
+                    used |= {key(o, fit[0]) for o in row}
+                    row.append(fit[0])
+            more = len(row) > 1
+            for kind in kinds if more else ():
+                if kind not in [species[g] for g in row]:
+                    fit = [g for g in sorted(species) if species[g] == kind and all(linked(o, g) for o in row)]
+                    if fit:
+                        used |= {key(o, fit[0]) for o in row}
+                        row.append(fit[0])
+            if more:
+                rows.append(sorted(row, key=lambda g: species[g]))
+    assert used == {key(*e) for e in edges}
+    return rows
 
 
 def test_cluster_link_rows_against_a_slow_walk(spark):
     rng = np.random.default_rng(4)
-    species = {g: g % 3 + 1 for g in range(1, 31)}
-    edges = {(int(a), int(b)) for a, b in rng.integers(1, 31, (110, 2)) if species[int(a)] < species[int(b)]}
+    species = {g: g % 4 + 1 for g in range(1, 61)}
+    pairs = [(int(a), int(b)) for a, b in [*rng.integers(1, 31, (500, 2)), *rng.integers(31, 61, (40, 2))]]
+    edges = {(a, b) for a, b in pairs if species[a] < species[b]}
     hits = spark.createDataFrame([*edges, *list(edges)[:5]], "annot1_idx long, annot2_idx long")
     genes = spark.createDataFrame(list(species.items()), "annot_idx long, proj_idx int")
     clusters = qu.gene_clusters(hits)
@@ -698,9 +713,9 @@ def test_cluster_link_rows_against_a_slow_walk(spark):
     want = []
     for c in set(of.values()):
         own = {g: species[g] for g in of if of[g] == c}
-        want += [(c, ",".join(f"{species[g]}:{g}" for g in r), len(r), len(r) * (len(r) - 1) // 2) for r in _greedy_link_rows({e for e in edges if e[0] in own}, own)]
-    got = [(r["cluster"], r["genes"], r["species"], r["links"]) for r in rp.cluster_link_rows(clusters, hits, genes).collect()]
-    assert sorted(got) == sorted(want) and any(w[2] == 3 for w in want)
+        want += [(c, k, ",".join(f"{species[g]}:{g}" for g in r), len(r), len(r) * (len(r) - 1) // 2) for k, r in enumerate(_slow_link_rows({e for e in edges if e[0] in own}, own), 1)]
+    got = [(r["cluster"], r["row"], r["genes"], r["species"], r["links"]) for r in rp.cluster_link_rows(clusters, hits, genes).collect()]
+    assert sorted(got) == sorted(want) and {w[3] for w in want} == {2, 3, 4}
 
 
 RANKED = "hit_idx long, hitnum int, grp1_idx int, grp2_idx int, same boolean, rank1 int, rank2 int"
