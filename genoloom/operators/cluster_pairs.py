@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from genoloom.functions.intervals import islands
 from genoloom.functions.scalars import same_strand
 from genoloom.operators.annotation import number_genes
+from genoloom.operators.graph import connected_components
 from genoloom.operators.hits import hit_gene_overlaps
 from genoloom.operators.lineage import written
-from genoloom.operators.ordering import carried, deal
+from genoloom.operators.ordering import carried, deal, global_rank
 from genoloom.operators.pieces import walk_pieces
 
 #: Fixed cutoffs (in %, bases or as ratios).
@@ -147,6 +148,10 @@ def pair_order(*sides: int) -> list[Column]:
     return [F.desc(_kinds("EE")), *shares, F.desc("ratio"), F.desc("subs"), F.asc("first"), F.asc("gene1"), F.asc("gene2")]
 
 
+#: The scores that :func:`pair_order` looks at.
+_ORDERED = {"ratio", "subs", *(f"{c}{k}" for c in ("exon", "golap", "cov") for k in (1, 2))}
+
+
 def rank_pairs(scores: DataFrame) -> DataFrame:
     """Adds rank1, rank2: place of the pair among those of its first (second) gene with the other's chromosome and
     the same strand class."""
@@ -158,42 +163,39 @@ def reciprocal_best(scores: DataFrame) -> DataFrame:
     return rank_pairs(scores).filter("rank1 = 1 and rank2 = 1")
 
 
-def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Roles of the pairs of one chromosome pair and strand class; see good_enough_and_minor."""
-    rows = list(pdf.sort_values("place").itertuples(index=False))
-    own = [{int(x) for x in r.subs_of} for r in rows]
-    role, bins = ["none"] * len(rows), [0] * len(rows)
-    with_gene: dict[tuple[int, int], int] = {}
+def _assign(cols: dict[str, np.ndarray]) -> tuple:
+    """Roles of the pairs of one component of conflicts, in their order; see good_enough_and_minor."""
+    c = {n: v.tolist() for n, v in cols.items()}
+    n = len(c["place"])
+    own = [{int(h) for h in x.split()} for x in c["subs_of"]]
+    role, bins = ["none"] * n, [0] * n
+    with_gene: set[tuple[int, int]] = set()
     holders: dict[int, list[int]] = {}
+    genes = [((1, a), (2, b)) for a, b in zip(c["gene1"], c["gene2"], strict=True)]
 
     def promote(i: int) -> None:
-        role[i], bins[i] = "major", int(rows[i].place)
-        for g in ((1, rows[i].gene1), (2, rows[i].gene2)):
-            with_gene[g] = with_gene.get(g, 0) + 1
+        role[i], bins[i] = "major", c["place"][i]
+        with_gene.update(genes[i])
         for h in own[i]:
             holders.setdefault(h, []).append(i)
 
-    def taken(i: int) -> list[bool]:
-        return [(1, rows[i].gene1) in with_gene, (2, rows[i].gene2) in with_gene]
-
     def major_of(i: int, last: bool) -> int | None:
         """The major whose minor pair i is; before the ``last`` look, only where that is beyond doubt."""
-        r = rows[i]
-        if not (r.overlaps1 or r.overlaps2):
+        if not (c["overlaps1"][i] or c["overlaps2"][i]):
             return None
         shared = Counter(m for h in own[i] for m in holders.get(h, ()))
         if not shared:
             return None
-        kin = [m for m in shared if rows[m].gene1 == r.gene1 or rows[m].gene2 == r.gene2]
+        kin = [m for m in shared if c["gene1"][m] == c["gene1"][i] or c["gene2"][m] == c["gene2"][i]]
         best = min(kin, key=lambda m: (-shared[m], bins[m]), default=None)
         if best is not None and shared[best] == len(own[i]):
             return best
-        if all(taken(i)):
+        if all(g in with_gene for g in genes[i]):
             return None
         part = lambda m: (shared[m] / len(own[i]), shared[m] / len(own[m]))
         for m in sorted(shared, key=lambda m: (m != best, bins[m])):
             a, b = part(m)
-            if a == 1 or (a >= SHARE_PAIR and b >= SHARE_MAJOR and (last or r.ratio < rows[m].ratio)):
+            if a == 1 or (a >= SHARE_PAIR and b >= SHARE_MAJOR and (last or c["ratio"][i] < c["ratio"][m])):
                 return m
         most = min(shared, key=lambda m: (-shared[m], m != best, bins[m]))
         a, b = part(most)
@@ -201,42 +203,49 @@ def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
         return most if last and near else None
 
     def good_enough(i: int) -> bool:
-        r, has = rows[i], taken(i)
-        if r.accepted or r.short:
-            return bool(r.accepted)
-        return bool((not all(has) or (r.near and r.ee)) and (r.loose1 if any(has) else r.loose0))
-
-    rest = []
-    for i, r in enumerate(rows):
-        if r.best:
+        if c["accepted"][i] or c["short"][i]:
+            return bool(c["accepted"][i])
+        has = [g in with_gene for g in genes[i]]
+        return bool((not all(has) or (c["near"][i] and c["ee"][i])) and (c["loose1"][i] if any(has) else c["loose0"][i]))
+
+    for i in range(n):
+        if c["best"][i]:
             promote(i)
-        else:
-            rest.append(i)
+    rest = [i for i in range(n) if not c["best"][i]]
     for i in rest:
         if major_of(i, False) is None and good_enough(i):
             promote(i)
     for i in rest:
         if role[i] == "none" and (m := major_of(i, True)) is not None:
             role[i], bins[i] = "minor", bins[m]
-
-    def same_place(x, y) -> bool:  # noqa: ANN001
-        if (x.lo1, x.hi1, x.lo2, x.hi2) == (y.lo1, y.hi1, y.lo2, y.hi2):
-            return True
-        kin = (x.overlaps1 and y.overlaps1 and x.num1 == y.num1) or (x.overlaps2 and y.overlaps2 and x.num2 == y.num2)
-        if not kin or (x.gene1 != y.gene1 and x.gene2 != y.gene2):
-            return False
-        one, two = min(x.hi1, y.hi1) - max(x.lo1, y.lo1), min(x.hi2, y.hi2) - max(x.lo2, y.lo2)
-        inside = one in (x.hi1 - x.lo1, y.hi1 - y.lo1) or two in (x.hi2 - x.lo2, y.hi2 - y.lo2)
-        return one >= 0 and two >= 0 and inside
-
-    before = None
-    for i in sorted((i for i, x in enumerate(role) if x == "major"), key=lambda i: (rows[i].lo2, rows[i].place)):
-        if before is not None and same_place(rows[before], rows[i]):
-            keep, lose = sorted((before, i), key=lambda j: rows[j].place)
-            role[lose], bins[lose] = "minor", bins[keep]
-        before = i
-    kept = ("gene1", "gene2", "part", "first")
-    return pd.DataFrame({**{c: [getattr(r, c) for r in rows] for c in kept}, "role": role, "bin": bins})
+    return cols["place"], np.array(role, object), np.array(bins, np.int64)
+
+
+def _one_of_each_place(majors: DataFrame) -> DataFrame:
+    """(place, lost, bin): of majors next to each other along side 2 in the same place, the lesser is lost and takes the
+    other's bin. Each is compared with the one before it, lost or not; a major that is lost to the one before it
+    takes the bin that one has by then, one that is lost to the one after it the bin of that. The majors before and after,
+    and the last that is not lost, are running values, carried from range to range."""
+    keys, order = ["grp1", "grp2", "same"], ["lo2", "place"]
+    seen = F.struct("lo2", "place", "lo1", "hi1", "hi2", "num1", "num2", "overlaps1", "overlaps2", "gene1", "gene2")
+    rows = carried(deal(majors, keys, order), keys, order, a=("max", seen, "before"), z=("min", seen, "after"))
+
+    def same_place(o: str) -> Column:
+        x = lambda c: F.col(f"{o}.{c}")
+        equal = (x("lo1") == F.col("lo1")) & (x("hi1") == F.col("hi1")) & (x("lo2") == F.col("lo2")) & (x("hi2") == F.col("hi2"))
+        kin = (x("overlaps1") & F.col("overlaps1") & (x("num1") == F.col("num1"))) | (x("overlaps2") & F.col("overlaps2") & (x("num2") == F.col("num2")))
+        near = kin & ((x("gene1") == F.col("gene1")) | (x("gene2") == F.col("gene2")))
+        shared = [F.least(x(f"hi{k}"), F.col(f"hi{k}")) - F.greatest(x(f"lo{k}"), F.col(f"lo{k}")) for k in (1, 2)]
+        inside = [(shared[k - 1] == x(f"hi{k}") - x(f"lo{k}")) | (shared[k - 1] == F.col(f"hi{k}") - F.col(f"lo{k}")) for k in (1, 2)]
+        return F.coalesce(equal | (near & (shared[0] >= 0) & (shared[1] >= 0) & (inside[0] | inside[1])), F.lit(False))
+
+    before = same_place("a") & (F.col("a.place") < F.col("place"))
+    after = same_place("z") & (F.col("z.place") < F.col("place"))
+    rows = rows.withColumns({"to_before": before, "to_after": after, "next": F.col("z.place")})
+    # those that are not lost to the one before them begin a run, whose bin the run has
+    rows = carried(rows.drop("a", "z"), keys, order, run=("max", F.when(~F.col("to_before"), F.struct("lo2", "place")), "upto"))
+    bin_of = F.when(F.col("to_after"), F.col("next")).otherwise(F.col("run.place"))
+    return rows.filter("to_before or to_after").select("place", F.lit(True).alias("lost"), bin_of.alias("of"))
 
 
 def good_enough_and_minor(passed: DataFrame, pairs: DataFrame, genes: DataFrame, scale: float = 1.0, gap_cover: tuple[int, ...] = GAP_COVER) -> DataFrame:
@@ -244,21 +253,35 @@ def good_enough_and_minor(passed: DataFrame, pairs: DataFrame, genes: DataFrame,
     pairs are majors, each with a bin of its own. The others in order: minors beyond doubt wait; those that pass the
     stricter tests, given which of their genes have a major by then, are majors. What is left is the minor of a major
     with which it shares enough sub-hits, and gets its bin, or has no role. Of majors in the same place the lesser
-    turns minor. One task per chromosome pair and strand class, since each choice depends on those before."""
+    turns minor. Bins are unique per chromosome pair and strand class.
+
+    A choice depends on those before it only through a gene or a sub-hit that both pairs have, so pairs are walked by
+    the components of such conflicts, streamed, each held alone."""
     number = Window.partitionBy("grp_idx", "genenum")
     numbered = number_genes(genes).withColumn("overlaps", F.count(F.lit(1)).over(number) > 1)
     place = lambda k: numbered.select(F.col("annot_idx").alias(f"gene{k}"), F.col("genenum").alias(f"num{k}"), F.col("overlaps").alias(f"overlaps{k}"))
     subs = pairs.groupBy(*KEYS).agg(F.collect_set("hit_idx").alias("subs_of"))
-    w = Window.partitionBy("grp1", "grp2", "same").orderBy(*pair_order(), "part")
     rows = rank_pairs(passed).join(subs, list(KEYS)).join(place(1), "gene1").join(place(2), "gene2").withColumns({
         "subs_of": F.when(F.col("part") > 0, F.array("part")).otherwise(F.col("subs_of")), "best": (F.col("rank1") == 1) & (F.col("rank2") == 1),
         "accepted": accepted(1, scale, gap_cover), "short": F.col("longest") < LENGTHS[0] * scale, "near": near_perfect(1, scale, gap_cover) | near_perfect(2, scale, gap_cover),
-        "ee": _kinds("EE"), "loose0": loose(0, scale, gap_cover), "loose1": loose(1, scale, gap_cover), "place": F.row_number().over(w),
+        "ee": _kinds("EE"), "loose0": loose(0, scale, gap_cover), "loose1": loose(1, scale, gap_cover),
     })
-    used = ["gene1", "gene2", "part", "first", "place", "best", "accepted", "short", "near", "ee", "loose0", "loose1", "ratio", "subs_of"]
+    own = ["grp1", "grp2", "same"]
+    used = ["gene1", "gene2", "part", "first", *own, "best", "accepted", "short", "near", "ee", "loose0", "loose1", "subs_of", *sorted(c for c in passed.columns if c in _ORDERED)]
     used += [f"{c}{k}" for c in ("num", "overlaps", "lo", "hi") for k in (1, 2)]
-    rows = rows.select("grp1", "grp2", "same", *used)
-    return rows.groupBy("grp1", "grp2", "same").applyInPandas(_assign, "gene1 long, gene2 long, part long, first long, role string, bin long")
+    rows = written(rows.select(*used), "ranked_pairs")  # ranges are sampled before they are dealt
+    rows = written(global_rank(rows, [F.asc(c) for c in own] + pair_order() + [F.asc("part")], "place").withColumn("place", F.col("place").cast("long")), "placed_pairs")
+    # a number that two hubs share would only join their components, and the walk gives the same over both
+    hub = lambda kind, of: F.xxhash64(F.lit(kind), *own, F.col(of).cast("long")).alias("hub")
+    node = F.xxhash64(F.lit("pair"), "place").alias("node")
+    edges = rows.select(node, hub("gene1", "gene1")).union(rows.select(node, hub("gene2", "gene2"))).union(rows.select("place", *own, F.explode("subs_of").alias("hit")).select(node, hub("hit", "hit")))
+    parts = connected_components(edges, "node", "hub")
+    walked = ["place", "gene1", "gene2", "best", "accepted", "short", "near", "ee", "loose0", "loose1", "ratio", "overlaps1", "overlaps2"]
+    conflicts = rows.select(*walked, F.array_join(F.transform("subs_of", lambda h: h.cast("string")), " ").alias("subs_of"), node).join(parts, "node").drop("node")
+    roles = walk_pieces(conflicts, ["component"], ["place"], _assign, {"place": "long", "role": "string", "bin": "long"})
+    rows = written(rows.select("gene1", "gene2", "part", "first", "place", *own, *[f"{c}{k}" for c in ("num", "overlaps", "lo", "hi") for k in (1, 2)]).join(roles, "place"), "pair_roles")
+    out = rows.join(_one_of_each_place(rows.filter("role = 'major'")), "place", "left")
+    return out.select("gene1", "gene2", "part", "first", F.when(F.col("lost"), "minor").otherwise(F.col("role")).alias("role"), F.coalesce("of", "bin").alias("bin"))
 
 
 def _trim(gap: int, over: int) -> Callable[[dict[str, np.ndarray]], tuple]:

@@ -512,6 +512,53 @@ def test_gene_pairs_trimmed_scored_and_assigned(spark):
     assert cp.good_enough_and_minor(none, trimmed.limit(0), genes).count() == 0 and cp.trim_ends(trimmed.limit(0), hits, genes).count() == 0
 
 
+def test_roles_by_conflicts_equal_one_walk(spark, monkeypatch):
+    """Walked by components of pairs that share a gene or a sub-hit, roles and bins are those of one walk over all."""
+    rng = np.random.default_rng(21)
+    genes = [(g, g % 2 + 1, int(a), int(a) + 400) for g, a in enumerate(rng.integers(1, 9000, 60))]
+    shares = [f"{c}{k}" for c in ("exon", "golap", "cov", "frac", "gcov") for k in (1, 2)]
+    passed, pairs, seen = [], [], set()
+    for g1, g2 in rng.integers(0, 30, (90, 2)).tolist():
+        key = (2 * g1, 2 * g2 + 1, True)  # one class
+        if key in seen:
+            continue
+        seen.add(key)
+        subs = sorted({int(h) for h in rng.integers(g1 * 4, g1 * 4 + 12, rng.integers(1, 5))})
+        at = [int(x) for x in rng.integers(1, 9000, 2)]
+        passed.append((*key, 0, subs[0], 1, 2, *(float(x) for x in rng.integers(0, 101, 10)), float(rng.random()), len(subs), int(rng.integers(100, 9000)), at[0], at[0] + 300, at[1] // 500 * 500, at[1] // 500 * 500 + 300))
+        pairs += [(h, *key) for h in subs]
+    df = spark.createDataFrame(passed, "gene1 long, gene2 long, same boolean, part long, first long, grp1 int, grp2 int, " + ", ".join(f"{c} double" for c in shares) + ", ratio double, subs long, longest long, lo1 long, hi1 long, lo2 long, hi2 long")
+    hits, genes = spark.createDataFrame(pairs, "hit_idx long, gene1 long, gene2 long, same boolean"), spark.createDataFrame(genes, "annot_idx long, grp_idx int, g_start int, g_end int")
+    got = sorted(map(tuple, cp.good_enough_and_minor(df, hits, genes).collect()))
+    monkeypatch.setattr(cp, "connected_components", lambda edges, a, b: edges.select(F.col(a).alias("node"), F.lit(1).cast("long").alias("component")).distinct())
+    assert got == sorted(map(tuple, cp.good_enough_and_minor(df, hits, genes).collect())) and len(got) == len(passed)
+    assert {r[4] for r in got} == {"major", "minor", "none"}
+
+
+def test_majors_in_the_same_place(spark):
+    """Of majors next to each other, in the order of a walk."""
+    rng = np.random.default_rng(23)
+    rows = []
+    for p, (a, b, n, g) in enumerate(rng.integers(0, 6, (160, 4)).tolist()):
+        rows.append((p, p % 2, 5, True, a * 100, a * 100 + 90 + n % 2, b * 100, b * 100 + 90, g, g + 1, g % 3, n % 3, bool(g % 2), bool(n % 2)))
+    names = "place long, grp1 int, grp2 int, same boolean, lo1 long, hi1 long, lo2 long, hi2 long, gene1 long, gene2 long, num1 int, num2 int, overlaps1 boolean, overlaps2 boolean"
+    want = {}
+    for grp in (0, 1):
+        bins, before = {}, None
+        for r in sorted((r for r in rows if r[1] == grp), key=lambda r: (r[6], r[0])):
+            if before is not None:
+                x, y = before, r
+                kin = ((x[12] and y[12] and x[10] == y[10]) or (x[13] and y[13] and x[11] == y[11])) and (x[8] == y[8] or x[9] == y[9])
+                one, two = min(x[5], y[5]) - max(x[4], y[4]), min(x[7], y[7]) - max(x[6], y[6])
+                if x[4:8] == y[4:8] or (kin and one >= 0 and two >= 0 and (one in (x[5] - x[4], y[5] - y[4]) or two in (x[7] - x[6], y[7] - y[6]))):
+                    keep, lose = sorted((x[0], y[0]))
+                    bins[lose] = bins.get(keep, keep)
+            before = r
+        want |= bins
+    got = {r["place"]: r["of"] for r in cp._one_of_each_place(spark.createDataFrame(rows, names).repartition(3)).collect()}
+    assert got == want and len(want) > 5
+
+
 # --- clusters with a gene on one side or none, against the rules applied base by base ---
 
 
