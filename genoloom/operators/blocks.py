@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from genoloom.functions.intervals import bin_join, midpoint
 from genoloom.functions.scalars import pearson, reverse_complement, same_strand
 from genoloom.operators.chaining import ChainSearch, best_chain
+from genoloom.operators.graph import connected_components
 from genoloom.operators.hits import number_hits, swap_sides
 from genoloom.operators.lineage import written
 from genoloom.operators.ordering import global_rank
@@ -289,25 +290,69 @@ def accept_blocks(hits: DataFrame, block_hits: DataFrame, cutoffs: DataFrame, mi
     return out.select("block_idx", "n", "r1", "r2", "space1", "space2", case.otherwise("").alias("case"))
 
 
+def merge_rectangles(boxes: DataFrame, keys: list[str], width: int = 100_000) -> DataFrame:
+    """(id, merged): boxes of equal ``keys`` that lie within gap1 and gap2 of each other on both sides are one, again with
+    the box around them, until no two are so near; ``merged`` is the smallest id. ``boxes``: keys, id, lo1, hi1, lo2, hi2,
+    gap1, gap2. Each round is a join by bins of side 1 and the components of its pairs."""
+    now, home = written(boxes.select(*keys, "id", "lo1", "hi1", "lo2", "hi2", "gap1", "gap2"), "boxes"), None
+    while True:
+        a = now.select(*keys, "id", "lo1", (F.col("hi1") + F.col("gap1")).alias("to1"), "lo2", (F.col("hi2") + F.col("gap2")).alias("to2"))
+        b = a.select(*keys, *[F.col(c).alias(f"b_{c}") for c in ("id", "lo1", "to1", "lo2", "to2")])
+        near = bin_join(a, b, keys, "lo1", "to1", "b_lo1", "b_to1", width).filter("id < b_id and lo2 <= b_to2 and b_lo2 <= to2")
+        near = written(near.select("id", F.col("b_id").alias("other")), "near-boxes")
+        if near.isEmpty():
+            return boxes.select("id", F.col("id").alias("merged")) if home is None else home
+        parts = connected_components(near, "id", "other").select(F.col("node").alias("id"), "component")
+        step = now.join(parts, "id", "left").withColumn("merged", F.coalesce("component", "id"))
+        now = written(step.groupBy(*keys, "merged").agg(F.min("lo1").alias("lo1"), F.max("hi1").alias("hi1"), F.min("lo2").alias("lo2"), F.max("hi2").alias("hi2"), F.max("gap1").alias("gap1"), F.max("gap2").alias("gap2")).withColumnRenamed("merged", "id"), "boxes")
+        if home is None:
+            home = step.select("id", "merged")
+        else:
+            home = home.join(parts.withColumnRenamed("id", "merged"), "merged", "left").select("id", F.coalesce("component", "merged").alias("merged"))
+        home = written(home, "merged-boxes")
+
+
+def chain_and_set_hits(hits: DataFrame, cutoffs: DataFrame, mindots: int = 7, strict: bool = True, orient: bool = False) -> DataFrame:
+    """Hits of good chains (``piece`` and ``chain`` from :func:`gap_search`, else 0) and, where hits carry ``runnum`` and the
+    search is strict without orientation, of collinear sets (``run``, else 0), numbered by side 1 first."""
+    apart = strict or orient
+    found = written(gap_search(search_pieces(hits, cutoffs, apart), mindots, strict, orient), "chains")
+    rows = number_hits(hits).join(found.select("hit_idx", "piece", "chain"), "hit_idx", "left").join(_limits(cutoffs), ["proj1_idx", "proj2_idx"])
+    part = F.when(same_strand(F.col("strand")), 1).otherwise(2) if apart else F.lit(0)
+    run = F.col("runnum").cast("long") if "runnum" in hits.columns and strict and not orient else F.lit(0).cast("long")
+    return rows.filter((F.col("chain").isNotNull()) | (run > 0)).select(
+        "hit_idx", "grp1_idx", "grp2_idx", "hitnum", "start1", "end1", "start2", "end2", part.alias("part"), run.alias("run"),
+        F.coalesce("piece", F.lit(0)).alias("piece"), F.coalesce("chain", F.lit(0)).alias("chain"), *_CUT,
+    )
+
+
+def small_blocks(rows: DataFrame) -> DataFrame:
+    """(hit_idx, small) of :func:`chain_and_set_hits`: the hits of collinear sets (``run`` over 0 within chromosome pair and
+    ``part``) that have no hit in a chain, by the block that such sets of one strand make up where they lie within the
+    first gap of ``gaps``."""
+    own = ["grp1_idx", "grp2_idx", "part", "run"]
+    first = F.split(F.split("gaps", " ")[0], ":")
+    sets = rows.filter("run > 0").groupBy(*own).agg(
+        F.min("hit_idx").alias("id"), F.max("chain").alias("chain"), F.min("start1").alias("lo1"), F.max("end1").alias("hi1"), F.min("start2").alias("lo2"), F.max("end2").alias("hi2"), F.max("gaps").alias("gaps"),
+    )
+    sets = written(sets.filter("chain = 0").withColumns({f"gap{k}": F.coalesce(F.get(first, F.lit(k - 1)).try_cast("long"), F.lit(0)) for k in (1, 2)}), "small-sets")
+    merged = merge_rectangles(sets, own[:3])
+    return rows.select("hit_idx", *own).join(sets.join(merged, "id").select(*own, F.col("merged").alias("small")), own).select("hit_idx", "small")
+
+
 def synteny_blocks(hits: DataFrame, cutoffs: DataFrame, mindots: int = 7, strict: bool = True, orient: bool = False, merge: int = 0, prune: bool = True) -> DataFrame:
     """(hit_idx, grp1_idx, grp2_idx, block): the hits of the blocks of each chromosome pair, numbered by their boxes.
 
     Strict and oriented searches run the strands apart. If hits carry ``runnum`` (collinear set, 0 for none) and
     the search is strict without orientation, sets that lie partly in a block add their other hits to it; sets
-    without a hit in any block become small blocks, merged among themselves where they lie within the first gap.
+    without a hit in any block become small blocks, merged among themselves on Spark (:func:`small_blocks`).
     Then blocks merge by :func:`merge_blocks`, and strict drops those under ``mindots`` hits (``prune``).
 
     The search is a task per piece (:func:`search_pieces`); the hits of blocks and of sets then meet per
     chromosome pair. Hits are numbered by side 1 first.
     """
-    apart = strict or orient
-    sets = "runnum" in hits.columns and strict and not orient
-    found = written(gap_search(search_pieces(hits, cutoffs, apart), mindots, strict, orient), "chains")
-    keys = ["hit_idx", "grp1_idx", "grp2_idx"]
-    rows = number_hits(hits).join(found.select("hit_idx", "piece", "chain"), "hit_idx", "left").join(_limits(cutoffs), ["proj1_idx", "proj2_idx"])
-    part = F.when(same_strand(F.col("strand")), 1).otherwise(2) if apart else F.lit(0)
-    run = F.col("runnum").cast("long") if sets else F.lit(0).cast("long")
-    rows = rows.filter((F.col("chain").isNotNull()) | (run > 0)).select(*keys, "hitnum", "start1", "end1", "start2", "end2", part.alias("part"), run.alias("run"), F.coalesce("piece", F.lit(0)).alias("piece"), F.coalesce("chain", F.lit(0)).alias("chain"), *_CUT)
+    rows = written(chain_and_set_hits(hits, cutoffs, mindots, strict, orient), "block-hits")
+    rows = rows.join(small_blocks(rows), "hit_idx", "left").fillna(-1, ["small"]) if "runnum" in hits.columns and strict and not orient else rows.withColumn("small", F.lit(-1))
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.assign(y=(pdf["start2"] + pdf["end2"]) // 2).sort_values(["y", "hit_idx"], ignore_index=True)
@@ -319,23 +364,17 @@ def synteny_blocks(hits: DataFrame, cutoffs: DataFrame, mindots: int = 7, strict
             return Block(own, (int(s1[own].min()), int(e1[own].max()), int(s2[own].min()), int(e2[own].max())), side)
 
         held = [list(g.index) for _, g in rows[rows["chain"] > 0].groupby(["part", "piece", "chain"])]
-        small = []
-        if sets:
-            home = {k: n for n, b in enumerate(held) for k in b}
-            for _, own in rows[rows["run"] > 0].groupby(["part", "run"]):
-                into = next((home[k] for k in own.index if k in home), None)
-                if into is None:
-                    small.append(block(list(own.index)))
-                else:
-                    held[into] += [k for k in own.index if k not in home]
-            gap = cut.gaps[0] if cut.gaps else (0, 0)
-            small = [b for s in (True, False) for b in merge_to_fixpoint([x for x in small if x.same == s], lambda a, b: close(a, b, gap), False)]
+        home = {k: n for n, b in enumerate(held) for k in b}
+        for _, own in rows[(rows["run"] > 0) & (rows["small"] < 0)].groupby(["part", "run"]):
+            into = next(home[k] for k in own.index if k in home)
+            held[into] += [k for k in own.index if k not in home]
+        small = [block(list(g.index)) for _, g in rows[rows["small"] >= 0].groupby("small")]
         blocks = merge_blocks(sorted([*map(block, held), *small], key=lambda b: b.box), num, y, cut, merge)
         if strict and prune:
             blocks = [b for b in blocks if len(b.hits) >= mindots]
         out = [(int(rows["hit_idx"][i]), n + 1) for n, b in enumerate(sorted(blocks, key=lambda b: b.box)) for i in b.hits]
         made = pd.DataFrame(out, columns=["hit_idx", "block"]).astype("int64")
-        return made.assign(grp1_idx=int(rows["grp1_idx"].iloc[0]), grp2_idx=int(rows["grp2_idx"].iloc[0]))[[*keys, "block"]]
+        return made.assign(grp1_idx=int(rows["grp1_idx"].iloc[0]), grp2_idx=int(rows["grp2_idx"].iloc[0]))[["hit_idx", "grp1_idx", "grp2_idx", "block"]]
 
     return rows.groupBy("grp1_idx", "grp2_idx").applyInPandas(work, "hit_idx long, grp1_idx int, grp2_idx int, block long")
 

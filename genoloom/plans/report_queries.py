@@ -236,6 +236,11 @@ def _(v: Views) -> DataFrame:
     return bl.synteny_blocks(_with_sets(v), _cutoffs(v), prune=False)
 
 
+@query("b6_small_blocks")
+def _(v: Views) -> DataFrame:
+    return bl.small_blocks(written(bl.chain_and_set_hits(_with_sets(v), _cutoffs(v)), "block-hits"))
+
+
 @query("b8_merge_blocks")
 def _(v: Views) -> DataFrame:
     return bl.synteny_blocks(_with_sets(v), _cutoffs(v), merge=2)

@@ -559,6 +559,26 @@ def test_majors_in_the_same_place(spark):
     assert got == want and len(want) > 5
 
 
+def test_rectangles_merge_until_none_are_near(spark):
+    rng = np.random.default_rng(17)
+    rows = [(int(g), i, int(a), int(a + n), int(b), int(b + m), 40, 50) for i, (g, a, n, b, m) in enumerate(zip(rng.integers(0, 2, 140), rng.integers(1, 9000, 140), rng.integers(5, 700, 140), rng.integers(1, 9000, 140), rng.integers(5, 700, 140), strict=True))]
+    groups = [([r[1]], r[0], list(r[2:6])) for r in rows]
+    again = True
+    while again:
+        again = False
+        for x in groups:
+            near = [y for y in groups if y is not x and y[1] == x[1] and all(max(x[2][k], y[2][k]) - min(x[2][k + 1], y[2][k + 1]) <= (40, 50)[k // 2] for k in (0, 2))]
+            if near:
+                y = near[0]
+                groups = [z for z in groups if z is not x and z is not y] + [(x[0] + y[0], x[1], [min(x[2][0], y[2][0]), max(x[2][1], y[2][1]), min(x[2][2], y[2][2]), max(x[2][3], y[2][3])])]
+                again = True
+                break
+    boxes = spark.createDataFrame(rows, "k int, id long, lo1 long, hi1 long, lo2 long, hi2 long, gap1 long, gap2 long")
+    got = {r["id"]: r["merged"] for r in bl.merge_rectangles(boxes, ["k"], 500).collect()}
+    assert got == {i: min(g[0]) for g in groups for i in g[0]} and 10 < len(groups) < 120
+    assert bl.merge_rectangles(boxes.limit(0), ["k"]).count() == 0
+
+
 # --- clusters with a gene on one side or none, against the rules applied base by base ---
 
 
