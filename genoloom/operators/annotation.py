@@ -121,16 +121,3 @@ def gene_model_stats(genes: DataFrame, exons: DataFrame) -> DataFrame:
     return ge.join(ex, "proj_idx").select(
         "proj_idx", "avg_gene", "avg_exon", "avg_intron", "min_gene", "max_gene", (100.0 * F.col("sum_exon") / F.col("sum_gene")).alias("exon_cover")
     )
-
-
-def intron_cutoffs(stats: DataFrame, proj1: int, proj2: int) -> dict[str, float]:
-    """Cutoffs of a project pair from :func:`gene_model_stats` (two rows come to the driver).
-
-    intron4: twice the sum of both mean introns, 1500 to 15000; intron2: the sum, 1000 to 9000; rm: half of
-    intron2, 1000 to 2500; cover: mean exon cover, 20 at most, and its double and triple.
-    """
-    rows = {r["proj_idx"]: r for r in stats.filter(F.col("proj_idx").isin(proj1, proj2)).collect()}
-    introns = sum(rows[p]["avg_intron"] or 0 for p in (proj1, proj2))
-    cover = min(20.0, sum(rows[p]["exon_cover"] for p in (proj1, proj2)) / 2)
-    two = max(1000, min(9000, introns))
-    return {"intron4": max(1500, min(15000, 2 * introns)), "intron2": two, "rm": max(1000, min(2500, two / 2)), "cover1": cover, "cover2": 2 * cover, "cover3": 3 * cover}

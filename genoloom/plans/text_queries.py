@@ -95,18 +95,23 @@ def _(v: Views) -> DataFrame:
 
 
 def _regions(v: Views) -> DataFrame:
-    some = v.seqs.filter(F.length("seq") >= 2300)
-    return some.select(F.col("seq_idx").alias("region"), "name", (1 + F.col("seq_idx") % 700).alias("start"), (1501 + F.col("seq_idx") % 700).alias("end"))
+    start = F.expr("bigint(1 + seq_idx % greatest(1, length(seq) div 3))")
+    some = v.seqs.filter(F.length("seq") > 0).select(F.col("seq_idx").alias("region"), "name", start.alias("start"), F.length("seq").alias("n"))
+    return some.select("region", "name", "start", F.least(F.col("start") + 1500, F.col("n")).alias("end"))
 
 
-@query("f3_fetch_sequence", " SELECT seq_idx AS region, substr(seq, CAST(1 + seq_idx % 700 AS BIGINT), 1501) AS seq FROM seqs WHERE length(seq) >= 2300")
+#: A stretch of 1,501 letters, or what there is, of every sequence.
+_REGIONS = "(SELECT *, CAST(1 + seq_idx % greatest(1, length(seq) // 3) AS BIGINT) AS s FROM seqs WHERE length(seq) > 0) r"
+
+
+@query("f3_fetch_sequence", f" SELECT seq_idx AS region, substr(seq, s, 1501) AS seq FROM {_REGIONS}")
 def _(v: Views) -> DataFrame:
     return tx.fetch_sequence(_regions(v), _chunks(v), "name", 1000)
 
 
 @query(
     "s7_fasta_text",
-    """ SELECT seq_idx AS n, format('>SEQ{:06d}  demo Chr {} Start {} End {} Pair#{}', seq_idx, name, 1 + seq_idx % 700, 1501 + seq_idx % 700, seq_idx % 5) || chr(10) || substr(seq, CAST(1 + seq_idx % 700 AS BIGINT), 1501) AS value FROM seqs WHERE length(seq) >= 2300""",
+    " SELECT seq_idx AS n, format('>SEQ{:06d}  demo Chr {} Start {} End {} Pair#{}', seq_idx, name, s, least(length(seq), s + 1500), seq_idx % 5) || chr(10) || substr(seq, s, 1501) AS value FROM " + _REGIONS,
 )
 def _(v: Views) -> DataFrame:
     rows = tx.fetch_sequence(_regions(v), _chunks(v), "name", 1000).join(_regions(v), "region")

@@ -447,10 +447,10 @@ def test_ends_are_trimmed_by_the_rule(spark):
 
 
 def test_hits_line_of_fifteen_and_thirteen_fields(spark, tmp_path):
-    wide = "1200 1499 900450 900151 300 300 61.11 78.70 2.00 5000000 7000000 1 -1 chr1 chr3"
+    wide = "7001 7240 33960 33721 240 240 84.26 91.55 0.00 52000 61000 3 -2 chr8 chr2"
     (tmp_path / "a.mum").write_text(wide + "\n1 100 5 104 100 100 88.5 1 1 1 1 chrT chrQ\nbad line\n")
     rows = sorted(tx.read_hits(spark, str(tmp_path / "a.mum")).collect(), key=lambda r: r["start1"])
-    assert (rows[1]["query"], rows[1]["target"], rows[1]["start1"], rows[1]["end1"], rows[1]["pctid"], rows[1]["pctsim"], rows[1]["strand"]) == ("chr3", "chr1", 900151, 900450, 61, 79, "-/+")
+    assert (rows[1]["query"], rows[1]["target"], rows[1]["start1"], rows[1]["end1"], rows[1]["pctid"], rows[1]["pctsim"], rows[1]["strand"]) == ("chr2", "chr8", 33721, 33960, 84, 92, "-/+")
     assert (rows[0]["query"], rows[0]["target"], rows[0]["pctsim"], rows[0]["pctid"]) == ("chrQ", "chrT", 0, 89)
 
 
