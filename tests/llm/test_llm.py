@@ -752,6 +752,14 @@ def test_empty_documents(spark):
     assert toxicity.learn_and_score(none, spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
 
 
+def test_pipeline_stages_on_an_empty_table(spark, sf_dir):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
+
+
 def test_pipeline_stages(spark, sf_dir):
     pipeline = pytest.importorskip("corpus_pipeline")
     from genoloom.operators.lineage import written
