@@ -335,22 +335,27 @@ def repeated_words(docs: DataFrame, copied: DataFrame, words: int, length: int)
     """Spans (key, from, to) of all runs of ``words`` words under ``length`` bytes that also start elsewhere."""
 
     def short_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h1", "h2", "key", "from", "to"]
+        names = ["h1", "h2", "key", "n", "spans"]
         longs = lambda x: pa.array(x, pa.int64())
+        kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 begin, end = word_windows(text, words, length)
                 if len(begin):
                     raw = text.encode()
-                    h = [xxhash.xxh3_128_intdigest(raw[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-                    cols = (longs([_signed(x >> 64) for x in h]), longs([_signed(x & (2**64 - 1)) for x in h]), pa.array([key] * len(h), pa.binary()), longs(begin), longs(end))
+                    # a run that a text repeats is one row, with all its places
+                    places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+                    for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+                        places[xxhash.xxh3_128_intdigest(raw[a:b])].append((a, b))
+                    spans = [[{"from": a, "to": b} for a, b in merged(own)] for own in places.values()]
+                    cols = (longs([_signed(x >> 64) for x in places]), longs([_signed(x & (2**64 - 1)) for x in places]), pa.array([key] * len(places), pa.binary()), longs([len(own) for own in places.values()]), pa.array(spans, kind))
                     yield pa.RecordBatch.from_arrays(list(cols), names=names)
 
     rows = _once(docs.filter(F.octet_length("text") >= 2 * words - 1).select("key", "text"))
-    found = written(rows.mapInArrow(short_windows, "h1 long, h2 long, key binary, from long, to long"), "words")
-    twice = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
-    twice = found.join(twice, ["h1", "h2"], "left_semi").select("key", "from", "to")
-    return written(twice.union(found.join(copied, "key", "left_semi").select("key", "from", "to")), "short")
+    found = written(rows.mapInArrow(short_windows, "h1 long, h2 long, key binary, n long, spans array<struct<from:long,to:long>>"), "words")
+    twice = found.groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter("n > 1").select("h1", "h2")
+    some = found.join(twice, ["h1", "h2"], "left_semi").select("key", "spans").union(found.join(copied, "key", "left_semi").select("key", "spans"))
+    return written(some.select("key", F.explode("spans").alias("s")).select("key", "s.from", "s.to"), "short")
 
 
 def repeated_spans(df: DataFrame, id_col: str, text_col: str, length: int, coarse: int, fine: int, words: int = 0) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
