@@ -19,7 +19,7 @@ from genoloom.operators.lineage import written
 
 WORD = re.compile(r"\w+")
 #: Words that a task remembers at most.
-CACHE = 1_000_000
+CACHE = 200_000
 #: Columns of one slab of the brute-force product.
 SLAB = 4096
 #: Elements from which on a set draws without putting back.

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Terms are hashed into this many buckets.
 BUCKETS = 1 << 22
 #: Words and chunks that a task remembers at most.
-CACHE = 500_000
+CACHE = 150_000
 #: Chi-square above which a term (p < 0.001) or one of some 500,000 pairs of terms tells the classes apart.
 SIGNIFICANT, PAIR_SIGNIFICANT = 10.8, 40.0
 WORD = re.compile(r"\w+")
