@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from genoloom.llm.embed_dedup import forest
 from genoloom.operators.graph import connected_components
 from genoloom.operators.lineage import written
+from genoloom.operators.pieces import in_slices
 
 WORD = re.compile(r"\w+")
 #: Words that a task remembers at most.
@@ -174,7 +175,7 @@ def linked(
 
         def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             shingles = Shingler(width)
-            for pdf in batches:
+            for pdf in in_slices(batches):
                 keys, sizes, near, paths = [], [], [], []
                 for text in pdf["text"]:
                     own = shingles(text)
@@ -240,7 +241,7 @@ def linked(
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(width)
-        for pdf in batches:
+        for pdf in in_slices(batches):
             sets = [shingles(t) for t in pdf["text"]]
             # a repeated id may have other texts: only the class's own set goes on
             own = np.array([set_key(s) == (a, b) for s, a, b in zip(sets, pdf["h1"], pdf["h2"], strict=True)], bool)

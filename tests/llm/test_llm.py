@@ -11,10 +11,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from genoloom.llm import ann, bpe, embed_dedup, license_scan, ngram_join, packing, ranked_search, secret_scan, sharding, spelling, suffix_dedup, token_file, toxicity
+from genoloom.operators import pieces
 
 P = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, source string, score double, key string, id long"
@@ -183,6 +186,28 @@ def test_suffix_dedup(spark, texts, length, coarse, fine):
     assert sum(g[1] for g in got.values()) > 1000
 
 
+def test_a_task_needs_one_python_worker(spark, texts, monkeypatch):
+    """Each stage that makes marks or words of the texts has one step in Python, so an executor holds one worker for each of its
+    cores; rows of one text in a task still count once."""
+    plans, write = {}, suffix_dedup.written
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(suffix_dedup, "written", seen)
+    suffix_dedup.remove_repeats(docs_of(spark, [*texts, *texts[:9]]), length=120, coarse=32, fine=16, words=20).count()
+    assert {name: len(re.findall("Python|InPandas|MapInArrow", plans[name])) for name in ("coarse", "words", "fine")} == {"coarse": 1, "words": 1, "fine": 1}
+
+
+def test_rows_come_in_slices_and_once():
+    pdf = pd.DataFrame({"x": range(2500)})
+    parts = list(pieces.in_slices(iter([pdf, pdf[:0], pdf[:3]]), 1000))
+    assert [len(p) for p in parts] == [1000, 1000, 500, 3] and pd.concat(parts)["x"].tolist() == [*range(2500), 0, 1, 2]
+    batches = [pa.RecordBatch.from_pydict({"key": k, "n": n}) for k, n in (([b"a", b"b", b"a"], [1, 2, 3]), ([b"b"], [4]), ([b"c", b"a"], [5, 6]))]
+    assert [b.to_pydict() for b in suffix_dedup._new_rows(iter(batches))] == [{"key": [b"a", b"b"], "n": [1, 2]}, {"key": [], "n": []}, {"key": [b"c"], "n": [5]}]
+
+
 def test_many_contexts_of_one_middle(spark, texts, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT_GROUP", 2)
     draw = random.Random(6)
