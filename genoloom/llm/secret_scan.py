@@ -61,6 +61,8 @@ OTHER_WORDS = r"(?i)(commit|\bsha\d*|md5|checksum|digest|hash|uuid|guid|etag|rev
 EXAMPLE_PATHS = r"(?i)(?<![a-z])(tests?|examples?|samples?|fixtures?|docs?|mocks?|demos?)(?![a-z])"
 #: Characters of text before a candidate that count as its neighbourhood.
 NEAR = 40
+#: A long value is read in pieces, none of which cuts a run of letters of one case.
+PIECE = r"(?s).{1,4096}(?:(?<=[a-z])[a-z]*+|(?<=[A-Z])[A-Z]*+|)"
 
 FEATURES = ["size", "digits", "upper", "other_chars", "kinds", "steps", "words", "run", "named", "other", "assigned", "slash", "slashes", "dashes", "example_path", "own_prefix", "key_block"]
 
@@ -68,28 +70,29 @@ FEATURES = ["size", "digits", "upper", "other_chars", "kinds", "steps", "words",
 def features(value: Column, before: Column, after: Column, path: Column) -> list[Column]:
     """The forest's inputs: length, shares and transitions of character classes, distinct characters, share
     covered by dictionary words, longest run of letters of one case, what stands around the candidate and where it
-    comes from. Of a value of over 400 characters, shares are those of its first 400 (its length is its own)."""
+    comes from; all of whole values, whatever their length."""
     size = F.length(value).cast("double")
-    head = F.left(value, F.lit(400))
-    n = F.greatest(F.length(head), F.lit(1)).cast("double")
-    covered = F.length(F.regexp_replace(F.lower(head), "|".join(sorted(DICTIONARY, key=len, reverse=True)), ""))
-    steps = F.regexp_count(head, F.lit(r"(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[a-z0-9])|(?<=[0-9])(?=[A-Za-z])"))
-    runs = F.regexp_extract_all(head, F.lit("[a-z]+|[A-Z]+"), F.lit(0))
+    n = F.greatest(size, F.lit(1.0))
+    covered = F.length(F.regexp_replace(F.lower(value), "|".join(sorted(DICTIONARY, key=len, reverse=True)), ""))
+    steps = F.regexp_count(value, F.lit(r"(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[a-z0-9])|(?<=[0-9])(?=[A-Za-z])"))
+    pieces = F.regexp_extract_all(value, F.lit(PIECE), F.lit(0))
+    distinct = F.aggregate(pieces, F.array().cast("array<string>"), lambda seen, p: F.array_union(seen, F.split(p, "")))
+    runs = lambda p: F.transform(F.regexp_extract_all(p, F.lit("[a-z]+|[A-Z]+"), F.lit(0)), F.length)
     found = {
         "size": size,
-        "digits": F.regexp_count(head, F.lit("[0-9]")) / n,
-        "upper": F.regexp_count(head, F.lit("[A-Z]")) / n,
-        "other_chars": F.regexp_count(head, F.lit("[^0-9A-Za-z]")) / n,
-        "kinds": F.size(F.array_distinct(F.split(head, ""))) / F.least(n, F.lit(40.0)),
+        "digits": F.regexp_count(value, F.lit("[0-9]")) / n,
+        "upper": F.regexp_count(value, F.lit("[A-Z]")) / n,
+        "other_chars": F.regexp_count(value, F.lit("[^0-9A-Za-z]")) / n,
+        "kinds": F.size(distinct) / F.least(n, F.lit(40.0)),
         "steps": steps / n,
         "words": 1 - covered / n,
-        "run": F.array_max(F.transform(runs, lambda r: F.length(r))),
+        "run": F.array_max(F.transform(pieces, lambda p: F.array_max(runs(p)))),
         "named": before.rlike(SECRET_WORDS),
         "other": before.rlike(OTHER_WORDS),
         "assigned": before.rlike(r"[=:]>?\s*[\"'`]?$"),
         "slash": before.rlike(r"[/\\]$") | after.rlike(r"^[/\\.]"),
-        "slashes": F.regexp_count(head, F.lit("/")) / n,
-        "dashes": F.regexp_count(head, F.lit("[-_.]")) / n,
+        "slashes": F.regexp_count(value, F.lit("/")) / n,
+        "dashes": F.regexp_count(value, F.lit("[-_.]")) / n,
         "example_path": path.rlike(EXAMPLE_PATHS),
         "own_prefix": value.rlike(rf"^(?:{'|'.join(PREFIXED.values())})$"),
         "key_block": value.rlike("^-----BEGIN") & (size >= 200),

@@ -578,6 +578,24 @@ def test_secrets(spark):
     assert masked == {0: 'so token = "[SECRET]".', 1: digest, 2: None}
 
 
+def test_features_are_of_whole_values(spark):
+    """Values whose beginning tells nothing of the rest, against the same counts in plain Python."""
+    values = ["a" * 400 + "Zq9-/" * 90, "example" * 60 + "7f3E" * 100, "X1" * 2000 + "b" * 200 + "C" * 9000 + "é_日", "0" * 4095 + "q" * 6000, "k" * 4096 + "L" * 4096 + "k", "Tr0ub4dor&3x!"]
+    text = F.col("value")
+    rows = spark.createDataFrame([(v,) for v in values], "value string").select("value", *secret_scan.features(text, F.lit(""), F.lit(""), F.lit(""))).collect()
+    words = "|".join(sorted(secret_scan.DICTIONARY, key=len, reverse=True))
+    assert sorted(r["value"] for r in rows) == sorted(values)
+    for r in rows:
+        v, n = r["value"], len(r["value"])
+        share = lambda pattern: len(re.findall(pattern, v)) / n  # noqa: E731, B023
+        want = {
+            "size": n, "digits": share("[0-9]"), "upper": share("[A-Z]"), "other_chars": share("[^0-9A-Za-z]"), "kinds": len(set(v)) / min(n, 40),
+            "steps": share("(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[a-z0-9])|(?<=[0-9])(?=[A-Za-z])"), "words": 1 - len(re.sub(words, "", v.lower())) / n,
+            "run": max(map(len, re.findall("[a-z]+|[A-Z]+", v))), "slashes": share("/"), "dashes": share("[-_.]"),
+        }
+        assert {k: r[k] for k in want} == pytest.approx(want), v[:9]
+
+
 def _random_values():
     """(kind, value) of every prefix and alphabet, up to very long ones."""
     draw = random.Random(12)
