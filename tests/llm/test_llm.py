@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -208,6 +209,22 @@ def test_rows_come_in_slices_and_once():
     assert [b.to_pydict() for b in suffix_dedup._new_rows(iter(batches))] == [{"key": [b"a", b"b"], "n": [1, 2]}, {"key": [], "n": []}, {"key": [b"c"], "n": [5]}]
 
 
+def test_a_slab_takes_little_memory_and_loses_no_start():
+    draw = np.random.default_rng(3)
+    texts = [draw.integers(97, 123, n, dtype=np.uint8).tobytes() for n in (2_300_000, 399, 400, 700_000, 0, 1_000_000, 300_001)]
+    seen = [np.zeros(max(0, len(t) - 399), np.int64) for t in texts]
+    tracemalloc.start()
+    for buf, bounds, origin in suffix_dedup.slabs(texts, 400):
+        own, at, lo, hi = suffix_dedup.units(buf, bounds, 400, 256)
+        for k, a, b in zip(own.tolist(), lo.tolist(), hi.tolist(), strict=True):
+            (text, offset), first = origin[k], bounds[k][0]
+            seen[text][a - first + offset : b + 1 - first + offset] += 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    print(f"peak {peak / 1e6:.0f} MB")
+    assert all((x == 1).all() for x in seen) and peak < 80e6
+
+
 def test_many_contexts_of_one_middle(spark, texts, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT_GROUP", 2)
     draw = random.Random(6)
