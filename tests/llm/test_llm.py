@@ -187,6 +187,31 @@ def test_suffix_dedup(spark, texts, length, coarse, fine):
     assert sum(g[1] for g in got.values()) > 1000
 
 
+def test_the_query_of_repeats_returns_the_text_that_is_left(spark, texts, tmp_path):
+    """Whether a passage is gone shows in the rows: one of over 50 words and 400 bytes goes, one of over 50 shorter words stays."""
+    from genoloom.llm import queries
+
+    draw = random.Random(21)
+    run = lambda n, k: " ".join("".join(draw.choice("abcdefghijé") for _ in range(k)) for _ in range(n))
+    long, short, twin = run(55, 8), run(55, 4), "é" * 201
+    own = [f"{run(30, 5)} {long} {run(20, 5)}", f"{run(9, 5)} {long}", f"{run(30, 5)} {short} {run(9, 5)}", f"{run(9, 5)} {short}", run(90, 6), twin + "x", "ab" + twin, None, ""]
+    # of a string that begins inside a character, half a character stays
+    own += ["\u00e9" + "z" * 399 + run(3, 4), "\u0169" + "z" * 399 + run(3, 4)]
+    more = [*texts, *own, *[own[4]] * 40]
+    docs_of(spark, more).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in queries.op4_suffix_dedup(spark, str(tmp_path)).collect()}
+    want = list(brute_repeats(more, 400))
+    assert [rows[k][:5] for k in range(len(more))] == [(k, *w) for k, w in enumerate(want)]
+    left, at = [rows[k]["text"] for k in range(len(more))], len(texts)
+    assert all((a is None) == (b is None) for a, b in zip(left, more, strict=True))
+    whole = [k for k in range(len(more)) if k not in (at + 9, at + 10)]
+    assert all(hashlib.sha256((left[k] or "").encode()).hexdigest() == want[k][3] for k in whole)
+    assert all(left[k] == more[k] for k in range(len(more)) if not want[k][1])
+    assert long not in left[at] + left[at + 1] and short in left[at + 2] and short in left[at + 3]
+    assert {left[k] for k in (at + 4, *range(at + 11, len(more)))} == {""} and left[at + 5] == "x" and left[at + 6] == "ab"
+    assert [rows[at + k]["n_removed"] for k in (9, 10)] == [400, 400] and "z" not in left[at + 9] + left[at + 10]
+
+
 def test_a_task_needs_one_python_worker(spark, texts, monkeypatch):
     """Each stage that makes marks or words of the texts has one step in Python, so an executor holds one worker for each of its
     cores; rows of one text in a task still count once."""
