@@ -16,7 +16,7 @@ from genoloom.operators.chaining import ChainSearch, best_chain
 from genoloom.operators.graph import connected_components
 from genoloom.operators.hits import number_hits, swap_sides
 from genoloom.operators.lineage import written
-from genoloom.operators.ordering import global_rank
+from genoloom.operators.ordering import carried, deal, global_rank
 
 #: Smallest gap of the search, and the limits of the fit of small blocks.
 MIN_GAP, FIT = 1000, (300_000, 4_000_000)
@@ -392,17 +392,29 @@ def finish_blocks(hits: DataFrame, block_hits: DataFrame) -> DataFrame:
     return out.withColumn("blocknum", F.row_number().over(Window.partitionBy("grp1_idx", "grp2_idx").orderBy("start1", "end1", "block_idx")))
 
 
-def block_genes(blocks: DataFrame, genes: DataFrame, block_hits: DataFrame, hit_annot: DataFrame, width: int = 50_000) -> DataFrame:
-    """Per block and side: genes that overlap its interval, and the share of them with a hit of the block."""
-    held = block_hits.join(hit_annot, "hit_idx").select("block_idx", "side", "annot_idx").distinct().withColumn("hit", F.lit(1))
-    out = None
-    for k in (1, 2):
-        b = blocks.select("block_idx", F.col(f"grp{k}_idx").alias("grp_idx"), F.col(f"start{k}").alias("b_start"), F.col(f"end{k}").alias("b_end"))
-        pairs = bin_join(b, genes.select("annot_idx", "grp_idx", "g_start", "g_end"), ["grp_idx"], "b_start", "b_end", "g_start", "g_end", width)
-        pairs = pairs.filter(F.greatest("b_start", "g_start") < F.least("b_end", "g_end")).withColumn("side", F.lit(k))
-        rows = pairs.join(held, ["block_idx", "side", "annot_idx"], "left").groupBy("block_idx", "side").agg(F.count(F.lit(1)).alias("n_genes"), (F.count("hit") / F.count(F.lit(1))).alias("share"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+def block_genes(blocks: DataFrame, genes: DataFrame, block_hits: DataFrame, hit_annot: DataFrame) -> DataFrame:
+    """Per block and side: genes that overlap its interval by two bases or more, and the share of them with a hit of the block.
+
+    Genes are counted, not paired with blocks: those that start before the block's end less those that end by its start, as
+    running counts along the chromosome. Only the genes of a block's own hits are looked at one by one."""
+    spans = genes.select("annot_idx", "grp_idx", "g_start", "g_end").filter("g_start < g_end")
+    sides = [
+        blocks.select("block_idx", F.lit(k).alias("side"), F.col(f"grp{k}_idx").alias("grp_idx"), F.col(f"start{k}").alias("b_start"), F.col(f"end{k}").alias("b_end")) for k in (1, 2)
+    ]
+    both = sides[0].union(sides[1]).filter("b_start < b_end")
+    # at one place: ends of genes, then starts of blocks, ends of blocks, starts of genes
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("block_idx", blocks.schema["block_idx"].dataType), ("side", "int"))]
+    event = lambda rows, at, kind, of: rows.select("grp_idx", F.col(at).cast("long").alias("at"), F.lit(kind).alias("kind"), *of)
+    own = ["block_idx", "side"]
+    events = event(spans, "g_end", 0, none).union(event(both, "b_start", 1, own)).union(event(both, "b_end", 2, own)).union(event(spans, "g_start", 3, none))
+    key, order = ["grp_idx"], ["at", "kind"]
+    seen = carried(deal(events, key, order), key, order, ended=("sum", (F.col("kind") == 0).cast("int"), "upto"), begun=("sum", (F.col("kind") == 3).cast("int"), "upto"))
+    signed = F.when(F.col("kind") == 2, F.coalesce("begun", F.lit(0))).otherwise(-F.coalesce("ended", F.lit(0)))
+    counts = seen.filter("kind in (1, 2)").groupBy("block_idx", "side").agg(F.sum(signed).alias("n_genes")).filter("n_genes > 0")
+    held = block_hits.join(hit_annot, "hit_idx").select("block_idx", "side", "annot_idx").distinct()
+    inside = F.greatest("b_start", "g_start") < F.least("b_end", "g_end")
+    hit = held.join(both, ["block_idx", "side"]).join(spans, ["annot_idx", "grp_idx"]).filter(inside).groupBy("block_idx", "side").agg(F.count(F.lit(1)).alias("hit"))
+    return counts.join(hit, ["block_idx", "side"], "left").select("block_idx", "side", "n_genes", (F.coalesce("hit", F.lit(0)) / F.col("n_genes")).alias("share"))
 
 
 def drop_diagonal_blocks(blocks: DataFrame, hits: DataFrame, block_hits: DataFrame) -> DataFrame:

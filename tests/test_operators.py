@@ -710,6 +710,31 @@ def test_chains_are_streamed_and_hits_alone_have_none(spark):
     assert {(r.hit_idx, r.chain) for r in made.collect()} == {(k, k // 2 * 2 if k < 20 else 0) for k in range(40)}
 
 
+def test_block_genes_of_wide_blocks_are_counted_not_paired(spark):
+    rng = np.random.default_rng(4)
+    genes = [(k, int(rng.integers(1, 3)), s := int(rng.integers(1, 400)), s + int(rng.integers(0, 60))) for k in range(120)]
+    boxes = [(b, 1, 2, *sorted(map(int, rng.integers(1, 460, 2))), *sorted(map(int, rng.integers(1, 460, 2)))) for b in range(60)]
+    hits = [(int(rng.integers(0, 60)), int(rng.integers(1, 3)), int(rng.integers(0, 120))) for _ in range(900)]
+    g = spark.createDataFrame(genes, "annot_idx long, grp_idx int, g_start int, g_end int")
+    b = spark.createDataFrame(boxes, "block_idx long, grp1_idx int, grp2_idx int, start1 int, end1 int, start2 int, end2 int")
+    bh = spark.createDataFrame([(n, h[0]) for n, h in enumerate(hits)], "hit_idx long, block_idx long")
+    ha = spark.createDataFrame([(n, h[2], h[1]) for n, h in enumerate(hits)], "hit_idx long, annot_idx long, side int")
+    want = set()
+    for i, *box in boxes:
+        for side, (lo, hi) in ((1, box[2:4]), (2, box[4:6])):
+            own = {k for k, c, s, e in genes if c == box[side - 1] and max(s, lo) < min(e, hi)}
+            if own:
+                want.add((i, side, len(own), round(len(own & {a for x, y, a in hits if (x, y) == (i, side)}) / len(own), 9)))
+    made = bl.block_genes(b, g, bh, ha)
+    assert {(r.block_idx, r.side, r.n_genes, round(r.share, 9)) for r in made.collect()} == want
+    # blocks as wide as their chromosome: no step may make a row for each block and gene
+    wide = spark.range(300).select(F.col("id").alias("block_idx"), F.lit(1).alias("grp1_idx"), F.lit(1).alias("grp2_idx"), *[F.lit(x).alias(c) for c, x in (("start1", 1), ("end1", 3_000_000), ("start2", 1), ("end2", 3_000_000))])
+    many = spark.range(3000).select(F.col("id").alias("annot_idx"), F.lit(1).alias("grp_idx"), (F.col("id") * 1000 + 1).cast("int").alias("g_start"), (F.col("id") * 1000 + 600).cast("int").alias("g_end"))
+    made = bl.block_genes(wide, many, bh.limit(0), ha.limit(0))
+    assert {(r.side, r.n_genes, r.share) for r in made.collect()} == {(1, 3000, 0.0), (2, 3000, 0.0)}
+    assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_no_gene_clusters_against_the_rules(spark):
     rng = np.random.default_rng(9)
     hits, at, far = [], 1000, 50_000
