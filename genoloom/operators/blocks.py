@@ -226,8 +226,13 @@ def search_pieces(hits: DataFrame, cutoffs: DataFrame, apart: bool = True) -> Da
     return rows.withColumn("__new", new).withColumn("piece", F.sum("__new").over(w)).drop("__new")
 
 
+#: Tasks of the search. Few bytes are much work there, so pieces are not put together by size.
+SEARCHED = 192
+
+
 def _per_piece(rows: DataFrame, work: Callable, kinds: str) -> DataFrame:
-    return rows.groupBy("grp1_idx", "grp2_idx", "part", "piece").applyInPandas(work, kinds)
+    keys = ["grp1_idx", "grp2_idx", "part", "piece"]
+    return rows.repartition(SEARCHED, *keys).groupBy(*keys).applyInPandas(work, kinds)
 
 
 def _sorted_piece(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, bool | None]:

@@ -735,6 +735,23 @@ def test_block_genes_of_wide_blocks_are_counted_not_paired(spark):
     assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_only_pairs_with_no_hit_between_are_listed(monkeypatch):
+    """On a dense line a hit has hundreds within reach, but one step at most is ever taken: the nearest."""
+    monkeypatch.setattr(ch, "LISTED", 20_000)
+    k = np.arange(5000, dtype=np.int64) * 1000
+    to, before = ch.reachable(k, k, (300_000, 300_000))
+    assert len(to) == 4999 and (to - before == 1).all()
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        n = 60
+        x, y = rng.integers(0, 50, n), np.sort(rng.integers(0, 50, n))
+        far = (int(rng.integers(1, 40)), int(rng.integers(1, 40)))
+        near = lambda i, j: y[i] - y[j] <= far[1] and abs(x[i] - x[j]) <= far[0]  # noqa: B023, E731
+        between = lambda i, j: any(min(x[i], x[j]) <= x[m] <= max(x[i], x[j]) for m in range(j + 1, i))  # noqa: B023, E731
+        want = [(i, j) for i in range(n) for j in range(i) if near(i, j) and not between(i, j)]
+        assert list(zip(*(c.tolist() for c in ch.reachable(x, y, far)), strict=True)) == want
+
+
 def test_no_gene_clusters_against_the_rules(spark):
     rng = np.random.default_rng(9)
     hits, at, far = [], 1000, 50_000
