@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from genoloom.functions.intervals import bin_join
 from genoloom.functions.scalars import same_strand
 from genoloom.operators.hits import hit_gene_overlaps
+from genoloom.operators.lineage import written
 from genoloom.operators.ordering import carried, deal
 
 #: Greatest length of a region without genes.
@@ -87,14 +88,57 @@ def cluster_strand(same: Column, strand1: Column, strand2: Column, as_written: b
     return F.when(strand1.isNotNull() & strand2.isNotNull(), both).when(strand1.isNotNull(), one).when(strand2.isNotNull(), two).otherwise(none)
 
 
-def assign_bin(clusters: DataFrame, bins: DataFrame, side: int) -> DataFrame:
-    """(hit_idx, bin): the bin of most overlap with a cluster's side; ties: smaller start, then larger end.
-    ``bins``: bin, grp_idx, b_start, b_end."""
-    c = clusters.select("hit_idx", F.col(f"grp{side}_idx").alias("grp_idx"), F.col(f"start{side}").alias("c_start"), F.col(f"end{side}").alias("c_end"))
-    pairs = bin_join(c, bins, ["grp_idx"], "c_start", "c_end", "b_start", "b_end")
-    overlap = F.least("c_end", "b_end") - F.greatest("c_start", "b_start") + 1
-    rank = F.row_number().over(Window.partitionBy("hit_idx").orderBy(F.desc(overlap), "b_start", F.desc("b_end"), "bin"))
-    return pairs.withColumn("rank", rank).filter("rank = 1").select("hit_idx", "bin")
+#: A node of the tree over a chromosome's bins is so many times as wide as the nodes below it.
+RADIX = 16
+
+
+def _rank(c_start: str, c_end: str) -> Column:
+    """The order of bins for a cluster, best first: most overlap, smaller start, larger end, smaller number."""
+    overlap = F.least(c_end, "b_end") - F.greatest(c_start, "b_start") + 1
+    return F.struct((-overlap).alias("o"), "b_start", (-F.col("b_end")).alias("e"), "bin")
+
+
+def assign_bin(clusters: DataFrame, bins: DataFrame, side: int, width: int = 10_000) -> DataFrame:
+    """(hit_idx, bin): the bin of most overlap with a cluster's side; ties: smaller start, then larger end, then the smaller
+    number. ``bins``: bin, grp_idx, b_start, b_end.
+
+    A wide cluster is not paired with all bins within it. Its side is split into the stretches of its first and last
+    ``width`` bases, whose bins are looked at one by one, and the largest nodes of a tree over the chromosome between
+    them: of the bins that lie within one node only the best counts, and those that cross a node's end are met there."""
+    c = clusters.select("hit_idx", F.col(f"grp{side}_idx").alias("grp_idx"), F.col(f"start{side}").cast("long").alias("c_start"), F.col(f"end{side}").cast("long").alias("c_end")).filter("c_start <= c_end")
+    b = bins.select("bin", "grp_idx", F.col("b_start").cast("long").alias("b_start"), F.col("b_end").cast("long").alias("b_end")).filter("b_start <= b_end")
+    cell = lambda x: F.floor(F.col(x) / width)
+    c = c.withColumns({"lo": cell("c_start"), "hi": cell("c_end")})
+    top = b.agg(F.max(cell("b_end"))).first()[0] or 0
+    levels = 1
+    while RADIX**levels <= top + 1:
+        levels += 1
+    # cells lo + 1 to hi - 1 lie within the cluster: on each level its whole nodes but for those in whole nodes of the next
+    up = [F.ceil((F.col("lo") + 1) / RADIX**k) for k in range(levels + 1)]
+    down = [F.floor(F.col("hi") / RADIX**k) - 1 for k in range(levels + 1)]
+    run = lambda x, y: F.when(x <= y, F.sequence(x, y)).otherwise(F.array().cast("array<bigint>"))
+    pieces, nodes = [], []
+    for k in range(levels):
+        rest = F.concat(run(up[k], up[k + 1] * RADIX - 1), run((down[k + 1] + 1) * RADIX, down[k]))
+        some = F.when(up[k + 1] <= down[k + 1], rest).otherwise(run(up[k], down[k]))
+        pieces.append(F.transform(some, lambda n: F.struct(F.lit(k).alias("level"), n.alias("node"))))  # noqa: B023
+        nodes.append(tuple(F.floor(F.col(x) / (width * RADIX**k)) for x in ("b_start", "b_end")))
+    wide = written(c.filter("hi - lo > 1").withColumn("at", F.explode(F.concat(*pieces))).select("hit_idx", "grp_idx", "c_start", "c_end", "at.*"), "wide-clusters")
+    best = F.min(_rank("b_start", "b_end")).alias("b")
+    inner = None
+    if not wide.isEmpty():
+        own = b.withColumn("at", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), n.alias("node"), (n == m).alias("whole")) for k, (n, m) in enumerate(nodes)])))
+        own = own.select("bin", "grp_idx", "b_start", "b_end", "at.*")
+        within = own.filter("whole").groupBy("grp_idx", "level", "node").agg(best).select("grp_idx", "level", "node", "b.b_start", (-F.col("b.e")).alias("b_end"), "b.bin")
+        # bins that go on past the last base of a cell, which may be a node's
+        crossing = b.withColumn("node", F.explode(F.sequence(cell("b_start"), cell("b_end") - 1))).filter(cell("b_start") < cell("b_end"))
+        ends = wide.select("hit_idx", "grp_idx", "c_start", "c_end", ((F.col("node") + 1) * F.element_at(F.array(*[F.lit(RADIX**k) for k in range(levels)]), F.col("level") + 1) - 1).alias("node"))
+        inner = wide.join(within, ["grp_idx", "level", "node"]).select("hit_idx", _rank("c_start", "c_end").alias("b"))
+        inner = inner.union(ends.join(crossing, ["grp_idx", "node"]).select("hit_idx", _rank("c_start", "c_end").alias("b")))
+    edge = c.withColumn("__bin", F.explode(F.array_distinct(F.array("lo", "hi"))))
+    touched = b.withColumn("__bin", F.explode(F.sequence(cell("b_start"), cell("b_end"))))
+    pairs = edge.join(touched, ["grp_idx", "__bin"]).filter("c_start <= b_end and b_start <= c_end").select("hit_idx", _rank("c_start", "c_end").alias("b"))
+    return (pairs if inner is None else pairs.union(inner)).groupBy("hit_idx").agg(F.min("b").alias("b")).select("hit_idx", "b.bin")
 
 
 def topn_filter(clusters: DataFrame, bin_col: str, n: int = 2, keep: float = 0.8) -> DataFrame:

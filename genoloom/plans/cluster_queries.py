@@ -93,14 +93,15 @@ _BINS = """, bins AS (SELECT annot_idx AS bin, grp_idx, g_start AS a, g_end AS b
 b2 AS (SELECT hit_idx, bin FROM (SELECT hit_idx, bin, row_number() OVER (PARTITION BY hit_idx ORDER BY least(end2, b) - greatest(start2, a) DESC, a, b DESC, bin) AS r FROM clusters JOIN bins ON grp_idx = grp2_idx AND start2 <= b AND a <= end2) WHERE r = 1)"""
 
 
-def _bins(v: Views, side: int) -> DataFrame:
+def _bins(v: Views, clusters: DataFrame, side: int) -> DataFrame:
     bins = v.genes.select(F.col("annot_idx").alias("bin"), "grp_idx", F.col("g_start").alias("b_start"), F.col("g_end").alias("b_end"))
-    return cb.assign_bin(_clusters(v), bins, side)
+    return cb.assign_bin(clusters, bins, side)
 
 
 @query("k5_assign_bin", _CLUSTERS + _BINS + " SELECT hit_idx, bin, 1 AS side FROM b1 UNION ALL SELECT hit_idx, bin, 2 FROM b2")
 def _(v: Views) -> DataFrame:
-    return _bins(v, 1).withColumn("side", F.lit(1)).union(_bins(v, 2).withColumn("side", F.lit(2)))
+    clusters = written(_clusters(v).select("hit_idx", "grp1_idx", "grp2_idx", "start1", "end1", "start2", "end2"), "clusters")
+    return _bins(v, clusters, 1).withColumn("side", F.lit(1)).union(_bins(v, clusters, 2).withColumn("side", F.lit(2)))
 
 
 _TOPN = """(SELECT hit_idx FROM (SELECT c.*, row_number() OVER w AS r, nth_value(length, 2) OVER (PARTITION BY {b}.bin ORDER BY length DESC, start1 DESC, c.hit_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS nth
@@ -110,10 +111,11 @@ WHERE CASE WHEN gene1 AND gene2 THEN length > 100 WHEN gene1 OR gene2 THEN subs
 
 @query("k6_topn_filter", _CLUSTERS + _BINS + f" SELECT hit_idx FROM {_TOPN.format(b='b1')} JOIN {_TOPN.format(b='b2')} USING (hit_idx) WHERE hit_idx IN (SELECT hit_idx FROM b1) AND hit_idx IN (SELECT hit_idx FROM b2)")
 def _(v: Views) -> DataFrame:
-    rows = _clusters(v).join(_bins(v, 1).withColumnRenamed("bin", "bin1"), "hit_idx").join(_bins(v, 2).withColumnRenamed("bin", "bin2"), "hit_idx")
-    one = cb.topn_filter(_clusters(v).join(_bins(v, 1).withColumnRenamed("bin", "bin1"), "hit_idx"), "bin1")
-    two = cb.topn_filter(_clusters(v).join(_bins(v, 2).withColumnRenamed("bin", "bin2"), "hit_idx"), "bin2")
-    return rows.join(one.select("hit_idx"), "hit_idx", "left_semi").join(two.select("hit_idx"), "hit_idx", "left_semi").select("hit_idx")
+    # clusters and their bins are used on both sides
+    clusters = written(_clusters(v), "clusters")
+    rows = written(clusters.join(_bins(v, clusters, 1).withColumnRenamed("bin", "bin1"), "hit_idx", "left").join(_bins(v, clusters, 2).withColumnRenamed("bin", "bin2"), "hit_idx", "left"), "binned-clusters")
+    kept = [cb.topn_filter(rows.filter(f"bin{k} is not null"), f"bin{k}").filter(f"bin{3 - k} is not null").select("hit_idx") for k in (1, 2)]
+    return kept[0].join(kept[1], "hit_idx", "left_semi")
 
 
 @query(

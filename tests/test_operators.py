@@ -13,6 +13,7 @@ from genoloom.functions import intervals as iv
 from genoloom.operators import annotation as an
 from genoloom.operators import blocks as bl
 from genoloom.operators import chaining as ch
+from genoloom.operators import cluster_bins as cb
 from genoloom.operators import cluster_pairs as cp
 from genoloom.operators import collinear as co
 from genoloom.operators import conversion as cv
@@ -752,6 +753,46 @@ def test_only_pairs_with_no_hit_between_are_listed(monkeypatch):
         assert list(zip(*(c.tolist() for c in ch.reachable(x, y, far)), strict=True)) == want
 
 
+@pytest.mark.parametrize("length", [40, 700])
+def test_assign_bin_of_wide_clusters(spark, length):
+    rng = np.random.default_rng(length)
+    bins = [(k, int(rng.integers(1, 3)), s := int(rng.integers(1, 20_000)), s + int(rng.integers(0, length))) for k in range(500)]
+    some = [(n, int(rng.integers(1, 3)), *sorted(map(int, rng.integers(1, 20_000, 2)))) for n in range(120)] + [(200 + n, 1, s := int(rng.integers(1, 20_000)), s + n) for n in range(60)]
+    c = spark.createDataFrame(some, "hit_idx long, grp1_idx int, start1 int, end1 int")
+    b = spark.createDataFrame(bins, "bin long, grp_idx int, b_start int, b_end int")
+    want = {}
+    for n, g, s, e in some:
+        found = [(s0 - 1 - e0 if s <= s0 and e0 <= e else max(s, s0) - min(e, e0) - 1, s0, -e0, k) for k, c0, s0, e0 in bins if c0 == g and s <= e0 and s0 <= e]
+        if found:
+            want[n] = min(found)[3]
+    got = [(r.hit_idx, r.bin) for r in cb.assign_bin(c, b, 1, 10).collect()]
+    assert len(got) == len(want) and dict(got) == want
+
+
+def test_wide_clusters_are_not_paired_with_all_bins_within(spark):
+    c = spark.range(200).select(F.col("id").alias("hit_idx"), F.lit(1).alias("grp1_idx"), F.lit(5).alias("start1"), F.lit(40_000_000).alias("end1"))
+    b = spark.range(4000).select(F.col("id").alias("bin"), F.lit(1).alias("grp_idx"), (F.col("id") * 10_000).cast("int").alias("b_start"), (F.col("id") * 10_000 + 20 + F.col("id") % 7).cast("int").alias("b_end"))
+    made = cb.assign_bin(c, b, 1)
+    assert {r.bin for r in made.select("bin").distinct().collect()} == {6}
+    assert _most_rows(spark, made) < 200 * 4000 / 20
+
+
+def _most_rows(spark, df):
+    """The most rows that a join or expansion of the plan gives, counted with its own run."""
+    df._jdf.queryExecution().executedPlan().executeCollect()
+    found, todo = [0], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        inner = node.executedPlan() if name == "AdaptiveSparkPlanExec" else node.plan() if name.endswith("QueryStageExec") else None
+        if inner is not None:
+            todo.append(inner)
+        if node.metrics().contains("numOutputRows"):
+            found.append(node.metrics().apply("numOutputRows").value())
+        todo += [node.children().apply(k) for k in range(node.children().length())]
+    return max(found)
+
+
 def test_no_gene_clusters_against_the_rules(spark):
     rng = np.random.default_rng(9)
     hits, at, far = [], 1000, 50_000
