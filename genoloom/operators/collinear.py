@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, insort
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from genoloom.functions.scalars import same_strand
 from genoloom.operators.ordering import carried, deal
-from genoloom.operators.pieces import walk_pieces
+from genoloom.operators.pieces import stream_pieces
 
 
 def gene_rank(genes: DataFrame) -> DataFrame:
@@ -41,116 +41,118 @@ def diagonal_sets(ranked: DataFrame, least: int = 2) -> DataFrame:
     return sized.filter(F.col("size") >= least)
 
 
-class NextBreaker:
-    """The first place from one on whose rank1 reaches a bound and whose rank2 is not a given one, in logarithmic time: a
-    tree over the places, whose nodes hold the greatest rank1, its rank2, and the greatest rank1 of any other rank2."""
-
-    NONE = (-1, -1, -1)
-
-    def __init__(self, rank1: list[int], rank2: list[int], gone: list[int]) -> None:
-        self.size = 1 << max(0, len(rank1) - 1).bit_length()
-        leaves = [self.NONE if gone[k] else (rank1[k], rank2[k], -1) for k in range(len(rank1))]
-        self.node = [self.NONE] * self.size + leaves + [self.NONE] * (self.size - len(leaves))
-        for k in range(self.size - 1, 0, -1):
-            self._join(k)
-
-    def _join(self, k: int) -> None:
-        a, b = self.node[2 * k], self.node[2 * k + 1]
-        if a[0] < b[0]:
-            a, b = b, a
-        self.node[k] = (a[0], a[1], max(a[2], b[0] if b[1] != a[1] else b[2]))
-
-    def drop(self, at: int) -> None:
-        k = at + self.size
-        self.node[k] = self.NONE
-        while k > 1:
-            k //= 2
-            self._join(k)
-
-    def first(self, start: int, least: int, but: int) -> int | None:
-        able = lambda x: (x[0] if x[1] != but else x[2]) >= least
-        k = start + self.size
-        if start >= self.size:
-            return None
-        while not able(self.node[k]):
-            while k & 1:  # a right child: go up
-                k //= 2
-            if not k:
-                return None
-            k += 1
-        while k < self.size:
-            k = 2 * k if able(self.node[2 * k]) else 2 * k + 1
-        return k - self.size
-
-
-#: Hits that a scan looks through before it asks its indexes.
+class RunScan:
+    """The scans along a piece, side by side: hits come one after the other, and only the scans that are still open are held.
+
+    From each hit that is in no set yet, in order, a run goes on to the next such hit one step further on both sides
+    (``step`` is the sign of side 2) and ends at one that is over one step further on side 1 and not one on side 2; hits of
+    sets are passed over. So a hit goes to the earliest open scan that waits for its ranks, or else begins one; and it ends
+    those that it is too far on for, but not those that began after the one that took it, which don't see it."""
+
+    def __init__(self, step: int) -> None:
+        self.step, self.count = step, 0
+        #: By rank1 and rank2 of the hit waited for: [place of the start, start's hit or None once the run has two], by place.
+        self.open: dict[int, dict[int, list[list]]] = {}
+        self.ranks: list[int] = []
+
+    def _wait(self, scan: list, x: int, y: int) -> None:
+        if x not in self.open:
+            self.open[x] = {}
+            insort(self.ranks, x)
+        insort(self.open[x].setdefault(y, []), scan)
+
+    def _clear(self, x: int, y: int) -> None:
+        del self.open[x][y]
+        if not self.open[x]:
+            del self.open[x]
+            del self.ranks[bisect_left(self.ranks, x)]
+
+    def feed(self, rank1: list[int], rank2: list[int]) -> list[tuple[int, int]]:
+        """(place of the hit in the piece, place of its run's first hit) of the hits that turn out to be in runs."""
+        found = []
+        for x, y in zip(rank1, rank2, strict=True):
+            at, self.count = self.count, self.count + 1
+            waiting = self.open.get(x, {}).get(y)
+            taker = waiting.pop(0) if waiting else None
+            if waiting is not None and not waiting:
+                self._clear(x, y)
+            for low in self.ranks[: bisect_left(self.ranks, x)]:
+                for other in [k for k in self.open[low] if k != y]:
+                    left = [] if taker is None else [s for s in self.open[low][other] if s[0] > taker[0]]
+                    if left:
+                        self.open[low][other] = left
+                    else:
+                        self._clear(low, other)
+            if taker is None:
+                taker = [at, False]
+            else:
+                if not taker[1]:
+                    found.append((taker[0], taker[0]))
+                    taker[1] = True
+                found.append((at, taker[0]))
+            self._wait(taker, x + 1, y + self.step)
+        return found
+
+    def held(self) -> list[int]:
+        """Places of hits that may yet turn out to be a run's first."""
+        return [s[0] for ys in self.open.values() for some in ys.values() for s in some if not s[1]]
+
+    def last(self, later: int) -> int | None:
+        """The first start whose scan has come to the last hit: no later one counts. ``later`` says what follows the piece,
+        whose ranks on side 1 are all out of reach: nothing (-1), hits that end any scan (-2), or only hits of this one rank
+        on side 2."""
+        return min((s[0] for ys in self.open.values() for y, some in ys.items() if later in (-1, y) for s in some), default=None)
+
+
+#: Hits that :func:`scan_runs` hands to a scan at once, less one.
 PROBED = 24
 
 
 def scan_runs(rank1: list[int], rank2: list[int], step: int, later: int) -> tuple[list[int], list[int]]:
-    """(run, size) of each hit of a piece in hit order, 0 for hits of no set.
-
-    From each hit that is in no set yet, in order, a run goes on to the next such hit one step further on both sides
-    (``step`` is the sign of side 2) and ends at one that is over one step further on side 1 and not one on side 2; hits of
-    sets are passed over. A scan that neither goes on nor ends has come to the last hit, and ends the whole walk. ``later``
-    says what follows the piece, whose ranks on side 1 are all out of reach: nothing (-1), hits that end any scan (-2), or
-    only hits of this one rank on side 2."""
-    n = len(rank1)
-    run, size = [0] * n, [0] * n
-    places: dict[tuple[int, int], list[int]] = {}
-    tree: NextBreaker | None = None
-
-    def event(at: int) -> tuple[int | None, bool]:
-        """The next hit that ends the scan or takes it on, and whether it takes it on."""
-        nonlocal tree
-        x, y = rank1[at] + 1, rank2[at] + step
-        stop = min(n, at + 1 + PROBED)
-        for j in range(at + 1, stop):
-            if not run[j]:
-                if rank1[j] == x and rank2[j] == y:
-                    return j, True
-                if rank1[j] > x and rank2[j] != y:
-                    return j, False
-        if stop == n:
-            return None, False
-        if tree is None:
-            tree = NextBreaker(rank1, rank2, run)
-            for j in range(n):
-                places.setdefault((rank1[j], rank2[j]), []).append(j)
-        same = places.get((x, y), [])
-        k = bisect_left(same, stop)
-        while k < len(same) and run[same[k]]:
-            k += 1
-        on, end = same[k] if k < len(same) else None, tree.first(stop, x + 1, y)
-        if end is None or (on is not None and on < end):
-            return on, on is not None
-        return end, False
-
-    number = 0
-    for start in range(n):
-        if run[start]:
-            continue
-        chain, (at, more) = [start], event(start)
-        while more:
-            chain.append(at)
-            at, more = event(at)
-        if len(chain) > 1:
-            number += 1
-            for j in chain:
-                run[j], size[j] = number, len(chain)
-                if tree is not None:
-                    tree.drop(j)
-        if at is None and later in (-1, rank2[chain[-1]] + step):
-            break
+    """(run, size) of each hit of a piece in hit order, 0 for hits of no set; see :class:`RunScan`."""
+    scan, at_once = RunScan(step), PROBED + 1
+    found = [f for lo in range(0, len(rank1), at_once) for f in scan.feed(rank1[lo : lo + at_once], rank2[lo : lo + at_once])]
+    last = scan.last(later)
+    runs: dict[int, list[int]] = {}
+    for at, start in found:
+        if last is None or start <= last:
+            runs.setdefault(start, []).append(at)
+    run, size = [0] * len(rank1), [0] * len(rank1)
+    for number, start in enumerate(sorted(runs), 1):
+        for at in runs[start]:
+            run[at], size[at] = number, len(runs[start])
     return run, size
 
 
-def _scan_piece(rows: dict[str, np.ndarray]) -> tuple:
-    low, high = rows["low2"][-1], rows["high2"][-1]
-    later = int(low) if low == high else -2
-    run, size = scan_runs(rows["rank1"].tolist(), rows["rank2"].tolist(), 1 if rows["same"][0] else -1, later)
-    some = np.flatnonzero(run)
-    return *(rows[c][some] for c in _SCANNED), np.array(run)[some], np.array(size)[some]
+#: Last start that counts, in rows of hits.
+ALL = 1 << 62
+
+
+class _PieceScan:
+    """:class:`RunScan` over the rows of a piece: rows of hits in runs with the place of their run's first hit (``start``), and at
+    the end, if no start after some place counts, a row that says so (``last``)."""
+
+    def __init__(self) -> None:
+        self.scan: RunScan | None = None
+        self.kept: dict[int, tuple] = {}
+        self.seen = 0
+
+    def feed(self, rows: dict[str, np.ndarray]) -> tuple:
+        if self.scan is None:
+            self.scan = RunScan(1 if rows["same"][0] else -1)
+        found = self.scan.feed(rows["rank1"].tolist(), rows["rank2"].tolist())
+        self.end_row = {n: c[-1] for n, c in rows.items()}
+        own = [rows[c] for c in _SCANNED]
+        row = lambda at: self.kept[at] if at < self.seen else tuple(c[at - self.seen] for c in own)
+        out = [(*row(at), start, ALL) for at, start in found]
+        self.kept = {at: row(at) for at in self.scan.held()}
+        self.seen = self.scan.count
+        return tuple(zip(*out, strict=True)) if out else ((),) * (len(_SCANNED) + 2)
+
+    def end(self) -> tuple:
+        low, high = self.end_row["low2"], self.end_row["high2"]
+        last = self.scan.last(int(low) if low == high else -2)
+        return ((),) * (len(_SCANNED) + 2) if last is None else tuple((v,) for v in (*(self.end_row[c] for c in _SCANNED), 0, last))
 
 
 _SCANNED = {"hit_idx": "long", "hitnum": "int", "grp1_idx": "int", "grp2_idx": "int", "same": "boolean", "rank1": "int", "rank2": "int", "piece": "long"}
@@ -162,7 +164,7 @@ def scanned_sets(ranked: DataFrame) -> DataFrame:
     comes to its last hit.
 
     Where all hits from one on have side-1 ranks two or more above all before it, no run goes on, so the class is cut there
-    and each piece is walked alone, with the span of side-2 ranks of all that follows: that decides whether a scan still
+    and each piece is walked alone, as a stream of which only the open scans are held (:class:`RunScan`), with the span of side-2 ranks of all that follows: that decides whether a scan still
     open at the piece's end is ended by what follows or comes to the last hit. Cuts and spans are running values that are
     carried from range to range. Runs are numbered through afterwards."""
     keys, order = ["grp1_idx", "grp2_idx", "same"], ["hitnum", "hit_idx"]
@@ -170,8 +172,11 @@ def scanned_sets(ranked: DataFrame) -> DataFrame:
     rows = carried(dealt, keys, order, before=("max", "rank1", "before"), rest=("min", "rank1", "from"), low2=("min", "rank2", "after"), high2=("max", "rank2", "after"))
     cut = F.when(F.col("rest") - F.col("before") <= 1, 0).otherwise(1)
     rows = carried(rows, keys, order, piece=("sum", cut, "upto")).withColumns({k: F.coalesce(k, F.lit(-1)) for k in ("low2", "high2")}).drop("before", "rest", "__range")
-    found = walk_pieces(rows, [*keys, "piece"], order, _scan_piece, {**_SCANNED, "run": "long", "size": "long"})
-    return found.withColumn("run", F.dense_rank().over(Window.partitionBy(*keys).orderBy("piece", "run")).cast("long")).drop("piece")
+    found = stream_pieces(rows, [*keys, "piece"], order, _PieceScan, {**_SCANNED, "start": "long", "last": "long"}).repartition(*keys)
+    of_piece, of_run = (Window.partitionBy(*keys, "piece", *some) for some in ([], ["start"]))
+    found = found.withColumn("__end", F.min("last").over(of_piece)).filter((F.col("last") == ALL) & (F.col("start") <= F.col("__end")))
+    number = F.dense_rank().over(Window.partitionBy(*keys).orderBy("piece", "start")).cast("long")
+    return found.select(*[c for c in _SCANNED if c != "piece"], number.alias("run"), F.count(F.lit(1)).over(of_run).alias("size"))
 
 
 def renumber_sets(sets: DataFrame, keys: list[str]) -> DataFrame:

@@ -793,6 +793,27 @@ def _most_rows(spark, df):
     return max(found)
 
 
+def test_a_scan_holds_open_scans_only_and_streams_a_long_piece(spark):
+    """One piece of a whole chromosome, over many batches: what is held does not grow with it."""
+    n = 6000
+    rank1, rank2 = (np.arange(n) // 3).tolist(), [k // 3 if k % 3 else (k * 7919) % n for k in range(n)]
+    walk, rows, held = co._PieceScan(), [], 0
+    for lo in range(0, n, 100):
+        part = {"hit_idx": range(lo, lo + 100), "hitnum": range(lo, lo + 100), "rank1": rank1[lo : lo + 100], "rank2": rank2[lo : lo + 100]} | dict.fromkeys(("grp1_idx", "grp2_idx", "same", "piece"), [1] * 100) | dict.fromkeys(("low2", "high2"), [-1] * 100)
+        rows += list(zip(*walk.feed({c: np.array(v) for c, v in part.items()}), strict=True))
+        held = max(held, len(walk.kept), sum(len(s) for ys in walk.scan.open.values() for s in ys.values()))
+    assert held < 40 and len({r[-2] for r in rows}) > 1 and len(rows) > n // 3
+    df = spark.createDataFrame([(k, k + 1, 1, 2, True, rank1[k], rank2[k]) for k in range(n)], "hit_idx long, hitnum int, grp1_idx int, grp2_idx int, same boolean, rank1 int, rank2 int")
+    run, size = co.scan_runs(rank1, rank2, 1, -1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = {(r.hit_idx, r.run, r.size) for r in co.scanned_sets(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {(k, run[k], size[k]) for k in range(n) if run[k]}
+
+
 def test_no_gene_clusters_against_the_rules(spark):
     rng = np.random.default_rng(9)
     hits, at, far = [], 1000, 50_000
