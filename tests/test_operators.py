@@ -814,6 +814,28 @@ def test_a_scan_holds_open_scans_only_and_streams_a_long_piece(spark):
     assert got == {(k, run[k], size[k]) for k in range(n) if run[k]}
 
 
+def test_placed_pairs_are_the_gene_pairs_with_few_shuffles(spark):
+    rng = np.random.default_rng(12)
+    genes = spark.createDataFrame([(k, k % 2 + 1, s := int(rng.integers(1, 3000)), s + 300, "+-"[k % 3 % 2]) for k in range(40)], "annot_idx long, grp_idx int, g_start int, g_end int, strand string")
+    exons = spark.createDataFrame([(k, 1 + 900 * j, 700 + 900 * j) for k in range(30) for j in range(3)], "gene_idx long, e_start int, e_end int")
+    hits = spark.createDataFrame(
+        [(n, 1, 2, a := int(rng.integers(1, 3000)), a + 150, b := int(rng.integers(1, 3000)), b + 150, ("+/+", "+/-")[n % 2]) for n in range(200)],
+        "hit_idx long, grp1_idx int, grp2_idx int, start1 int, end1 int, start2 int, end2 int, strand string",
+    )
+    covers = [cp.hit_exon_cover(hits, genes, exons, k) for k in (1, 2)]
+    pairs, placed = cp.gene_pairs(hits, *covers, genes), cp.placed_pairs(hits, genes, exons)
+    rows = lambda df: sorted(map(tuple, df.select(*cp._PAIR).collect()))
+    assert rows(pairs) == rows(placed) and len(rows(pairs)) > 200
+    assert rows(cp.trim_ends(pairs, hits, genes, 100, 20)) == rows(cp.trim_ends(placed, hits, genes, 100, 20))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffles = [cp.trim_ends(p, hits, genes)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(hit_idx") for p in (placed, cp.gene_pairs(hits, *covers, genes))]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert shuffles[0] <= 4 < shuffles[1], shuffles  # two in each half, which run as one
+
+
 def test_no_gene_clusters_against_the_rules(spark):
     rng = np.random.default_rng(9)
     hits, at, far = [], 1000, 50_000
