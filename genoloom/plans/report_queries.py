@@ -13,7 +13,7 @@ from genoloom.operators import reports as rp
 from genoloom.operators import summary as su
 from genoloom.operators.lineage import written
 from genoloom.plans.annotation_queries import _KEYS, _RANKED, _ranked, _subhits
-from genoloom.plans.fixtures import Views
+from genoloom.plans.fixtures import VIEWS, Views
 from genoloom.plans.question_queries import _CLUSTER, _LINKS, _sized, _SIZED, _thin
 from genoloom.plans.registry import query
 
@@ -139,9 +139,16 @@ held AS (SELECT DISTINCT block_idx, side, annot_idx, 1 AS hit FROM block_hits JO
 sides AS (SELECT block_idx, side, count(*) AS n_genes, CAST(count(hit) AS DOUBLE) / count(*) AS share FROM bg LEFT JOIN held USING (block_idx, side, annot_idx) GROUP BY ALL)"""
 
 
+def _block_genes(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Blocks, which are read several times, and their genes."""
+    block_hits = written(v.block_hits, "block-hits")
+    blocks = written(v.spark.sql(VIEWS["blocks"].replace("{div}", "div"), block_hits=block_hits, hits=v.hits), "blocks")
+    return blocks, bl.block_genes(blocks, v.genes, block_hits, v.hit_annot)
+
+
 @query("b11_block_genes", _BLOCK_GENES + " SELECT block_idx, side, n_genes, round(share, 6) AS share FROM sides")
 def _(v: Views) -> DataFrame:
-    return bl.block_genes(v.blocks, v.genes, v.block_hits, v.hit_annot).withColumn("share", F.round("share", 6))
+    return _block_genes(v)[1].withColumn("share", F.round("share", 6))
 
 
 @query(
@@ -150,7 +157,7 @@ def _(v: Views) -> DataFrame:
 FROM blocks k JOIN groups a ON a.grp_idx = grp1_idx JOIN groups b ON b.grp_idx = grp2_idx LEFT JOIN sides x ON x.block_idx = k.block_idx AND x.side = 1 LEFT JOIN sides y ON y.block_idx = k.block_idx AND y.side = 2""",
 )
 def _(v: Views) -> DataFrame:
-    r = rp.blocks_genes(v.blocks, bl.block_genes(v.blocks, v.genes, v.block_hits, v.hit_annot), v.groups)
+    r = rp.blocks_genes(*_block_genes(v), v.groups)
     return r.withColumns({c: F.round(c, 6) for c in ("share1", "share2")})
 
 
